@@ -5,6 +5,9 @@ Here a group is cut into value ranges first. Rows are reduced to distinct (key,
 ranges get running totals (at most `bins` small rows per key), and only the rows of one range are
 ever ordered together. The ranges depend on the exact minimum and maximum alone, so a recomputed
 partition always lands in the same ranges.
+
+Each operator counts its largest group first. When even that is small, one task per group is safe and
+the plain window or percentile() is used; `split=True` or `split=False` skips the count.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BINS = 1024
+SMALL_GROUP_ROWS = 100_000
 
 
 def null_safe_on(left: DataFrame, right: DataFrame, pairs) -> Column:
@@ -39,12 +43,12 @@ def _range_of(df: DataFrame, value: str, bins: int, bounds=None) -> Column:
     """Index of the value range; `bounds` may give known (low, high) limits."""
     v = _stretch(F.col(value).cast("double"))
     if bounds is None:
-        lo = _stretch(df.select(F.min(F.col(value).cast("double"))).scalar())
-        hi = _stretch(df.select(F.max(F.col(value).cast("double"))).scalar())
+        lo, hi = df.select(F.min(v)).scalar(), df.select(F.max(v)).scalar()
     else:
         lo, hi = _stretch(F.lit(float(bounds[0]))), _stretch(F.lit(float(bounds[1])))
-    share = F.coalesce(F.try_divide(v - lo, hi - lo), F.lit(0.0))
-    return F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(share * bins).cast("int")))
+    # width_bucket is NULL when all values are equal and 0 or bins + 1 outside the limits
+    bucket = F.width_bucket(v, lo, hi, F.lit(bins))
+    return F.greatest(F.lit(1), F.least(F.lit(bins), F.coalesce(bucket, F.lit(1)))).cast("int")
 
 
 def _range_totals(counts: DataFrame, keys) -> DataFrame:
@@ -71,30 +75,55 @@ def _running(counts: DataFrame, totals: DataFrame, keys, value: str) -> DataFram
     return joined.withColumn("n_before", F.col("__before") + F.coalesce(F.sum("n").over(run), F.lit(0)))
 
 
-def ranked_values(df: DataFrame, keys, value: str, bins: int = BINS, bounds=None) -> DataFrame:
+def needs_split(df: DataFrame, keys, value: str | None = None) -> bool:
+    """True when the largest group is too big for one task; one number comes to the driver."""
+    rows = df if value is None else df.where(F.col(value).isNotNull())
+    largest = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return (largest or 0) > SMALL_GROUP_ROWS
+
+
+def ranked_values(df: DataFrame, keys, value: str, bins: int = BINS, bounds=None, split: bool | None = None) -> DataFrame:
     """One row per distinct (keys, value): n, n_before (rows below) and n_total."""
     keys = list(keys)
+    if not (needs_split(df, keys, value) if split is None else split):
+        group = Window.partitionBy(*keys)
+        run = group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+        return counts.select(
+            *keys, value, "n", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("n_before"), F.sum("n").over(group).alias("n_total")
+        )
     counts = _value_counts(df, keys, value, bins, bounds)
     return _running(counts, _range_totals(counts, keys), keys, value).select(
         *keys, value, "n", "n_before", "n_total"
     )
 
 
-def average_rank(df: DataFrame, keys, value: str, out: str = "rank", bins: int = BINS, bounds=None) -> DataFrame:
+def average_rank(
+    df: DataFrame, keys, value: str, out: str = "rank", bins: int = BINS, bounds=None, split: bool | None = None
+) -> DataFrame:
     """Rank with ties averaged, within keys (or overall); a missing value has no rank."""
     keys = list(keys)
-    ranks = ranked_values(df, keys, value, bins, bounds).select(
+    ranks = ranked_values(df, keys, value, bins, bounds, split).select(
         *keys, value, (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(out)
     )
     return join_keys(df, ranks, [*keys, value], "left")
 
 
-def quantiles(df: DataFrame, keys, value: str, probs: dict[str, float], bins: int = BINS, bounds=None) -> DataFrame:
+def quantiles(
+    df: DataFrame, keys, value: str, probs: dict[str, float], bins: int = BINS, bounds=None, split: bool | None = None
+) -> DataFrame:
     """Exact linear-interpolation quantiles per group, as named columns plus n_total.
 
     Groups whose values are all missing give no row; use `keep_groups` to add them back as NULL.
     """
     keys = list(keys)
+    if not (needs_split(df, keys, value) if split is None else split):
+        known = df.where(F.col(value).isNotNull())
+        q = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in probs.values()]))
+        found = known.groupBy(*keys).agg(q.alias("__q"), F.count("*").alias("n_total"))
+        if not keys:
+            found = found.where(F.col("n_total") > 0)
+        return found.select(*keys, *[F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(probs)], "n_total")
     counts = _value_counts(df, keys, value, bins, bounds)
     totals = _range_totals(counts, keys)
 
@@ -125,8 +154,8 @@ def quantiles(df: DataFrame, keys, value: str, probs: dict[str, float], bins: in
     return found.select(*keys, *out, "n_total")
 
 
-def medians(df: DataFrame, keys, value: str, out: str = "median", bounds=None) -> DataFrame:
-    return quantiles(df, keys, value, {out: 0.5}, bounds=bounds).drop("n_total")
+def medians(df: DataFrame, keys, value: str, out: str = "median", split: bool | None = None) -> DataFrame:
+    return quantiles(df, keys, value, {out: 0.5}, split=split).drop("n_total")
 
 
 def keep_groups(summary: DataFrame, df: DataFrame, keys) -> DataFrame:
@@ -135,7 +164,7 @@ def keep_groups(summary: DataFrame, df: DataFrame, keys) -> DataFrame:
 
 
 def sequence_index(
-    df: DataFrame, order_cols, keys=(), out: str = "row_id", bins: int = BINS, bounds=None
+    df: DataFrame, order_cols, keys=(), out: str = "row_id", bins: int = BINS, bounds=None, split: bool | None = None
 ) -> DataFrame:
     """1-based row number in the order of `order_cols` (first one numeric and non-null), with n_total.
 
@@ -144,6 +173,10 @@ def sequence_index(
     sees more than its ranges.
     """
     order_cols, keys = list(order_cols), list(keys)
+    if not (needs_split(df, keys) if split is None else split):
+        group = Window.partitionBy(*keys)
+        number = F.row_number().over(group.orderBy(*order_cols)).cast("bigint")
+        return df.select("*", F.count("*").over(group).alias("n_total"), number.alias(out))
     tagged = df.withColumn("__b", _range_of(df, order_cols[0], bins, bounds))
     totals = _range_totals(tagged.withColumn("n", F.lit(1)), keys).drop("__in")
     within = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order_cols))
