@@ -7,9 +7,15 @@ batch; the numeric kernel is a short continued fraction.
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+# Executors need not have this package installed: the few functions below travel with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -67,11 +73,11 @@ def _usable(*xs) -> bool:
     return all(x is not None and not math.isnan(x) for x in xs)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(a, b) if _usable(a, b) and b > 0 else None for a, b in zip(t, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_upper_quantile(tail: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_quantile(a, b) if _usable(a, b) and b > 0 else None for a, b in zip(tail, df)], dtype="float64")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from permspark.functions.scalar import as_col, half_even, number_or_null
-from permspark.operators.ordered import join_keys
+from permspark.operators.ordered import join_keys, spread
 
 
 def update_where(df: DataFrame, rules: list[tuple[str, Column, object]]) -> DataFrame:
@@ -75,7 +75,7 @@ def first_id(*cols) -> Column:
 def label_members(df: DataFrame, key: str, members: DataFrame, yes: str, no: str, out: str = "class") -> DataFrame:
     """Label by membership of the key in an id list (first column of `members`)."""
     ids = members.select(F.col(members.columns[0]).alias(key)).where(F.col(key).isNotNull()).distinct()
-    hit = join_keys(df, ids.withColumn("__hit", F.lit(True)), [key], "left")
+    hit = join_keys(df, spread(ids.withColumn("__hit", F.lit(True)), [key]), [key], "left")
     return hit.withColumn(out, F.when(F.col("__hit"), F.lit(yes)).otherwise(F.lit(no))).drop("__hit")
 
 

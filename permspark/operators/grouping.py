@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from permspark.functions.scalar import as_col, log10, ratio
-from permspark.operators.ordered import join_keys
+from permspark.operators.ordered import join_keys, spread
 
 
 # --- aggregate expressions -------------------------------------------------------------------
@@ -58,15 +58,13 @@ def attach(df: DataFrame, keys, *aggs: Column) -> DataFrame:
     """Group results on every row of the group."""
     keys = list(keys)
     stats = df.groupBy(*keys).agg(*aggs)
-    # The explicit repartition makes the small side a plain shuffle stage, which is what adaptive
-    # execution needs on both sides before it will split a hot partition of the large side.
-    return join_keys(df, stats.repartition(*keys), keys, "left")
+    return join_keys(df, spread(stats, keys), keys, "left")
 
 
 def attach_distinct(df: DataFrame, keys, member: str, out: str) -> DataFrame:
     keys = list(keys)
     stats = distinct_members(df, keys, member).groupBy(*keys).agg(F.count("*").alias(out))
-    return join_keys(df, stats.repartition(*keys), keys, "left")
+    return join_keys(df, spread(stats, keys), keys, "left")
 
 
 def distinct_members(df: DataFrame, keys, member: str) -> DataFrame:
@@ -90,19 +88,19 @@ def distinct_counts(df: DataFrame, member: str, tests: dict[str, Column], keys=(
 def keep_large_groups(df: DataFrame, keys, more_than: int) -> DataFrame:
     keys = list(keys)
     big = df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > more_than)
-    return join_keys(df, big.select(*keys), keys, "left_semi")
+    return join_keys(df, spread(big.select(*keys), keys), keys, "left_semi")
 
 
 def keep_diverse_groups(df: DataFrame, keys, member: str, at_least: int) -> DataFrame:
     keys = list(keys)
     big = distinct_members(df, keys, member).groupBy(*keys).agg(F.count("*").alias("__n"))
-    return join_keys(df, big.where(F.col("__n") >= at_least).select(*keys), keys, "left_semi")
+    return join_keys(df, spread(big.where(F.col("__n") >= at_least).select(*keys), keys), keys, "left_semi")
 
 
 def drop_poisoned_groups(df: DataFrame, keys, violation: Column) -> DataFrame:
     """Remove all rows of a group in which any row violates the rule."""
     keys = list(keys)
-    return join_keys(df, df.where(violation).select(*keys).distinct(), keys, "left_anti")
+    return join_keys(df, spread(df.where(violation).select(*keys).distinct(), keys), keys, "left_anti")
 
 
 def keep_nearest(df: DataFrame, keys, value: str, target: float) -> DataFrame:

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from permspark.operators.grouping import concat_values, keep_first
-from permspark.operators.ordered import join_keys
+from permspark.operators.ordered import join_keys, spread
 
 SMALL_TABLE_ROWS = 1000
 
@@ -25,7 +25,7 @@ def lookup(base: DataFrame, dim: DataFrame, on: list[str], match_missing: bool =
 
 def lookup_one(base: DataFrame, dim: DataFrame, on: list[str], order_cols) -> DataFrame:
     """Lookup against the first row per key, so that base never fans out."""
-    return base.join(keep_first(dim, on, order_cols), on, "left")
+    return base.join(spread(keep_first(dim, on, order_cols), on), on, "left")
 
 
 def star(base: DataFrame, facts: list[DataFrame], on: list[str]) -> DataFrame:
@@ -44,7 +44,7 @@ def prefer(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
 def update_from(base: DataFrame, table: DataFrame, key: str, col: str, order_cols) -> DataFrame:
     """Overwrite `col` on matched rows only."""
     new = keep_first(table.select(key, col, *[c for c in order_cols if c not in (key, col)]), [key], order_cols)
-    new = new.select(key, F.col(col).alias("__new"))
+    new = spread(new.select(key, F.col(col).alias("__new")), [key])
     return base.join(new, key, "left").withColumn(col, F.coalesce("__new", col)).drop("__new")
 
 
@@ -95,8 +95,8 @@ def resolve_ids(
     by_id has (id_col, target), by_name has (name_col, target); both are reduced to the smallest
     target per key first.
     """
-    ids = by_id.groupBy(id_col).agg(F.min(target).alias("__by_id"))
-    names = by_name.groupBy(name_col).agg(F.min(target).alias("__by_name"))
+    ids = spread(by_id.groupBy(id_col).agg(F.min(target).alias("__by_id")), [id_col])
+    names = spread(by_name.groupBy(name_col).agg(F.min(target).alias("__by_name")), [name_col])
     joined = base.join(ids, id_col, "left").join(names, name_col, "left")
     return joined.withColumns(
         {
@@ -133,7 +133,7 @@ def grid_interval_join(df: DataFrame, value: str, bins: DataFrame, lo: str, hi:
 def set_lookup(df: DataFrame, value: str, sets: DataFrame, members: str, index: str) -> DataFrame:
     """Attach the index of the set (an array column) that contains the value."""
     flat = sets.select(F.explode(members).alias(value), index).groupBy(value).agg(F.min(index).alias(index))
-    return df.join(flat, value, "left")
+    return df.join(spread(flat, [value]), value, "left")
 
 
 def map_values(df: DataFrame, col: str, table: dict[str, tuple], names: list[str], how: str = "inner") -> DataFrame:
@@ -160,7 +160,3 @@ def restricted(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 def row_by_number(df: DataFrame, numbered: DataFrame, number: str) -> DataFrame:
     """Lookup by an explicit row number column."""
     return df.join(numbered, number, "left")
-
-
-def cond_any(conds) -> Column:
-    return reduce(lambda a, b: a | b, conds)

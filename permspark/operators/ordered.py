@@ -34,6 +34,15 @@ def join_keys(df: DataFrame, other: DataFrame, keys, how: str = "inner") -> Data
     return df.join(right, cond, how).drop(*[f"__k_{k}" for k in keys])
 
 
+def spread(df: DataFrame, keys) -> DataFrame:
+    """Make a reduced table a plain shuffle stage on its keys.
+
+    Adaptive execution splits a hot partition of the large side of a join only when both sides are
+    plain shuffle stages; an aggregate that is already partitioned on the key would not be one.
+    """
+    return df.repartition(*keys)
+
+
 def _stretch(c: Column) -> Column:
     """Monotone compression of large magnitudes, so that far outliers do not crowd one range."""
     return F.signum(c) * F.log1p(F.abs(c))
@@ -106,7 +115,7 @@ def average_rank(
     ranks = ranked_values(df, keys, value, bins, bounds, split).select(
         *keys, value, (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(out)
     )
-    return join_keys(df, ranks, [*keys, value], "left")
+    return join_keys(df, spread(ranks, [*keys, value]), [*keys, value], "left")
 
 
 def quantiles(

@@ -45,7 +45,10 @@ def tls(df: DataFrame, x: str, y: str, keys=()) -> DataFrame:
 
 def _tls_line(df: DataFrame) -> DataFrame:
     gap = F.col("__syy") - F.col("__sxx")
-    slope = ratio(gap + F.sqrt(gap * gap + 4 * F.col("__sxy") * F.col("__sxy")), 2 * F.col("__sxy"))
+    twice = 2 * F.col("__sxy")
+    root = F.sqrt(gap * gap + twice * twice)
+    # two equal forms; each avoids subtracting nearly equal numbers on its side
+    slope = F.when(gap >= 0, ratio(gap + root, twice)).otherwise(ratio(twice, root - gap))
     return df.withColumn("tls_slope", slope).withColumn(
         "tls_intercept", F.col("__my") - F.col("tls_slope") * F.col("__mx")
     )
