@@ -9,7 +9,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from permspark.functions.scalar import cut_index, ratio, row_mean, row_sd
 from permspark.operators.grouping import column_profile, keep_first
@@ -157,16 +157,17 @@ def significant_columns(df: DataFrame, cols, label: str, p: float = 0.1, categor
 # --- binning ---------------------------------------------------------------------------------------
 
 
-def equal_frequency_cuts(df: DataFrame, value: str, bins: int) -> list[Column]:
-    """Interior quantile cut points as scalar expressions."""
-    probs = {f"q{i}": i / bins for i in range(1, bins)}
-    q = quantiles(df, [], value, probs)
-    return [q.select(n).scalar() for n in probs]
+def equal_frequency_cuts(df: DataFrame, value: str, bins) -> dict[int, list[float]]:
+    """Interior quantile cut points for each number of bins; one pass, a few numbers to the driver."""
+    probs = {f"q{k}_{i}": i / k for k in bins for i in range(1, k)}
+    row = quantiles(df, [], value, probs).first()
+    return {k: [row[f"q{k}_{i}"] for i in range(1, k)] for k in bins}
 
 
-def equal_frequency_bin(df: DataFrame, value: str, bins: int, out: str) -> DataFrame:
-    """Quantile bins; equal values always share a bin."""
-    return df.withColumn(out, cut_index(value, equal_frequency_cuts(df, value, bins)))
+def equal_frequency_bins(df: DataFrame, value: str, bins, prefix: str = "bin") -> DataFrame:
+    """A quantile bin column per number of bins; equal values always share a bin."""
+    cuts = equal_frequency_cuts(df, value, bins)
+    return df.withColumns({f"{prefix}{k}": cut_index(value, c) for k, c in cuts.items()})
 
 
 def cluster_cuts(df: DataFrame, value: str, bins: int, seed: int = 1) -> list[float]:

@@ -287,12 +287,14 @@ def bootstrap_poisson(
         *[
             F.struct(
                 (F.col("__blk") * 4 + i + 1).alias("rep"),
-                poisson_weight(hash_int("__h", 1 + 8 * i) / F.lit(float(2**32))).alias("w"),
+                F.substring("__h", 1 + 8 * i, 8).alias("__x"),
             )
             for i in range(4)
         ]
     )
-    drawn = blocks.select(*keys, "__o", "__p", "__e", F.inline(cells)).where((F.col("w") > 0) & (F.col("rep") <= reps))
+    spun = blocks.select(*keys, "__o", "__p", "__e", F.inline(cells)).where(F.col("rep") <= reps)
+    spun = spun.withColumn("__u", hash_int("__x") / F.lit(float(2**32)))
+    drawn = spun.withColumn("w", poisson_weight(F.col("__u"))).where(F.col("w") > 0)
     w, o, p = F.col("w"), F.col("__o"), F.col("__p")
     sums = drawn.groupBy(*keys, "rep").agg(
         F.sum(w).alias("n"),
