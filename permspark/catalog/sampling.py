@@ -42,7 +42,7 @@ def equal_freq_bins(spark, sf) -> DataFrame:
 def kmeans_bins(spark, sf) -> DataFrame:
     """Bins cut halfway between 1-D cluster centres of log10 value (fixed seed)."""
     df = _prices(spark, sf).withColumn("lv", S.log10("v"))
-    cuts = {k: FE.cluster_cuts(df, "lv", k) for k in _K}
+    cuts = FE.cluster_cuts(df, "lv", _K)
     return _bin_report(df.withColumns({f"bin{k}": S.cut_index("lv", c) for k, c in cuts.items()}), "bin")
 
 

@@ -339,5 +339,7 @@ _CDF = " + ".join(f"(u >= {c}::DOUBLE)::INT" for c in T.POISSON_CDF)
 )
 def bootstrap_poisson(spark, sf) -> DataFrame:
     """Same statistics with independent Poisson multiplicities: no join, one partial sum per task and replicate."""
-    out = T.bootstrap_poisson(_pairs(spark, sf), ["evaluation", "subset"], "c_custkey", "obs", "pred", _REPS, _SEED)
+    tasks = spark.sparkContext.defaultParallelism
+    keys = ["evaluation", "subset"]
+    out = T.bootstrap_poisson(_pairs(spark, sf), keys, "c_custkey", "obs", "pred", _REPS, _SEED, tasks)
     return rounded(out, _STATS_OUT)

@@ -11,8 +11,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window, functions as F
 
-from permspark.functions.scalar import cut_index, ratio, row_mean, row_sd
-from permspark.operators.grouping import column_profile, keep_first
+from permspark.functions.scalar import cut_index, ratio
+from permspark.operators.grouping import column_statistics, keep_first
 from permspark.operators.ordered import quantiles
 
 
@@ -38,23 +38,12 @@ def combine_descriptors(first: DataFrame, second: DataFrame, key: str, required:
 
 
 def information_table(df: DataFrame, cols, min_cv: float = 0.05) -> DataFrame:
-    """Per column: count, range, mean, sd and whether it carries too little information."""
-    aggs = []
-    for c in cols:
-        aggs += [
-            F.count(c).alias(f"{c}__n"), F.min(c).alias(f"{c}__lo"), F.max(c).alias(f"{c}__hi"),
-            F.avg(c).alias(f"{c}__m"), F.stddev_samp(c).alias(f"{c}__s"),
-        ]
-    items = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"), F.col(f"{c}__n").alias("n"), F.col(f"{c}__lo").cast("double").alias("lo"),
-                F.col(f"{c}__hi").cast("double").alias("hi"), F.col(f"{c}__m").alias("mean"), F.col(f"{c}__s").alias("sd"),
-            )
-            for c in cols
-        ]
-    )
-    rows = df.agg(*aggs).select(F.inline(items))
+    """Per column: count, range, mean, sd and whether it carries too little information.
+
+    Columns become rows first: each task then reduces its part to one small row per column, and the
+    plan stays the same size for a thousand descriptors.
+    """
+    rows = column_statistics(df, cols)
     low = (
         (F.col("n") == 0)
         | (F.col("lo") == F.col("hi"))
@@ -70,7 +59,8 @@ def low_information(df: DataFrame, cols, min_cv: float = 0.05) -> list[str]:
 
 def near_zero_variance(df: DataFrame, cols, freq_cut: float = 95 / 5, unique_cut: float = 10.0) -> DataFrame:
     """Per column: ratio of the two commonest values and percent of distinct values."""
-    counts = df.unpivot([], list(cols), "column", "value").groupBy("column", "value").agg(F.count("*").alias("n"))
+    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    counts = doubles.unpivot([], list(cols), "column", "value").groupBy("column", "value").agg(F.count("*").alias("n"))
     top = Window.partitionBy("column").orderBy(F.desc("n"), "value")
     best = counts.withColumn("rn", F.row_number().over(top)).where("rn <= 2")
     lead = best.groupBy("column").agg(
@@ -94,7 +84,7 @@ class Profile:
 
     @classmethod
     def fit(cls, df: DataFrame, cols) -> "Profile":
-        rows = column_profile(df, cols).collect()
+        rows = column_statistics(df, cols).collect()
         return cls({r["column"]: r["mean"] for r in rows}, {r["column"]: r["sd"] for r in rows})
 
 
@@ -170,12 +160,19 @@ def equal_frequency_bins(df: DataFrame, value: str, bins, prefix: str = "bin") -
     return df.withColumns({f"{prefix}{k}": cut_index(value, c) for k, c in cuts.items()})
 
 
-def cluster_cuts(df: DataFrame, value: str, bins: int, seed: int = 1) -> list[float]:
-    """1-D k-means; cut points halfway between neighbouring centres."""
+def cluster_cuts(df: DataFrame, value: str, bins, seed: int = 1, iterations: int = 20) -> dict[int, list[float]]:
+    """1-D k-means for each number of bins; cut points halfway between neighbouring centres."""
     known = df.where(F.col(value).isNotNull()).select(array_to_vector(F.array(F.col(value).cast("double"))).alias("f"))
-    model = KMeans(k=bins, seed=seed, featuresCol="f", maxIter=50).fit(known)
-    centres = sorted(float(c[0]) for c in model.clusterCenters())
-    return [(a + b) / 2 for a, b in zip(centres, centres[1:])]
+    known = known.persist()
+    cuts = {}
+    try:
+        for k in bins:
+            model = KMeans(k=k, seed=seed, featuresCol="f", maxIter=iterations).fit(known)
+            centres = sorted(float(c[0]) for c in model.clusterCenters())
+            cuts[k] = [(a + b) / 2 for a, b in zip(centres, centres[1:])]
+    finally:
+        known.unpersist()
+    return cuts
 
 
 # --- applicability domain -----------------------------------------------------------------------------
@@ -187,14 +184,12 @@ def applicability(df: DataFrame, cols, profile: Profile, limit: float = 3.0, z:
     In when no descriptor is extreme, out when all are, otherwise by mean + z * sd of the
     standardised distances.
     """
-    s = {f"__s_{c}": F.abs(F.col(c) - F.lit(profile.mean[c])) / F.lit(profile.sd[c]) for c in cols}
-    names = list(s)
-    most = F.greatest(*names) if len(names) > 1 else F.col(names[0])
-    least = F.least(*names) if len(names) > 1 else F.col(names[0])
-    scored = (
-        df.withColumns(s)
-        .withColumn("__mean", row_mean(names))
-        .withColumns({"__max": most, "__min": least, "__sd": row_sd(names, "__mean")})
+    gaps = F.array(*[F.abs(F.col(c) - F.lit(profile.mean[c])) / F.lit(profile.sd[c]) for c in cols])
+    k = float(len(cols))
+    scored = df.withColumn("__s", gaps).withColumn("__mean", F.aggregate("__s", F.lit(0.0), lambda a, x: a + x) / k)
+    squares = F.aggregate("__s", F.lit(0.0), lambda a, x: a + (x - F.col("__mean")) * (x - F.col("__mean")))
+    scored = scored.withColumns(
+        {"__max": F.array_max("__s"), "__min": F.array_min("__s"), "__sd": F.sqrt(ratio(squares, F.lit(k - 1)))}
     )
     mixed = F.col("__mean") + F.lit(z) * F.col("__sd")
     inside = (
@@ -203,6 +198,4 @@ def applicability(df: DataFrame, cols, profile: Profile, limit: float = 3.0, z:
         .when(mixed <= limit, F.lit(1))
         .otherwise(F.lit(0))
     )
-    return scored.withColumn("domain_score", mixed).withColumn(out, inside).drop(
-        *names, "__mean", "__max", "__min", "__sd"
-    )
+    return scored.withColumn("domain_score", mixed).withColumn(out, inside).drop("__s", "__mean", "__max", "__min", "__sd")

@@ -181,24 +181,25 @@ def histogram(
     return tagged.groupBy(*keys, index.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def column_profile(df: DataFrame, cols) -> DataFrame:
-    """Mean and sd of every named column as rows (column, mean, sd, n); one pass over the data."""
-    aggs = []
-    for c in cols:
-        aggs += [F.avg(c).alias(f"{c}__m"), F.stddev_samp(c).alias(f"{c}__s"), F.count(c).alias(f"{c}__n")]
-    one = df.agg(*aggs)
-    items = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.col(f"{c}__m").alias("mean"),
-                F.col(f"{c}__s").alias("sd"),
-                F.col(f"{c}__n").alias("n"),
-            )
-            for c in cols
-        ]
+def column_statistics(df: DataFrame, cols) -> DataFrame:
+    """Count, range, mean and sd of every named column as rows (column, n, lo, hi, mean, sd).
+
+    A column without any value still gets its row.
+    """
+    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    long = doubles.unpivot([], list(cols), "column", "value")
+    return long.groupBy("column").agg(
+        F.count("value").alias("n"),
+        F.min("value").alias("lo"),
+        F.max("value").alias("hi"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("sd"),
     )
-    return one.select(F.inline(items))
+
+
+def column_profile(df: DataFrame, cols) -> DataFrame:
+    """Mean and sd per column as rows: the training profile."""
+    return column_statistics(df, cols).select("column", "mean", "sd", "n")
 
 
 def top_k(df: DataFrame, score: str, k: int, tie: str) -> DataFrame:

@@ -263,15 +263,19 @@ def poisson_weight(uniform: Column) -> Column:
 
 
 def bootstrap_poisson(
-    df: DataFrame, keys: list[str], id_col: str, observed: str, predicted: str, reps: int, seed: int = 1234
+    df: DataFrame, keys: list[str], id_col: str, observed: str, predicted: str, reps: int, seed: int = 1234,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Bootstrap for large groups: every row draws its own Poisson(1) multiplicity per replicate.
 
     No join and no index; each task reduces its rows to one partial sum per (group, replicate). Sums
-    are taken around the group means to stay accurate.
+    are taken around the group means to stay accurate. `partitions` spreads an input that comes in
+    fewer tasks than there are cores; leave it out for large tables.
     """
     known = df.dropna(subset=[observed, predicted])
     centred = attach(known, keys, F.avg(observed).alias("__mo"), F.avg(predicted).alias("__mp"))
+    if partitions:
+        centred = centred.repartition(partitions)
     o, p = F.col(observed) - F.col("__mo"), F.col(predicted) - F.col("__mp")
     gap = F.col(observed) - F.col(predicted)
     # One hash gives four 32-bit uniforms, so it is taken once per block of four replicates.
