@@ -211,7 +211,7 @@ def _sparse_cols(spark, sf) -> DataFrame:
 )
 def drop_sparse_rows_cols(spark, sf) -> DataFrame:
     cols = [f"e{i}" for i in range(8)]
-    df = G.drop_sparsest_rows(_sparse_cols(spark, sf), cols, S.row_missing(cols))
+    df = G.drop_sparsest_rows(_sparse_cols(spark, sf), cols)
     kept = G.complete_columns(df, cols)
     return rounded(df.select("vec_id", *kept), kept)
 

@@ -94,8 +94,8 @@ def impute(df: DataFrame, profile: Profile, cols=None) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(profile.mean[c])) for c in cols})
 
 
-def assembled(df: DataFrame, cols, out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="error").transform(df)
+def assembled(df: DataFrame, cols, out: str = "features", invalid: str = "error") -> DataFrame:
+    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid=invalid).transform(df)
 
 
 def correlation_matrix(df: DataFrame, cols, method: str = "spearman") -> np.ndarray:

@@ -11,8 +11,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from permspark.functions.scalar import as_col, log10, ratio
+from permspark.functions.scalar import as_col, log10, ratio, row_missing
 from permspark.operators.ordered import join_keys, spread
+from permspark.sources.writers import staged
 
 
 # --- aggregate expressions -------------------------------------------------------------------
@@ -127,9 +128,13 @@ def any_present(cols) -> Column:
     return reduce(lambda a, b: a | b, [as_col(c).isNotNull() for c in cols])
 
 
-def drop_sparsest_rows(df: DataFrame, cols, missing: Column) -> DataFrame:
-    """Remove the rows with the most missing values, unless all incomplete rows are equally bad."""
-    counted = df.withColumn("__miss", missing)
+def drop_sparsest_rows(df: DataFrame, cols) -> DataFrame:
+    """Remove the rows with the most missing values, unless all incomplete rows are equally bad.
+
+    The counted table is stored: it is read three times, and a filter on a stored count spares the
+    optimizer from reasoning about every descriptor column.
+    """
+    counted = staged(df.withColumn("__miss", row_missing(cols)))
     holes = counted.where(F.col("__miss") > 0)
     worst = holes.select(F.max("__miss")).scalar()
     least = holes.select(F.min("__miss")).scalar()

@@ -11,7 +11,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from permspark.functions.scalar import hash_hex, hash_int
+from permspark.functions.scalar import hash_hex, hash_int, row_missing
 from permspark.operators.features import assembled
 from permspark.operators.grouping import best_setting, top_k
 
@@ -134,10 +134,16 @@ def chosen_features(scores: DataFrame, size: int) -> DataFrame:
 
 
 def score_complete(model, df: DataFrame, cols, key: str, requested: DataFrame | None = None) -> DataFrame:
-    """Predictions aligned to the requested ids; rows with a missing descriptor get NULL."""
-    scored = model.transform(assembled(df.dropna(subset=list(cols)), cols)).select(key, "prediction")
-    ids = (requested if requested is not None else df).select(key)
-    return ids.join(scored, key, "left")
+    """Predictions aligned to the requested ids; rows with a missing descriptor get NULL.
+
+    Incomplete rows are scored like the others and blanked afterwards: a filter over hundreds of
+    descriptor columns would cost the optimizer far more than the few wasted predictions.
+    """
+    ready = df.withColumn("__missing", row_missing(cols))
+    scored = model.transform(assembled(ready, cols, invalid="keep"))
+    guarded = F.when(F.col("__missing") == 0, F.col(model.getPredictionCol())).alias("prediction")
+    out = scored.select(key, guarded)
+    return out if requested is None else requested.select(key).join(out, key, "left")
 
 
 def class_boundaries(value, low_max: Column, mid_max: Column) -> Column:
