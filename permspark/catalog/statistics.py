@@ -310,7 +310,7 @@ _BOOT_TAIL = f"""SELECT evaluation, subset, max(n)::BIGINT AS n, count(*) AS rep
     "bootstrap_r2",
     f"""WITH {_PAIR_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY evaluation, subset ORDER BY c_custkey) AS pos,
       count(*) OVER (PARTITION BY evaluation, subset) AS n FROM sub),
-    d AS (SELECT evaluation, subset, rep, ('0x' || substr(md5('{_SEED}:' || evaluation || ':' || subset || ':' || rep || ':' || pos), 1, 8))::BIGINT % n + 1 AS pos
+    d AS (SELECT evaluation, subset, rep, ('0x' || substr(md5('{_SEED}:' || evaluation || ':' || subset || ':' || ((rep - 1) // 4) || ':' || pos), (1 + 8 * ((rep - 1) % 4))::INT, 8))::BIGINT % n + 1 AS pos
       FROM r, range(1, {_REPS + 1}) t(rep)),
     s AS (SELECT d.evaluation, d.subset, rep, count(*) AS n, sqrt(avg((obs - pred) * (obs - pred))) AS rmse,
       1 - (1 - pow(corr(pred, obs), 2)) * (count(*) - 1) / nullif(count(*) - 2, 0) AS adj
@@ -318,7 +318,8 @@ _BOOT_TAIL = f"""SELECT evaluation, subset, max(n)::BIGINT AS n, count(*) AS rep
 )
 def bootstrap_r2(spark, sf) -> DataFrame:
     """n draws with replacement per evaluation, subset and replicate."""
-    out = T.bootstrap(_pairs(spark, sf), ["evaluation", "subset"], "c_custkey", "obs", "pred", _REPS, _SEED)
+    tasks = spark.sparkContext.defaultParallelism
+    out = T.bootstrap(_pairs(spark, sf), ["evaluation", "subset"], "c_custkey", "obs", "pred", _REPS, _SEED, tasks)
     return rounded(out, _STATS_OUT)
 
 

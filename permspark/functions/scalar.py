@@ -98,13 +98,11 @@ def row_mean(cols) -> Column:
     return ratio(total, row_count(cols))
 
 
-def row_sd(cols, mean=None) -> Column:
-    """Sample standard deviation across columns, NULL for fewer than two values."""
-    mean = row_mean(cols) if mean is None else as_col(mean)
-    squares = reduce(
-        add, [F.coalesce((as_col(c) - mean) * (as_col(c) - mean), F.lit(0.0)) for c in cols]
-    )
-    n = row_count(cols)
+def row_sd(cols, mean, n) -> Column:
+    """Sample standard deviation across columns from their row mean and count; NULL below two values."""
+    mean, n = as_col(mean), as_col(n)
+    gaps = [as_col(c) - mean for c in cols]
+    squares = reduce(add, [F.coalesce(g * g, F.lit(0.0)) for g in gaps])
     return F.when(n > 1, F.sqrt(squares / (n - 1)))
 
 

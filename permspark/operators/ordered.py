@@ -167,6 +167,18 @@ def medians(df: DataFrame, keys, value: str, out: str = "median", split: bool |
     return quantiles(df, keys, value, {out: 0.5}, split=split).drop("n_total")
 
 
+def medians_of(df: DataFrame, keys, values: dict[str, str]) -> DataFrame:
+    """Medians of several columns per group, {column: output name}; one pass when groups are small."""
+    keys = list(keys)
+    if not needs_split(df, keys):
+        aggs = [F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(out) for c, out in values.items()]
+        return df.groupBy(*keys).agg(*aggs)
+    out = df.select(*keys).distinct()
+    for c, name in values.items():
+        out = join_keys(out, medians(df, keys, c, name, split=True), keys, "left")
+    return out
+
+
 def keep_groups(summary: DataFrame, df: DataFrame, keys) -> DataFrame:
     """Re-attach groups that had no usable value."""
     return join_keys(df.select(*keys).distinct(), summary, list(keys), "left")

@@ -191,17 +191,38 @@ def with_subsets(df: DataFrame, observed: str, cut: float, out: str = "subset")
     return df.withColumn(out, F.explode(F.array(F.lit("all"), part)))
 
 
-def bootstrap_draws(df: DataFrame, keys: list[str], id_col: str, reps: int, seed: int) -> DataFrame:
+def rep_blocks(reps: int) -> Column:
+    """Blocks of four replicates: one hash per block gives four 32-bit numbers."""
+    return F.explode(F.sequence(F.lit(0), F.lit((reps + 3) // 4 - 1)))
+
+
+def block_numbers(block: str, hex_col: str, name: str) -> Column:
+    """Rows (rep, eight hex digits) of one block's hash."""
+    return F.inline(
+        F.array(
+            *[
+                F.struct((F.col(block) * 4 + i + 1).alias("rep"), F.substring(hex_col, 1 + 8 * i, 8).alias(name))
+                for i in range(4)
+            ]
+        )
+    )
+
+
+def bootstrap_draws(
+    df: DataFrame, keys: list[str], id_col: str, reps: int, seed: int, partitions: int | None = None
+) -> DataFrame:
     """n draws with replacement per group and replicate: the drawn rows with their `rep`.
 
     Row i of a group makes draw i of every replicate, so the draws are generated in parallel; they
     meet the drawn rows in an equi-join on (group, position), whose keys are evenly spread by hashing.
     """
     rows = sequence_index(df, [id_col], keys=keys, out="__pos").withColumnRenamed("n_total", "__n")
-    h = hash_hex(seed, *keys, "__rep", "__pos")
-    draws = rows.select(*keys, "__pos", "__n", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("__rep")).select(
-        *keys, F.col("__rep").alias("rep"), (hash_int(h) % F.col("__n") + 1).alias("__pos")
-    )
+    source = rows.select(*keys, "__pos", "__n")
+    if partitions:
+        source = source.repartition(partitions)
+    blocks = source.select("*", rep_blocks(reps).alias("__blk")).withColumn("__h", hash_hex(seed, *keys, "__blk", "__pos"))
+    spun = blocks.select(*keys, "__n", block_numbers("__blk", "__h", "__x")).where(F.col("rep") <= reps)
+    draws = spun.select(*keys, "rep", (hash_int("__x") % F.col("__n") + 1).alias("__pos"))
     return draws.join(rows.drop("__n"), [*keys, "__pos"]).drop("__pos")
 
 
@@ -231,10 +252,16 @@ def bootstrap_summary(stats: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def bootstrap(
-    df: DataFrame, keys: list[str], id_col: str, observed: str, predicted: str, reps: int = 10000, seed: int = 1234
+    df: DataFrame, keys: list[str], id_col: str, observed: str, predicted: str, reps: int = 10000, seed: int = 1234,
+    partitions: int | None = None,
 ) -> DataFrame:
+    """Median and 95 % interval of adjusted R2 and the median RMSE over replicates.
+
+    `partitions` spreads an input that comes in fewer tasks than there are cores; leave it out for
+    large tables, or use bootstrap_poisson for them.
+    """
     known = df.dropna(subset=[observed, predicted])
-    draws = bootstrap_draws(known, keys, id_col, reps, seed)
+    draws = bootstrap_draws(known, keys, id_col, reps, seed, partitions)
     return bootstrap_summary(replicate_statistics(draws, keys, observed, predicted), keys)
 
 
@@ -269,8 +296,7 @@ def bootstrap_poisson(
     """Bootstrap for large groups: every row draws its own Poisson(1) multiplicity per replicate.
 
     No join and no index; each task reduces its rows to one partial sum per (group, replicate). Sums
-    are taken around the group means to stay accurate. `partitions` spreads an input that comes in
-    fewer tasks than there are cores; leave it out for large tables.
+    are taken around the group means to stay accurate. `partitions` as in bootstrap.
     """
     known = df.dropna(subset=[observed, predicted])
     centred = attach(known, keys, F.avg(observed).alias("__mo"), F.avg(predicted).alias("__mp"))
@@ -278,25 +304,10 @@ def bootstrap_poisson(
         centred = centred.repartition(partitions)
     o, p = F.col(observed) - F.col("__mo"), F.col(predicted) - F.col("__mp")
     gap = F.col(observed) - F.col(predicted)
-    # One hash gives four 32-bit uniforms, so it is taken once per block of four replicates.
     blocks = centred.select(
-        *keys,
-        o.alias("__o"),
-        p.alias("__p"),
-        (gap * gap).alias("__e"),
-        id_col,
-        F.explode(F.sequence(F.lit(0), F.lit((reps + 3) // 4 - 1))).alias("__blk"),
+        *keys, o.alias("__o"), p.alias("__p"), (gap * gap).alias("__e"), id_col, rep_blocks(reps).alias("__blk")
     ).withColumn("__h", hash_hex(seed, *keys, "__blk", id_col))
-    cells = F.array(
-        *[
-            F.struct(
-                (F.col("__blk") * 4 + i + 1).alias("rep"),
-                F.substring("__h", 1 + 8 * i, 8).alias("__x"),
-            )
-            for i in range(4)
-        ]
-    )
-    spun = blocks.select(*keys, "__o", "__p", "__e", F.inline(cells)).where(F.col("rep") <= reps)
+    spun = blocks.select(*keys, "__o", "__p", "__e", block_numbers("__blk", "__h", "__x")).where(F.col("rep") <= reps)
     spun = spun.withColumn("__u", hash_int("__x") / F.lit(float(2**32)))
     drawn = spun.withColumn("w", poisson_weight(F.col("__u"))).where(F.col("w") > 0)
     w, o, p = F.col("w"), F.col("__o"), F.col("__p")

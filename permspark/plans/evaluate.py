@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from permspark.functions.scalar import as_col, log10, ratio, signif
 from permspark.operators.grouping import keep_diverse_groups
-from permspark.operators.ordered import medians
+from permspark.operators.ordered import medians, medians_of
 from permspark.operators.sets import long_to_methods, melt
 from permspark.operators.stats import agreement_subtotals, ols, tls
 from permspark.sources.writers import staged
@@ -78,10 +78,7 @@ def calibrate_labs(values: DataFrame, reference: DataFrame, lab: str, entity: st
             (F.col("x") * F.col("tls_slope") + F.col("tls_intercept")).alias("cal_tls"),
         )
     )
-    out = medians(applied, [entity], "cal_ols", "median_ols")
-    for c, name in (("cal_tls", "median_tls"), ("x", "median_raw")):
-        out = out.join(medians(applied, [entity], c, name), entity, "full_outer")
-    return out
+    return medians_of(applied, [entity], {"cal_ols": "median_ols", "cal_tls": "median_tls", "x": "median_raw"})
 
 
 def route_adjusted(df: DataFrame, keep: list[str], route: str, oral: str, base: str, factors: dict[str, Column]) -> DataFrame:

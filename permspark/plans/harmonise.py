@@ -118,7 +118,9 @@ def literature_filter(
     )
     big = df.groupBy(source).agg(F.count("*").alias("__n")).where(F.col("__n") > more_than).select(source)
     kept = kept.join(big, source, "left_semi")
-    valued = kept.withColumn("use_value", F.col(value) * unit_factor(unit_text(unit)))
+    # Spellings are few: each is parsed once and its factor joined back.
+    factors = df.select(unit).distinct().withColumn("__f", unit_factor(unit_text(unit)))
+    valued = kept.join(factors, unit, "left").withColumn("use_value", F.col(value) * F.col("__f")).drop("__f")
     valued = valued.withColumn("log10_value", F.when(F.col("use_value") > 0, F.log10("use_value")))
     return drop_poisoned_groups(valued, [source], F.col("log10_value") > max_log10)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from permspark.functions.scalar import blank_to_null, in_set, log10, ratio, row_mean, row_sd
+from permspark.functions.scalar import blank_to_null, in_set, log10, ratio, row_count, row_mean, row_sd
 from permspark.operators.cleaning import filtered_flag
 from permspark.operators.grouping import geometric_mean, log_sd
 from permspark.operators.ordered import average_rank, join_keys, keep_groups, quantiles
@@ -60,21 +60,24 @@ def check_channels(df: DataFrame, low: float | None, high: float | None, tag: st
 
 
 def synthesise(df: DataFrame, low: float | None, high: float | None, tag: str = "") -> DataFrame:
-    """Mean and sd over replicates whose recovery is inside the cut-offs: value and recovery per direction."""
-    masked, out = {}, {}
+    """Mean and sd over replicates whose recovery is inside the cut-offs: value and recovery per direction.
+
+    Follows check_channels with the same cut-offs, so the values are masked already. Masks, means and
+    deviations are separate projections: each stays a small generated method that the JVM compiles.
+    """
+    masks, means, out = {}, {}, {}
     for d in DIRECTIONS:
         for i in REPLICATES:
             rec = F.col(f"rec_{d}{i}")
-            ok = in_bounds(rec, low, high)
-            masked[f"__r_{d}{i}"] = F.when(ok, rec)
-            masked[f"__v_{d}{i}"] = F.when(ok, F.col(f"v_{d}{i}{tag}"))
-        recs, values = [f"__r_{d}{i}" for i in REPLICATES], [f"__v_{d}{i}" for i in REPLICATES]
-        mean_rec = row_mean(recs)
-        out[f"rec_{d}{tag}"] = F.when(mean_rec >= 0, mean_rec)
-        out[f"sd_rec_{d}{tag}"] = row_sd(recs)
-        out[f"{d}{tag}"] = row_mean(values)
-        out[f"sd_{d}{tag}"] = row_sd(values)
-    return df.withColumns(masked).withColumns(out).drop(*masked)
+            masks[f"__r_{d}{i}"] = F.when(in_bounds(rec, low, high), rec)
+        recs, values = [f"__r_{d}{i}" for i in REPLICATES], [f"v_{d}{i}{tag}" for i in REPLICATES]
+        means[f"__mr_{d}"], means[f"__nr_{d}"] = row_mean(recs), row_count(recs)
+        means[f"{d}{tag}"], means[f"__nv_{d}"] = row_mean(values), row_count(values)
+        out[f"rec_{d}{tag}"] = F.when(F.col(f"__mr_{d}") >= 0, F.col(f"__mr_{d}"))
+        out[f"sd_rec_{d}{tag}"] = row_sd(recs, f"__mr_{d}", f"__nr_{d}")
+        out[f"sd_{d}{tag}"] = row_sd(values, f"{d}{tag}", f"__nv_{d}")
+    helpers = [*masks, *[c for c in means if c.startswith("__")]]
+    return df.withColumns(masks).withColumns(means).withColumns(out).drop(*helpers)
 
 
 def adjust_recovery(df: DataFrame, threshold: float | None, tag: str = "") -> DataFrame:
