@@ -314,15 +314,13 @@ _BINS_SQL = """bins AS (SELECT p_partkey AS bin, p_retailprice AS lo, lead(p_ret
     LEFT JOIN bins ON v > lo AND v <= hi GROUP BY 1""",
 )
 def interval_table(spark, sf) -> DataFrame:
-    """Bins from a table, matched through grid cells instead of comparing every pair."""
-    from permspark.operators.ordered import sequence_index
-
+    """Bins from a table, found by counting edges instead of comparing every pair."""
     edges = table(spark, sf, "part").groupBy("p_retailprice").agg(F.min("p_partkey").alias("bin"))
     placed = sequence_index(edges, ["p_retailprice"], out="i")
     nxt = placed.select((F.col("i") - 1).alias("i"), F.col("p_retailprice").alias("hi"))
     bins = placed.join(nxt, "i").select("bin", F.col("p_retailprice").alias("lo"), "hi")
     df = _li(spark, sf, (F.col("l_extendedprice") / 97).alias("v"))
-    return J.grid_interval_join(df, "v", bins, "lo", "hi").groupBy("bin").agg(F.count("*").alias("n"))
+    return J.ranked_interval_join(df, "v", bins, "lo", "hi", split=True).groupBy("bin").agg(F.count("*").alias("n"))
 
 
 @query(

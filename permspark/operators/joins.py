@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from permspark.operators.grouping import concat_values, keep_first
-from permspark.operators.ordered import join_keys, spread
+from permspark.operators.ordered import join_keys, ranked_values, sequence_index, spread
 
 SMALL_TABLE_ROWS = 1000
 
@@ -111,23 +111,27 @@ def resolve_ids(
 def interval_join(df: DataFrame, value: str, bins: DataFrame, lo: str, hi: str) -> DataFrame:
     """Attach the bin with lo < value <= hi from a table of disjoint bins; NULL outside.
 
-    A bin table counted as small is broadcast; a larger one is spread over grid cells and equi-joined.
+    A bin table counted as small is broadcast; a larger one goes through ranked_interval_join.
     """
     inside = (F.col(value) > F.col(lo)) & (F.col(value) <= F.col(hi))
     if bins.limit(SMALL_TABLE_ROWS + 1).count() <= SMALL_TABLE_ROWS:
         return df.join(F.broadcast(bins), inside, "left")
-    return grid_interval_join(df, value, bins, lo, hi)
-
-
-def grid_interval_join(df: DataFrame, value: str, bins: DataFrame, lo: str, hi: str) -> DataFrame:
-    """Equi-join on cells of the mean bin width: about two cells per bin, one per value."""
-    width = bins.select(F.greatest((F.max(hi) - F.min(lo)) / F.count("*"), F.lit(1e-300))).scalar()
-    cells = bins.withColumn(
-        "__cell", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)))
-    )
-    left = df.withColumn("__vcell", F.floor(F.col(value) / width))
-    inside = (F.col("__vcell") == F.col("__cell")) & (F.col(value) > F.col(lo)) & (F.col(value) <= F.col(hi))
-    return left.join(cells, inside, "left").drop("__cell", "__vcell")
+    return ranked_interval_join(df, value, bins, lo, hi)
+
+
+def ranked_interval_join(df: DataFrame, value: str, bins: DataFrame, lo: str, hi: str, split: bool | None = None) -> DataFrame:
+    """The bin of a value is the one whose number equals the count of lower edges below the value.
+
+    Counting edges below every distinct value is an exact rank, and the rest are equi-joins: no value
+    is ever compared with more than one bin, however the bins are spread.
+    """
+    edges = bins.select(F.col(lo).cast("double").alias("__v"), F.lit(1).alias("__w"))
+    values = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("__v")).distinct()
+    both = edges.unionByName(values.withColumn("__w", F.lit(0)))
+    place = ranked_values(both, [], "__v", split=split, weight=F.col("__w")).select("__v", F.col("n_before").alias("__i"))
+    numbered = sequence_index(bins, [lo], out="__i", split=split).drop("n_total")
+    found = place.join(numbered, "__i").where(F.col("__v") <= F.col(hi)).drop("__i")
+    return df.withColumn("__v", F.col(value).cast("double")).join(spread(found, ["__v"]), "__v", "left").drop("__v")
 
 
 def set_lookup(df: DataFrame, value: str, sets: DataFrame, members: str, index: str) -> DataFrame:

@@ -73,9 +73,10 @@ def _range_totals(counts: DataFrame, keys) -> DataFrame:
     )
 
 
-def _value_counts(df: DataFrame, keys, value: str, bins: int, bounds) -> DataFrame:
+def _value_counts(df: DataFrame, keys, value: str, bins: int, bounds, weight: Column | None = None) -> DataFrame:
     known = df.where(F.col(value).isNotNull())
-    return known.groupBy(*keys, value).agg(F.count("*").alias("n")).withColumn("__b", _range_of(known, value, bins, bounds))
+    n = F.count("*") if weight is None else F.sum(weight)
+    return known.groupBy(*keys, value).agg(n.alias("n")).withColumn("__b", _range_of(known, value, bins, bounds))
 
 
 def _running(counts: DataFrame, totals: DataFrame, keys, value: str) -> DataFrame:
@@ -91,17 +92,23 @@ def needs_split(df: DataFrame, keys, value: str | None = None) -> bool:
     return (largest or 0) > SMALL_GROUP_ROWS
 
 
-def ranked_values(df: DataFrame, keys, value: str, bins: int = BINS, bounds=None, split: bool | None = None) -> DataFrame:
-    """One row per distinct (keys, value): n, n_before (rows below) and n_total."""
+def ranked_values(
+    df: DataFrame, keys, value: str, bins: int = BINS, bounds=None, split: bool | None = None, weight: Column | None = None
+) -> DataFrame:
+    """One row per distinct (keys, value): n, n_before (rows below) and n_total.
+
+    With a `weight` these are sums of the weight instead of row counts.
+    """
     keys = list(keys)
     if not (needs_split(df, keys, value) if split is None else split):
         group = Window.partitionBy(*keys)
         run = group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+        n = F.count("*") if weight is None else F.sum(weight)
+        counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("n"))
         return counts.select(
             *keys, value, "n", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("n_before"), F.sum("n").over(group).alias("n_total")
         )
-    counts = _value_counts(df, keys, value, bins, bounds)
+    counts = _value_counts(df, keys, value, bins, bounds, weight)
     return _running(counts, _range_totals(counts, keys), keys, value).select(
         *keys, value, "n", "n_before", "n_total"
     )
