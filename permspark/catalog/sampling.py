@@ -9,6 +9,7 @@ from permspark.functions import scalar as S
 from permspark.operators import cleaning as C
 from permspark.operators import features as FE
 from permspark.operators import sampling as P
+from permspark.plans.modelling import training_sets as build_sets
 
 
 def _prices(spark, sf) -> DataFrame:
@@ -190,3 +191,51 @@ def reserve_sample(spark, sf) -> DataFrame:
     c = table(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey")
     used = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return P.reserve_sample(c.join(used, "c_custkey", "left_anti"), "c_custkey", 50, 5302019)
+
+
+# --- all three training tables in one go ----------------------------------------------------------------
+
+
+def _roles_sql(name: str, source: str, strata: str, efflux: bool) -> str:
+    """CTEs ending in <name>: roles of `source` (structure, m, src, eff) for one break at 1.55."""
+    eff = f"""{name}_x AS (SELECT structure, row_number() OVER (PARTITION BY (eff <= 0.4) ORDER BY md5('5212019:' || structure), structure) AS rn FROM {source}),
+    {name}_d AS (SELECT c.*, CASE WHEN x.rn <= 10 THEN 'train_efflux' WHEN c.structure IN (SELECT structure FROM reserve) THEN 'reserve' END AS role0
+      FROM {source} c LEFT JOIN {name}_x x ON c.structure = x.structure AND c.eff IS NOT NULL),"""
+    plain = f"{name}_d AS (SELECT *, CASE WHEN structure IN (SELECT structure FROM reserve) THEN 'reserve' END AS role0 FROM {source}),"
+    return f"""{eff if efflux else plain}
+    {name}_c AS (SELECT *, CASE WHEN m < 1.55 AND m >= -2 THEN 'low' WHEN m >= 1.55 AND m <= 2.5 THEN 'high' END AS cat FROM {name}_d),
+    {name}_n AS (SELECT round_even(min(n) - 5.0::DOUBLE, -1) AS size FROM (SELECT count(*) AS n FROM {name}_c WHERE cat IS NOT NULL AND role0 IS NULL GROUP BY cat{strata})),
+    {name}_r AS (SELECT structure, row_number() OVER (PARTITION BY cat{strata} ORDER BY md5('10192018:' || structure), structure) AS rn FROM {name}_c
+      WHERE cat IS NOT NULL AND role0 IS NULL),
+    {name} AS (SELECT c.structure, '{name}' AS dataset, cat AS category, CASE WHEN rn <= (SELECT size FROM {name}_n) THEN 'train' ELSE coalesce(role0, 'test') END AS role, m
+      FROM {name}_c c LEFT JOIN {name}_r r ON c.structure = r.structure)"""
+
+
+_SETS_SQL = f"""WITH lit0 AS (SELECT l_partkey AS structure, l_extendedprice / 997 AS v, abs(7.0::DOUBLE + l_linenumber / 10.0::DOUBLE - 7.4::DOUBLE) AS gap
+    FROM lineitem WHERE l_linestatus = 'O'),
+  lit1 AS (SELECT structure, avg(log10(v)) AS m FROM lit0 JOIN (SELECT structure, min(gap) AS best FROM lit0 GROUP BY 1) USING (structure) WHERE gap = best GROUP BY 1),
+  own0 AS (SELECT l_partkey AS structure, l_extendedprice / 997 AS v, l_tax * 10 AS e FROM lineitem WHERE l_linestatus = 'F' AND l_partkey % 4 <> 0),
+  own1 AS (SELECT structure, avg(log10(v)) AS m, avg(e) AS eff, 'own' AS src FROM own0 GROUP BY 1),
+  base AS (SELECT p_partkey AS structure FROM part WHERE p_size = 7),
+  val AS (SELECT structure FROM lit1 WHERE structure NOT IN (SELECT structure FROM own0) AND structure NOT IN (SELECT structure FROM base)
+    ORDER BY md5('5302019:' || structure), structure LIMIT 50),
+  reserve AS (SELECT * FROM base UNION ALL SELECT * FROM val),
+  lit2 AS (SELECT structure, m, NULL::DOUBLE AS eff, 'literature' AS src FROM lit1),
+  comb AS (SELECT structure, m, eff, src FROM own1 UNION ALL SELECT structure, m, 0.00001::DOUBLE, src FROM lit2 WHERE structure NOT IN (SELECT structure FROM own1)),
+  {_roles_sql('literature', 'lit2', '', False)}, {_roles_sql('own', 'own1', '', True)}, {_roles_sql('combined', 'comb', ', src', True)},
+  u AS (SELECT * FROM literature UNION ALL SELECT * FROM own UNION ALL SELECT * FROM combined)
+  SELECT dataset, structure, category, role, {q6('m', 'mean_log')} FROM u"""
+
+
+@query("training_sets", _SETS_SQL)
+def training_sets(spark, sf) -> DataFrame:
+    """Literature, own and combined training tables with reserve, validation, efflux and balanced roles."""
+    li = table(spark, sf, "lineitem").select(
+        F.col("l_partkey").alias("structure"), (F.col("l_extendedprice") / 997).alias("value"), (F.col("l_tax") * 10).alias("efflux"),
+        (F.col("l_linenumber") / 10.0 + 7.0).alias("ph"), "l_linestatus",
+    )
+    own = li.where("l_linestatus = 'F' and structure % 4 <> 0").select("structure", "value", "efflux")
+    lit = li.where("l_linestatus = 'O'").select("structure", "value", "ph")
+    reserved = table(spark, sf, "part").where("p_size = 7").select(F.col("p_partkey").alias("structure"))
+    out = build_sets(own, lit, reserved, P.SplitOptions(breaks=(1.55,), efflux_break=0.4))
+    return out.select("dataset", "structure", "category", "role", r6("mean_log").alias("mean_log"))

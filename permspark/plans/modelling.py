@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, functions as F
 
 from permspark.functions.scalar import cut_index, log10, packed_interval, unpack_interval
 from permspark.operators import models as M
 from permspark.operators.features import cluster_cuts
+from permspark.operators.grouping import keep_nearest
 from permspark.operators.ordered import quantiles
-from permspark.operators.sets import long_to_methods
+from permspark.operators.sampling import SplitOptions, balanced_roles, reserve_sample
+from permspark.operators.sets import long_to_methods, priority_union, stack, tagged
 from permspark.operators.stats import class_agreement
+from permspark.sources.writers import staged
 
 
 def bin_intervals(
@@ -43,6 +48,46 @@ def regression_classes(df: DataFrame, predicted: str, boundaries_from: DataFrame
     return df.withColumn("predicted_bin", M.class_boundaries(F.col(predicted), top(1), top(2)))
 
 
+def structure_means(df: DataFrame, structure: str, value: str, extra: dict[str, str] | None = None) -> DataFrame:
+    """Mean and sd of log10 values per structure, with means of further columns {column: name}."""
+    known = df.where(F.col(structure).isNotNull() & (F.col(value) > 0))
+    aggs = [F.avg(log10(value)).alias("mean_log"), F.stddev_samp(log10(value)).alias("sd_log")]
+    aggs += [F.avg(c).alias(name) for c, name in (extra or {}).items()]
+    return known.groupBy(F.col(structure).alias("structure")).agg(*aggs)
+
+
+LITERATURE_EFFLUX = 1e-5
+
+
+def training_sets(
+    own: DataFrame, literature: DataFrame, reserved: DataFrame, options: SplitOptions, validation: int = 50, target_ph: float = 7.4,
+    validation_seed: int = 5302019,
+) -> DataFrame:
+    """Role tables of the literature set, the own set and both combined, told apart by `dataset`.
+
+    own: (structure, value, efflux); literature: (structure, value, ph); reserved: (structure).
+    Literature values count only at the pH nearest the target. A few literature-only structures are
+    reserved for validation, beside the ids reserved from the start. In the combined set own data win.
+    """
+    lit = staged(structure_means(keep_nearest(literature, ["structure"], "ph", target_ph), "structure", "value"))
+    mine = staged(structure_means(own, "structure", "value", {"efflux": "mean_efflux"}))
+    base = reserved.select("structure").distinct()
+    pool = lit.select("structure").join(own.select("structure"), "structure", "left_anti").join(base, "structure", "left_anti")
+    reserve = staged(base.union(reserve_sample(pool, "structure", validation, validation_seed)))
+    pooled = replace(options, by_source=False)
+    no_efflux = replace(pooled, efflux_break=None)
+    combined = priority_union(mine, lit, "structure", "source", ("own", "literature")).withColumn(
+        "mean_efflux", F.when(F.col("source") == "literature", F.lit(LITERATURE_EFFLUX)).otherwise(F.col("mean_efflux"))
+    )
+    parts = {
+        "literature": balanced_roles(lit, "structure", "mean_log", reserve=reserve, options=replace(no_efflux, train_size=None)),
+        "own": balanced_roles(mine, "structure", "mean_log", efflux="mean_efflux", reserve=reserve, options=replace(pooled, train_size=None)),
+        "combined": balanced_roles(staged(combined), "structure", "mean_log", "source", "mean_efflux", reserve, options),
+    }
+    tables = [tagged(t, "dataset", name) for name, t in parts.items()]
+    return stack(tables, fill=True)
+
+
 def scheme_table(
     train: DataFrame, test: DataFrame, cols, value: str, key: str, bins=(2, 3, 4, 5), chosen: int = 3, **forest
 ) -> DataFrame:
