@@ -48,9 +48,10 @@ def read_positional(spark: SparkSession, path, names: list[str], is_data: Column
 
 
 def read_captioned(spark: SparkSession, path, names: list[str]) -> DataFrame:
-    """First record a caption (one filled field), second record the header."""
-    first, second = F.col(f"`{names[0]}`"), F.col(f"`{names[1]}`")
-    return read_positional(spark, path, names, second.isNotNull() & ~first.eqNullSafe(names[0]))
+    """First record a caption (only its first field filled), second record the header."""
+    filled = reduce(lambda a, b: a | b, [F.col(f"`{n}`").isNotNull() for n in names[1:]])
+    header = F.col(f"`{names[0]}`").eqNullSafe(names[0]) & F.col(f"`{names[-1]}`").eqNullSafe(names[-1])
+    return read_positional(spark, path, names, filled & ~header)
 
 
 def read_sheets(spark: SparkSession, paths: dict[str, str], schema: str, tag: str = "sheet") -> DataFrame:
