@@ -43,7 +43,7 @@ def ionisation(spark, sf) -> DataFrame:
 
 
 # Inputs of the chain: geometric mean price as measured permeability, none for every fifth part.
-CHEM_SQL = """g AS (SELECT l_partkey, pow(10, avg(log10(l_extendedprice / 99700))) AS pab FROM lineitem GROUP BY 1),
+CHEM_SQL = """g AS (SELECT l_partkey, pow(10, avg(log10(l_extendedprice / 99999.91))) AS pab FROM lineitem GROUP BY 1),
   chem AS (SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN pab END AS pab, (p_size + 1) / 17.0::DOUBLE AS pred,
     (p_size + 1) / 61.0::DOUBLE AS fu, p_retailprice / 2991 AS cl, 0.8::DOUBLE + p_size % 5 / 10.0::DOUBLE AS rb
     FROM part LEFT JOIN g ON p_partkey = l_partkey)"""
@@ -75,7 +75,7 @@ CHAIN_COLS = ["peff", "gut_flow", "f_abs", "f_gut", "f_hep", "f_bio"]
 
 
 def chemicals(spark, sf) -> DataFrame:
-    g = A.geometric_permeability(table(spark, sf, "lineitem"), "l_partkey", F.col("l_extendedprice") / 99700)
+    g = A.geometric_permeability(table(spark, sf, "lineitem"), "l_partkey", F.col("l_extendedprice") / 99999.91)
     part = table(spark, sf, "part").join(g.withColumnRenamed("l_partkey", "p_partkey"), "p_partkey", "left")
     return part.select(
         "p_partkey", F.when(F.col("p_partkey") % 5 != 0, F.col("pab")).alias("pab"), ((F.col("p_size") + 1) / 17.0).alias("pred"),

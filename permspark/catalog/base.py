@@ -2,7 +2,7 @@
 
 Stand-in (the test tables hold no assay): entity = l_partkey, batch = l_suppkey, controls are rows with
 l_returnflag 'R', and every lineitem row is one wide triplicate reading. The tables hold no missing
-values, so these are induced from l_linenumber and the status columns. Prices are divided by a prime, so
+values, so these are induced from l_linenumber and the status columns. Prices and quantities are scaled by odd factors, so
 that no rounded result falls on an exact tie that engines could break differently.
 """
 
@@ -54,7 +54,7 @@ def row_key_text(sep: str = ":"):
 
 def assay_wide(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
-    price, qty = F.col("l_extendedprice") / 997.0, F.col("l_quantity") / 25.0
+    price, qty = F.col("l_extendedprice") / 999.9991, F.col("l_quantity") / 24.99971
     tax, disc, line = F.col("l_tax"), F.col("l_discount"), F.col("l_linenumber")
     none = F.lit(None).cast("string")
     nd = F.when(line == 2, F.lit("ND")).otherwise(F.lit("num"))
@@ -94,18 +94,18 @@ assay AS (
   SELECT l_partkey AS entity, l_suppkey AS batch,
     CASE WHEN l_returnflag = 'R' THEN 'control' ELSE 'test' END AS t_type,
     l_linestatus AS status, l_orderkey AS order_key, l_linenumber AS line,
-    l_extendedprice / 997.0::DOUBLE AS value_ab1,
-    l_extendedprice / 997.0::DOUBLE * (l_tax + 1) AS value_ab2,
-    l_extendedprice / 997.0::DOUBLE * (1 - l_discount) - 5 AS value_ab3,
-    l_extendedprice / 997.0::DOUBLE * (l_discount * 2 + 1) AS value_ba1,
-    l_extendedprice / 997.0::DOUBLE * (l_tax + l_discount + 1) AS value_ba2,
-    l_extendedprice / 997.0::DOUBLE * 1.5::DOUBLE - 4 AS value_ba3,
-    l_quantity / 25.0::DOUBLE AS rec_ab1,
-    l_quantity / 25.0::DOUBLE * (l_tax + 1) AS rec_ab2,
-    CASE WHEN l_linenumber <> 7 THEN l_quantity / 25.0::DOUBLE * (1 - l_discount) END AS rec_ab3,
-    l_quantity / 25.0::DOUBLE * (1 - l_tax) AS rec_ba1,
-    CASE WHEN l_linenumber <> 6 THEN l_quantity / 25.0::DOUBLE END AS rec_ba2,
-    l_quantity / 25.0::DOUBLE * (l_discount + 1) AS rec_ba3,
+    l_extendedprice / 999.9991::DOUBLE AS value_ab1,
+    l_extendedprice / 999.9991::DOUBLE * (l_tax + 1) AS value_ab2,
+    l_extendedprice / 999.9991::DOUBLE * (1 - l_discount) - 5 AS value_ab3,
+    l_extendedprice / 999.9991::DOUBLE * (l_discount * 2 + 1) AS value_ba1,
+    l_extendedprice / 999.9991::DOUBLE * (l_tax + l_discount + 1) AS value_ba2,
+    l_extendedprice / 999.9991::DOUBLE * 1.5::DOUBLE - 4 AS value_ba3,
+    l_quantity / 24.99971::DOUBLE AS rec_ab1,
+    l_quantity / 24.99971::DOUBLE * (l_tax + 1) AS rec_ab2,
+    CASE WHEN l_linenumber <> 7 THEN l_quantity / 24.99971::DOUBLE * (1 - l_discount) END AS rec_ab3,
+    l_quantity / 24.99971::DOUBLE * (1 - l_tax) AS rec_ba1,
+    CASE WHEN l_linenumber <> 6 THEN l_quantity / 24.99971::DOUBLE END AS rec_ba2,
+    l_quantity / 24.99971::DOUBLE * (l_discount + 1) AS rec_ba3,
     CASE WHEN l_linestatus = 'O' THEN '' ELSE 'LOD' END AS comment_ab1,
     CASE WHEN l_linenumber = 3 THEN 'ND' WHEN l_linestatus = 'F' THEN '' END AS comment_ab2,
     '' AS comment_ab3,

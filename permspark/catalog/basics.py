@@ -24,11 +24,11 @@ def sql_signif(x: str, n: int) -> str:
 
 @query(
     "signif_half_even",
-    f"""SELECT c_custkey, {q6(sql_signif('(c_acctbal / 997)', 2), 's2')}, {q6(sql_signif('(c_acctbal / 997)', 4), 's4')},
+    f"""SELECT c_custkey, {q6(sql_signif('(c_acctbal / 999.9991)', 2), 's2')}, {q6(sql_signif('(c_acctbal / 999.9991)', 4), 's4')},
       {q6('round_even(c_acctbal, -1)', 'tens')}, {q6('round_even(c_acctbal, 1)', 'tenth')} FROM customer""",
 )
 def signif_half_even(spark, sf) -> DataFrame:
-    x = F.col("c_acctbal") / 997.0
+    x = F.col("c_acctbal") / 999.9991
     return table(spark, sf, "customer").select(
         "c_custkey", r6(S.signif(x, 2)).alias("s2"), r6(S.signif(x, 4)).alias("s4"),
         r6(S.half_even("c_acctbal", -1)).alias("tens"), r6(S.half_even("c_acctbal", 1)).alias("tenth"),
@@ -91,7 +91,7 @@ def logit_sigmoid(spark, sf) -> DataFrame:
     "complete_pairs",
     f"""WITH t AS (SELECT l_suppkey, CASE WHEN l_linenumber <> 7 THEN l_extendedprice END AS x,
       CASE WHEN l_returnflag <> 'A' THEN l_quantity END AS y FROM lineitem)
-    SELECT l_suppkey, count(*) AS n, {q6('avg(x / 997)', 'mean_x')}, {q6('avg(y)', 'mean_y')} FROM t
+    SELECT l_suppkey, count(*) AS n, {q6('avg(x / 999.9991)', 'mean_x')}, {q6('avg(y)', 'mean_y')} FROM t
     WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1""",
 )
 def complete_pairs(spark, sf) -> DataFrame:
@@ -101,20 +101,20 @@ def complete_pairs(spark, sf) -> DataFrame:
         F.when(F.col("l_returnflag") != "A", F.col("l_quantity")).alias("y"),
     )
     return complete_rows(df, ["x", "y"]).groupBy("l_suppkey").agg(
-        F.count("*").alias("n"), r6(F.avg(F.col("x") / 997)).alias("mean_x"), r6(F.avg("y")).alias("mean_y")
+        F.count("*").alias("n"), r6(F.avg(F.col("x") / 999.9991)).alias("mean_x"), r6(F.avg("y")).alias("mean_y")
     )
 
 
-_OVERLAY_SQL = """WITH base AS (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal / 997 END AS v FROM customer),
-    over AS (SELECT o_custkey AS c_custkey, avg(o_totalprice / 997) AS u FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+_OVERLAY_SQL = """WITH base AS (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal / 999.9991 END AS v FROM customer),
+    over AS (SELECT o_custkey AS c_custkey, avg(o_totalprice / 999.9991) AS u FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
     SELECT c_custkey, %s, %s FROM base LEFT JOIN over USING (c_custkey)"""
 
 
 @query("overlay_fill", _OVERLAY_SQL.replace("over AS", "ov AS").replace("JOIN over", "JOIN ov") % (q6("coalesce(v, u)", "filled"), q6("coalesce(u, v)", "overwritten")))
 def overlay_fill(spark, sf) -> DataFrame:
-    base = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") / 997).alias("v"))
+    base = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") / 999.9991).alias("v"))
     orders = table(spark, sf, "orders").where(F.col("o_orderstatus") == "F")
-    over = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg(F.col("o_totalprice") / 997).alias("v"))
+    over = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg(F.col("o_totalprice") / 999.9991).alias("v"))
     both = base.withColumns({"filled": F.col("v"), "overwritten": F.col("v")}).drop("v")
     one = readers.overlay(both, over.withColumnRenamed("v", "filled"), "c_custkey", ["filled"])
     two = readers.overlay(one, over.withColumnRenamed("v", "overwritten"), "c_custkey", ["overwritten"], overwrite=True)

@@ -45,20 +45,20 @@ def _q(x: str) -> str:
 
 @query(
     "quantile_by_group",
-    f"SELECT l_suppkey, {_q('l_extendedprice / 997')}, count(*) AS n_total FROM lineitem GROUP BY 1",
+    f"SELECT l_suppkey, {_q('l_extendedprice / 999.9991')}, count(*) AS n_total FROM lineitem GROUP BY 1",
 )
 def quantile_by_group(spark, sf) -> DataFrame:
-    df = _li(spark, sf, "l_suppkey", (F.col("l_extendedprice") / 997).alias("v"))
+    df = _li(spark, sf, "l_suppkey", (F.col("l_extendedprice") / 999.9991).alias("v"))
     return rounded(O.quantiles(df, ["l_suppkey"], "v", _PROBS), list(_PROBS))
 
 
 @query(
     "quantile_split",
-    f"SELECT l_returnflag, {_q('l_extendedprice / 997')}, count(*) AS n_total FROM lineitem GROUP BY 1",
+    f"SELECT l_returnflag, {_q('l_extendedprice / 999.9991')}, count(*) AS n_total FROM lineitem GROUP BY 1",
 )
 def quantile_split(spark, sf) -> DataFrame:
     """Three groups hold all rows: each is cut into value ranges."""
-    df = _li(spark, sf, "l_returnflag", (F.col("l_extendedprice") / 997).alias("v"))
+    df = _li(spark, sf, "l_returnflag", (F.col("l_extendedprice") / 999.9991).alias("v"))
     return rounded(O.quantiles(df, ["l_returnflag"], "v", _PROBS, split=True), list(_PROBS))
 
 
@@ -101,19 +101,19 @@ def histogram_log(spark, sf) -> DataFrame:
     return G.histogram(_li(spark, sf, "l_returnflag", "l_extendedprice"), "l_extendedprice", ["l_returnflag"], log=True)
 
 
-@query("histogram_limits", _hist("l_extendedprice / 997", "l_linestatus", lo="any_value(20.0::DOUBLE)", hi="any_value(80.0::DOUBLE)"))
+@query("histogram_limits", _hist("l_extendedprice / 999.9991", "l_linestatus", lo="any_value(20.0::DOUBLE)", hi="any_value(80.0::DOUBLE)"))
 def histogram_limits(spark, sf) -> DataFrame:
-    df = _li(spark, sf, "l_linestatus", (F.col("l_extendedprice") / 997).alias("v"))
+    df = _li(spark, sf, "l_linestatus", (F.col("l_extendedprice") / 999.9991).alias("v"))
     return G.histogram(df, "v", ["l_linestatus"], limits=(20.0, 80.0))
 
 
 @query(
     "annotation_stats",
-    f"""SELECT l_linestatus, {q6('avg(l_extendedprice / 997)', 'x_mean')}, {q6('stddev_samp(l_extendedprice / 997)', 'x_sd')},
+    f"""SELECT l_linestatus, {q6('avg(l_extendedprice / 999.9991)', 'x_mean')}, {q6('stddev_samp(l_extendedprice / 999.9991)', 'x_sd')},
       count(l_extendedprice) AS x_n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1""",
 )
 def annotation_stats(spark, sf) -> DataFrame:
-    df = _li(spark, sf, "l_linestatus", "l_returnflag", (F.col("l_extendedprice") / 997).alias("v"))
+    df = _li(spark, sf, "l_linestatus", "l_returnflag", (F.col("l_extendedprice") / 999.9991).alias("v"))
     out = df.where(F.col("l_returnflag") == "R").groupBy("l_linestatus").agg(*G.mean_sd_n("v", "x"))
     return rounded(out, ["x_mean", "x_sd"])
 
@@ -255,11 +255,11 @@ def string_agg(spark, sf) -> DataFrame:
 
 @query(
     "top_k_mean",
-    f"""SELECT l_suppkey, {q6('m', 'mean_price')} FROM (SELECT l_suppkey, avg(l_extendedprice / 997) AS m FROM lineitem GROUP BY 1)
+    f"""SELECT l_suppkey, {q6('m', 'mean_price')} FROM (SELECT l_suppkey, avg(l_extendedprice / 999.9991) AS m FROM lineitem GROUP BY 1)
     ORDER BY m DESC, l_suppkey LIMIT 25""",
 )
 def top_k_mean(spark, sf) -> DataFrame:
-    mean = _li(spark, sf, "l_suppkey", "l_extendedprice").groupBy("l_suppkey").agg(F.avg(F.col("l_extendedprice") / 997).alias("m"))
+    mean = _li(spark, sf, "l_suppkey", "l_extendedprice").groupBy("l_suppkey").agg(F.avg(F.col("l_extendedprice") / 999.9991).alias("m"))
     return G.top_k(mean, "m", 25, "l_suppkey").select("l_suppkey", r6("m").alias("mean_price"))
 
 
@@ -302,12 +302,12 @@ def source_split_counts(spark, sf) -> DataFrame:
 
 @query(
     "table_summary",
-    f"""SELECT {q6('avg(l_extendedprice / 997)', 'mean')}, {q6('median(l_extendedprice / 997)', 'med')}, {q6('min(l_extendedprice / 997)', 'lo')},
-      {q6('max(l_extendedprice / 997)', 'hi')}, {q6('min(least(l_extendedprice / 997, l_quantity))', 'min_all')},
-      {q6('max(greatest(l_extendedprice / 997, l_quantity))', 'max_all')} FROM lineitem""",
+    f"""SELECT {q6('avg(l_extendedprice / 999.9991)', 'mean')}, {q6('median(l_extendedprice / 999.9991)', 'med')}, {q6('min(l_extendedprice / 999.9991)', 'lo')},
+      {q6('max(l_extendedprice / 999.9991)', 'hi')}, {q6('min(least(l_extendedprice / 999.9991, l_quantity))', 'min_all')},
+      {q6('max(greatest(l_extendedprice / 999.9991, l_quantity))', 'max_all')} FROM lineitem""",
 )
 def table_summary(spark, sf) -> DataFrame:
-    df = _li(spark, sf, (F.col("l_extendedprice") / 997).alias("v"), "l_quantity")
+    df = _li(spark, sf, (F.col("l_extendedprice") / 999.9991).alias("v"), "l_quantity")
     one = df.agg(F.avg("v").alias("mean"), F.min("v").alias("lo"), F.max("v").alias("hi"), *G.range_over(["v", "l_quantity"]))
     med = O.medians(df, [], "v", "med")
     return rounded(one.withColumn("med", med.select("med").scalar()), ["mean", "med", "lo", "hi", "min_all", "max_all"])
@@ -348,10 +348,10 @@ def representative_value(spark, sf) -> DataFrame:
 
 @query(
     "share_over_threshold",
-    f"""SELECT l_returnflag, {q6('avg((l_extendedprice / 997 > 50)::INT::DOUBLE)', 'share')},
-      printf('%.0f%%', floor(avg((l_extendedprice / 997 > 50)::INT::DOUBLE) * 100)) AS share_text FROM lineitem GROUP BY 1""",
+    f"""SELECT l_returnflag, {q6('avg((l_extendedprice / 999.9991 > 50)::INT::DOUBLE)', 'share')},
+      printf('%.0f%%', floor(avg((l_extendedprice / 999.9991 > 50)::INT::DOUBLE) * 100)) AS share_text FROM lineitem GROUP BY 1""",
 )
 def share_over_threshold(spark, sf) -> DataFrame:
-    df = _li(spark, sf, "l_returnflag", (F.col("l_extendedprice") / 997).alias("v"))
+    df = _li(spark, sf, "l_returnflag", (F.col("l_extendedprice") / 999.9991).alias("v"))
     out = df.groupBy("l_returnflag").agg(G.share_if(F.col("v") > 50).alias("share"))
     return out.select("l_returnflag", r6("share").alias("share"), S.percent_text(F.floor(F.col("share") * 100) / 100).alias("share_text"))

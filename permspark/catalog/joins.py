@@ -32,12 +32,12 @@ def _li(spark, sf, *cols) -> DataFrame:
 
 @query(
     "unit_harmonise",
-    f"""WITH t AS (SELECT l_suppkey, l_extendedprice / 997 * ({_sql_list(LINE_FACTORS)}::DOUBLE[])[l_linenumber] AS v FROM lineitem)
+    f"""WITH t AS (SELECT l_suppkey, l_extendedprice / 999.9991 * ({_sql_list(LINE_FACTORS)}::DOUBLE[])[l_linenumber] AS v FROM lineitem)
     SELECT l_suppkey, count(*) AS n, {q6('avg(log10(v))', 'mean_log')}, {q6('min(v)', 'lo')}, {q6('max(v)', 'hi')} FROM t
     WHERE v IS NOT NULL GROUP BY 1""",
 )
 def unit_harmonise(spark, sf) -> DataFrame:
-    df = _li(spark, sf, "l_suppkey", _by_line(LINE_UNITS).alias("unit"), (F.col("l_extendedprice") / 997).alias("v"))
+    df = _li(spark, sf, "l_suppkey", _by_line(LINE_UNITS).alias("unit"), (F.col("l_extendedprice") / 999.9991).alias("v"))
     return H.harmonise_units(df, "unit", "v").groupBy("l_suppkey").agg(
         F.count("*").alias("n"), r6(F.avg(S.log10("v"))).alias("mean_log"), r6(F.min("v")).alias("lo"), r6(F.max("v")).alias("hi")
     )
@@ -86,7 +86,7 @@ _SOURCES_SQL = """s AS (
 
 @query(
     "source_collection",
-    f"""WITH {_SOURCES_SQL} SELECT source, nation, segment, count(*) AS n, {q6('sum(amount / 997)', 'total')} FROM s GROUP BY ALL""",
+    f"""WITH {_SOURCES_SQL} SELECT source, nation, segment, count(*) AS n, {q6('sum(amount / 999.9991)', 'total')} FROM s GROUP BY ALL""",
 )
 def source_collection(spark, sf) -> DataFrame:
     """Sources of different shape brought to one schema, tagged and de-duplicated."""
@@ -98,7 +98,7 @@ def source_collection(spark, sf) -> DataFrame:
         "part": table(spark, sf, "part").select(F.col("p_retailprice").alias("amount"), F.col("p_type").alias("segment")),
     }
     df = H.collect_sources(t, ["nation", "amount", "segment"])
-    return df.groupBy("source", "nation", "segment").agg(F.count("*").alias("n"), r6(F.sum(F.col("amount") / 997)).alias("total"))
+    return df.groupBy("source", "nation", "segment").agg(F.count("*").alias("n"), r6(F.sum(F.col("amount") / 999.9991)).alias("total"))
 
 
 _RESOLVE_SQL = """by_id AS (SELECT p_partkey, min(p_partkey) AS target FROM part WHERE p_size <= 20 GROUP BY 1),
@@ -139,8 +139,8 @@ def id_cascade(spark, sf) -> DataFrame:
 
 @query(
     "provenance_pick",
-    f"""WITH m AS (SELECT l_partkey, avg(l_extendedprice / 997) AS measured FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
-    t AS (SELECT p_partkey, CASE WHEN p_size <> 10 THEN p_retailprice / 997 END AS predicted, (p_size % 3 <> 0)::INT AS ad, measured
+    f"""WITH m AS (SELECT l_partkey, avg(l_extendedprice / 999.9991) AS measured FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+    t AS (SELECT p_partkey, CASE WHEN p_size <> 10 THEN p_retailprice / 999.9991 END AS predicted, (p_size % 3 <> 0)::INT AS ad, measured
       FROM part LEFT JOIN m ON p_partkey = l_partkey)
     SELECT p_partkey, {q6('CASE WHEN (predicted IS NULL OR ad = 0) AND measured IS NOT NULL THEN measured ELSE predicted END', 'value_use')},
       CASE WHEN (predicted IS NULL OR ad = 0) AND measured IS NOT NULL THEN 'measured' WHEN predicted IS NULL THEN 'none' ELSE 'model' END AS value_source,
@@ -149,10 +149,10 @@ def id_cascade(spark, sf) -> DataFrame:
 def provenance_pick(spark, sf) -> DataFrame:
     m = table(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("p_partkey"))
     part = table(spark, sf, "part").select(
-        "p_partkey", F.when(F.col("p_size") != 10, F.col("p_retailprice") / 997).alias("predicted"),
+        "p_partkey", F.when(F.col("p_size") != 10, F.col("p_retailprice") / 999.9991).alias("predicted"),
         (F.col("p_size") % 3 != 0).cast("int").alias("ad"),
     )
-    df = J.lookup(part, m.agg(F.avg(F.col("l_extendedprice") / 997).alias("measured")), ["p_partkey"])
+    df = J.lookup(part, m.agg(F.avg(F.col("l_extendedprice") / 999.9991).alias("measured")), ["p_partkey"])
     a, b = C.pick_with_source("predicted", "ad", "measured"), C.measured_else_model("measured", "predicted")
     out = df.select("p_partkey", a.alias("a"), b.alias("b"))
     return out.select(
@@ -164,7 +164,7 @@ def provenance_pick(spark, sf) -> DataFrame:
 @query(
     "star_assemble",
     f"""WITH f1 AS (SELECT l_suppkey AS k, avg(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
-    f2 AS (SELECT l_suppkey AS k, max(l_extendedprice / 997) AS m FROM lineitem WHERE l_linenumber = 1 AND l_suppkey > 20 GROUP BY 1),
+    f2 AS (SELECT l_suppkey AS k, max(l_extendedprice / 999.9991) AS m FROM lineitem WHERE l_linenumber = 1 AND l_suppkey > 20 GROUP BY 1),
     f3 AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_suppkey < 80 GROUP BY 1)
     SELECT s_suppkey AS k, s_name, {q6('q')}, {q6('m')}, n FROM supplier LEFT JOIN f1 ON s_suppkey = f1.k LEFT JOIN f2 ON s_suppkey = f2.k
     LEFT JOIN f3 ON s_suppkey = f3.k""",
@@ -172,7 +172,7 @@ def provenance_pick(spark, sf) -> DataFrame:
 def star_assemble(spark, sf) -> DataFrame:
     li = _li(spark, sf, F.col("l_suppkey").alias("k"), "l_quantity", "l_extendedprice", "l_returnflag", "l_linenumber")
     f1 = li.where("l_returnflag = 'R'").groupBy("k").agg(r6(F.avg("l_quantity")).alias("q"))
-    f2 = li.where("l_linenumber = 1 and k > 20").groupBy("k").agg(r6(F.max(F.col("l_extendedprice") / 997)).alias("m"))
+    f2 = li.where("l_linenumber = 1 and k > 20").groupBy("k").agg(r6(F.max(F.col("l_extendedprice") / 999.9991)).alias("m"))
     f3 = li.where("k < 80").groupBy("k").agg(F.count("*").alias("n"))
     base = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), "s_name")
     return J.star(base, [f1, f2, f3], ["k"])
@@ -180,17 +180,17 @@ def star_assemble(spark, sf) -> DataFrame:
 
 @query(
     "full_outer_coalesce",
-    f"""WITH a AS (SELECT c_nationkey AS k, avg(c_acctbal / 997) AS x, min(c_name) AS name FROM customer WHERE c_nationkey < 15 GROUP BY 1),
-    b AS (SELECT s_nationkey AS k, avg(s_acctbal / 997) AS y, min(s_name) AS name FROM supplier WHERE s_nationkey >= 10 GROUP BY 1),
+    f"""WITH a AS (SELECT c_nationkey AS k, avg(c_acctbal / 999.9991) AS x, min(c_name) AS name FROM customer WHERE c_nationkey < 15 GROUP BY 1),
+    b AS (SELECT s_nationkey AS k, avg(s_acctbal / 999.9991) AS y, min(s_name) AS name FROM supplier WHERE s_nationkey >= 10 GROUP BY 1),
     c AS (SELECT n_nationkey AS k, n_regionkey AS z FROM nation WHERE n_nationkey % 2 = 0)
     SELECT k, {q6('x')}, {q6('y')}, z, coalesce(a.name, b.name) AS name FROM a FULL JOIN b USING (k) FULL JOIN c USING (k)""",
 )
 def full_outer_coalesce(spark, sf) -> DataFrame:
     a = table(spark, sf, "customer").where("c_nationkey < 15").groupBy(F.col("c_nationkey").alias("k")).agg(
-        r6(F.avg(F.col("c_acctbal") / 997)).alias("x"), F.min("c_name").alias("name")
+        r6(F.avg(F.col("c_acctbal") / 999.9991)).alias("x"), F.min("c_name").alias("name")
     )
     b = table(spark, sf, "supplier").where("s_nationkey >= 10").groupBy(F.col("s_nationkey").alias("k")).agg(
-        r6(F.avg(F.col("s_acctbal") / 997)).alias("y"), F.min("s_name").alias("other_name")
+        r6(F.avg(F.col("s_acctbal") / 999.9991)).alias("y"), F.min("s_name").alias("other_name")
     )
     c = table(spark, sf, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("z"))
     return J.prefer(J.full_outer_chain([a, b, c], ["k"]), {"name": "other_name"})
@@ -229,8 +229,8 @@ def inner_lookup(spark, sf) -> DataFrame:
     return c.join(n, "c_nationkey").join(r, "n_regionkey").groupBy("n_name", "r_name").agg(F.sum("n").alias("n"))
 
 
-_HALVES = """a AS (SELECT l_partkey, avg(l_extendedprice / 997) AS v FROM lineitem WHERE l_linestatus = 'F' AND l_linenumber = 1 GROUP BY 1),
-  b AS (SELECT l_partkey, avg(l_extendedprice / 997) AS v, max(l_tax) AS tax FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1)"""
+_HALVES = """a AS (SELECT l_partkey, avg(l_extendedprice / 999.9991) AS v FROM lineitem WHERE l_linestatus = 'F' AND l_linenumber = 1 GROUP BY 1),
+  b AS (SELECT l_partkey, avg(l_extendedprice / 999.9991) AS v, max(l_tax) AS tax FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1)"""
 
 
 @query(
@@ -240,7 +240,7 @@ _HALVES = """a AS (SELECT l_partkey, avg(l_extendedprice / 997) AS v FROM lineit
 )
 def priority_union(spark, sf) -> DataFrame:
     li = _li(spark, sf, "l_partkey", "l_extendedprice", "l_tax", "l_linestatus", "l_linenumber")
-    v = r6(F.avg(F.col("l_extendedprice") / 997)).alias("v")
+    v = r6(F.avg(F.col("l_extendedprice") / 999.9991)).alias("v")
     a = li.where("l_linestatus = 'F' and l_linenumber = 1").groupBy("l_partkey").agg(v)
     b = li.where("l_linestatus = 'O'").groupBy("l_partkey").agg(v, F.max("l_tax").alias("tax"))
     return sets.priority_union(a, b, "l_partkey", "source", ("measured", "literature"))
@@ -259,7 +259,7 @@ def union_fill(spark, sf) -> DataFrame:
 
 @query(
     "upsert_means",
-    f"""WITH src AS (SELECT c_nationkey + 5 AS k, c_mktsegment, c_acctbal / 997 AS v FROM customer),
+    f"""WITH src AS (SELECT c_nationkey + 5 AS k, c_mktsegment, c_acctbal / 999.9991 AS v FROM customer),
     m AS (SELECT k, avg(CASE WHEN c_mktsegment = 'BUILDING' THEN v END) AS building, avg(CASE WHEN c_mktsegment = 'MACHINERY' THEN v END) AS machinery,
       string_agg(c_mktsegment, ', ' ORDER BY c_mktsegment) AS segments FROM src GROUP BY 1),
     base AS (SELECT n_nationkey AS k, n_name, CASE WHEN n_regionkey = 1 THEN 1.5::DOUBLE END AS known FROM nation)
@@ -267,7 +267,7 @@ def union_fill(spark, sf) -> DataFrame:
     FROM base FULL JOIN m USING (k)""",
 )
 def upsert_means(spark, sf) -> DataFrame:
-    v = F.col("c_acctbal") / 997
+    v = F.col("c_acctbal") / 999.9991
     src = table(spark, sf, "customer").select(
         (F.col("c_nationkey") + 5).alias("k"), "c_mktsegment",
         F.when(F.col("c_mktsegment") == "BUILDING", v).alias("b"), F.when(F.col("c_mktsegment") == "MACHINERY", v).alias("m"),
@@ -337,12 +337,12 @@ def set_lookup(spark, sf) -> DataFrame:
 
 @query(
     "scenario_align",
-    f"""SELECT l_partkey, {q6("avg(CASE WHEN l_linestatus = 'F' THEN l_extendedprice / 997 END)", 'm_f')},
-      {q6("avg(CASE WHEN l_linestatus = 'O' THEN l_extendedprice / 997 END)", 'm_o')} FROM lineitem GROUP BY 1""",
+    f"""SELECT l_partkey, {q6("avg(CASE WHEN l_linestatus = 'F' THEN l_extendedprice / 999.9991 END)", 'm_f')},
+      {q6("avg(CASE WHEN l_linestatus = 'O' THEN l_extendedprice / 999.9991 END)", 'm_o')} FROM lineitem GROUP BY 1""",
 )
 def scenario_align(spark, sf) -> DataFrame:
     m = _li(spark, sf, "l_partkey", "l_linestatus", "l_extendedprice").groupBy("l_partkey", "l_linestatus").agg(
-        r6(F.avg(F.col("l_extendedprice") / 997)).alias("m")
+        r6(F.avg(F.col("l_extendedprice") / 999.9991)).alias("m")
     )
     return J.align_scenarios(m, ["l_partkey"], "l_linestatus", {"F": "f", "O": "o"}, ["m"])
 
@@ -421,14 +421,14 @@ _FLAGS = ("A", "N", "R")
     "pivot_mean_sd",
     "SELECT l_suppkey, "
     + ", ".join(
-        q6(f"{fn}(CASE WHEN l_returnflag = '{f}' THEN l_extendedprice / 997 END)", f"{f}_{sfx}")
+        q6(f"{fn}(CASE WHEN l_returnflag = '{f}' THEN l_extendedprice / 999.9991 END)", f"{f}_{sfx}")
         for f in _FLAGS
         for fn, sfx in (("avg", "meas"), ("stddev_samp", "meas_sd"))
     )
     + " FROM lineitem GROUP BY 1",
 )
 def pivot_mean_sd(spark, sf) -> DataFrame:
-    df = _li(spark, sf, "l_suppkey", "l_returnflag", (F.col("l_extendedprice") / 997).alias("v"))
+    df = _li(spark, sf, "l_suppkey", "l_returnflag", (F.col("l_extendedprice") / 999.9991).alias("v"))
     out = sets.pivot_mean_sd(df, "l_suppkey", "l_returnflag", "v", list(_FLAGS))
     return rounded(out, [c for c in out.columns if c != "l_suppkey"])
 

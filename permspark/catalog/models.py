@@ -112,15 +112,15 @@ def bin_scheme_table(spark, sf) -> DataFrame:
 
 # --- without a forest, so that SQL can follow ---------------------------------------------------------
 
-_T = """t AS (SELECT l_partkey, l_linestatus, l_extendedprice / 997 AS x,
-    CASE WHEN l_extendedprice / 997 <= 20 THEN 1 WHEN l_extendedprice / 997 <= 60 THEN 2 ELSE 3 END AS bin,
+_T = """t AS (SELECT l_partkey, l_linestatus, l_extendedprice / 999.9991 AS x,
+    CASE WHEN l_extendedprice / 999.9991 <= 20 THEN 1 WHEN l_extendedprice / 999.9991 <= 60 THEN 2 ELSE 3 END AS bin,
     CASE WHEN l_quantity <= 15 THEN 1 WHEN l_quantity <= 35 THEN 2 ELSE 3 END AS pred FROM lineitem),
   m AS (SELECT bin, median(x) AS med FROM t WHERE l_linestatus = 'F' GROUP BY 1),
   e AS (SELECT pred AS bin, quantile_cont(x, 0.025) AS low, quantile_cont(x, 0.975) AS high FROM t WHERE l_linestatus = 'O' GROUP BY 1)"""
 
 
 def _binned(spark, sf) -> DataFrame:
-    x = F.col("l_extendedprice") / 997
+    x = F.col("l_extendedprice") / 999.9991
     return table(spark, sf, "lineitem").select(
         "l_partkey", "l_linestatus", x.alias("x"), S.cut_index(x, [20, 60]).alias("bin"), S.cut_index("l_quantity", [15, 35]).alias("pred")
     )

@@ -17,7 +17,7 @@ from permspark.plans import risk as R
 from permspark.sources.writers import staged
 
 _QS = R.DOSE_QUANTILES
-_DOSE_SQL = f"""pot AS (SELECT l_partkey AS id, quantile_cont(l_extendedprice / 997, 0.05) AS potency FROM lineitem GROUP BY 1),
+_DOSE_SQL = f"""pot AS (SELECT l_partkey AS id, quantile_cont(l_extendedprice / 999.9991, 0.05) AS potency FROM lineitem GROUP BY 1),
   css AS (SELECT l_partkey AS id, l_linestatus AS scenario, count(*) AS n_total, {', '.join(f'quantile_cont(l_quantity / 53, {p}) AS c_{n}' for n, p in _QS.items())}
     FROM lineitem GROUP BY ALL),
   dose AS (SELECT css.id, scenario, n_total, potency, {', '.join(f'potency / nullif(c_{n}, 0) AS {n}' for n in _QS)} FROM css JOIN pot ON css.id = pot.id),
@@ -28,7 +28,7 @@ _DOSE_SQL = f"""pot AS (SELECT l_partkey AS id, quantile_cont(l_extendedprice /
 def doses(spark, sf) -> DataFrame:
     li = table(spark, sf, "lineitem").select(
         F.col("l_partkey").alias("id"), F.col("l_linestatus").alias("scenario"), (F.col("l_quantity") / 53).alias("c"),
-        (F.col("l_extendedprice") / 997).alias("v"),
+        (F.col("l_extendedprice") / 999.9991).alias("v"),
     )
     css = R.sample_quantiles(li, ["id", "scenario"], "c")
     potency = quantiles(li, ["id"], "v", {"potency": 0.05}).select("id", "potency")

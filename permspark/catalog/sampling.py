@@ -13,7 +13,7 @@ from permspark.plans.modelling import training_sets as build_sets
 
 
 def _prices(spark, sf) -> DataFrame:
-    return table(spark, sf, "lineitem").select("l_partkey", (F.col("l_extendedprice") / 997).alias("v"))
+    return table(spark, sf, "lineitem").select("l_partkey", (F.col("l_extendedprice") / 999.9991).alias("v"))
 
 
 _K = (2, 3, 4, 5)
@@ -24,7 +24,7 @@ def _freq_sql() -> str:
     for k in _K:
         idx = " + ".join(f"(v > (SELECT quantile_cont(v, {i}.0::DOUBLE / {k}) FROM t))::INT" for i in range(1, k))
         parts.append(f"SELECT {k} AS bins, 1 + {idx} AS bin, v FROM t")
-    return f"""WITH t AS (SELECT l_extendedprice / 997 AS v FROM lineitem), b AS ({' UNION ALL '.join(parts)})
+    return f"""WITH t AS (SELECT l_extendedprice / 999.9991 AS v FROM lineitem), b AS ({' UNION ALL '.join(parts)})
     SELECT bins, bin, count(*) AS n, {q6('min(v)', 'lo')}, {q6('max(v)', 'hi')} FROM b GROUP BY ALL"""
 
 
@@ -49,13 +49,13 @@ def kmeans_bins(spark, sf) -> DataFrame:
 
 @query(
     "class_labels",
-    """WITH t AS (SELECT log10(l_extendedprice / 997) AS v FROM lineitem)
+    """WITH t AS (SELECT log10(l_extendedprice / 999.9991) AS v FROM lineitem)
     SELECT CASE WHEN v < 1 AND v >= 0 THEN 'low' WHEN v >= 1 AND v <= 1.9 THEN 'high' END AS two,
       CASE WHEN v < 1 AND v >= 0 THEN 'low' WHEN v >= 1 AND v < 1.6 THEN 'med' WHEN v >= 1.6 AND v <= 1.9 THEN 'high' END AS three, count(*) AS n
     FROM t GROUP BY ALL""",
 )
 def class_labels(spark, sf) -> DataFrame:
-    v = S.log10(F.col("l_extendedprice") / 997)
+    v = S.log10(F.col("l_extendedprice") / 999.9991)
     two, three = C.threshold_class(v, [1.0], 0.0, 1.9), C.threshold_class(v, [1.0, 1.6], 0.0, 1.9)
     return table(spark, sf, "lineitem").groupBy(two.alias("two"), three.alias("three")).agg(F.count("*").alias("n"))
 
@@ -67,7 +67,7 @@ def _flat_sql() -> str:
         for i in range(4):
             b = hi if i == 3 else lo + (i + 1) * step
             rules.append(f"WHEN c = '{name}' AND v > {lo + i * step!r}::DOUBLE AND v <= {b!r}::DOUBLE THEN '{name}_{i + 1}'")
-    return f"""WITH t AS (SELECT log10(l_extendedprice / 997) AS v FROM lineitem),
+    return f"""WITH t AS (SELECT log10(l_extendedprice / 999.9991) AS v FROM lineitem),
     c AS (SELECT v, CASE WHEN v < 1.5 AND v >= 0 THEN 'low' WHEN v >= 1.5 AND v <= 2.5 THEN 'high' END AS c FROM t),
     s AS (SELECT CASE {' '.join(rules)} END AS label FROM c)
     SELECT label, split_part(label, '_', 1) AS category, count(*) AS n FROM s GROUP BY ALL"""
@@ -76,7 +76,7 @@ def _flat_sql() -> str:
 @query("class_flatten", _flat_sql())
 def class_flatten(spark, sf) -> DataFrame:
     """Equal-width sub-bins inside each class, labelled class_k."""
-    v = S.log10(F.col("l_extendedprice") / 997)
+    v = S.log10(F.col("l_extendedprice") / 999.9991)
     df = table(spark, sf, "lineitem").select(v.alias("v")).withColumn("c", C.threshold_class("v", [1.5], 0.0, 2.5))
     label = P.equal_subbins("v", "c", (1.5,), (0.0, 2.5), 4)
     return df.groupBy(label.alias("label")).agg(F.count("*").alias("n")).withColumn("category", S.first_token("label", "_"))
@@ -84,14 +84,14 @@ def class_flatten(spark, sf) -> DataFrame:
 
 # --- entities: parts with a mean log value, a source and an efflux measure -------------------------
 
-_ENT_SQL = """e AS (SELECT l_partkey AS id, avg(log10(l_extendedprice / 997)) AS v, avg(l_tax) * 10 AS efflux,
+_ENT_SQL = """e AS (SELECT l_partkey AS id, avg(log10(l_extendedprice / 999.9991)) AS v, avg(l_tax) * 10 AS efflux,
     CASE WHEN l_partkey % 3 = 0 THEN 'own' ELSE 'lit' END AS src FROM lineitem GROUP BY 1),
   res AS (SELECT p_partkey AS id FROM part WHERE p_size = 7)"""
 
 
 def _entities(spark, sf) -> DataFrame:
     e = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(
-        F.avg(S.log10(F.col("l_extendedprice") / 997)).alias("v"), (F.avg("l_tax") * 10).alias("efflux")
+        F.avg(S.log10(F.col("l_extendedprice") / 999.9991)).alias("v"), (F.avg("l_tax") * 10).alias("efflux")
     )
     return e.withColumn("src", F.when(F.col("id") % 3 == 0, F.lit("own")).otherwise(F.lit("lit")))
 
@@ -119,7 +119,7 @@ def balanced_sample(spark, sf) -> DataFrame:
 @query(
     "efflux_sample",
     f"""WITH {_ENT_SQL}, c AS (SELECT e.*, CASE WHEN v < 1.5 AND v >= -2 THEN 'low' WHEN v >= 1.5 AND v < 1.6 THEN 'med' WHEN v >= 1.6 AND v <= 2.5 THEN 'high' END AS cat,
-      CASE WHEN efflux <= 0.4 THEN 'low' ELSE 'high' END AS ec, CASE WHEN id IN (SELECT id FROM res) THEN 'reserve' END AS role0 FROM e),
+      CASE WHEN efflux <= 0.40003 THEN 'low' ELSE 'high' END AS ec, CASE WHEN id IN (SELECT id FROM res) THEN 'reserve' END AS role0 FROM e),
     x AS (SELECT id, row_number() OVER (PARTITION BY ec ORDER BY md5('5212019:' || id), id) AS rn FROM c),
     d AS (SELECT c.*, CASE WHEN ec = 'high' THEN 'high_efflux' WHEN x.rn <= 10 THEN 'train_efflux' ELSE role0 END AS role1 FROM c JOIN x ON c.id = x.id),
     o AS (SELECT * FROM d WHERE role1 IS NULL AND cat IN ('low', 'high')),
@@ -131,7 +131,7 @@ def balanced_sample(spark, sf) -> DataFrame:
 def efflux_sample(spark, sf) -> DataFrame:
     """Three classes with the middle left out, efflux sample, high efflux dropped, sources pooled."""
     o = P.SplitOptions(
-        breaks=(1.5, 1.6), efflux_break=0.4, gap=True, rounding="one", drop_high_efflux=True, by_source=False
+        breaks=(1.5, 1.6), efflux_break=0.40003, gap=True, rounding="one", drop_high_efflux=True, by_source=False
     )
     out = P.balanced_roles(_entities(spark, sf), "id", "v", "src", "efflux", _reserve(spark, sf), o)
     return out.select("id", "category", "efflux_category", "role")
@@ -198,7 +198,7 @@ def reserve_sample(spark, sf) -> DataFrame:
 
 def _roles_sql(name: str, source: str, strata: str, efflux: bool) -> str:
     """CTEs ending in <name>: roles of `source` (structure, m, src, eff) for one break at 1.55."""
-    eff = f"""{name}_x AS (SELECT structure, row_number() OVER (PARTITION BY (eff <= 0.4) ORDER BY md5('5212019:' || structure), structure) AS rn FROM {source}),
+    eff = f"""{name}_x AS (SELECT structure, row_number() OVER (PARTITION BY (eff <= 0.40003) ORDER BY md5('5212019:' || structure), structure) AS rn FROM {source}),
     {name}_d AS (SELECT c.*, CASE WHEN x.rn <= 10 THEN 'train_efflux' WHEN c.structure IN (SELECT structure FROM reserve) THEN 'reserve' END AS role0
       FROM {source} c LEFT JOIN {name}_x x ON c.structure = x.structure AND c.eff IS NOT NULL),"""
     plain = f"{name}_d AS (SELECT *, CASE WHEN structure IN (SELECT structure FROM reserve) THEN 'reserve' END AS role0 FROM {source}),"
@@ -211,10 +211,10 @@ def _roles_sql(name: str, source: str, strata: str, efflux: bool) -> str:
       FROM {name}_c c LEFT JOIN {name}_r r ON c.structure = r.structure)"""
 
 
-_SETS_SQL = f"""WITH lit0 AS (SELECT l_partkey AS structure, l_extendedprice / 997 AS v, abs(7.0::DOUBLE + l_linenumber / 10.0::DOUBLE - 7.4::DOUBLE) AS gap
+_SETS_SQL = f"""WITH lit0 AS (SELECT l_partkey AS structure, l_extendedprice / 999.9991 AS v, abs(7.0::DOUBLE + l_linenumber / 10.0::DOUBLE - 7.4::DOUBLE) AS gap
     FROM lineitem WHERE l_linestatus = 'O'),
   lit1 AS (SELECT structure, avg(log10(v)) AS m FROM lit0 JOIN (SELECT structure, min(gap) AS best FROM lit0 GROUP BY 1) USING (structure) WHERE gap = best GROUP BY 1),
-  own0 AS (SELECT l_partkey AS structure, l_extendedprice / 997 AS v, l_tax * 10 AS e FROM lineitem WHERE l_linestatus = 'F' AND l_partkey % 4 <> 0),
+  own0 AS (SELECT l_partkey AS structure, l_extendedprice / 999.9991 AS v, l_tax * 10 AS e FROM lineitem WHERE l_linestatus = 'F' AND l_partkey % 4 <> 0),
   own1 AS (SELECT structure, avg(log10(v)) AS m, avg(e) AS eff, 'own' AS src FROM own0 GROUP BY 1),
   base AS (SELECT p_partkey AS structure FROM part WHERE p_size = 7),
   val AS (SELECT structure FROM lit1 WHERE structure NOT IN (SELECT structure FROM own0) AND structure NOT IN (SELECT structure FROM base)
@@ -231,11 +231,11 @@ _SETS_SQL = f"""WITH lit0 AS (SELECT l_partkey AS structure, l_extendedprice / 9
 def training_sets(spark, sf) -> DataFrame:
     """Literature, own and combined training tables with reserve, validation, efflux and balanced roles."""
     li = table(spark, sf, "lineitem").select(
-        F.col("l_partkey").alias("structure"), (F.col("l_extendedprice") / 997).alias("value"), (F.col("l_tax") * 10).alias("efflux"),
+        F.col("l_partkey").alias("structure"), (F.col("l_extendedprice") / 999.9991).alias("value"), (F.col("l_tax") * 10).alias("efflux"),
         (F.col("l_linenumber") / 10.0 + 7.0).alias("ph"), "l_linestatus",
     )
     own = li.where("l_linestatus = 'F' and structure % 4 <> 0").select("structure", "value", "efflux")
     lit = li.where("l_linestatus = 'O'").select("structure", "value", "ph")
     reserved = table(spark, sf, "part").where("p_size = 7").select(F.col("p_partkey").alias("structure"))
-    out = build_sets(own, lit, reserved, P.SplitOptions(breaks=(1.55,), efflux_break=0.4))
+    out = build_sets(own, lit, reserved, P.SplitOptions(breaks=(1.55,), efflux_break=0.40003))
     return out.select("dataset", "structure", "category", "role", r6("mean_log").alias("mean_log"))

@@ -12,13 +12,13 @@ from permspark.operators.grouping import contingency
 from permspark.plans import evaluate as E
 
 # Stand-in pair on lineitem: a price and the discounted price plus a share of the quantity.
-X = "l_extendedprice / 997"
-Y = "(l_extendedprice / 997 * (1 - l_discount) + l_quantity / 53)"
+X = "l_extendedprice / 999.9991"
+Y = "(l_extendedprice / 999.9991 * (1 - l_discount) + l_quantity / 53)"
 XY_SQL = f"xy AS (SELECT l_suppkey, l_partkey, l_returnflag, l_linestatus, l_linenumber, {X} AS x, {Y} AS y FROM lineitem)"
 
 
 def xy(spark, sf) -> DataFrame:
-    price = F.col("l_extendedprice") / 997
+    price = F.col("l_extendedprice") / 999.9991
     return table(spark, sf, "lineitem").select(
         "l_suppkey", "l_partkey", "l_returnflag", "l_linestatus", "l_linenumber", price.alias("x"),
         (price * (1 - F.col("l_discount")) + F.col("l_quantity") / 53).alias("y"),
@@ -283,16 +283,16 @@ def balanced_accuracy(spark, sf) -> DataFrame:
 # --- bootstrap: customers, balance against a damped balance plus the mean order value ---------------
 
 _REPS, _SEED, _CUT = 200, 1234, 5.0
-_PAIR_SQL = """o AS (SELECT o_custkey AS c_custkey, avg(o_totalprice / 99700) AS t FROM orders GROUP BY 1),
-  pr AS (SELECT c_custkey, c_mktsegment AS evaluation, c_acctbal / 997 AS obs, c_acctbal / 1409 + coalesce(t, 0) AS pred
+_PAIR_SQL = """o AS (SELECT o_custkey AS c_custkey, avg(o_totalprice / 99999.91) AS t FROM orders GROUP BY 1),
+  pr AS (SELECT c_custkey, c_mktsegment AS evaluation, c_acctbal / 999.9991 AS obs, c_acctbal / 1409 + coalesce(t, 0) AS pred
     FROM customer LEFT JOIN o USING (c_custkey)),
   sub AS (SELECT *, 'all' AS subset FROM pr UNION ALL SELECT *, CASE WHEN obs <= 5 THEN 'low' ELSE 'high' END FROM pr)"""
 
 
 def _pairs(spark, sf) -> DataFrame:
-    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg(F.col("o_totalprice") / 99700).alias("t"))
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg(F.col("o_totalprice") / 99999.91).alias("t"))
     c = table(spark, sf, "customer").join(o, "c_custkey", "left")
-    obs = F.col("c_acctbal") / 997
+    obs = F.col("c_acctbal") / 999.9991
     return T.with_subsets(
         c.select("c_custkey", F.col("c_mktsegment").alias("evaluation"), obs.alias("obs"),
                  (F.col("c_acctbal") / 1409 + F.coalesce("t", F.lit(0.0))).alias("pred")),
