@@ -11,6 +11,7 @@ from permspark.operators import joins as J
 from permspark.operators import sets
 from permspark.operators.ordered import quantiles, sequence_index
 from permspark.plans import harmonise as H
+from permspark.sources.writers import staged
 
 # Fixed stand-in: the unit spelling a line number carries; the last one is unknown on purpose.
 LINE_UNITS = ["10^-6 cm/s", "10'-4 cm/s", "10'-5 cm/s", "nm/s", "10'-8cm/s", "10'-4 cm/min", "furlong"]
@@ -316,7 +317,7 @@ _BINS_SQL = """bins AS (SELECT p_partkey AS bin, p_retailprice AS lo, lead(p_ret
 def interval_table(spark, sf) -> DataFrame:
     """Bins from a table, found by counting edges instead of comparing every pair."""
     edges = table(spark, sf, "part").groupBy("p_retailprice").agg(F.min("p_partkey").alias("bin"))
-    placed = sequence_index(edges, ["p_retailprice"], out="i")
+    placed = staged(sequence_index(edges, ["p_retailprice"], out="i"))
     nxt = placed.select((F.col("i") - 1).alias("i"), F.col("p_retailprice").alias("hi"))
     bins = placed.join(nxt, "i").select("bin", F.col("p_retailprice").alias("lo"), "hi")
     df = _li(spark, sf, (F.col("l_extendedprice") / 97).alias("v"))

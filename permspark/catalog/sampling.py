@@ -10,6 +10,7 @@ from permspark.operators import cleaning as C
 from permspark.operators import features as FE
 from permspark.operators import sampling as P
 from permspark.plans.modelling import training_sets as build_sets
+from permspark.sources.writers import staged
 
 
 def _prices(spark, sf) -> DataFrame:
@@ -177,7 +178,7 @@ def grouped_split(spark, sf) -> DataFrame:
 def strata_sample(spark, sf) -> DataFrame:
     """Exactly two percent of each of three huge strata, without ordering a stratum."""
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    df = table(spark, sf, "lineitem").select(*key, "l_returnflag").distinct()
+    df = staged(table(spark, sf, "lineitem").select(*key, "l_returnflag").distinct())
     return P.sample_strata(df, ["l_returnflag"], key, F.floor(F.col("n_stratum") * 0.02), 7)
 
 

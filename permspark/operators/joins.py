@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from permspark.operators.grouping import concat_values, keep_first
 from permspark.operators.ordered import join_keys, ranked_values, sequence_index, spread
+from permspark.sources.writers import staged
 
 SMALL_TABLE_ROWS = 1000
 
@@ -125,9 +126,10 @@ def ranked_interval_join(df: DataFrame, value: str, bins: DataFrame, lo: str, hi
     Counting edges below every distinct value is an exact rank, and the rest are equi-joins: no value
     is ever compared with more than one bin, however the bins are spread.
     """
+    bins = staged(bins)
     edges = bins.select(F.col(lo).cast("double").alias("__v"), F.lit(1).alias("__w"))
     values = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("__v")).distinct()
-    both = edges.unionByName(values.withColumn("__w", F.lit(0)))
+    both = staged(edges.unionByName(values.withColumn("__w", F.lit(0))))
     place = ranked_values(both, [], "__v", split=split, weight=F.col("__w")).select("__v", F.col("n_before").alias("__i"))
     numbered = sequence_index(bins, [lo], out="__i", split=split).drop("n_total")
     found = place.join(numbered, "__i").where(F.col("__v") <= F.col(hi)).drop("__i")

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from permspark.functions.scalar import half_even, hash_hex, hash_int
 from permspark.operators.cleaning import consensus_bin, threshold_class
-from permspark.operators.ordered import join_keys
+from permspark.operators.ordered import join_keys, spread
+from permspark.sources.writers import staged
 
 PREFIX_DIGITS = 3
 
@@ -21,7 +22,8 @@ PREFIX_DIGITS = 3
 def sample_strata(df: DataFrame, strata: list[str], key: list[str], size: Column, seed: int) -> DataFrame:
     """Exactly `size` rows per stratum (all of a smaller stratum), lowest hashes first.
 
-    `size` may use n_stratum, the stratum's row count. `key` must identify a row.
+    `size` may use n_stratum, the stratum's row count. `key` must identify a row. The input is read
+    three times, so an expensive one should be stored first.
     """
     hashed = df.withColumn("__h", hash_hex(seed, *key)).withColumn("__b", hash_int("__h", 1, PREFIX_DIGITS))
     counts = hashed.groupBy(*strata, "__b").agg(F.count("*").alias("__in"))
@@ -59,13 +61,13 @@ def grouped_split(
     df: DataFrame, entity: str, bin_col: str, fraction: float, seed: int, forced_train: list | None = None
 ) -> DataFrame:
     """Test flag per row: entities are split within their consensus bin, all their rows together."""
-    members = df.groupBy(entity).agg(consensus_bin(bin_col).alias("consensus"))
+    members = staged(df.groupBy(entity).agg(consensus_bin(bin_col).alias("consensus")))
     size = half_even(F.col("n_stratum").cast("double") * F.lit(fraction))
     test = sample_strata(members, ["consensus"], [entity], size, seed).select(entity, F.lit(1).alias("__t"))
     if forced_train:
         test = test.where(~F.col(entity).isin(forced_train))
-    joined = join_keys(df, members, [entity], "left").join(test, entity, "left")
-    return joined.withColumn("test", F.coalesce("__t", F.lit(0))).drop("__t")
+    flags = members.join(test, entity, "left").withColumn("test", F.coalesce("__t", F.lit(0))).drop("__t")
+    return join_keys(df, spread(flags, [entity]), [entity], "left")
 
 
 @dataclass(frozen=True)
@@ -124,6 +126,8 @@ def balanced_roles(
     if reserve is not None:
         ids = reserve.select(F.col(reserve.columns[0]).alias(key)).distinct().withColumn("__r", F.lit(True))
         out = out.join(ids, key, "left").withColumn("role", F.when(F.col("__r"), F.lit("reserve"))).drop("__r")
+    # One row per entity, read several times by every sampling step: store it between the steps.
+    out = staged(out)
     if o.efflux_break is not None and efflux:
         side = F.when(F.col(efflux) <= o.efflux_break, F.lit("low")).when(F.col(efflux) > o.efflux_break, F.lit("high"))
         out = out.withColumn("efflux_category", side)
@@ -136,6 +140,7 @@ def balanced_roles(
             out = out.withColumn(
                 "role", F.when(F.col("efflux_category") == "high", F.lit("high_efflux")).otherwise(F.col("role"))
             )
+        out = staged(out)
     out = out.withColumn("__cat", threshold_class(value, list(o.breaks), *o.limits))
     if o.flatten is not None and len(o.breaks) == 1:
         if isinstance(o.flatten, int):

@@ -86,14 +86,23 @@ def histogram_table(df: DataFrame, entity: str, measures: dict[str, str]) -> Dat
 
 def narrative(absorption: DataFrame, margins_df: DataFrame, entity: str) -> DataFrame:
     """Headline numbers: medians, expected reduction, margin in orders of magnitude, poorly absorbed."""
-    med_abs = quantiles(absorption, [], "f_abs", {"m": 0.5}).select("m").scalar()
-    med_gut = quantiles(absorption, [], "f_gut", {"m": 0.5}).select("m").scalar()
-    med_ber = quantiles(margins_df, [], "ber", {"m": 0.5}).select("m").scalar()
-    one = absorption.agg(F.count("*").alias("n_entities"), F.sum((F.col("f_abs") < 0.5).cast("bigint")).alias("n_poorly_absorbed"))
-    out = one.withColumns({"median_f_abs": signif(med_abs, 3), "median_f_gut": signif(med_gut, 3), "median_ber": signif(med_ber, 2)})
-    return out.withColumns(
-        {
-            "reduction": signif(F.lit(1.0) - F.col("median_f_abs") * F.col("median_f_gut"), 2),
-            "orders_of_magnitude": signif(log10(med_ber), 1),
-        }
+    a = quantiles(absorption, [], "f_abs", {"m": 0.5}).first()["m"]
+    g = quantiles(absorption, [], "f_gut", {"m": 0.5}).first()["m"]
+    b = quantiles(margins_df, [], "ber", {"m": 0.5}).first()["m"]
+    one = absorption.agg(
+        F.count("*").alias("n_entities"),
+        F.sum((F.col("f_abs") < 0.5).cast("bigint")).alias("n_poorly_absorbed"),
+        F.max(F.lit(a)).alias("a"),
+        F.max(F.lit(g)).alias("g"),
+        F.max(F.lit(b)).alias("b"),
+    )
+    med_abs, med_gut = signif("a", 3), signif("g", 3)
+    return one.select(
+        "n_entities",
+        "n_poorly_absorbed",
+        med_abs.alias("median_f_abs"),
+        med_gut.alias("median_f_gut"),
+        signif("b", 2).alias("median_ber"),
+        signif(F.lit(1.0) - med_abs * med_gut, 2).alias("reduction"),
+        signif(log10("b"), 1).alias("orders_of_magnitude"),
     )
