@@ -505,3 +505,17 @@ def ordered_category(spark, sf) -> DataFrame:
 def large_sources(spark, sf) -> DataFrame:
     docs = H.large_sources(table(spark, sf, "documents").select("source", "n_chars"), "source", 40)
     return docs.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query(
+    "training_values",
+    f"""WITH t AS (SELECT DISTINCT l_partkey, CASE l_linestatus WHEN 'F' THEN 'own' ELSE 'lit' END AS origin,
+      {q6("CASE WHEN v = 0 THEN 0.0 ELSE round(v * pow(10.0::DOUBLE, 3 - floor(log10(abs(v))))) / pow(10.0::DOUBLE, 3 - floor(log10(abs(v)))) END", 'v')}
+      FROM (SELECT l_partkey, l_linestatus, CASE WHEN l_linenumber > 1 THEN l_quantity / 52.9991 - 0.1::DOUBLE END AS v FROM lineitem) WHERE v > 0)
+    SELECT l_partkey, origin, count(*) AS n, {q6('sum(v)', 'total')} FROM t GROUP BY ALL""",
+)
+def training_values(spark, sf) -> DataFrame:
+    """Values as text, rounded to reporting precision, positive and de-duplicated."""
+    text = F.when(F.col("l_linenumber") > 1, (F.col("l_quantity") / 52.9991 - 0.1).cast("string")).otherwise(F.lit("ND"))
+    df = _li(spark, sf, "l_partkey", F.when(F.col("l_linestatus") == "F", F.lit("own")).otherwise(F.lit("lit")).alias("origin"), text.alias("v"))
+    return H.training_values(df, "v").groupBy("l_partkey", "origin").agg(F.count("*").alias("n"), r6(F.sum("v")).alias("total"))

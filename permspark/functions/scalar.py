@@ -106,6 +106,12 @@ def row_sd(cols, mean, n) -> Column:
     return F.when(n > 1, F.sqrt(squares / (n - 1)))
 
 
+def non_missing(array) -> Column:
+    """The values of an array without its NULLs, or one NULL when there is nothing else."""
+    kept = F.filter(as_col(array), lambda x: x.isNotNull())
+    return F.when(F.size(kept) > 0, kept).otherwise(F.slice(as_col(array), 1, 1))
+
+
 def hash_hex(seed: int, *keys) -> Column:
     """Seeded 128-bit hash of a key as 32 hex digits: the library's only source of randomness."""
     parts = [F.lit(str(seed))] + [as_col(k).cast("string") for k in keys]

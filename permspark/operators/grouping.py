@@ -154,7 +154,8 @@ def complete_columns(df: DataFrame, cols) -> list[str]:
 def concat_values(df: DataFrame, keys, col: str, out: str, sep: str = ", ", distinct: bool = False) -> DataFrame:
     """Ordered concatenation per group, repeats kept unless `distinct`.
 
-    Repeats are counted before the shuffle and only written out in the final string.
+    Repeats are counted before the shuffle and only written out in the final string, which is by its
+    nature one value per group.
     """
     keys = list(keys)
     pairs = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count("*").cast("int").alias("__n"))

@@ -17,6 +17,11 @@ from permspark.sources.writers import staged
 SMALL_TABLE_ROWS = 1000
 
 
+def broadcast_if_counted_small(dim: DataFrame, rows: int = SMALL_TABLE_ROWS) -> DataFrame:
+    """Broadcast a dimension only after counting that it has at most `rows` rows; else leave it as it is."""
+    return F.broadcast(dim) if dim.limit(rows + 1).count() <= rows else dim
+
+
 def lookup(base: DataFrame, dim: DataFrame, on: list[str], match_missing: bool = False) -> DataFrame:
     """Every row of base with the matching columns of dim; a missing key matches only on request."""
     if match_missing:

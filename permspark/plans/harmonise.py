@@ -6,9 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from permspark.functions.scalar import as_col, ratio
+from permspark.functions.scalar import as_col, number_or_null, ratio, signif
 from permspark.operators.grouping import drop_poisoned_groups, keep_large_groups
-from permspark.operators.joins import map_values
+from permspark.operators.joins import broadcast_if_counted_small, map_values
 from permspark.operators.sets import stack
 
 # Endpoint names that mean apparent permeability, and whether they are logarithms.
@@ -118,13 +118,19 @@ def literature_filter(
     )
     big = df.groupBy(source).agg(F.count("*").alias("__n")).where(F.col("__n") > more_than).select(source)
     kept = kept.join(big, source, "left_semi")
-    # Spellings are few: each is parsed once and its factor joined back.
-    factors = df.select(unit).distinct().withColumn("__f", unit_factor(unit_text(unit)))
+    # Spellings are few: each is parsed once and its factor joined back, without shuffling on the spelling.
+    factors = broadcast_if_counted_small(df.select(unit).distinct().withColumn("__f", unit_factor(unit_text(unit))))
     valued = kept.join(factors, unit, "left").withColumn("use_value", F.col(value) * F.col("__f")).drop("__f")
     valued = valued.withColumn("log10_value", F.when(F.col("use_value") > 0, F.log10("use_value")))
     return drop_poisoned_groups(valued, [source], F.col("log10_value") > max_log10)
 
 
+def training_values(df: DataFrame, value: str, digits: int = 4) -> DataFrame:
+    """Values at reporting precision, positive ones only, exact duplicate rows once."""
+    rounded = df.withColumn(value, signif(number_or_null(value), digits))
+    return rounded.where(F.col(value) > 0).distinct()
+
+
 def collect_sources(tables: dict[str, DataFrame], columns: list[str], tag: str = "source") -> DataFrame:
     """Sources brought to one schema, missing columns NULL, exact duplicates removed."""
     parts = [

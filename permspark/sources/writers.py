@@ -13,7 +13,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
     Only a local master without that setting falls back to a temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
@@ -21,11 +21,6 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/permspark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(scratch_dir(spark))
-
-
 def save_stage(df: DataFrame, root: str, name: str) -> DataFrame:
     """Write a named stage table and hand back the stored copy (cuts the lineage)."""
     path = f"{root}/{name}"

@@ -67,6 +67,11 @@ def test_row_statistics(spark):
     assert value(spark, S.row_sd(cols, S.row_mean(cols), S.row_count(cols))) == pytest.approx(math.sqrt(4.5))
 
 
+def test_non_missing(spark):
+    assert value(spark, S.non_missing(F.array(num(1.0), num(None), num(2.0)))) == [1.0, 2.0]
+    assert value(spark, S.non_missing(F.array(num(None), num(None)))) == [None]
+
+
 def test_bins_are_half_open(spark):
     assert [value(spark, S.bin_index(num(x), [0, 1, 2])) for x in (1.0, 1.5, 2.0, 2.1)] == [1, 2, 2, None]
     assert [value(spark, S.cut_index(num(x), [1.0, 2.0])) for x in (1.0, 1.1, 2.0, 9.0)] == [1, 2, 2, 3]
