@@ -192,7 +192,7 @@ def results_on_rows(spark, sf) -> DataFrame:
     )
     out = G.attach_distinct(out, ["l_suppkey"], "l_partkey", "n_parts")
     med = O.medians(df, ["l_suppkey"], "l_quantity", "med_q").withColumn("med_q", r6("med_q"))
-    return O.join_keys(out, med.repartition("l_suppkey"), ["l_suppkey"], "left").drop("l_returnflag")
+    return G.join_back(out, med, ["l_suppkey"], "left").drop("l_returnflag")
 
 
 def _sparse_cols(spark, sf) -> DataFrame:

@@ -1,8 +1,8 @@
 """Grouped summaries, results carried on every row, group filters, counts and histograms.
 
 A summary that must appear on every row is an aggregate joined back, not an unbounded window: the
-aggregate combines on the map side and the join back can be split by adaptive execution when one key
-is hot, while a window would buffer the whole group in one task.
+aggregate combines on the map side, few groups are broadcast, and a shuffled join of many groups can be
+split when one key is hot, while a window would buffer the whole group in one task.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from permspark.functions.scalar import as_col, log10, ratio, row_missing
-from permspark.operators.ordered import join_keys, spread
+from permspark.operators.ordered import join_keys
 from permspark.sources.writers import staged
 
 
@@ -55,17 +55,27 @@ def range_over(cols) -> list[Column]:
 # --- results on every row ---------------------------------------------------------------------
 
 
+def join_back(df: DataFrame, reduced: DataFrame, keys, how: str) -> DataFrame:
+    """Join a grouped result to its rows.
+
+    The result is stored first, so that its true size is known: a small one is broadcast by Spark's own
+    size threshold and the rows are not shuffled at all; a large one is a plain scan, and adaptive
+    execution can split a hot key of the shuffled join.
+    """
+    return join_keys(df, staged(reduced), keys, how)
+
+
 def attach(df: DataFrame, keys, *aggs: Column) -> DataFrame:
     """Group results on every row of the group."""
     keys = list(keys)
     stats = df.groupBy(*keys).agg(*aggs)
-    return join_keys(df, spread(stats, keys), keys, "left")
+    return join_back(df, stats, keys, "left")
 
 
 def attach_distinct(df: DataFrame, keys, member: str, out: str) -> DataFrame:
     keys = list(keys)
     stats = distinct_members(df, keys, member).groupBy(*keys).agg(F.count("*").alias(out))
-    return join_keys(df, spread(stats, keys), keys, "left")
+    return join_back(df, stats, keys, "left")
 
 
 def distinct_members(df: DataFrame, keys, member: str) -> DataFrame:
@@ -89,19 +99,19 @@ def distinct_counts(df: DataFrame, member: str, tests: dict[str, Column], keys=(
 def keep_large_groups(df: DataFrame, keys, more_than: int) -> DataFrame:
     keys = list(keys)
     big = df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > more_than)
-    return join_keys(df, spread(big.select(*keys), keys), keys, "left_semi")
+    return join_back(df, big.select(*keys), keys, "left_semi")
 
 
 def keep_diverse_groups(df: DataFrame, keys, member: str, at_least: int) -> DataFrame:
     keys = list(keys)
     big = distinct_members(df, keys, member).groupBy(*keys).agg(F.count("*").alias("__n"))
-    return join_keys(df, spread(big.where(F.col("__n") >= at_least).select(*keys), keys), keys, "left_semi")
+    return join_back(df, big.where(F.col("__n") >= at_least).select(*keys), keys, "left_semi")
 
 
 def drop_poisoned_groups(df: DataFrame, keys, violation: Column) -> DataFrame:
     """Remove all rows of a group in which any row violates the rule."""
     keys = list(keys)
-    return join_keys(df, spread(df.where(violation).select(*keys).distinct(), keys), keys, "left_anti")
+    return join_back(df, df.where(violation).select(*keys).distinct(), keys, "left_anti")
 
 
 def keep_nearest(df: DataFrame, keys, value: str, target: float) -> DataFrame:

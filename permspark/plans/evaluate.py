@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from permspark.functions.scalar import as_col, log10, ratio, signif
-from permspark.operators.grouping import keep_diverse_groups
+from permspark.operators.grouping import attach, keep_diverse_groups
 from permspark.operators.ordered import medians, medians_of
 from permspark.operators.sets import long_to_methods, melt
 from permspark.operators.stats import agreement_subtotals, ols, tls
@@ -38,12 +38,11 @@ def log_metrics(df: DataFrame, observed: str, log_predicted: str, keys=(), digit
     """Test-set RMSE and R2 in log10 space, with the published rounding of every squared residual."""
     y = log10(observed)
     known = df.where(y.isNotNull() & F.col(log_predicted).isNotNull()).withColumn("__y", y)
-    means = known.groupBy(*keys).agg(F.avg("__y").alias("__m"))
     if keys:
-        known = known.join(means.repartition(*keys), list(keys))
+        known = attach(known, keys, F.avg("__y").alias("__m"))
         mean: Column = F.col("__m")
     else:
-        mean = means.scalar()
+        mean = known.select(F.avg("__y")).scalar()
     gap, dev = F.col("__y") - F.col(log_predicted), F.col("__y") - mean
     out = known.groupBy(*keys).agg(
         F.avg(signif(gap * gap, digits)).alias("mse"),

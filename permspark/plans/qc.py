@@ -152,7 +152,7 @@ def repeated_entities(df: DataFrame, entity: str, value: str, at_least: int = 2,
     means = known.groupBy(entity).agg(F.avg(value).alias("entity_mean"), F.count("*").alias("n_repeats"))
     means = staged(means.where(F.col("n_repeats") >= at_least).withColumn("__m", F.round("entity_mean", digits)))
     ranks = average_rank(means, [], "__m", "entity_rank").drop("__m")
-    return known.join(ranks.repartition(entity), entity)
+    return known.join(staged(ranks), entity)
 
 
 def batch_controls(df: DataFrame, batch: str, value: str, high_control: Column, low_control: Column, control: Column) -> DataFrame:

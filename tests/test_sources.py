@@ -8,7 +8,7 @@ from permspark.sources import names, readers, writers
 
 
 def test_name_rules():
-    assert names.normal_name("% ToxCast Active") == "percent_ToxCast_Active"
+    assert names.normal_name("% Assay Active") == "percent_Assay_Active"
     assert names.normal_name("RATE_(AOH)_CM3/MOLECULE*SEC") == "RATE_AOH_CM3perMOLECULExSEC"
     assert names.normal_name("﻿A-b.c:d=e?", lower=True) == "abccolndeqeq"
     assert names.positional_names(["id", "F%", "ref", "F%"]) == ["id", "F%...2", "ref", "F%...4"]
@@ -25,15 +25,15 @@ def test_captioned_csv(spark, tmp_path):
 
 def test_bom_and_quoted_header(spark, tmp_path):
     p = tmp_path / "bom.csv"
-    p.write_bytes("﻿DTXSID,\"PREFERRED NAME\",% Active\nhttps://x/1,\"a, b\",2.5\n".encode())
+    p.write_bytes("﻿KEY,\"PREFERRED NAME\",% Active\nhttps://x/1,\"a, b\",2.5\n".encode())
     df = readers.read_delimited(spark, str(p), "id string, name string, active double")
     assert [tuple(r) for r in df.collect()] == [("https://x/1", "a, b", 2.5)]
 
 
 def test_whitespace_pairs_and_ids(spark, tmp_path):
     p = tmp_path / "t.txt"
-    p.write_text("DTXSID  status   n\nD1   ok 3\n\n D2\tbad   4\n")
-    assert [tuple(r) for r in readers.read_whitespace(spark, str(p), ["DTXSID", "status", "n"]).collect()] == [("D1", "ok", "3"), ("D2", "bad", "4")]
+    p.write_text("KEY  status   n\nD1   ok 3\n\n D2\tbad   4\n")
+    assert [tuple(r) for r in readers.read_whitespace(spark, str(p), ["KEY", "status", "n"]).collect()] == [("D1", "ok", "3"), ("D2", "bad", "4")]
     p = tmp_path / "s.smi"
     p.write_text("CC(=O)O\tD1\nc1ccccc1\tD2\n")
     assert [tuple(r) for r in readers.read_pairs(spark, str(p)).collect()] == [("CC(=O)O", "D1"), ("c1ccccc1", "D2")]
