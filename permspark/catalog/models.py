@@ -1,6 +1,6 @@
 """Model queries on `embeddings`: element 0 is the continuous target, the rest are descriptors.
 
-Forests have no SQL twin; they are seeded, checked for shape here and against brute force in the tests.
+Forests have no SQL twin; they are seeded and checked for shape, quantile forests also against brute force.
 """
 
 from __future__ import annotations
