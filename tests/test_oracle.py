@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from permspark import catalog
 from tools.check import check, connect
 
 SF = "/root/testdata/sf0.001"
@@ -19,9 +20,9 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query(spark, con, name):
-    text, _ = check(spark, con, name, entry.queries()[name], entry.oracle_sql().get(name), SF)
+    text, _ = check(spark, con, name, catalog.QUERIES[name], catalog.ORACLES.get(name), SF)
     assert text.startswith(("ok", "rows-only")) and "TYPES" not in text, text
 
 
@@ -35,7 +36,7 @@ def test_every_oracle_has_a_query():
 
 
 def test_names():
-    for name in entry.queries():
+    for name in catalog.QUERIES:
         assert "pipeline" not in name and not re.match(r"op\d", name)
 
 
