@@ -148,4 +148,4 @@ def scanned(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def find_licenses(docs: DataFrame) -> DataFrame:
     """Documents with their license labels, the places of the phrases, and the spans of the notices."""
     others = [c for c in docs.columns if c not in RESULT and c != "text"]
-    return docs.select(*others, scanned("text").alias("_found")).select(*others, "_found.*")
+    return docs.select(F.struct(*[F.col(c) for c in others]).alias("_row"), scanned("text").alias("_found")).select("_row.*", "_found.*")

@@ -150,7 +150,8 @@ def judge(docs: DataFrame, model: tuple[gbt.Forest, float] | None) -> DataFrame:
             yield out.assign(base_failed=failed, kept=kept, score=score)[names]
 
     others = [c for c in docs.columns if c not in names]
-    return docs.select(*others, judged("text").alias("_judged")).select(*others, *[F.col("_judged")[c].alias(c) for c in names])
+    row = F.struct(*[F.col(c) for c in others])
+    return docs.select(row.alias("_row"), judged("text").alias("_judged")).select("_row.*", "_judged.*")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -138,4 +138,4 @@ def scanned(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """Documents with counts of strong findings, their digest, and all spans as kind:start:end in code points."""
     others = [c for c in docs.columns if c not in RESULT and c != "text"]
-    return docs.select(*others, scanned("text").alias("_found")).select(*others, "_found.*")
+    return docs.select(F.struct(*[F.col(c) for c in others]).alias("_row"), scanned("text").alias("_found")).select("_row.*", "_found.*")

@@ -33,8 +33,12 @@ BAD_WORDS = (
 ).split()
 GOOD_WORDS = (
     "weather garden library science history museum kitchen travel school physics music radio theatre market village river forest "
-    "economy health teacher language recipe football cycling mountain harbour gallery archive journal university the thanor thering "
-    "estion ntering blesh tionher onthe whanre andou ertion"
+    "economy health teacher language recipes football cycling mountain harbour gallery archive journal university news sports articles "
+    "courses notes others wishes themes classes houses stories photos maps papers essays studies series species roses horses theses "
+    "atlas address business princess congress chess process guides tables notions nations stations answers letters numbers writers "
+    "the other there these those thing tether hither thorn thistle thread thirst north south earth health truth depth month "
+    "notion motion nation ration station election section action question mention fiction lesson reason season person "
+    "there-and-back the-other-one this-and-that sea-shore red-house old-town new-city well-read time-line book-shop"
 ).split()
 HOSTS = ["{}.example.com", "www.{}.example.net", "blog.{}.example.org", "m.{}.example.com"]
 PATHS = ["", "/", "/en/{n}", "/fr/{n}/", "/de/{n}.html", "/es/{n}"]
@@ -117,13 +121,14 @@ def judge_urls(pages: DataFrame, labelled: Iterable[tuple[str | None, int]] | No
     raw = F.regexp_extract("_rest", r"(?s)^([^/?#]*)", 1)
     names = ["host", "path", "rule", "verdict", "bad_score"]
     others = [c for c in pages.columns if c not in names]
-    parts = pages.select(*others, rest.alias("_rest"))
-    parts = parts.select(*others, F.translate(raw, UPPER, LOWER).alias("host"), F.regexp_extract("_rest", r"(?s)^[^/?#]*([^?#]*)", 1).alias("path"))
+    parts = pages.select(F.struct(*[F.col(c) for c in others]).alias("_row"), rest.alias("_rest"))
+    path = F.regexp_extract("_rest", r"(?s)^[^/?#]*([^?#]*)", 1)
+    parts = parts.select("_row", F.translate(raw, UPPER, LOWER).alias("host"), path.alias("path"))
     parts = parts.withColumn("_rule", rule_column(F.col("host"), F.col("path"), rules))
     parts = parts.withColumn("bad_score", scored("host", "path", F.col("_rule").isNotNull()))
     text = F.array(*[F.lit(h + p) for _, h, p in rules])
     verdict = F.array(*[F.lit(v) for v, _, _ in rules])
     own = F.when(F.col("bad_score") >= limit, "block").otherwise("allow")
     return parts.select(
-        *others, "host", "path", F.get(text, "_rule").alias("rule"), F.coalesce(F.get(verdict, "_rule"), own).alias("verdict"), "bad_score"
+        "_row.*", "host", "path", F.get(text, "_rule").alias("rule"), F.coalesce(F.get(verdict, "_rule"), own).alias("verdict"), "bad_score"
     )
