@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from permspark.llm.ordered import neighbours
-from permspark.llm.text import KINDS, LOWER, UPPER
+from permspark.llm.text import KINDS, LOWER, UPPER, row_type
 from permspark.sources.writers import staged
 
 #: Share of a page's unmarked text that shared lines must reach to count as a copy.
@@ -226,17 +227,22 @@ def shared_lines(a: list[int], b: list[int], most: int = 1 << 26) -> list[int]:
     return [*range(start), *[middle[k][0] for k in found], *range(len(a) - end, len(a))]
 
 
-def main_text(page: str | None, shared: list[int]) -> tuple[str, int]:
-    """Text of the lines that stay, and how many shared lines were deleted."""
+def candidates(page: str | None) -> tuple[bool, list[int], list[str]]:
+    """Whether the page marks its article, and numbers and texts of the lines that markup lets through."""
     lines = lines_of(page)
     best = max((zone for _, zone in lines), default=DROP)
     wanted = [k for k, (_, zone) in enumerate(lines) if zone == best and zone != DROP]
+    return best > PLAIN, wanted, [lines[k][0] for k in wanted]
+
+
+def main_text(marked: bool, numbers: list[int], texts: list[str], shared: list[int]) -> str:
+    """Text of the candidates that stay."""
     gone = set(shared)
-    if best == PLAIN:
-        size = sum(len(lines[k][0]) for k in wanted)
-        if sum(len(lines[k][0]) for k in wanted if k in gone) < COPY_SHARE * size:
-            wanted = [k for k in wanted if k not in gone]
-    return "\n\n".join(lines[k][0] for k in wanted), len(gone - set(wanted))
+    if not marked and gone:
+        size = sum(map(len, texts))
+        if sum(len(t) for k, t in zip(numbers, texts) if k in gone) < COPY_SHARE * size:
+            texts = [t for k, t in zip(numbers, texts) if k not in gone]
+    return "\n\n".join(texts)
 
 
 @F.pandas_udf(KINDS["array<long>"])
@@ -253,10 +259,26 @@ def shared_of(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
         )
 
 
+CANDIDATES = row_type("marked boolean, numbers array<long>, packed binary")
+
+
+@F.pandas_udf(CANDIDATES)
+def candidates_of(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Candidates with their texts packed, so that the shuffle moves less."""
+    for batch in pages:
+        rows = [candidates(p) for p in batch]
+        packed = [zlib.compress("\n".join(texts).encode("utf-8", "surrogatepass"), 1) for _, _, texts in rows]
+        yield pd.DataFrame({"marked": [r[0] for r in rows], "numbers": [r[1] for r in rows], "packed": packed})
+
+
 @F.pandas_udf(KINDS["string"])
-def text_of(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for pages, shared in pairs:
-        yield pd.Series([main_text(p, [] if s is None else s.tolist())[0] for p, s in zip(pages, shared)], dtype=object)
+def text_of(parts: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.Series]:
+    for found, shared in parts:
+        out = []
+        for marked, numbers, packed, gone in zip(found["marked"], found["numbers"], found["packed"], shared):
+            texts = zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n") if len(numbers) else []
+            out.append(main_text(marked, numbers.tolist(), texts, [] if gone is None else gone.tolist()))
+        yield pd.Series(out, dtype=object)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -291,7 +313,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """Pages with their main `text` and its length `n_chars` in code points."""
     found = template_lines(pages).select(F.col("page_id").alias("_p"), F.col("_h").alias("_g"), "shared", "neighbour")
     others = [c for c in pages.columns if c not in ("html", "text", "n_chars", "n_shared", "neighbour")]
-    row = pages.select(F.struct(*[F.col(c) for c in others]).alias("_row"), F.col("page_id").alias("_id"), "html", F.xxhash64("url", "html").alias("_h"))
+    row = pages.select(F.struct(*[F.col(c) for c in others]).alias("_row"), F.col("page_id").alias("_id"), candidates_of("html").alias("_c"), F.xxhash64("url", "html").alias("_h"))
     met = row.join(found, F.col("_id").eqNullSafe(F.col("_p")) & (F.col("_h") == F.col("_g")))
-    out = met.select("_row", text_of("html", "shared").alias("text"), F.size("shared").cast("long").alias("n_shared"), "neighbour")
+    out = met.select("_row", text_of("_c", "shared").alias("text"), F.size("shared").cast("long").alias("n_shared"), "neighbour")
     return out.select("_row.*", "text", F.char_length("text").cast("long").alias("n_chars"), "n_shared", "neighbour")
