@@ -69,11 +69,14 @@ def plan_mix(docs: DataFrame, seed: int = SEED, **shares) -> DataFrame:
 
 @F.pandas_udf(KINDS["string"])
 def first_words(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The text up to the end of its n-th word."""
+    """The text up to the end of its n-th word; null for a null text."""
     for texts, counts in parts:
         out = []
         for text, n in zip(texts, counts):
-            data, end = text.encode("utf-8", "surrogatepass"), 0
+            if text is None:
+                out.append(None)
+                continue
+            data = text.encode("utf-8", "surrogatepass")
             rest = data.split(None, int(n))
             end = len(data) - len(rest[-1]) if len(rest) > n else len(data)
             out.append(data[:end].rstrip().decode("utf-8", "surrogatepass"))
@@ -94,9 +97,9 @@ def mix(docs: DataFrame, seed: int = SEED, **shares) -> DataFrame:
     rows = rows.dropDuplicates(["_id", "_src", "_h"])
     same = F.col("_id").eqNullSafe(F.col("_d")) & F.col("_src").eqNullSafe(F.col("_s")) & (F.col("_h") == F.col("_g"))
     taken = rows.join(plan, same)
-    whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
-    cut = F.col("_taken") % F.col("_size")
-    copies = taken.withColumn("_copy", F.explode(F.when(whole > 0, F.sequence(F.lit(1), whole)))).select("_row")
-    # at most one document of each source is cut
-    cuts = taken.filter(cut > 0).select(F.col("_row").withField("text", first_words(F.col("_row.text"), cut)).alias("_row"))
-    return copies.unionAll(cuts).select("_row.*")
+    whole, cut = F.floor(F.col("_taken") / F.col("_size")).cast("int"), F.col("_taken") % F.col("_size")
+    # the number of words of each copy: all of them, or those before the cut, which one document of a source has at most
+    lengths = F.concat(F.array_repeat(F.col("_size"), whole), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<bigint>")))
+    copies = taken.select("_row", "_size", F.explode(lengths).alias("_words"))
+    shorter = first_words(F.when(F.col("_words") < F.col("_size"), F.col("_row.text")), F.col("_words"))  # only those texts go to Python
+    return copies.select(F.col("_row").withField("text", F.coalesce(shorter, F.col("_row.text"))).alias("_row")).select("_row.*")
