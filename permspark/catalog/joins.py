@@ -321,7 +321,7 @@ def interval_table(spark, sf) -> DataFrame:
     nxt = placed.select((F.col("i") - 1).alias("i"), F.col("p_retailprice").alias("hi"))
     bins = placed.join(nxt, "i").select("bin", F.col("p_retailprice").alias("lo"), "hi")
     df = _li(spark, sf, (F.col("l_extendedprice") / 97).alias("v"))
-    return J.ranked_interval_join(df, "v", bins, "lo", "hi", split=True).groupBy("bin").agg(F.count("*").alias("n"))
+    return J.interval_join(df, "v", bins, "lo", "hi", split=True).groupBy("bin").agg(F.count("*").alias("n"))
 
 
 @query(

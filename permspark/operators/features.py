@@ -9,7 +9,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from permspark.functions.scalar import cut_index, ratio
 from permspark.operators.grouping import column_statistics, keep_first
@@ -182,18 +182,28 @@ def applicability(df: DataFrame, cols, profile: Profile, limit: float = 3.0, z:
     """Standardised-descriptor rule: 1 inside the training domain, 0 outside.
 
     In when no descriptor is extreme, out when all are, otherwise by mean + z * sd of the
-    standardised distances.
+    standardised distances. A descriptor that is constant in training is extreme wherever it differs. A row with a
+    missing descriptor has neither score nor domain.
     """
-    gaps = F.array(*[F.abs(F.col(c) - F.lit(profile.mean[c])) / F.lit(profile.sd[c]) for c in cols])
+    far = float("inf")
+
+    def gap(c) -> Column:
+        off = F.abs(F.col(c) - F.lit(profile.mean[c]))
+        return F.when(off > 0, F.lit(far)).otherwise(off) if profile.sd[c] == 0 else off / F.lit(profile.sd[c])
+
+    gaps = F.array(*[gap(c) for c in cols])
     k = float(len(cols))
     scored = df.withColumn("__s", gaps).withColumn("__mean", F.aggregate("__s", F.lit(0.0), lambda a, x: a + x) / k)
     squares = F.aggregate("__s", F.lit(0.0), lambda a, x: a + (x - F.col("__mean")) * (x - F.col("__mean")))
     scored = scored.withColumns(
         {"__max": F.array_max("__s"), "__min": F.array_min("__s"), "__sd": F.sqrt(ratio(squares, F.lit(k - 1)))}
     )
-    mixed = F.col("__mean") + F.lit(z) * F.col("__sd")
+    known = ~F.exists("__s", lambda x: x.isNull())
+    mixed = F.when(F.col("__max") == far, F.lit(far)).otherwise(F.col("__mean") + F.lit(z) * F.col("__sd"))
+    mixed = F.when(known, mixed)
     inside = (
-        F.when(F.col("__max") <= limit, F.lit(1))
+        F.when(~known, F.lit(None).cast("int"))
+        .when(F.col("__max") <= limit, F.lit(1))
         .when(F.col("__min") > limit, F.lit(0))
         .when(mixed <= limit, F.lit(1))
         .otherwise(F.lit(0))

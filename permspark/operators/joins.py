@@ -114,29 +114,19 @@ def resolve_ids(
     ).drop("__by_id", "__by_name")
 
 
-def interval_join(df: DataFrame, value: str, bins: DataFrame, lo: str, hi: str) -> DataFrame:
-    """Attach the bin with lo < value <= hi from a table of disjoint bins; NULL outside.
+def interval_join(df: DataFrame, value: str, bins: DataFrame, lo: str, hi: str, split: bool | None = None) -> DataFrame:
+    """Attach the bin with lo < value <= hi from a table of disjoint bins; NULL outside. A bin with a missing edge holds nothing.
 
-    A bin table counted as small is broadcast; a larger one goes through ranked_interval_join.
-    """
-    inside = (F.col(value) > F.col(lo)) & (F.col(value) <= F.col(hi))
-    if bins.limit(SMALL_TABLE_ROWS + 1).count() <= SMALL_TABLE_ROWS:
-        return df.join(F.broadcast(bins), inside, "left")
-    return ranked_interval_join(df, value, bins, lo, hi)
-
-
-def ranked_interval_join(df: DataFrame, value: str, bins: DataFrame, lo: str, hi: str, split: bool | None = None) -> DataFrame:
-    """The bin of a value is the one whose number equals the count of lower edges below the value.
-
-    Counting edges below every distinct value is an exact rank, and the rest are equi-joins: no value
-    is ever compared with more than one bin, however the bins are spread.
+    The bin of a value is the one whose number equals the count of lower edges below the value. Counting edges below every distinct
+    value is an exact rank, and the rest are equi-joins: no value is ever compared with more than one bin, however the bins are spread.
     """
     bins = staged(bins)
-    edges = bins.select(F.col(lo).cast("double").alias("__v"), F.lit(1).alias("__w"))
+    whole = bins.where(F.col(lo).isNotNull() & F.col(hi).isNotNull())
+    edges = whole.select(F.col(lo).cast("double").alias("__v"), F.lit(1).alias("__w"))
     values = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("__v")).distinct()
     both = staged(edges.unionByName(values.withColumn("__w", F.lit(0))))
     place = ranked_values(both, [], "__v", split=split, weight=F.col("__w")).select("__v", F.col("n_before").alias("__i"))
-    numbered = sequence_index(bins, [lo], out="__i", split=split).drop("n_total")
+    numbered = sequence_index(whole, [lo], out="__i", split=split).drop("n_total")
     found = place.join(numbered, "__i").where(F.col("__v") <= F.col(hi)).drop("__i")
     return df.withColumn("__v", F.col(value).cast("double")).join(spread(found, ["__v"]), "__v", "left").drop("__v")
 

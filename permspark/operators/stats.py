@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import NumericType
 
 from permspark.functions.distributions import t_p_value, t_upper_quantile
 from permspark.functions.scalar import hash_hex, hash_int, ratio
@@ -11,7 +12,7 @@ from permspark.operators.ordered import sequence_index
 
 
 def ols(df: DataFrame, x: str, y: str, keys=(), p_value: bool = False) -> DataFrame:
-    """Least squares y ~ x per group: slope, intercept, r2, n, t statistic and degrees of freedom."""
+    """Least squares y ~ x per group: slope, intercept, r2, n, t statistic (NULL for an exact fit) and degrees of freedom."""
     y_, x_ = F.col(y).cast("double"), F.col(x).cast("double")
     fit = df.groupBy(*keys).agg(
         F.regr_slope(y_, x_).alias("slope"),
@@ -22,7 +23,10 @@ def ols(df: DataFrame, x: str, y: str, keys=(), p_value: bool = False) -> DataFr
     fit = fit.withColumn("df", F.col("n") - 2).withColumn(
         "t_stat", F.signum("slope") * F.sqrt(ratio(F.col("r2") * F.col("df"), F.lit(1.0) - F.col("r2")))
     )
-    return fit.withColumn("p_value", t_p_value("t_stat", F.col("df").cast("double"))) if p_value else fit
+    if not p_value:
+        return fit
+    exact = (F.col("r2") >= 1) & (F.col("df") > 0)
+    return fit.withColumn("p_value", F.when(exact, F.lit(0.0)).otherwise(t_p_value("t_stat", F.col("df").cast("double"))))
 
 
 def tls_terms(x: str, y: str) -> list[Column]:
@@ -128,8 +132,14 @@ def prediction_interval(df: DataFrame, x: str, y: str, confidence: float = 0.95,
 
 
 def class_agreement(df: DataFrame, predicted: str, observed: str, keys=()) -> DataFrame:
-    """Accuracy and Cohen's kappa for any number of classes, from the contingency counts."""
+    """Accuracy and Cohen's kappa for any number of classes, from the contingency counts.
+
+    Numeric labels of different types are compared as numbers.
+    """
     keys = list(keys)
+    kinds = {df.schema[c].dataType for c in (predicted, observed)}
+    if len(kinds) > 1 and all(isinstance(k, NumericType) for k in kinds):
+        df = df.withColumns({c: F.col(c).cast("double") for c in (predicted, observed)})
     table = contingency(df.dropna(subset=[predicted, observed]), predicted, observed, keys)
     sides = F.array(
         F.struct(F.col(predicted).cast("string").alias("cls"), F.col("n").alias("p"), F.lit(0).cast("bigint").alias("o")),

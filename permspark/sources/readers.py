@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def read_delimited(
-    spark: SparkSession, path, schema: str, sep: str = ",", header: bool = True, multiline: bool = False
+    spark: SparkSession, path, schema: str, sep: str = ",", header: bool = True, multiline: bool = False, check_header: bool = False
 ) -> DataFrame:
+    """Columns are named by position; check_header makes reading fail if a header has other names. One task reads a multiline file."""
     return (
         spark.read.schema(schema)
         .option("header", header)
+        .option("enforceSchema", not check_header)
         .option("sep", sep)
         .option("encoding", "UTF-8")
         .option("multiLine", multiline)
@@ -41,14 +43,21 @@ def read_whitespace(spark: SparkSession, path, names: list[str]) -> DataFrame:
 def read_positional(spark: SparkSession, path, names: list[str], is_data: Column) -> DataFrame:
     """Files with a caption, a banner or a late header: name columns by position, keep data rows.
 
-    `is_data` decides per record, so the file may be split over any number of tasks.
+    `is_data` decides per record. Records may hold line ends, so one task reads each file: large inputs must come in many files.
     """
     schema = ", ".join(f"`{n}` string" for n in names)
     return read_delimited(spark, path, schema, header=False, multiline=True).where(is_data)
 
 
-def read_captioned(spark: SparkSession, path, names: list[str]) -> DataFrame:
-    """First record a caption (only its first field filled), second record the header."""
+def read_captioned(spark: SparkSession, path, names: list[str], caption: str | None = None) -> DataFrame:
+    """First record a caption, second record the header; all other records are data.
+
+    Give the caption's text where data records may have only their first field filled: without it, the caption is known by that.
+    """
+    if caption is not None:
+        filled = ~F.col(f"`{names[0]}`").eqNullSafe(caption)
+        header = F.col(f"`{names[0]}`").eqNullSafe(names[0]) & F.col(f"`{names[-1]}`").eqNullSafe(names[-1])
+        return read_positional(spark, path, names, filled & ~header)
     filled = reduce(lambda a, b: a | b, [F.col(f"`{n}`").isNotNull() for n in names[1:]])
     header = F.col(f"`{names[0]}`").eqNullSafe(names[0]) & F.col(f"`{names[-1]}`").eqNullSafe(names[-1])
     return read_positional(spark, path, names, filled & ~header)

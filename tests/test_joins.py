@@ -25,8 +25,18 @@ def test_interval_joins_agree(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     want = rows(J.interval_join(df, "v", bins, "lo", "hi").select("v", "bin"))
     for split in (True, False):
-        assert rows(J.ranked_interval_join(df, "v", bins, "lo", "hi", split=split).select("v", "bin")) == want
+        assert rows(J.interval_join(df, "v", bins, "lo", "hi", split=split).select("v", "bin")) == want
     assert len(want) == len(vals)
+    known = [tuple(b) for b in bins.collect()]
+    assert want == sorted([(v, next((i for i, a, b in known if v is not None and a < v <= b), None)) for v in vals], key=str)
+
+
+@pytest.mark.parametrize("n", [3, 1500])
+def test_bins_with_a_missing_edge_hold_nothing(spark, n):
+    bins = [(i, float(i), i + 1.0) for i in range(n)] + [(9001, None, 0.0), (9002, 5000.0, None), (9003, None, None)]
+    df = spark.createDataFrame([(0.5,), (1.5,), (n - 0.5,), (-3.0,), (6000.0,), (None,)], "v double")
+    out = J.interval_join(df, "v", spark.createDataFrame(bins, "bin int, lo double, hi double"), "lo", "hi")
+    assert {r["v"]: r["bin"] for r in out.collect()} == {0.5: 0, 1.5: 1, n - 0.5: n - 1, -3.0: None, 6000.0: None, None: None}
 
 
 def test_large_bin_table_is_not_broadcast(spark):

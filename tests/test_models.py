@@ -102,6 +102,13 @@ def test_applicability(spark):
         assert abs(got[i][1] - score) < 1e-12 and got[i][0] == int(score <= 3)
 
 
+def test_applicability_of_constant_and_missing_descriptors(spark):
+    p = FE.Profile({c: 0.0 for c in COLS}, {"a": 1.0, "b": 0.0, "c": 1.0})
+    df = spark.createDataFrame([(1, 0.1, 0.0, 0.3), (2, 0.1, 0.5, 0.3), (3, None, 0.0, 0.1), (4, 9.0, 0.5, 9.0)], "id int, a double, b double, c double")
+    got = {r["id"]: (r["in_domain"], r["domain_score"]) for r in FE.applicability(df, COLS, p).collect()}
+    assert got[1][0] == 1 and got[2] == (0, float("inf")) and got[3] == (None, None) and got[4] == (0, float("inf"))
+
+
 def test_imputation_uses_training_means(spark):
     train = spark.createDataFrame([(1.0, None), (3.0, 10.0)], "a double, b double")
     new = spark.createDataFrame([(None, None)], "a double, b double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from permspark.sources import names, readers, writers
@@ -23,6 +24,21 @@ def test_captioned_csv(spark, tmp_path):
     assert [tuple(r) for r in df.collect()] == [("antipyrine", "Colon", "1.2")] * 2
 
 
+def test_captioned_csv_keeps_rows_with_one_field(spark, tmp_path):
+    p = tmp_path / "caption.csv"
+    p.write_text("Caption,,\nSubstance,Organ,Peff\natenolol,,\nantipyrine,Colon,1.2\n")
+    df = readers.read_captioned(spark, str(p), ["Substance", "Organ", "Peff"], caption="Caption")
+    assert sorted(r[0] for r in df.collect()) == ["antipyrine", "atenolol"]
+
+
+def test_header_check(spark, tmp_path):
+    p = tmp_path / "h.csv"
+    p.write_text("b,a\n1,2\n")
+    assert readers.read_delimited(spark, str(p), "b string, a string", check_header=True).count() == 1
+    with pytest.raises(Exception):
+        readers.read_delimited(spark, str(p), "a string, b string", check_header=True).collect()
+
+
 def test_bom_and_quoted_header(spark, tmp_path):
     p = tmp_path / "bom.csv"
     p.write_bytes("﻿KEY,\"PREFERRED NAME\",% Active\nhttps://x/1,\"a, b\",2.5\n".encode())

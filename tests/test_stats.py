@@ -104,6 +104,16 @@ def test_kappa_of_types_that_differ(spark):
     assert T.class_agreement(df, "p", "o").first()["accuracy"] == pytest.approx(2 / 3)
 
 
+def test_kappa_of_numbers_of_two_types(spark):
+    df = spark.createDataFrame([(1.0, 1), (2.0, 2), (3.0, 1)], "p double, o int")
+    assert T.class_agreement(df, "p", "o").first()["accuracy"] == pytest.approx(2 / 3)
+
+
+def test_exact_fit_has_p_zero(spark):
+    df = spark.createDataFrame([(float(x), 2.0 * x + 1) for x in range(5)], "x double, y double")
+    assert T.ols(df, "x", "y", p_value=True).first()["p_value"] == 0.0
+
+
 def test_binary(spark):
     pairs = [("high", "high")] * 8 + [("low", "high")] * 2 + [("high", "low")] * 3 + [("low", "low")] * 7
     r = T.binary_agreement(spark.createDataFrame(pairs, "p string, o string"), "p", "o").first()
