@@ -62,14 +62,14 @@ _HOLE = "CASE WHEN (vec_id + {i}) % 7 = 0 THEN NULL ELSE embedding[{j}]::DOUBLE
 @query(
     "mean_impute",
     "WITH t AS (SELECT vec_id, label, "
-    + ", ".join(_HOLE.format(i=i, j=i + 1) + f" AS d{i}" for i in range(8))
-    + ") SELECT vec_id, ".replace(")", " FROM embeddings), m AS (SELECT " + ", ".join(f"avg(d{i}) AS m{i}" for i in range(8)) + " FROM t WHERE label < 8)", 1)
-    + ", ".join(q6(f"coalesce(d{i}, m{i})", f"d{i}") for i in range(8))
+    + ", ".join(_HOLE.format(i=i, j=i + 1) + f" AS d{i}" for i in range(64))
+    + ") SELECT vec_id, ".replace(")", " FROM embeddings), m AS (SELECT " + ", ".join(f"avg(d{i}) AS m{i}" for i in range(64)) + " FROM t WHERE label < 8)", 1)
+    + ", ".join(q6(f"coalesce(d{i}, m{i})", f"d{i}") for i in range(64))
     + " FROM t, m",
 )
 def mean_impute(spark, sf) -> DataFrame:
     """Holes filled with the training rows' means, on training and new rows alike."""
-    cols = COLS[:8]
+    cols = COLS[:64]
     df = descriptors(spark, sf).select(
         "vec_id", "label", *[F.when((F.col("vec_id") + i) % 7 != 0, F.col(c)).alias(c) for i, c in enumerate(cols)]
     )

@@ -196,7 +196,7 @@ def results_on_rows(spark, sf) -> DataFrame:
 
 
 def _sparse_cols(spark, sf) -> DataFrame:
-    e = wide_descriptors(table(spark, sf, "embeddings"), "embedding", 8, "e", ["vec_id", "label"])
+    e = wide_descriptors(table(spark, sf, "embeddings"), "embedding", 64, "e", ["vec_id", "label"])
     return e.withColumns(
         {
             "e3": F.when(F.col("label") != 9, F.col("e3")), "e4": F.when(F.col("label") != 9, F.col("e4")),
@@ -207,10 +207,10 @@ def _sparse_cols(spark, sf) -> DataFrame:
 
 @query(
     "drop_sparse_rows_cols",
-    f"""SELECT vec_id, {', '.join(q6(f'embedding[{i + 1}]', f'e{i}') for i in (0, 1, 2, 3, 4, 6, 7))} FROM embeddings WHERE label <> 9""",
+    f"""SELECT vec_id, {', '.join(q6(f'embedding[{i + 1}]', f'e{i}') for i in range(64) if i != 5)} FROM embeddings WHERE label <> 9""",
 )
 def drop_sparse_rows_cols(spark, sf) -> DataFrame:
-    cols = [f"e{i}" for i in range(8)]
+    cols = [f"e{i}" for i in range(64)]
     df = G.drop_sparsest_rows(_sparse_cols(spark, sf), cols)
     kept = G.complete_columns(df, cols)
     return rounded(df.select("vec_id", *kept), kept)

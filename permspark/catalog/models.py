@@ -54,13 +54,12 @@ def rf_reg_eval(spark, sf) -> DataFrame:
 @query("cv_tuning")
 def cv_tuning(spark, sf) -> DataFrame:
     """Cross-validated error per number of candidate columns, best one flagged."""
-    cols = COLS[:16]
-    out = M.repeated_cv(_data(spark, sf), cols, "y", ["vec_id"], True, M.mtry_grid(len(cols), True, steps=1), 3, 1, trees=10, depth=4)
+    out = M.repeated_cv(_data(spark, sf), COLS, "y", ["vec_id"], True, M.mtry_grid(len(COLS), True, steps=1), 3, 1, trees=10, depth=4)
     return out.withColumn("best", F.col("mtry") == M.tune_mtry(out))
 
 
 def _elimination(spark, sf):
-    return M.eliminate_features(_data(spark, sf), COLS[:24], "y", ["vec_id"], True, [4, 12], 2, 1, trees=10, depth=4)
+    return M.eliminate_features(_data(spark, sf), COLS, "y", ["vec_id"], True, [4, 12], 2, 1, trees=10, depth=4)
 
 
 @query("rfe_path")
