@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
@@ -160,19 +159,35 @@ def equal_frequency_bins(df: DataFrame, value: str, bins, prefix: str = "bin") -
     return df.withColumns({f"{prefix}{k}": cut_index(value, c) for k, c in cuts.items()})
 
 
-def cluster_cuts(df: DataFrame, value: str, bins, seed: int = 1, iterations: int = 20) -> dict[int, list[float]]:
-    """1-D k-means for each number of bins; cut points halfway between neighbouring centres."""
-    known = df.where(F.col(value).isNotNull()).select(array_to_vector(F.array(F.col(value).cast("double"))).alias("f"))
+def cluster_cuts(df: DataFrame, value: str, bins, iterations: int = 20) -> dict[int, list[float]]:
+    """1-D k-means for each number of bins; cut points halfway between neighbouring centres.
+
+    Centres start at equally spaced exact quantiles, and each round is one aggregate over the distinct values with their counts, so
+    the cuts don't depend on how the rows are partitioned. A cluster that loses its values keeps its centre.
+    """
+    known = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
     known = known.persist()
-    cuts = {}
     try:
-        for k in bins:
-            model = KMeans(k=k, seed=seed, featuresCol="f", maxIter=iterations).fit(known)
-            centres = sorted(float(c[0]) for c in model.clusterCenters())
-            cuts[k] = [(a + b) / 2 for a, b in zip(centres, centres[1:])]
+        start = quantiles(df, [], value, {f"q{k}_{i}": (2 * i + 1) / (2 * k) for k in bins for i in range(k)}).first()
+        if start is None:
+            return {k: [] for k in bins}
+        centres = {k: [float(start[f"q{k}_{i}"]) for i in range(k)] for k in bins}
+        for _ in range(iterations):
+            cuts = {k: [(a + b) / 2 for a, b in zip(c, c[1:])] for k, c in centres.items()}
+            sums = []
+            for k, c in cuts.items():
+                for i in range(k):
+                    here = cut_index("__v", c) == i + 1
+                    sums += [F.sum(F.when(here, F.col("__v") * F.col("__n"))).alias(f"s{k}_{i}"), F.sum(F.when(here, F.col("__n"))).alias(f"n{k}_{i}")]
+            row = known.agg(*sums).first()
+            moved = {k: [row[f"s{k}_{i}"] / row[f"n{k}_{i}"] if row[f"n{k}_{i}"] else c[i] for i in range(k)] for k, c in centres.items()}
+            still = all(abs(a - b) <= 1e-9 * max(1.0, abs(a)) for k in centres for a, b in zip(centres[k], moved[k]))
+            centres = {k: sorted(c) for k, c in moved.items()}
+            if still:
+                break
     finally:
         known.unpersist()
-    return cuts
+    return {k: [(a + b) / 2 for a, b in zip(c, c[1:])] for k, c in centres.items()}
 
 
 # --- applicability domain -----------------------------------------------------------------------------

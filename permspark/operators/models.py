@@ -34,8 +34,18 @@ def evaluator(label: str, classify: bool):
     return RegressionEvaluator(labelCol=label, metricName="rmse")
 
 
+#: Training rows for each partition. Bagging draws by partition, so their number follows the data, not the cluster.
+ROWS_PER_PART = 200_000
+
+
+def dealt(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
+    """Rows in partitions and an order that depend on the rows alone, so that a seed gives the same forest on any cluster."""
+    parts = 8 + df.count() // ROWS_PER_PART
+    return df.repartition(parts, *cols, label).sortWithinPartitions(*cols, label)
+
+
 def fit_forest(df: DataFrame, cols: Sequence[str], label: str, classify: bool, **kw):
-    return forest(label, classify, **kw).fit(assembled(df, cols))
+    return forest(label, classify, **kw).fit(assembled(dealt(df, cols, label), cols))
 
 
 def fold_column(key, folds: int, repeat: int, seed: int = SEED) -> Column:

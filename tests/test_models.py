@@ -116,6 +116,14 @@ def test_imputation_uses_training_means(spark):
     assert tuple(FE.impute(new, p).first()) == (2.0, 10.0)
 
 
+def test_forests_and_cuts_do_not_depend_on_partitions(spark):
+    df = spark.range(300).select(*[((F.col("id") * (7 + 2 * k)) % (31 + k)).cast("double").alias(c) for k, c in enumerate("abcd")])
+    df = df.withColumn("y", ((F.col("a") + F.col("b")) > 30).cast("double")).persist()
+    many = [df.repartition(n) for n in (1, 4, 9)]
+    assert len({str(M.fit_forest(d, list("abcd"), "y", True, trees=5, depth=3).featureImportances) for d in many}) == 1
+    assert len({str([round(c, 9) for c in FE.cluster_cuts(d, "a", [5])[5]]) for d in many}) == 1
+
+
 def test_cluster_cuts(spark):
     df = spark.createDataFrame([(float(x),) for x in [0, 0.1, 0.2, 10, 10.1, 10.2, None or 10.0]], "v double")
     (cut,) = FE.cluster_cuts(df, "v", [2])[2]
