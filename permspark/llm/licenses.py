@@ -11,6 +11,7 @@ like a result are replaced by it. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -92,21 +93,32 @@ def fuzzy_spans(folded: str, notices=tuple(NOTICES)) -> list[tuple[int, int, int
         m = patterns[k].search(folded, max(0, start - slack), max(0, start + len(notices[k][0]) + slack))
         if m:
             found.add((m.start(), m.end(), k, sum(m.fuzzy_counts)))
-    out: list[tuple[int, int, int, int]] = []
+    out: list[tuple[int, int, int, int]] = []  # in order and not overlapping, so only the neighbours matter
     for span in sorted(found, key=lambda x: (x[3] / len(notices[x[2]][0]), x[3], x[0], x[1], x[2])):
-        if all(span[1] <= o[0] or span[0] >= o[1] for o in out):
-            out.append(span)
-    return sorted(out)
+        at = bisect_left(out, span)
+        if (at == 0 or out[at - 1][1] <= span[0]) and (at == len(out) or span[1] <= out[at][0]):
+            insort(out, span)
+    return out
+
+
+def spaces_before(text, space, places: list[int]) -> list[int]:
+    """Number of spaces before each of the ascending places, counted in one pass over the text."""
+    out, total, last = [], 0, 0
+    for at in places:
+        total, last = total + text.count(space, last, at), at
+        out.append(total)
+    return out
 
 
 def phrase_places(folded: bytes) -> list[tuple[int, str]]:
     """Word index and label of each place of a phrase; `folded` has one space around every word."""
-    out = []
+    found = []
     for phrase, label in PHRASES:
         wanted, at = f" {phrase} ".encode(), -1
         while (at := folded.find(wanted, at + 1)) >= 0:
-            out.append((folded.count(b" ", 0, at), label))
-    return sorted(out)
+            found.append((at, label))
+    found.sort()
+    return list(zip(spaces_before(folded, b" ", [at for at, _ in found]), (label for _, label in found)))
 
 
 def scan(text: str | None, notices=tuple(NOTICES)) -> tuple:
@@ -120,9 +132,9 @@ def scan(text: str | None, notices=tuple(NOTICES)) -> tuple:
     spans = []
     if fuzzy:
         where = [m.span() for m in WORD.finditer(text)]
-        for start, end, k, errors in fuzzy:
+        for (start, end, k, errors), before in zip(fuzzy, spaces_before(clear, " ", [f[0] for f in fuzzy])):
             inside = clear[start:end].strip()
-            first = clear.count(" ", 0, start) + (clear[start] == " ")
+            first = before + (clear[start] == " ")
             last = first + inside.count(" ")
             spans.append(f"{notices[k][1]}:{where[first][0]}:{where[last][1]}:{errors}")
     score = 1.0 if base else max((1 - errors / len(notices[k][0]) for _, _, k, errors in fuzzy), default=0.0)

@@ -104,6 +104,17 @@ def test_every_bounded_error_is_found():
             assert any(n == k or notices[n][1] == notices[k][1] or notices[n][1].startswith("cc") for _, _, n, _ in found), "".join(text)
 
 
+def test_many_notices_in_a_long_text():
+    line = "Released under the MIT License, then licenced under CC BY 4.0; "
+    n = 3000
+    got = L.scan("x é " * 50 + line * n)
+    assert got[1:6] == (n, 103, 103 + 12 * (n - 1), "mit", "cc-by,mit")
+    spans = [tuple(map(int, s.split(":")[1:])) for s in got[7].split(",")]
+    starts = [200 + k * len(line) + d for k in range(n) for d in (0, line.index("licenced"))]
+    assert [s[0] for s in spans] == starts and spans == sorted(spans)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_find_licenses(spark):
     texts = [None, "", "Released under the MIT License.", "Licenced under the Apache Licence, Version 2.0", "word " * 60_000 + "mit license", "GNU General Public License and MIT license"]
     df = spread(spark, [*enumerate(texts), (2, texts[2]), (None, None)], "doc_id long, text string", "labels", "score", "n_words")
