@@ -57,9 +57,9 @@ def quantile_by_group(spark, sf) -> DataFrame:
     f"SELECT l_returnflag, {_q('l_extendedprice / 999.9991')}, count(*) AS n_total FROM lineitem GROUP BY 1",
 )
 def quantile_split(spark, sf) -> DataFrame:
-    """Three groups hold all rows: each is cut into value ranges."""
+    """Three groups hold all rows: each is many ranges."""
     df = _li(spark, sf, "l_returnflag", (F.col("l_extendedprice") / 999.9991).alias("v"))
-    return rounded(O.quantiles(df, ["l_returnflag"], "v", _PROBS, split=True), list(_PROBS))
+    return rounded(O.quantiles(df, ["l_returnflag"], "v", _PROBS), list(_PROBS))
 
 
 @query(
@@ -69,8 +69,8 @@ def quantile_split(spark, sf) -> DataFrame:
       FROM lineitem) GROUP BY 1""",
 )
 def rank_overall(spark, sf) -> DataFrame:
-    """Average-tie rank over the whole table, cut into value ranges."""
-    df = O.average_rank(_li(spark, sf, "l_suppkey", "l_extendedprice"), [], "l_extendedprice", "r", split=True)
+    """Average-tie rank over the whole table, cut into ranges."""
+    df = O.average_rank(_li(spark, sf, "l_suppkey", "l_extendedprice"), [], "l_extendedprice", "r")
     return df.groupBy("l_suppkey").agg(
         F.count("*").alias("n"), F.sum("r").alias("rank_sum"), F.min("r").alias("rank_min"), F.max("r").alias("rank_max")
     )
@@ -83,12 +83,28 @@ def rank_overall(spark, sf) -> DataFrame:
       FROM lineitem) GROUP BY 1""",
 )
 def surrogate_ids(spark, sf) -> DataFrame:
-    df = O.sequence_index(_li(spark, sf, *ROW_KEY), ROW_KEY, out="id", split=True)
+    df = O.sequence_index(_li(spark, sf, *ROW_KEY), ROW_KEY, out="id")
     return df.groupBy("l_suppkey").agg(
         F.sum("id").alias("id_sum"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
     )
 
 
+@query(
+    "sequence_by_text",
+    """SELECT l_suppkey, sum(id)::BIGINT AS id_sum, min(id) AS first_id, max(id) AS last_id, max(n_total) AS n_total FROM (
+      SELECT l_suppkey, count(*) OVER (PARTITION BY l_linestatus) AS n_total, row_number() OVER (PARTITION BY l_linestatus
+        ORDER BY l_returnflag, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS id
+      FROM lineitem) GROUP BY 1""",
+)
+def sequence_by_text(spark, sf) -> DataFrame:
+    """Row numbers in two large groups, by a text with few values, then a date."""
+    order = ["l_returnflag", "l_shipdate", *ROW_KEY]
+    df = O.sequence_index(_li(spark, sf, "l_linestatus", *order), order, ["l_linestatus"], out="id")
+    return df.groupBy("l_suppkey").agg(
+        F.sum("id").alias("id_sum"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max("n_total").alias("n_total")
+    )
+
+
 def _hist(x: str, keys: str, where: str = "TRUE", lo: str = "min(x)", hi: str = "max(x)") -> str:
     return f"""WITH t AS (SELECT {keys}, {x} AS x FROM lineitem WHERE {where}),
       b AS (SELECT {lo} AS lo, {hi} AS hi FROM t)

@@ -321,7 +321,30 @@ def interval_table(spark, sf) -> DataFrame:
     nxt = placed.select((F.col("i") - 1).alias("i"), F.col("p_retailprice").alias("hi"))
     bins = placed.join(nxt, "i").select("bin", F.col("p_retailprice").alias("lo"), "hi")
     df = _li(spark, sf, (F.col("l_extendedprice") / 97).alias("v"))
-    return J.interval_join(df, "v", bins, "lo", "hi", split=True).groupBy("bin").agg(F.count("*").alias("n"))
+    return J.interval_join(df, "v", bins, "lo", "hi").groupBy("bin").agg(F.count("*").alias("n"))
+
+
+@query(
+    "interval_join",
+    """WITH bins AS (SELECT o_orderkey AS bin, o_orderkey - 0.75 AS lo, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey + 0.0 END AS hi
+      FROM (SELECT DISTINCT o_orderkey FROM orders)),
+    few AS (SELECT r_regionkey AS region, 3000.0 * r_regionkey AS lo, 3000.0 * r_regionkey + 2000 AS hi FROM region)
+    SELECT region, count(*) AS n, count(bin) AS n_met, sum(bin)::BIGINT AS bin_sum FROM lineitem
+    LEFT JOIN bins ON l_orderkey - l_linenumber / 8.0 > bins.lo AND l_orderkey - l_linenumber / 8.0 <= bins.hi
+    LEFT JOIN few ON l_suppkey * 10 > few.lo AND l_suppkey * 10 <= few.hi GROUP BY 1""",
+)
+def interval_join(spark, sf) -> DataFrame:
+    """As many bins as orders, some without an upper edge, then five bins with gaps."""
+    key = F.col("o_orderkey")
+    many = table(spark, sf, "orders").select("o_orderkey").distinct().select(
+        key.alias("bin"), (key - F.lit(0.75)).alias("lo"), F.when(key % 7 > 0, key.cast("double")).alias("hi")
+    )
+    edge = 3000.0 * F.col("r_regionkey")
+    few = table(spark, sf, "region").select(F.col("r_regionkey").alias("region"), edge.alias("lo"), (edge + 2000).alias("hi"))
+    df = _li(spark, sf, (F.col("l_orderkey") - F.col("l_linenumber") / 8.0).alias("v"), (F.col("l_suppkey") * 10.0).alias("w"))
+    met = J.interval_join(df, "v", many, "lo", "hi").drop("lo", "hi")
+    met = J.interval_join(met, "w", few, "lo", "hi")
+    return met.groupBy("region").agg(F.count("*").alias("n"), F.count("bin").alias("n_met"), F.sum("bin").alias("bin_sum"))
 
 
 @query(

@@ -1,7 +1,7 @@
 """Keyed joins. The driving table keeps all its rows; lookups are reduced to one row per key first.
 
-No side is broadcast by hand unless it is a literal table or its size has just been counted; adaptive
-execution broadcasts a side whose measured size is below its threshold.
+No side is broadcast by hand unless it is a literal table; adaptive execution broadcasts a side whose measured size is below its
+threshold.
 """
 
 from __future__ import annotations
@@ -14,13 +14,6 @@ from permspark.operators.grouping import concat_values, keep_first
 from permspark.operators.ordered import join_keys, ranked_values, sequence_index, spread
 from permspark.sources.writers import staged
 
-SMALL_TABLE_ROWS = 1000
-
-
-def broadcast_if_counted_small(dim: DataFrame, rows: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Broadcast a dimension only after counting that it has at most `rows` rows; else leave it as it is."""
-    return F.broadcast(dim) if dim.limit(rows + 1).count() <= rows else dim
-
 
 def lookup(base: DataFrame, dim: DataFrame, on: list[str], match_missing: bool = False) -> DataFrame:
     """Every row of base with the matching columns of dim; a missing key matches only on request."""
@@ -114,7 +107,7 @@ def resolve_ids(
     ).drop("__by_id", "__by_name")
 
 
-def interval_join(df: DataFrame, value: str, bins: DataFrame, lo: str, hi: str, split: bool | None = None) -> DataFrame:
+def interval_join(df: DataFrame, value: str, bins: DataFrame, lo: str, hi: str, ranges: int | None = None) -> DataFrame:
     """Attach the bin with lo < value <= hi from a table of disjoint bins; NULL outside. A bin with a missing edge holds nothing.
 
     The bin of a value is the one whose number equals the count of lower edges below the value. Counting edges below every distinct
@@ -124,9 +117,9 @@ def interval_join(df: DataFrame, value: str, bins: DataFrame, lo: str, hi: str,
     whole = bins.where(F.col(lo).isNotNull() & F.col(hi).isNotNull())
     edges = whole.select(F.col(lo).cast("double").alias("__v"), F.lit(1).alias("__w"))
     values = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("__v")).distinct()
-    both = staged(edges.unionByName(values.withColumn("__w", F.lit(0))))
-    place = ranked_values(both, [], "__v", split=split, weight=F.col("__w")).select("__v", F.col("n_before").alias("__i"))
-    numbered = sequence_index(whole, [lo], out="__i", split=split).drop("n_total")
+    both = edges.unionByName(values.withColumn("__w", F.lit(0)))
+    place = ranked_values(both, [], "__v", F.col("__w"), ranges).select("__v", F.col("n_before").alias("__i"))
+    numbered = sequence_index(whole, [lo], out="__i", ranges=ranges).drop("n_total")
     found = place.join(numbered, "__i").where(F.col("__v") <= F.col(hi)).drop("__i")
     return df.withColumn("__v", F.col(value).cast("double")).join(spread(found, ["__v"]), "__v", "left").drop("__v")
 

@@ -1,21 +1,17 @@
 """Exact ranks, quantiles and sequence numbers that never sort a whole group in one task.
 
-A window over one partition, or percentile() over one hot key, puts a group into a single task.
-Here a group is cut into value ranges first. Rows are reduced to distinct (key, value) counts, the
-ranges get running totals (at most `bins` small rows per key), and only the rows of one range are
-ever ordered together. The ranges depend on the exact minimum and maximum alone, so a recomputed
-partition always lands in the same ranges.
-
-Each operator counts its largest group first. When even that is small, one task per group is safe and
-the plain window or percentile() is used; `split=True` or `split=False` skips the count.
+A window over one partition, or percentile() over one hot key, puts a group into a single task. Here rows (or their distinct
+(key, value) counts) are range-partitioned by key and order columns, whatever their types, and stored with the number of their range.
+Ranges are about equally deep: one hot key, or a far outlier, is cut into as many of them as its rows fill. Totals per key and range add
+up to offsets, and only the rows of one key and range are ever ordered together. Neither the size of a group nor the place of the cuts
+changes a result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BINS = 1024
-SMALL_GROUP_ROWS = 100_000
+from permspark.sources.writers import staged
 
 
 def null_safe_on(left: DataFrame, right: DataFrame, pairs) -> Column:
@@ -43,104 +39,66 @@ def spread(df: DataFrame, keys) -> DataFrame:
     return df.repartition(*keys)
 
 
-def _stretch(c: Column) -> Column:
-    """Monotone compression of large magnitudes, so that far outliers do not crowd one range."""
-    return F.signum(c) * F.log1p(F.abs(c))
+def _in_ranges(df: DataFrame, order, ranges: int | None) -> DataFrame:
+    """Rows stored with their range `__range` of `order`; by default as many ranges as the session has shuffle partitions.
 
-
-def _range_of(df: DataFrame, value: str, bins: int, bounds=None) -> Column:
-    """Index of the value range; `bounds` may give known (low, high) limits."""
-    v = _stretch(F.col(value).cast("double"))
-    if bounds is None:
-        lo, hi = df.select(F.min(v)).scalar(), df.select(F.max(v)).scalar()
-    else:
-        lo, hi = _stretch(F.lit(float(bounds[0]))), _stretch(F.lit(float(bounds[1])))
-    # width_bucket is NULL when all values are equal and 0 or bins + 1 outside the limits
-    bucket = F.width_bucket(v, lo, hi, F.lit(bins))
-    return F.greatest(F.lit(1), F.least(F.lit(bins), F.coalesce(bucket, F.lit(1)))).cast("int")
+    The number is stored with the rows, so that totals and rows always speak of the same ranges, also after a lost executor.
+    """
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return staged(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()))
 
 
 def _range_totals(counts: DataFrame, keys) -> DataFrame:
-    """Rows before each range and in the whole group; at most `bins` rows per group here."""
-    sums = counts.groupBy(*keys, "__b").agg(F.sum("n").alias("__in"))
-    run = Window.partitionBy(*keys).orderBy("__b")
+    """Rows before each range and in the whole group; a group has at most one row per range here."""
+    sums = counts.groupBy(*keys, "__range").agg(F.sum("n").alias("__in"))
+    run = Window.partitionBy(*keys).orderBy("__range")
     return sums.select(
         *keys,
-        "__b",
+        "__range",
         "__in",
         F.coalesce(F.sum("__in").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
         F.sum("__in").over(Window.partitionBy(*keys)).alias("n_total"),
     )
 
 
-def _value_counts(df: DataFrame, keys, value: str, bins: int, bounds, weight: Column | None = None) -> DataFrame:
-    known = df.where(F.col(value).isNotNull())
+def _value_counts(df: DataFrame, keys, value: str, ranges: int | None, weight: Column | None = None) -> DataFrame:
     n = F.count("*") if weight is None else F.sum(weight)
-    return known.groupBy(*keys, value).agg(n.alias("n")).withColumn("__b", _range_of(known, value, bins, bounds))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("n"))
+    return _in_ranges(counts, [*keys, value], ranges)
 
 
 def _running(counts: DataFrame, totals: DataFrame, keys, value: str) -> DataFrame:
-    run = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    joined = join_keys(counts, totals, [*keys, "__b"])
+    run = Window.partitionBy(*keys, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    joined = join_keys(counts, totals, [*keys, "__range"])
     return joined.withColumn("n_before", F.col("__before") + F.coalesce(F.sum("n").over(run), F.lit(0)))
 
 
-def needs_split(df: DataFrame, keys, value: str | None = None) -> bool:
-    """True when the largest group is too big for one task; one number comes to the driver."""
-    rows = df if value is None else df.where(F.col(value).isNotNull())
-    largest = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    return (largest or 0) > SMALL_GROUP_ROWS
-
-
-def ranked_values(
-    df: DataFrame, keys, value: str, bins: int = BINS, bounds=None, split: bool | None = None, weight: Column | None = None
-) -> DataFrame:
+def ranked_values(df: DataFrame, keys, value: str, weight: Column | None = None, ranges: int | None = None) -> DataFrame:
     """One row per distinct (keys, value): n, n_before (rows below) and n_total.
 
     With a `weight` these are sums of the weight instead of row counts.
     """
     keys = list(keys)
-    if not (needs_split(df, keys, value) if split is None else split):
-        group = Window.partitionBy(*keys)
-        run = group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        n = F.count("*") if weight is None else F.sum(weight)
-        counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("n"))
-        return counts.select(
-            *keys, value, "n", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("n_before"), F.sum("n").over(group).alias("n_total")
-        )
-    counts = _value_counts(df, keys, value, bins, bounds, weight)
-    return _running(counts, _range_totals(counts, keys), keys, value).select(
-        *keys, value, "n", "n_before", "n_total"
-    )
+    counts = _value_counts(df, keys, value, ranges, weight)
+    return _running(counts, _range_totals(counts, keys), keys, value).select(*keys, value, "n", "n_before", "n_total")
 
 
-def average_rank(
-    df: DataFrame, keys, value: str, out: str = "rank", bins: int = BINS, bounds=None, split: bool | None = None
-) -> DataFrame:
+def average_rank(df: DataFrame, keys, value: str, out: str = "rank", ranges: int | None = None) -> DataFrame:
     """Rank with ties averaged, within keys (or overall); a missing value has no rank."""
     keys = list(keys)
-    ranks = ranked_values(df, keys, value, bins, bounds, split).select(
+    ranks = ranked_values(df, keys, value, ranges=ranges).select(
         *keys, value, (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(out)
     )
     return join_keys(df, spread(ranks, [*keys, value]), [*keys, value], "left")
 
 
-def quantiles(
-    df: DataFrame, keys, value: str, probs: dict[str, float], bins: int = BINS, bounds=None, split: bool | None = None
-) -> DataFrame:
+def quantiles(df: DataFrame, keys, value: str, probs: dict[str, float], ranges: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles per group, as named columns plus n_total.
 
     Groups whose values are all missing give no row; use `keep_groups` to add them back as NULL.
     """
     keys = list(keys)
-    if not (needs_split(df, keys, value) if split is None else split):
-        known = df.where(F.col(value).isNotNull())
-        q = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in probs.values()]))
-        found = known.groupBy(*keys).agg(q.alias("__q"), F.count("*").alias("n_total"))
-        if not keys:
-            found = found.where(F.col("n_total") > 0)
-        return found.select(*keys, *[F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(probs)], "n_total")
-    counts = _value_counts(df, keys, value, bins, bounds)
+    counts = _value_counts(df, keys, value, ranges)
     totals = _range_totals(counts, keys)
 
     def position(p: float) -> Column:
@@ -163,6 +121,8 @@ def quantiles(
     for name, p in probs.items():
         picks += [value_at(target(p, 0)).alias(f"__lo_{name}"), value_at(target(p, 1)).alias(f"__hi_{name}")]
     found = near.groupBy(*keys).agg(*picks, F.max("n_total").alias("n_total"))
+    if not keys:
+        found = found.where(F.col("n_total") > 0)
     out = []
     for name, p in probs.items():
         lo, hi = F.col(f"__lo_{name}").cast("double"), F.col(f"__hi_{name}").cast("double")
@@ -170,20 +130,18 @@ def quantiles(
     return found.select(*keys, *out, "n_total")
 
 
-def medians(df: DataFrame, keys, value: str, out: str = "median", split: bool | None = None) -> DataFrame:
-    return quantiles(df, keys, value, {out: 0.5}, split=split).drop("n_total")
+def medians(df: DataFrame, keys, value: str, out: str = "median", ranges: int | None = None) -> DataFrame:
+    return quantiles(df, keys, value, {out: 0.5}, ranges).drop("n_total")
 
 
 def medians_of(df: DataFrame, keys, values: dict[str, str]) -> DataFrame:
-    """Medians of several columns per group, {column: output name}; one pass when groups are small."""
+    """Medians of several columns per group, {column: output name}, in one pass; groups without values keep a row of NULLs."""
     keys = list(keys)
-    if not needs_split(df, keys):
-        aggs = [F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(out) for c, out in values.items()]
-        return df.groupBy(*keys).agg(*aggs)
-    out = df.select(*keys).distinct()
-    for c, name in values.items():
-        out = join_keys(out, medians(df, keys, c, name, split=True), keys, "left")
-    return out
+    each = F.array(*[F.struct(F.lit(i).alias("__i"), F.col(c).cast("double").alias("__x")) for i, c in enumerate(values)])
+    found = quantiles(df.select(*keys, F.inline(each)), [*keys, "__i"], "__x", {"__m": 0.5})
+    picks = [F.max(F.when(F.col("__i") == i, F.col("__m"))).alias(name) for i, name in enumerate(values.values())]
+    wide = found.groupBy(*keys).agg(*picks)
+    return keep_groups(wide, df, keys) if keys else wide
 
 
 def keep_groups(summary: DataFrame, df: DataFrame, keys) -> DataFrame:
@@ -191,25 +149,19 @@ def keep_groups(summary: DataFrame, df: DataFrame, keys) -> DataFrame:
     return join_keys(df.select(*keys).distinct(), summary, list(keys), "left")
 
 
-def sequence_index(
-    df: DataFrame, order_cols, keys=(), out: str = "row_id", bins: int = BINS, bounds=None, split: bool | None = None
-) -> DataFrame:
-    """1-based row number in the order of `order_cols` (first one numeric and non-null), with n_total.
+def sequence_index(df: DataFrame, order_cols, keys=(), out: str = "row_id", ranges: int | None = None) -> DataFrame:
+    """1-based row number in the order of `order_cols` (of any type, missing first), with n_total.
 
-    Numbers run over the whole table, or within `keys`. Rows are split into ranges of the first order
-    column; each range is numbered on its own and shifted by the rows of earlier ranges, so no task
-    sees more than its ranges.
+    Numbers run over the whole table, or within `keys`. Ranges are cut by all order columns, so many rows with one value of the first are
+    many ranges, too; each range is numbered on its own and shifted by the rows of earlier ranges. `order_cols` should tell rows apart:
+    among rows equal in all of them any order may come out.
     """
     order_cols, keys = list(order_cols), list(keys)
-    if not (needs_split(df, keys) if split is None else split):
-        group = Window.partitionBy(*keys)
-        number = F.row_number().over(group.orderBy(*order_cols)).cast("bigint")
-        return df.select("*", F.count("*").over(group).alias("n_total"), number.alias(out))
-    tagged = df.withColumn("__b", _range_of(df, order_cols[0], bins, bounds))
-    totals = _range_totals(tagged.withColumn("n", F.lit(1)), keys).drop("__in")
-    within = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order_cols))
+    tagged = _in_ranges(df, [*keys, *order_cols], ranges)
+    totals = _range_totals(tagged.select(*keys, "__range", F.lit(1).alias("n")), keys).drop("__in")
+    within = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(*order_cols))
     return (
-        join_keys(tagged.withColumn("__rn", within), totals, [*keys, "__b"])
+        join_keys(tagged.withColumn("__rn", within), totals, [*keys, "__range"])
         .withColumn(out, (F.col("__before") + F.col("__rn")).cast("bigint"))
-        .drop("__b", "__rn", "__before")
+        .drop("__range", "__rn", "__before")
     )

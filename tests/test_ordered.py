@@ -1,4 +1,4 @@
-"""Ranks, quantiles and sequence numbers: the split path must equal the plain one and numpy."""
+"""Ranks, quantiles and sequence numbers: equal to numpy and pandas however many ranges there are."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from permspark.operators import ordered
 
+RANGES = [1, 3, 40, None]
+
 
 @pytest.fixture(scope="module")
 def values(spark):
@@ -24,29 +26,28 @@ def values(spark):
     return pdf, df.persist()
 
 
-@pytest.mark.parametrize("split", [True, False])
-def test_average_rank(values, split):
+@pytest.mark.parametrize("ranges", RANGES)
+def test_average_rank(values, ranges):
     pdf, df = values
-    got = ordered.average_rank(df, ["g"], "v", "r", split=split).toPandas().set_index("id").sort_index()
+    got = ordered.average_rank(df, ["g"], "v", "r", ranges=ranges).toPandas().set_index("id").sort_index()
     want = pdf.set_index("id").groupby("g")["v"].rank(method="average")
     pd.testing.assert_series_equal(got["r"].astype(float), want, check_names=False)
     assert len(got) == len(pdf)
 
 
-@pytest.mark.parametrize("split", [True, False])
-def test_global_rank_sums(values, split):
+@pytest.mark.parametrize("ranges", RANGES)
+def test_global_rank_sums(values, ranges):
     pdf, df = values
-    got = ordered.average_rank(df, [], "v", "r", split=split).agg(F.sum("r"), F.count("r")).first()
+    got = ordered.average_rank(df, [], "v", "r", ranges=ranges).agg(F.sum("r"), F.count("r")).first()
     n = int(pdf["v"].notna().sum())
     assert got[1] == n and got[0] == n * (n + 1) / 2
 
 
-@pytest.mark.parametrize("split", [True, False])
-@pytest.mark.parametrize("bins", [3, 1024])
-def test_quantiles(values, split, bins):
+@pytest.mark.parametrize("ranges", RANGES)
+def test_quantiles(values, ranges):
     pdf, df = values
     probs = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.975, "e": 1.0}
-    got = ordered.quantiles(df, ["g"], "v", probs, bins=bins, split=split).toPandas().set_index("g").sort_index()
+    got = ordered.quantiles(df, ["g"], "v", probs, ranges=ranges).toPandas().set_index("g").sort_index()
     for name, p in probs.items():
         want = pdf.groupby("g")["v"].quantile(p)
         np.testing.assert_allclose(got[name].to_numpy(float), want.sort_index().to_numpy(), rtol=1e-12)
@@ -55,18 +56,18 @@ def test_quantiles(values, split, bins):
 
 def test_quantiles_of_constant_and_empty_groups(spark):
     df = spark.createDataFrame([(1, 2.0), (1, 2.0), (2, None)], "g int, v double")
-    for split in (True, False):
-        rows = ordered.quantiles(df, ["g"], "v", {"m": 0.5}, split=split).collect()
+    for ranges in RANGES:
+        rows = ordered.quantiles(df, ["g"], "v", {"m": 0.5}, ranges=ranges).collect()
         assert [tuple(r) for r in rows] == [(1, 2.0, 2)]
     kept = ordered.keep_groups(ordered.quantiles(df, ["g"], "v", {"m": 0.5}), df, ["g"]).orderBy("g").collect()
     assert [(r["g"], r["m"]) for r in kept] == [(1, 2.0), (2, None)]
 
 
-@pytest.mark.parametrize("split", [True, False])
-def test_sequence_index(values, split):
+@pytest.mark.parametrize("ranges", RANGES)
+def test_sequence_index(values, ranges):
     pdf, df = values
     known = df.where("v is not null")
-    got = ordered.sequence_index(known, ["v", "id"], keys=["g"], split=split).toPandas()
+    got = ordered.sequence_index(known, ["v", "id"], keys=["g"], ranges=ranges).toPandas()
     want = pdf.dropna().sort_values(["v", "id"]).groupby("g").cumcount() + 1
     got = got.set_index("id")["row_id"].sort_index()
     assert (got.to_numpy() == want.sort_index().to_numpy()).all()
@@ -74,11 +75,66 @@ def test_sequence_index(values, split):
 
 def test_null_keys_are_one_group(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, v double")
-    for split in (True, False):
-        rows = {r["g"]: r["m"] for r in ordered.quantiles(df, ["g"], "v", {"m": 0.5}, split=split).collect()}
+    for ranges in RANGES:
+        rows = {r["g"]: r["m"] for r in ordered.quantiles(df, ["g"], "v", {"m": 0.5}, ranges=ranges).collect()}
         assert rows == {None: 2.0, "a": 5.0}
 
 
+def test_order_of_any_type(spark):
+    rng = np.random.default_rng(8)
+    n = 900
+    pdf = pd.DataFrame({"id": np.arange(n), "t": [f"x{k}" if k % 5 else None for k in rng.integers(0, 60, n)], "m": rng.integers(0, 50, n)})
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "id long, t string, m long")
+    df = df.withColumn("d", F.date_add(F.lit("2020-01-01").cast("date"), F.col("m").cast("int")))
+    want = pdf.sort_values(["t", "m", "id"], na_position="first")["id"].tolist()
+    for ranges in RANGES:
+        got = ordered.sequence_index(df, ["t", "d", "id"], ranges=ranges).orderBy("row_id").select("id", "row_id", "n_total").collect()
+        assert [r["id"] for r in got] == want and [r["row_id"] for r in got] == list(range(1, n + 1)) and got[0]["n_total"] == n
+        ranks = {r["id"]: r["rank"] for r in ordered.average_rank(df, [], "t", ranges=ranges).collect()}
+        plain = pdf["t"].rank(method="average")
+        assert all((ranks[i] is None and np.isnan(plain[i])) or ranks[i] == plain[i] for i in range(n))
+
+
+def test_inner_columns_do_not_clash(spark):
+    """Callers keep scratch columns, too."""
+    df = spark.createDataFrame([(1, 3.0), (2, 1.0), (3, 3.0)], "id int, __b double")
+    got = ordered.average_rank(df, [], "__b", "r").orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, 3.0, 2.5), (2, 1.0, 1.0), (3, 3.0, 2.5)]
+
+
+def test_one_value_and_no_rows(spark):
+    same = spark.range(300).withColumn("v", F.lit(7.0))
+    for ranges in RANGES:
+        assert {r["rank"] for r in ordered.average_rank(same, [], "v", ranges=ranges).collect()} == {150.5}
+        assert sorted(r["row_id"] for r in ordered.sequence_index(same, ["v", "id"], ranges=ranges).collect()) == list(range(1, 301))
+        for empty in (same.limit(0), same.withColumn("v", F.lit(None).cast("double"))):
+            assert ordered.quantiles(empty, [], "v", {"m": 0.5}, ranges).count() == 0
+            assert ordered.average_rank(empty, [], "v", ranges=ranges).where("rank is not null").count() == 0
+        assert ordered.sequence_index(same.limit(0), ["v"], ranges=ranges).count() == 0
+
+
+def test_medians_of_several_columns(values):
+    pdf, df = values
+    more = df.withColumn("w", F.when(F.col("g") > 3, F.col("id") % 10)).withColumn("none", F.lit(None).cast("double"))
+    got = ordered.medians_of(more, ["g"], {"v": "a", "w": "b", "none": "c"}).toPandas().set_index("g").sort_index()
+    np.testing.assert_allclose(got["a"].to_numpy(float), pdf.groupby("g")["v"].median().to_numpy(), rtol=1e-12)
+    want = (pdf["id"] % 10).where(pdf["g"] > 3).groupby(pdf["g"]).median()
+    np.testing.assert_allclose(got["b"].to_numpy(float), want.to_numpy())
+    assert got["c"].isna().all()
+
+
+def test_no_range_is_deep(spark):
+    """Far outliers, one hot key and one hot first value fill ranges of the usual depth."""
+    n, ranges = 60_000, 30
+    df = spark.range(0, n, 1, 8).select(
+        "id", F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 50).alias("g"),
+        F.when(F.col("id") == 5, -1e300).when(F.col("id") % 2 == 0, 1e6).otherwise(1e6 + F.col("id") / 1e6).alias("v"),
+    )
+    for order in (["v", "id"], ["g", "v", "id"], ["id"]):
+        depth = ordered._in_ranges(df, order, ranges).groupBy("__range").count().agg(F.max("count"), F.count("*")).first()
+        assert depth[0] <= 2.5 * n / ranges and depth[1] == ranges, order
+
+
 def test_hot_key_join_is_split(spark, tmp_path):
     """attach() leaves a plan in which adaptive execution splits the hot partition."""
     from permspark.operators.grouping import attach
