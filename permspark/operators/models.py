@@ -174,50 +174,31 @@ def leaf_rows(model, df: DataFrame, cols, keep: list[str]) -> DataFrame:
     return model.transform(assembled(df, cols)).select(*keep, F.posexplode(leaves).alias("tree", "leaf"))
 
 
-SMALL_LEAF = 256
 RADIX = 32
 
 
-def quantile_forest(
-    model, train: DataFrame, new: DataFrame, cols, label: str, key: str, probs: dict[str, float], descend: bool | None = None
-) -> DataFrame:
+def quantile_forest(model, train: DataFrame, new: DataFrame, cols, label: str, key: str, probs: dict[str, float]) -> DataFrame:
     """Weighted training quantiles: a training value weighs 1 / leaf size in each tree it shares.
 
-    Training rows are reduced to (tree, leaf, value) shares. While the largest leaf holds few values,
-    a new row simply meets the values of its leaves. Otherwise (`descend`) it never does: the answer
-    is found digit by digit among the ranks of the training values.
-    """
-    cells = leaf_rows(model, train, cols, [label]).groupBy("tree", "leaf", label).agg(F.count("*").alias("n"))
-    cells = staged(cells)
-    sizes = cells.groupBy("tree", "leaf").agg(F.sum("n").alias("size"), F.count("*").alias("values"))
-    if descend is None:
-        descend = (sizes.agg(F.max("values")).first()[0] or 0) > SMALL_LEAF
-    shares = cells.join(sizes, ["tree", "leaf"]).select("tree", "leaf", label, (F.col("n") / F.col("size")).alias("w"))
-    leaves = leaf_rows(model, new, cols, [key])
-    if descend:
-        return _descend(staged(shares), staged(leaves), label, key, probs, model.getNumTrees)
-    seen = leaves.join(spread(shares, ["tree", "leaf"]), ["tree", "leaf"])
-    share = seen.groupBy(key, label).agg(F.sum("w").alias("w"))
-    w = Window.partitionBy(key)
-    cum = F.sum("w").over(w.orderBy(label).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("w").over(w)
-    ranked = share.withColumn("cum", cum)
-    picks = [F.min(F.when(F.col("cum") >= F.lit(p - 1e-9), F.col(label))).alias(n) for n, p in probs.items()]
-    return ranked.groupBy(key).agg(*picks)
-
-
-def _descend(shares: DataFrame, leaves: DataFrame, label: str, key: str, probs: dict[str, float], trees: int) -> DataFrame:
-    """Find every quantile's training rank one base-32 digit at a time.
-
-    Per level a (row, probability) meets at most 32 digit totals per tree, whatever the leaf sizes.
+    Training rows are reduced to (tree, leaf, value) shares. A new row never meets all values of its leaves: every quantile's rank among
+    the training values is found one base-32 digit at a time. Per level a (row, probability) meets at most 32 digit totals per tree,
+    whatever the leaf sizes. Weights are relative to the row's leaves that hold training rows; a row without any is left out.
     """
+    train = train.where(F.col(label).isNotNull())
+    cells = staged(leaf_rows(model, train, cols, [label]).groupBy("tree", "leaf", label).agg(F.count("*").alias("n")))
+    sizes = cells.groupBy("tree", "leaf").agg(F.sum("n").alias("size"))
+    shares = staged(cells.join(sizes, ["tree", "leaf"]).select("tree", "leaf", label, (F.col("n") / F.col("size")).alias("w")))
+    leaves = leaf_rows(model, new, cols, [key]).join(sizes.select("tree", "leaf"), ["tree", "leaf"], "left_semi")
+    leaves = staged(leaves.select(key, "tree", "leaf"))
     ranks = staged(sequence_index(shares.select(label).distinct(), [label], out="__r").select(label, (F.col("__r") - 1).alias("__r")))
-    top = ranks.agg(F.max("__r")).first()[0]
+    top = ranks.agg(F.max("__r")).first()[0] or 0
     levels = 1
     while RADIX**levels <= top:
         levels += 1
     coded = staged(shares.join(ranks, label).select("tree", "leaf", "__r", "w"))
-    wanted = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p) * trees).alias("goal")) for n, p in probs.items()])
-    state = leaves.select(key).distinct().select(key, F.inline(wanted)).withColumns(
+    weight = leaves.groupBy(key).agg(F.count("*").cast("double").alias("weight"))
+    wanted = F.array(*[F.struct(F.lit(n).alias("name"), (F.lit(float(p)) - 1e-9).alias("p")) for n, p in probs.items()])
+    state = weight.select(key, "weight", F.inline(wanted)).select(key, "name", (F.col("p") * F.col("weight")).alias("goal")).withColumns(
         {"prefix": F.lit(0).cast("bigint"), "before": F.lit(0.0)}
     )
     for level in range(levels):
@@ -232,7 +213,7 @@ def _descend(shares: DataFrame, leaves: DataFrame, label: str, key: str, probs:
         upto = F.col("before") + F.sum("w").over(run.rowsBetween(Window.unboundedPreceding, 0))
         reached = digits.withColumn("upto", upto).withColumn(
             "last", F.max("digit").over(Window.partitionBy(key, "name"))
-        ).where((F.col("upto") >= F.col("goal") - 1e-9 * trees) | (F.col("digit") == F.col("last")))
+        ).where((F.col("upto") >= F.col("goal")) | (F.col("digit") == F.col("last")))
         chosen = reached.groupBy(key, "name", "goal").agg(
             F.min_by(F.struct("prefix", "digit", (F.col("upto") - F.col("w")).alias("before")), "digit").alias("c")
         )
