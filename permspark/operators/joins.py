@@ -28,6 +28,7 @@ def lookup_one(base: DataFrame, dim: DataFrame, on: list[str], order_cols) -> Da
 
 
 def star(base: DataFrame, facts: list[DataFrame], on: list[str]) -> DataFrame:
+    """Facts joined to base on the same keys. Store aggregated facts (`staged`) if base has hot keys, so that these are split."""
     return reduce(lambda acc, fact: acc.join(fact, on, "left"), facts, base)
 
 

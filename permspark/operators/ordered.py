@@ -31,10 +31,10 @@ def join_keys(df: DataFrame, other: DataFrame, keys, how: str = "inner") -> Data
 
 
 def spread(df: DataFrame, keys) -> DataFrame:
-    """Make a reduced table a plain shuffle stage on its keys.
+    """Deal a reduced table by its keys ahead of a join.
 
-    Adaptive execution splits a hot partition of the large side of a join only when both sides are
-    plain shuffle stages; an aggregate that is already partitioned on the key would not be one.
+    Adaptive execution splits a hot partition of the large side only when both sides are plain shuffle stages. Spark leaves this
+    repartition out where the table already is partitioned so, as an aggregate by the same keys is: store that (`staged`) instead.
     """
     return df.repartition(*keys)
 

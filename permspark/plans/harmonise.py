@@ -10,6 +10,7 @@ from permspark.functions.scalar import as_col, number_or_null, ratio, signif
 from permspark.operators.grouping import drop_poisoned_groups, keep_large_groups
 from permspark.operators.joins import map_values
 from permspark.operators.sets import stack
+from permspark.sources.writers import staged
 
 # Endpoint names that mean apparent permeability, and whether they are logarithms.
 ENDPOINTS = {
@@ -117,7 +118,7 @@ def literature_filter(
         & F.coalesce(F.col(relation).isin("", "="), F.lit(False))
     )
     big = df.groupBy(source).agg(F.count("*").alias("__n")).where(F.col("__n") > more_than).select(source)
-    kept = kept.join(big, source, "left_semi")
+    kept = kept.join(staged(big), source, "left_semi")  # stored, so a hot source can be split
     valued = kept.withColumn("use_value", F.col(value) * unit_factor(unit_text(unit)))
     valued = valued.withColumn("log10_value", F.when(F.col("use_value") > 0, F.log10("use_value")))
     return drop_poisoned_groups(valued, [source], F.col("log10_value") > max_log10)

@@ -5,6 +5,9 @@ from __future__ import annotations
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Several joins on one key share a partitioning. Only with this are their hot partitions split as well, at the
+    # price of one more shuffle where one is found.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     # The JVM does not compile methods above 8000 bytes. Wide QC projections fuse into larger ones;
     # with this limit Spark falls back to its split projections, which are compiled.

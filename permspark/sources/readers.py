@@ -70,7 +70,10 @@ def read_sheets(spark: SparkSession, paths: dict[str, str], schema: str, tag: st
 
 
 def overlay(base: DataFrame, over: DataFrame, key: str, cols: list[str], overwrite: bool = False) -> DataFrame:
-    """Fill the named columns of base from a keyed overlay, or let the overlay win."""
+    """Fill the named columns of base from a keyed overlay, or let the overlay win.
+
+    Store an aggregated overlay (`staged`) if base has hot keys, so that these are split.
+    """
     o = over.select(key, *[F.col(c).alias(f"__{c}") for c in cols])
     joined = base.join(o, key, "left")
     pick = {

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from permspark.operators import ordered
+from permspark.sources.writers import staged
 
 RANGES = [1, 3, 40, None]
 
@@ -135,11 +136,32 @@ def test_no_range_is_deep(spark):
         assert depth[0] <= 2.5 * n / ranges and depth[1] == ranges, order
 
 
-def test_hot_key_join_is_split(spark, tmp_path):
-    """attach() leaves a plan in which adaptive execution splits the hot partition."""
+def _attached(df):
     from permspark.operators.grouping import attach
 
+    return attach(df, ["g"], F.avg("v").alias("m"))
+
+
+def _star(df):
+    from permspark.operators.joins import star
+
+    return star(df, [staged(df.groupBy("g").agg(F.avg("v").alias("m"))), staged(df.groupBy("g").agg(F.max("v").alias("top")))], ["g"])
+
+
+def _overlay(df):
+    from permspark.sources.readers import overlay
+
+    return overlay(df, staged(df.groupBy("g").agg(F.avg("v").alias("m"))), "g", ["m"])
+
+
+@pytest.mark.parametrize("make", [_attached, _star, _overlay])
+def test_hot_key_join_is_split(spark, tmp_path, make):
+    """Joins with a stored reduced table leave a plan in which adaptive execution splits the hot partition."""
+
+    from permspark.session import RECOMMENDED
+
     conf = {
+        **{k: v for k, v in RECOMMENDED.items() if "adaptive" in k},
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
@@ -153,7 +175,7 @@ def test_hot_key_join_is_split(spark, tmp_path):
         df = spark.range(0, 400000, 1, 16).select(
             F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 5000).alias("g"), F.rand(1).alias("v"), "id"
         )
-        out = attach(df, ["g"], F.avg("v").alias("m"))
+        out = make(df)
         out.write.mode("overwrite").parquet(str(tmp_path / "o"))
         out.collect()
         assert "isSkew=true" in out._jdf.queryExecution().executedPlan().toString() or "skew=true" in out._jdf.queryExecution().executedPlan().toString()
