@@ -3,9 +3,11 @@
 A page is cut into lines, one for each block of its markup. Pages of a host are put in order of their URL paths; each is paired with the
 neighbour that shares the longer path prefix. Their lines are aligned by longest common subsequence, and shared lines are deleted:
 they come from the site's template. Markup decides first: what stands in menus, headers, footers, sidebars, notices, adverts, forms or
-comments goes in any case, and where a page marks its article, lines outside of it go, too. A shared line inside a marked article
-stays, because copies of an article share it all; on a page without such marks, shared lines go unless they are most of its text,
-which also means a copy.
+comments goes in any case, and where a page marks its article, lines outside of it go, too. Shared lines go on marked pages as on others.
+Copies share it all, so they are told by the text that markup lets through: where nearly all of both pages is shared, the neighbour is
+a copy and its lines stay; where a smaller part, but most of the page is shared, it may be an edited copy. In both cases the page is
+aligned with its neighbour on the other side, too, and what that one shares goes: all of it if it isn't a copy itself, and beside an edited
+copy the lines shared with both.
 
 Null or empty html has no text. A url that is null or has no "://" has an empty host and path; such pages are neighbours of each other
 only. Pages of one host and path have the same neighbour. Identical rows give identical results. Other columns pass through; those
@@ -27,8 +29,10 @@ from permspark.llm.ordered import neighbours
 from permspark.llm.text import KINDS, LOWER, UPPER, row_type
 from permspark.sources.writers import staged
 
-#: Share of a page's unmarked text that shared lines must reach to count as a copy.
-COPY_SHARE = 0.6
+#: Share of the text of both pages that shared lines must reach to count as a copy.
+COPY_SHARE = 0.9
+#: Share of a page's text from which the neighbour may be an edited copy.
+EDITED_SHARE = 0.6
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -227,39 +231,76 @@ def shared_lines(a: list[int], b: list[int], most: int = 1 << 26) -> list[int]:
     return [*range(start), *[middle[k][0] for k in found], *range(len(a) - end, len(a))]
 
 
+def wanted_lines(lines: list[Line]) -> tuple[bool, list[int]]:
+    """Whether the page marks its article, and the numbers of the lines that markup lets through."""
+    best = max((zone for _, zone in lines), default=DROP)
+    return best > PLAIN, [k for k, (_, zone) in enumerate(lines) if zone == best and zone != DROP]
+
+
 def candidates(page: str | None) -> tuple[bool, list[int], list[str]]:
     """Whether the page marks its article, and numbers and texts of the lines that markup lets through."""
     lines = lines_of(page)
-    best = max((zone for _, zone in lines), default=DROP)
-    wanted = [k for k, (_, zone) in enumerate(lines) if zone == best and zone != DROP]
-    return best > PLAIN, wanted, [lines[k][0] for k in wanted]
+    marked, wanted = wanted_lines(lines)
+    return marked, wanted, [lines[k][0] for k in wanted]
+
+
+def line_sizes(lines: list[Line]) -> list[int]:
+    """Length of each line that markup lets through, 0 for the others."""
+    wanted = set(wanted_lines(lines)[1])
+    return [len(text) if k in wanted else 0 for k, (text, _) in enumerate(lines)]
 
 
-def main_text(marked: bool, numbers: list[int], texts: list[str], shared: list[int]) -> str:
+def _shares(keys: list[int], sizes: list[int], other: list[int], others: list[int]) -> tuple[list[int], float, bool]:
+    """Shared lines with another page, their share of the page's text, and whether the other one is a copy."""
+    shared = shared_lines(keys, other)
+    own = sum(sizes[k] for k in shared) / max(sum(sizes), 1)
+    if own < COPY_SHARE:
+        return shared, own, False
+    return shared, own, sum(others[k] for k in shared_lines(other, keys)) >= COPY_SHARE * sum(others)
+
+
+def template_of(keys: list[int], sizes: list[int], near: tuple | None, far: tuple | None) -> tuple[list[int], list[int]]:
+    """(shared, gone): lines shared with the nearest page, and those that come from the template; near and far are (keys, sizes)."""
+    if near is None:
+        return [], []
+    shared, share, copy = _shares(keys, sizes, *near)
+    if not copy and share < EDITED_SHARE:
+        return shared, shared
+    if far is None:
+        return shared, []
+    beyond, _, again = _shares(keys, sizes, *far)
+    if again:
+        return shared, []
+    return shared, beyond if copy else sorted(set(shared) & set(beyond))
+
+
+def main_text(numbers: list[int], texts: list[str], gone: list[int]) -> str:
     """Text of the candidates that stay."""
-    gone = set(shared)
-    if not marked and gone:
-        size = sum(map(len, texts))
-        if sum(len(t) for k, t in zip(numbers, texts) if k in gone) < COPY_SHARE * size:
-            texts = [t for k, t in zip(numbers, texts) if k not in gone]
-    return "\n\n".join(texts)
+    dropped = set(gone)
+    return "\n\n".join(t for k, t in zip(numbers, texts) if k not in dropped)
+
+
+LINES = row_type("keys array<long>, sizes array<long>")
 
 
-@F.pandas_udf(KINDS["array<long>"])
-def keys_of(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.pandas_udf(LINES)
+def keys_of(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in pages:
-        yield pd.Series([line_keys(lines_of(p)) for p in batch], dtype=object)
+        found = [lines_of(p) for p in batch]
+        yield pd.DataFrame({"keys": [line_keys(x) for x in found], "sizes": [line_sizes(x) for x in found]})
 
 
-@F.pandas_udf(KINDS["array<long>"])
-def shared_of(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for own, other in pairs:
-        yield pd.Series(
-            [[] if b is None else shared_lines(a.tolist(), b.tolist()) for a, b in zip(own, other)], dtype=object
-        )
+@F.pandas_udf(row_type("shared array<long>, gone array<long>"))
+def template_in(pairs: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    for columns in pairs:
+        rows = []
+        for row in zip(*columns):
+            own, near, far = ([None if x is None else x.tolist() for x in row[k : k + 2]] for k in (0, 2, 4))
+            rows.append(template_of(*own, *(None if x[0] is None else tuple(x) for x in (near, far))))
+        yield pd.DataFrame({"shared": [r[0] for r in rows], "gone": [r[1] for r in rows]})
 
 
-CANDIDATES = row_type("marked boolean, numbers array<long>, packed binary")
+CANDIDATES = row_type("numbers array<long>, packed binary")
 
 
 @F.pandas_udf(CANDIDATES)
@@ -268,16 +309,16 @@ def candidates_of(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in pages:
         rows = [candidates(p) for p in batch]
         packed = [zlib.compress("\n".join(texts).encode("utf-8", "surrogatepass"), 1) for _, _, texts in rows]
-        yield pd.DataFrame({"marked": [r[0] for r in rows], "numbers": [r[1] for r in rows], "packed": packed})
+        yield pd.DataFrame({"numbers": [r[1] for r in rows], "packed": packed})
 
 
 @F.pandas_udf(KINDS["string"])
 def text_of(parts: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.Series]:
-    for found, shared in parts:
+    for found, template in parts:
         out = []
-        for marked, numbers, packed, gone in zip(found["marked"], found["numbers"], found["packed"], shared):
+        for numbers, packed, gone in zip(found["numbers"], found["packed"], template):
             texts = zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n") if len(numbers) else []
-            out.append(main_text(marked, numbers.tolist(), texts, [] if gone is None else gone.tolist()))
+            out.append(main_text(numbers.tolist(), texts, [] if gone is None else gone.tolist()))
         yield pd.Series(out, dtype=object)
 
 
@@ -295,7 +336,7 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 
 def template_lines(pages: DataFrame) -> DataFrame:
-    """(page_id, _h, shared, neighbour): lines of each page that its neighbour shares; _h is a hash of url and html."""
+    """(page_id, _h, shared, gone, neighbour): lines of each page that its neighbour shares, and those of the template; _h is a hash of url and html."""
     host, path = host_and_path(F.col("url"))
     slim = pages.select("page_id", F.xxhash64("url", "html").alias("_h"), host.alias("host"), path.alias("path"), keys_of("html").alias("lines"))
     slim = staged(slim.distinct())
@@ -303,17 +344,19 @@ def template_lines(pages: DataFrame) -> DataFrame:
     beside = neighbours(paths, ["host"], ["path"], "lines")
     before, after = F.col("before"), F.col("after")
     nearer = F.coalesce(common_prefix(F.col("path"), after["path"]), F.lit(-1)) > F.coalesce(common_prefix(F.col("path"), before["path"]), F.lit(-1))
-    nearest = F.when(nearer, after).otherwise(before)
-    paired = staged(beside.select(F.col("host").alias("_host"), F.col("path").alias("_path"), nearest.alias("near")))
+    near, far = F.when(nearer, after).otherwise(before), F.when(nearer, before).otherwise(after)
+    paired = staged(beside.select(F.col("host").alias("_host"), F.col("path").alias("_path"), near.alias("near"), far["lines"].alias("far")))
     met = slim.join(paired, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
-    return met.select("page_id", "_h", shared_of("lines", F.col("near.lines")).alias("shared"), F.col("near.path").alias("neighbour"))
+    sides = [F.col(f"{side}.{part}") for side in ("lines", "near.lines", "far") for part in ("keys", "sizes")]
+    found = met.select("page_id", "_h", template_in(*sides).alias("_t"), F.col("near.path").alias("neighbour"))
+    return found.select("page_id", "_h", "_t.shared", "_t.gone", "neighbour")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Pages with their main `text` and its length `n_chars` in code points."""
-    found = template_lines(pages).select(F.col("page_id").alias("_p"), F.col("_h").alias("_g"), "shared", "neighbour")
+    found = template_lines(pages).select(F.col("page_id").alias("_p"), F.col("_h").alias("_g"), "shared", "gone", "neighbour")
     others = [c for c in pages.columns if c not in ("html", "text", "n_chars", "n_shared", "neighbour")]
     row = pages.select(F.struct(*[F.col(c) for c in others]).alias("_row"), F.col("page_id").alias("_id"), candidates_of("html").alias("_c"), F.xxhash64("url", "html").alias("_h"))
     met = row.join(found, F.col("_id").eqNullSafe(F.col("_p")) & (F.col("_h") == F.col("_g")))
-    out = met.select("_row", text_of("_c", "shared").alias("text"), F.size("shared").cast("long").alias("n_shared"), "neighbour")
+    out = met.select("_row", text_of("_c", "gone").alias("text"), F.size("shared").cast("long").alias("n_shared"), "neighbour")
     return out.select("_row.*", "text", F.char_length("text").cast("long").alias("n_chars"), "n_shared", "neighbour")

@@ -189,3 +189,19 @@ def test_differencing_deletes_templates_and_keeps_copies(spark):
     assert got[10] == got[11] == [("\n\n".join(H.candidates(MARKED)[2]),) + (len("\n\n".join(H.candidates(MARKED)[2])),)]
     assert got[12][0][0].startswith("Welcome") and got[21] == got[30] == [("", 0)] and got[20] == [("alone", 5)] and got[None] == [("d", 1)]
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_differencing_of_marked_pages(spark):
+    page = "<body><article><p>Share this story with your friends</p>{}<p>Copyright of the example press</p></article></body>"
+    body = [[sentence(30), sentence(30), sentence(30)] for _ in range(3)]
+    html = lambda x: page.format("".join(f"<p>{t}</p>" for t in x))
+    edited = [*body[0][:2], sentence(30)]
+    rows = [(k, f"http://a.org/n/{k}", html(b)) for k, b in enumerate([body[0], body[1], body[2], body[2]])]
+    rows += [(k, f"http://b.org/n/{k}", html(b)) for k, b in enumerate([edited, body[0], body[1]], 10)]
+    rows += [(20, "http://c.org/1", html(body[0])), (21, "http://c.org/2", html(body[0]))]
+    rows += [(30 + k, f"http://d.org/{k}", f"<p>Welcome to the site</p><p>{'terms and ' * 10}</p><p>{k} {sentence(8)}</p>") for k in range(3)]
+    got = {r.page_id: r.text.split("\n\n") for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(3)] == body  # 2 has a copy beside it, whose other neighbour shows the template
+    assert got[11] == body[0]  # an edited copy on one side
+    assert got[20] == got[21] == H.candidates(rows[7][2])[2]  # nothing but copies
+    assert got[31] == H.candidates(rows[-2][2])[2][2:]  # a template longer than the text
