@@ -9,6 +9,10 @@ a copy and its lines stay; where a smaller part, but most of the page is shared,
 aligned with its neighbour on the other side, too, and what that one shares goes: all of it if it isn't a copy itself, and beside an edited
 copy the lines shared with both.
 
+An element that its tag, role or class would drop stays if it holds the article: an <article> or <main> where no other place has one (and,
+but for a form, longer than what stands outside of dropped elements); a form, class or id also if it holds most of the page's text. Comments go in any case. Class names and ids count whole.
+Scripts, styles, form controls, titles, frames, vector graphics and what stands in for scripts, audio or video are no text.
+
 Null or empty html has no text. A url that is null or has no "://" has an empty host and path; such pages are neighbours of each other
 only. Pages of one host and path have the same neighbour. Identical rows give identical results. Other columns pass through; those
 named like a result are replaced by it. An empty table gives an empty result.
@@ -16,6 +20,7 @@ named like a result are replaced by it. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import re
 import zlib
@@ -36,11 +41,13 @@ EDITED_SHARE = 0.6
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
-      | <(script|style|noscript|template|textarea|iframe|svg|title|select|math|object|canvas|audio|video)\b[^>]*+>.*?(?:</\1\s*>|\Z)
+      | <(script|style|textarea|iframe|title)\b[^>]*+>.*?(?:</\1\s*>|\Z)
       | <(/?)([a-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)
       | <[/!?a-z][^>]*+>?""",
     re.S | re.I | re.X,
 )
+#: Elements without text of the page, if they are closed; else only the tag is dropped.
+SILENT = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("noscript", "template", "svg", "select", "audio", "video")}
 ATTRIBUTE = re.compile(r"""([a-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,20 +58,32 @@ BLOCKS = set(
 #: An element that starts ends an open one of these kinds first, inside the nearest container.
 IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 CLOSES_P = BLOCKS - {"li", "td", "th", "tr", "caption", "body", "html", "head", "summary", "option"}
-DROPPED = set("nav footer aside form menu dialog button fieldset".split())
+DROPPED = set("nav footer aside menu dialog button fieldset".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of class and id that mark what isn't the article.
+#: Class names and ids of what isn't the article.
 MARKS = set(
     "ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo promos promotion sidebar sidenav menu nav "
     "navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices popup modal overlay "
-    "newsletter subscribe subscription signup comment comments disqus replies respond share sharing social related recommended "
-    "recommendations widget widgets toolbar pagination pager copyright login searchbox".split()
+    "newsletter subscribe subscription signup share sharing social related recommended recommendations widget widgets toolbar pagination "
+    "pager copyright login searchbox ad-container ad-wrapper ad-slot ad-banner ad-unit ads-container sponsored-content sidebar-left "
+    "sidebar-right left-sidebar right-sidebar site-sidebar site-header site-footer page-footer main-footer main-menu main-nav "
+    "main-navigation site-nav site-navigation nav-menu nav-links post-navigation top-nav top-bar side-bar cookie-banner cookie-notice "
+    "cookie-consent newsletter-signup newsletter-form subscribe-form share-buttons share-links social-share social-links social-icons "
+    "social-media related-posts related-articles related-links related-content recommended-posts widget-area".split()
+)
+#: Those of readers' comments, which may be longer than the article.
+DISCUSSION = set(
+    "comment comments disqus disqus_thread replies respond comments-area comments-section comment-list comment-body comment-content "
+    "comment-respond comment-form".split()
 )
 KEPT_ROOTS = {"html", "body", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 STOPS = {"li": {"ul", "ol", "menu"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "dt": {"dl"}, "dd": {"dl"}}
 
 DROP, PLAIN, MAIN, ARTICLE = range(4)
+#: How firmly an element is dropped. A form stays if it holds the page's article, others only if that is longer than what stands outside of
+#: dropped elements; a form or class also if it holds most of the page's text; comments never.
+FORM, CLASS, FIRM, FINAL = range(4)
 Line = tuple[str, int]
 
 
@@ -72,50 +91,115 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)}
 
 
-def _zone(name: str, attributes: str, zone: int) -> int:
-    """Zone of an element's content, from the zone around it."""
-    if zone == DROP or name in DROPPED or (name == "header" and zone < MAIN):
-        return DROP
+def _zone(name: str, attributes: str, zone: int) -> tuple[int, int | None]:
+    """Zone of an element's content, from the zone around it, and how firmly the element is dropped, if it is."""
+    inner = ARTICLE if name == "article" else max(zone, MAIN) if name == "main" else zone
+    dropped = FORM if name == "form" else FIRM if name in DROPPED or (name == "header" and zone < MAIN) else None
     if attributes and name not in KEPT_ROOTS:
         given = _attributes(attributes)
-        words = set(re.split(r"[^a-z]+", f"{given.get('class', '')} {given.get('id', '')}".lower()))
-        marked = words & MARKS or ("header" in words and zone < MAIN)
+        role = given.get("role", "").lower()
+        words = set(f"{given.get('class', '')} {given.get('id', '')}".lower().split())
         hidden = "display:none" in given.get("style", "").replace(" ", "").lower() or given.get("aria-hidden", "").lower() == "true"
-        if given.get("role", "").lower() in ROLES or hidden or (marked and name not in HEADINGS):
-            return DROP
-        if given.get("role", "").lower() == "main":
-            return max(zone, MAIN)
-    if name == "article":
-        return ARTICLE
-    return max(zone, MAIN) if name == "main" else zone
+        if role == "main":
+            inner = max(inner, MAIN)
+        if words & DISCUSSION and name not in HEADINGS:
+            dropped = FINAL
+        elif dropped is None and role in ROLES:
+            dropped = FORM if role == "form" else FIRM
+        elif dropped is None and hidden:
+            dropped = FIRM
+        elif dropped is None and name not in HEADINGS and (words & MARKS or ("header" in words and zone < MAIN)):
+            dropped = CLASS
+    return inner, dropped
+
+
+class Wrappers:
+    """The dropped elements of a page, each after the one around it, with the sizes of the text in them."""
+
+    def __init__(self):
+        self.outer: list[int] = []
+        self.kind: list[int] = []
+        self.around: list[int] = []
+
+    def add(self, outer: int, kind: int, zone: int) -> int:
+        self.outer.append(outer)
+        self.kind.append(kind)
+        self.around.append(zone)
+        return len(self.kind) - 1
+
+    def reopened(self, lines: list[tuple[str, int, int]]) -> set[int]:
+        """Those that hold the article, from lines (text, zone, innermost wrapper or -1)."""
+        n = len(self.kind)
+        size, marked, top, inside = [0] * n, [0] * n, [PLAIN] * n, [[] for _ in range(n)]
+        best, kept = DROP, 0
+        own: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        for text, zone, at in lines:
+            if at < 0:
+                best, kept = max(best, zone), kept + len(text)
+                continue
+            own[at].append((len(text), zone))
+            size[at] += len(text)
+            if zone > max(self.around[at], PLAIN):
+                top[at], marked[at] = max(top[at], zone), marked[at] + len(text)
+        for k in range(n - 1, -1, -1):
+            outer = self.outer[k]
+            if outer < 0 or self.kind[k] == FINAL:
+                continue
+            inside[outer].append(k)
+            size[outer] += size[k]
+            if self.around[k] > self.around[outer]:  # all of it stands in an article of the outer one
+                top[outer] = max(top[outer], top[k], self.around[k] if size[k] else PLAIN)
+                marked[outer] += size[k]
+            else:
+                top[outer] = max(top[outer], top[k])
+                marked[outer] += marked[k]
+        total = kept + sum(size[k] for k in range(n) if self.outer[k] < 0 and self.kind[k] != FINAL)
+        queue = [(self.kind[k], k) for k in range(n) if self.outer[k] < 0]
+        heapq.heapify(queue)
+        out = set()
+        while queue:
+            kind, k = heapq.heappop(queue)
+            article = top[k] > PLAIN and best < MAIN and (kind == FORM or marked[k] > kept)
+            most = kind <= CLASS and 2 * size[k] > total
+            if kind == FINAL or not (article or most):
+                continue
+            out.add(k)
+            for length, zone in own[k]:
+                best, kept = max(best, zone), kept + length
+            for inner in inside[k]:
+                heapq.heappush(queue, (self.kind[inner], inner))
+        return out
 
 
 def lines_of(page: str | None) -> list[Line]:
     """Every block with text, in order: (text, zone)."""
-    out: list[Line] = []
     if not page:
-        return out
-    stack: list[tuple[str, int]] = []
-    zone, held, at = PLAIN, [], 0
+        return []
+    out: list[tuple[str, int, int]] = []
+    stack: list[tuple[str, int, int]] = []
+    wrappers, unclosed = Wrappers(), set()
+    zone, wrapper, held, at = PLAIN, -1, [], 0
 
     def flush():
         text = " ".join(entities.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append((text, zone))
+            out.append((text, zone, wrapper))
 
     def close(name: str, stops=frozenset()):
-        nonlocal zone
+        nonlocal zone, wrapper
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] == name:
-                flush()
+                after = stack[k - 1][1:] if k else (PLAIN, -1)
+                if after != (zone, wrapper) or any(x[0] in BLOCKS for x in stack[k:]):  # an inline element doesn't end the line
+                    flush()
                 del stack[k:]
-                zone = stack[-1][1] if stack else PLAIN
+                zone, wrapper = after
                 return
             if stack[k][0] in stops:
                 return
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             held.append(page[at : m.start()])
         at = m.end()
@@ -127,6 +211,13 @@ def lines_of(page: str | None) -> list[Line]:
                 flush()
             close(name)
             continue
+        if name in SILENT:
+            if name not in unclosed and not m[4].endswith("/"):
+                if end := SILENT[name].search(page, at):
+                    at = end.end()
+                else:
+                    unclosed.add(name)
+            continue
         if name in BLOCKS or name == "br":
             if name == "br":
                 held.append(" ")
@@ -138,14 +229,17 @@ def lines_of(page: str | None) -> list[Line]:
                 if other != "p":
                     close(other, STOPS.get(name, frozenset()))
         if name not in VOID and not m[4].endswith("/"):
-            inner = _zone(name, m[4], zone)
-            if inner != zone:
+            inner, dropped = _zone(name, m[4], zone)
+            if inner != zone or dropped is not None:
                 flush()
-            stack.append((name, inner))
+            if dropped is not None:
+                wrapper = wrappers.add(wrapper, dropped, zone)
+            stack.append((name, inner, wrapper))
             zone = inner
     held.append(page[at:])
     flush()
-    return out
+    stays = wrappers.reopened(out) | {-1}
+    return [(text, zone if at in stays else DROP) for text, zone, at in out]
 
 
 def line_keys(lines: list[Line]) -> list[int]:

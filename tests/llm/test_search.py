@@ -205,3 +205,25 @@ def test_differencing_of_marked_pages(spark):
     assert got[11] == body[0]  # an edited copy on one side
     assert got[20] == got[21] == H.candidates(rows[7][2])[2]  # nothing but copies
     assert got[31] == H.candidates(rows[-2][2])[2][2:]  # a template longer than the text
+
+
+def test_wrappers_keep_their_article():
+    text = lambda page: H.candidates(page)[2]
+    side = '<div class="sidebar"><p>Side</p></div>'
+    for wrapper in ('form action="/"', 'div class="has-sidebar"', 'div class="elementor-widget-container"', 'div id="content" class="widget"', 'div role="dialog"'):
+        for inner in ("<article><p>One two</p></article>", "<main><p>One two</p></main>"):
+            assert text(f"<body><{wrapper}><nav>Menu</nav>{inner}{side}</{wrapper.split()[0]}><footer>End</footer></body>") == ["One two"], wrapper
+    assert text('<article class="post comments-open sponsored"><p>One</p></article><footer>End</footer>') == ["One"]
+    assert text(f"<form><p>A page without marks, of some length</p>{side}</form><p>End</p>")[0].startswith("A page")
+    # an article elsewhere, comments and teasers don't reopen
+    assert text(f'<article><p>One</p></article><form><article><p>{"Two " * 50}</p></article></form>') [0] == "One"
+    assert text('<p>One</p><section class="comments"><article><p>First! ' + "x " * 50 + "</p></article></section>") == ["One"]
+    assert text("<div><p>One two three four</p></div><aside><article>Next</article></aside>") == ["One two three four"]
+
+
+def test_embedded_elements_keep_their_text():
+    text = lambda page: H.candidates(page)[2]
+    assert text("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><object data=f><p>Table</p></object></article>") == ["so x=1 holds", "Table"]
+    for tag in ("math", "object", "canvas", "select", "svg", "video", "template"):
+        assert text(f"<article><p>One</p><{tag}><p>Two</p></article>") == ["One", "Two"], tag
+    assert text("<article><p>One <select><option>a</select><svg><title>t</title><text>u</text></svg>two</p></article>") == ["One two"]
