@@ -1,9 +1,12 @@
 """Secret scan with multipart credential linking.
 
 Strong findings (assignments, access identifiers, long hex runs) are reported by themselves. Weak candidates (names of
-accounts, short or unlabelled secrets, endpoints) are reported only where a complementary part lies within reach in the same scope:
-an interval join of the parts of one document, over intervals widened by the reach and cut at the scope's ends. A scope is a run of
-lines without an empty line between them. Each document is scanned whole, by itself: no shuffle.
+accounts, short or unlabelled secrets, endpoints) are reported only where a complementary part stands in the same scope: an interval
+join of the parts of one document, over the bounds of their scopes. A scope is a run of lines without an empty line between them.
+`scan` and `linked` can narrow that to a reach in characters; `find_secrets` doesn't. Each document is scanned whole, by itself: no shuffle.
+
+An unlabelled secret is a run of at least 24 characters of base64 with upper and lower case and 3 digits. In the scope of an access identifier
+length and entropy decide instead of case and digits.
 
 A null text counts as empty and has no finding. Repeated rows are scanned alike. Other columns pass through; those named like a
 result are replaced by it. An empty table gives an empty result.
@@ -14,15 +17,19 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from math import log2
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from permspark.llm.text import row_type
 
-#: Farthest gap, in characters, between linked parts.
+#: Farthest gap, in characters, between linked parts, unless another is given; None: the whole scope.
 REACH = 160
+#: Least entropy, in bits a character, of an unlabelled secret beside an access identifier.
+ENTROPY = 3.0
 
 #: The base patterns.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -32,7 +39,7 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _VALUE = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.=-]{4,})"""
 WEAK_ID = re.compile(r"(?ai)(?<![a-z0-9])(access_?key_?id|client_?id|user_?name|user_?id|user|login|account_?id|account)" + _VALUE)
 WEAK_SECRET = re.compile(r"(?ai)(?<![a-z0-9])(passphrase|pass|pwd|private_?key|access_?key|auth_?key|auth|credential)" + _VALUE)
-BARE_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,60}[0-9])[A-Za-z0-9+/_-]{24,}={0,2}")
+BARE_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}")
 ENDPOINT = re.compile(
     r"""(?ai)(?<![a-z0-9])(?:[a-z][a-z0-9+.-]{1,20}://[^\s"'<>]{3,}|(?:host|server|endpoint|database_?url|database)["']?\x20*[:=]\x20*["']?[a-z0-9][a-z0-9.:/_-]{3,}"""
     r"""|[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5}(?![0-9]))"""
@@ -65,6 +72,25 @@ def _mixed(value: str) -> bool:
     return any(c.islower() for c in value) and any(c.isupper() for c in value) and sum(c.isdigit() for c in value) >= 3
 
 
+def _entropy(value: str) -> float:
+    n = len(value)
+    return -sum(k / n * log2(k / n) for k in Counter(value).values())
+
+
+def scopes_of(text: str) -> list[int]:
+    """Where scopes end, but for the last."""
+    return [m.start() for m in BREAK.finditer(text)]
+
+
+def bare_spans(text: str, strong: list[Span]) -> Iterator[Span]:
+    """Unlabelled secrets."""
+    breaks = scopes_of(text)
+    beside = {bisect_right(breaks, s) for kind, s, _ in strong if kind == "access"}
+    for m in BARE_SECRET.finditer(text):
+        if _mixed(m[0]) or (beside and bisect_right(breaks, m.start()) in beside and _entropy(m[0]) >= ENTROPY):
+            yield "weak_secret", m.start(), m.end()
+
+
 def weak_spans(text: str, strong: list[Span]) -> list[Span]:
     """Candidates outside the strong findings; of overlapping ones the first kind listed stays."""
     found: list[Span] = []
@@ -74,7 +100,7 @@ def weak_spans(text: str, strong: list[Span]) -> list[Span]:
         found += [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
     if not strong and not found:
         return []  # a bare secret needs another part
-    found += [("weak_secret", m.start(), m.end()) for m in BARE_SECRET.finditer(text) if _mixed(m[0])]
+    found += bare_spans(text, strong)
     taken = sorted((s, e) for _, s, e in strong)
     out = []
     for span in found:
@@ -86,11 +112,11 @@ def weak_spans(text: str, strong: list[Span]) -> list[Span]:
     return out
 
 
-def linked(text: str, strong: list[Span], weak: list[Span], reach: int = REACH) -> list[Span]:
-    """Weak candidates with a complementary part within reach in their scope."""
+def linked(text: str, strong: list[Span], weak: list[Span], reach: int | None = REACH) -> list[Span]:
+    """Weak candidates with a complementary part in their scope, within reach if there is one."""
     if not weak:
         return []
-    breaks = [m.start() for m in BREAK.finditer(text)]
+    breaks, reach = scopes_of(text), len(text) if reach is None else reach
     parts: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     for kind, s, e in strong + weak:
         parts[kind].append((s, e))
@@ -113,7 +139,7 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
 
 
-def scan(text: str | None, reach: int = REACH) -> tuple[list[Span], list[Span]]:
+def scan(text: str | None, reach: int | None = REACH) -> tuple[list[Span], list[Span]]:
     """Strong findings and linked weak ones."""
     text = text or ""
     strong = base_spans(text)
@@ -128,7 +154,7 @@ def scanned(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in texts:
         rows = []
         for text in batch:
-            strong, weak = scan(text)
+            strong, weak = scan(text, None)
             counts = [sum(k == kind for k, _, _ in strong) for kind in BASE]
             digest = hashlib.sha256(joined(strong).encode()).hexdigest()
             rows.append((*counts, digest, joined(strong + weak), len(weak)))
