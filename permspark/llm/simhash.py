@@ -237,14 +237,22 @@ def hex_print(fp: F.Column) -> F.Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_of_each(docs: DataFrame, cell: int = CELL) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id, with its own columns.
+def one_of_each(docs: DataFrame, cell: int = CELL, unnamed: bool = False) -> DataFrame:
+    """One row of each group of near copies, with its own columns: the least by id, then by hash of its text.
 
-    Rows without an id can't be named: of those only exact copies go.
+    Rows that share an id, but not the group, stand for their own groups. With `unnamed`, rows without an id belong to the groups, too, after
+    those with one; else only their exact copies among themselves go. Of rows equal in id and text the one with the least hash of all columns stays.
     """
-    groups = near_duplicates(docs, cell)
-    first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_d")).distinct()
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    with_id = rows.join(first, F.col("_id") == F.col("_d"), "left_semi").dropDuplicates(["_id"])
-    without = rows.filter("_id IS NULL").withColumn("_h", text_key(F.col("_text"))).dropDuplicates(["_h"])
-    return with_id.select("_row.*").unionAll(without.select("_row.*"))
+    hashed = docs.select("doc_id", text_key(F.col("text")).alias("_h"), fingerprints_of("text").alias("fp"))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("_d"), F.col("_h").alias("_g"))
+    prints = staged(hashed if unnamed else hashed.filter("doc_id IS NOT NULL"))
+    least = staged(prints.groupBy("fp").agg(F.min(key).alias("least")))
+    found = staged(components(links(least.select("fp"), cell)))
+    grouped = least.join(found, least.fp == found.node, "left").select(F.coalesce("root", "fp").alias("group"), "least")
+    first = staged(grouped.groupBy("group").agg(F.min("least").alias("least")).select("least._d", "least._g").distinct())
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    rows = docs.select(whole.alias("_row"), F.col("doc_id").alias("_id"), text_key(F.col("text")).alias("_h"), F.xxhash64(F.to_json(whole)).alias("_w"))
+    chosen = rows.join(first, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left_semi")
+    if not unnamed:
+        chosen = chosen.unionAll(rows.filter("_id IS NULL"))
+    return chosen.groupBy("_id", "_h").agg(F.min_by("_row", "_w").alias("_row")).select("_row.*")

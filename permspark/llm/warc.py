@@ -10,8 +10,8 @@ sorted by segment number, and the chunks are decoded while the segments pass, so
 must be numbered 1 to n without a gap and their lengths must add up to the total; else the record's status is "broken" and it
 has no payload digest. A repeated segment counts once.
 
-Null html is an empty payload, a null url gives no target URI, and a null page_id is the smallest id. A row with equal page_id and html as
-another is archived once. Other columns are ignored. An empty table makes no file and gives an empty result.
+Null html is an empty payload, a null url gives no target URI, and a null page_id is the smallest id. Every row
+has a record: rows with equal page_id and html are numbered by url, and the number is part of their record id; revisits refer to the first. Other columns are ignored. An empty table makes no file and gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = b"\r\n"
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    name = hashlib.sha1(f"{'' if page_id is None else page_id}:{digest}".encode()).digest()
+def record_id(page_id: int | None, digest: str, copy: int = 0) -> str:
+    name = hashlib.sha1(f"{'' if page_id is None else page_id}:{digest}{f':{copy}' if copy else ''}".encode()).digest()
     return f"<urn:uuid:{uuid.UUID(bytes=name[:16], version=5)}>"
 
 
@@ -63,9 +63,9 @@ def chunked(payload: bytes, size: int = CHUNK) -> bytes:
     return b"".join(b"%x\r\n%b\r\n" % (len(p), p) for p in parts) + b"0\r\n\r\n"
 
 
-def page_records(page_id, url, payload: bytes, digest: str, target, segment: int = SEGMENT) -> Iterator[bytes]:
-    """The WARC records of a page; `target` is the page that it revisits, or None."""
-    own = record_id(page_id, digest)
+def page_records(page_id, url, payload: bytes, digest: str, target, segment: int = SEGMENT, copy: int = 0) -> Iterator[bytes]:
+    """The WARC records of a page; `target` is the page that it revisits, or None; `copy` tells rows of one page_id and digest apart."""
+    own = record_id(page_id, digest, copy)
     about = {"WARC-Target-URI": None if url is None else safe_uri(url), "X-Page-ID": page_id}
     about["WARC-Payload-Digest"] = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -88,18 +88,19 @@ def page_records(page_id, url, payload: bytes, digest: str, target, segment: int
 
 
 def writing(folder: str, segment: int, file_bytes: int) -> Callable:
-    """Task: rows (page_id, digest, target, is_page, url, html) sorted by page_id, digest and is_page; a target precedes its page."""
+    """Task: rows (page_id, digest, target, is_page, url, html) sorted by page_id, digest, is_page and url; a target precedes its pages."""
 
     def pages(batches) -> Iterator[tuple]:
-        target, done = (None, None, None), object()
+        target, done, copy = (None, None, None), object(), 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 page_id, digest, refers, is_page, url, html = row
                 if not is_page:
                     target = (page_id, digest, refers)
-                elif (page_id, digest) != done:
+                else:
+                    copy = copy + 1 if (page_id, digest) == done else 0
                     done = (page_id, digest)
-                    yield page_id, url, html, digest, target[2] if target[:2] == done else None
+                    yield page_id, url, html, digest, target[2] if target[:2] == done else None, copy
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pages(batches)
@@ -108,8 +109,8 @@ def writing(folder: str, segment: int, file_bytes: int) -> Callable:
             uri, size, count = f"{folder}/pages-{partition():06d}-{number:05d}.warc.gz", 0, 0
             with published(uri) as out:
                 while row is not None and size < file_bytes:
-                    page_id, url, html, digest, target = row
-                    for data in page_records(page_id, url, (html or "").encode("utf-8", "surrogatepass"), digest, target, segment):
+                    page_id, url, html, digest, target, copy = row
+                    for data in page_records(page_id, url, (html or "").encode("utf-8", "surrogatepass"), digest, target, segment, copy):
                         packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)  # a gzip member for each record
                         member = packer.compress(data) + packer.flush()
                         out.write(member)
@@ -133,7 +134,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, segment: int = S
     marks = revisits.select("page_id", "digest", "target", F.lit(False).alias("is_page"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
     rows = named.select("page_id", "digest", F.lit(None).cast("long").alias("target"), F.lit(True).alias("is_page"), "url", "html")
     dealt = rows.unionAll(marks.distinct()).repartition(parallelism(pages), "page_id", "digest")
-    made = dealt.sortWithinPartitions("page_id", "digest", "is_page").mapInArrow(writing(folder, segment, file_bytes), "uri string, n_records long")
+    made = dealt.sortWithinPartitions("page_id", "digest", "is_page", "url").mapInArrow(writing(folder, segment, file_bytes), "uri string, n_records long")
     return staged(made)
 
 

@@ -129,6 +129,15 @@ def test_archives(spark, tmp_path, segment, file_bytes):
     assert files.count() >= 1 and A.write_archives(df.limit(0)).count() == 0 and A.read_archives(files.limit(0)).count() == 0
 
 
+def test_every_row_has_a_record(spark, tmp_path):
+    rows = [(None, "http://a/1", ""), (None, "http://a/2", ""), (None, "http://a/3", None), (1, "http://b/1", "x" * 40_000), (1, "http://b/2", "x" * 40_000), (1, "http://b/2", "x" * 40_000), (2, "http://c/", "y")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = A.read_archives(A.write_archives(df, str(tmp_path / "warc")))
+    assert found.select("record_id").distinct().count() == len(rows)
+    got = sorted((str(r.page_id), r.uri, r.payload_bytes, r.status) for r in A.resolve_revisits(found).collect())
+    assert got == sorted((str(p), u, len(h or ""), "ok") for p, u, h in rows)
+
+
 def test_broken_segments(spark, tmp_path):
     def parts(page):
         return list(A.page_records(page, f"http://a/{page}", bytes(range(256)) * 20, "00" * 20, None, 1000))

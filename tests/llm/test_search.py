@@ -95,6 +95,15 @@ def test_components_equal_brute_force(spark, cell):
     assert kept.filter("doc_id IS NULL").count() == 2
 
 
+def test_one_of_each_keeps_texts_of_repeated_and_missing_ids(spark):
+    a, b, c, d = (sentence(60) for _ in range(4))
+    rows = [(7, a), (7, b), (3, a), (None, b), (None, c), (None, c), (None, a), (8, d), (8, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = S.one_of_each(df, unnamed=True)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(3, a), (7, b), (None, c), (8, d)], key=str)
+    assert kept.columns == df.columns
+
+
 def test_near_duplicates_of_nothing(spark):
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
