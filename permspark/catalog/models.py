@@ -95,9 +95,9 @@ def quantile_forest(spark, sf) -> DataFrame:
 def score_with_guard(spark, sf) -> DataFrame:
     """Every requested id comes back; rows with a missing descriptor have no prediction."""
     df = _data(spark, sf)
-    model = M.fit_forest(df, COLS[:8], "y", True, trees=5, depth=3)
+    model = M.fit_forest(df, COLS, "y", True, **FOREST)
     holes = df.withColumn("d3", F.when(F.col("vec_id") % 9 != 0, F.col("d3")))
-    out = M.score_complete(model, holes, COLS[:8], "vec_id", df.select("vec_id"))
+    out = M.score_complete(model, holes, COLS, "vec_id", df.select("vec_id"))
     return out.select("vec_id", F.col("prediction").isNotNull().alias("scored"))
 
 

@@ -132,3 +132,13 @@ def test_cluster_cuts(spark):
     df = spark.createDataFrame([(float(x),) for x in [0, 0.1, 0.2, 10, 10.1, 10.2, None or 10.0]], "v double")
     (cut,) = FE.cluster_cuts(df, "v", [2])[2]
     assert 4 < cut < 6
+
+
+def test_guarded_scoring_query_uses_every_descriptor(spark, monkeypatch):
+    from permspark.catalog import models as Q
+
+    used, fit, score = [], M.fit_forest, M.score_complete
+    monkeypatch.setattr(M, "fit_forest", lambda df, cols, *a, **b: used.append(cols) or fit(df, cols, *a, **b))
+    monkeypatch.setattr(M, "score_complete", lambda model, df, cols, *a: used.append(cols) or score(model, df, cols, *a))
+    out = Q.score_with_guard(spark, "/root/testdata/sf0.001")
+    assert used == [Q.COLS, Q.COLS] and out.filter("scored <> (vec_id % 9 <> 0)").count() == 0
