@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from permspark.llm import decontaminate, html_text, licenses, mixing, quality, secrets, simhash, token_files, url_filter, warc
+from permspark.llm import collocations, decontaminate, html_text, licenses, mixing, quality, secrets, simhash, token_files, url_filter, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -62,6 +62,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 #: Words of a text and their positions, as in the operator.
 _WORDS = r"string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')"
 
@@ -105,11 +109,30 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM keyed
 """
 
+#: Every phrase as a string, counted and scored at once.
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(p, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+places AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m),
+counts AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase, count(*) AS f FROM places GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT *, array_to_string(w[: k], ' ') AS head, array_to_string(w[k + 1 :], ' ') AS rest
+         FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM counts WHERE m > 1)),
+scores AS (SELECT c.lang, c.phrase, c.m, c.f AS a, x.f AS l, y.f AS r, n, k, (1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS score
+           FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.head JOIN counts y ON y.lang = c.lang AND y.phrase = c.rest JOIN totals t ON t.lang = c.lang),
+weakest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (SELECT * FROM weakest w WHERE NOT EXISTS (
+           SELECT 1 FROM counts c WHERE c.lang = w.lang AND c.m > w.m AND c.f >= w.a AND contains(' ' || c.phrase || ' ', ' ' || w.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase::BLOB) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_html_text, op3_simhash, op4_token_files, op5_warc, op6_secrets, op7_mixing, op8_quality_rules,
-        op9_licenses, op10_url_filter,
+        op9_licenses, op10_url_filter, op11_collocations,
     )
 }
-ORACLES = {"op1_decontamination": OP1_SQL, "op7_mixing": OP7_SQL}
+ORACLES = {"op1_decontamination": OP1_SQL, "op7_mixing": OP7_SQL, "op11_collocations": OP11_SQL}
