@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from permspark.llm import collocations, decontaminate, html_text, licenses, mixing, quality, secrets, simhash, token_files, url_filter, warc
+from permspark.llm import collocations, decontaminate, html_text, licenses, mixing, nearest, quality, secrets, simhash, spelling, token_files, url_filter, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -66,6 +66,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 #: Words of a text and their positions, as in the operator.
 _WORDS = r"string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')"
 
@@ -132,7 +140,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_html_text, op3_simhash, op4_token_files, op5_warc, op6_secrets, op7_mixing, op8_quality_rules,
-        op9_licenses, op10_url_filter, op11_collocations,
+        op9_licenses, op10_url_filter, op11_collocations, op12_spelling, op13_nearest,
     )
 }
 ORACLES = {"op1_decontamination": OP1_SQL, "op7_mixing": OP7_SQL, "op11_collocations": OP11_SQL}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 from functools import cache
 
@@ -100,3 +101,68 @@ def quality_stats(text):
             dup += line in seen
             seen.add(line)
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(cover)
+
+
+def collocations(docs, least, top, longest=5):
+    """Rows (lang, rank, phrase, a, l, r, n, score) from docs (lang, text), phrase by phrase."""
+    counts, totals = defaultdict(Counter), Counter()
+    for lang, text in docs:
+        lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang or "und"] += len(w)
+            for m in range(1, longest + 1):
+                counts[lang or "und"].update(tuple(w[i : i + m]) for i in range(len(w) - m + 1))
+    out = []
+    for lang, f in counts.items():
+        good = {p for p, a in f.items() if len(p) > 1 and a >= least}
+        rows = []
+        for p in good:
+            inside = any(len(q) > len(p) and f[q] >= f[p] and any(q[i : i + len(p)] == p for i in range(len(q))) for q in good)
+            if not inside:
+                n = totals[lang]
+                score, _, l, r = min((1000 * f[p] * n // (f[p[:k]] * f[p[k:]]), k, f[p[:k]], f[p[k:]]) for k in range(1, len(p)))
+                rows.append((-score, -f[p], " ".join(p).encode(), l, r, n))
+        out += [(lang, k + 1, p.decode(), -a, l, r, n, -s) for k, (s, a, p, l, r, n) in enumerate(sorted(rows)[:top])]
+    return sorted(out)
+
+
+def vocabulary(docs, shortest=7, least=2):
+    """{word: n} from docs (doc_id, text)."""
+    n = Counter()
+    for d, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            n[run] += len(run) >= shortest
+    return {w: k for w, k in n.items() if k >= least}
+
+
+def one_edit(a, b):
+    """Whether the edit distance is one, by its table."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1] == 1
+
+
+def variants(words, times=10):
+    """Rows (word, form, root, n, n_near, form_n) by comparing all words."""
+    near = {w: [v for v in words if one_edit(w, v)] for w in words}
+    form = {}
+    for w, others in near.items():
+        if others:
+            best = min(others, key=lambda v: (-words[v], v))
+            if words[best] >= times * words[w]:
+                form[w] = best
+
+    def root(w):
+        return root(form[w]) if w in form else w
+
+    return sorted((w, form.get(w), root(w), words[w], len(near[w]), words.get(form.get(w))) for w in words)
