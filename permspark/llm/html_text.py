@@ -3,7 +3,9 @@
 A page is cut into lines, one for each block of its markup. Pages of a host are put in order of their URL paths; each is paired with the
 neighbour that shares the longer path prefix. Their lines are aligned by longest common subsequence, and shared lines are deleted:
 they come from the site's template. Markup decides first: what stands in menus, headers, footers, sidebars, notices, adverts, forms or
-comments goes in any case, and where a page marks its article, lines outside of it go, too. Shared lines go on marked pages as on others.
+comments goes in any case, and where a page marks its article, lines outside of it go, too. Within a marked article a shared line may as well be a
+sentence that two articles have in common. There it goes only if the neighbour on the other side (if there is one) shares it, too, and it stands on at
+least half of the host's different pages, and on PROVEN of them.
 Copies share it all, so they are told by the text that markup lets through: where nearly all of both pages is shared, the neighbour is
 a copy and its lines stay; where a smaller part, but most of the page is shared, it may be an edited copy. In both cases the page is
 aligned with its neighbour on the other side, too, and what that one shares goes: all of it if it isn't a copy itself, and beside an edited
@@ -38,6 +40,8 @@ from permspark.sources.writers import staged
 COPY_SHARE = 0.9
 #: Share of a page's text from which the neighbour may be an edited copy.
 EDITED_SHARE = 0.6
+#: Different pages of a host on which a line of a marked article must stand to be one of the template.
+PROVEN = 3
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -177,6 +181,7 @@ def lines_of(page: str | None) -> list[Line]:
         return []
     out: list[tuple[str, int, int]] = []
     stack: list[tuple[str, int, int]] = []
+    places: dict[str, list[int]] = {}  # of the open elements of each name, so that nothing is searched for in a deep stack
     wrappers, unclosed = Wrappers(), set()
     zone, wrapper, held, at = PLAIN, -1, [], 0
 
@@ -188,16 +193,18 @@ def lines_of(page: str | None) -> list[Line]:
 
     def close(name: str, stops=frozenset()):
         nonlocal zone, wrapper
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                after = stack[k - 1][1:] if k else (PLAIN, -1)
-                if after != (zone, wrapper) or any(x[0] in BLOCKS for x in stack[k:]):  # an inline element doesn't end the line
-                    flush()
-                del stack[k:]
-                zone, wrapper = after
-                return
-            if stack[k][0] in stops:
-                return
+        if not places.get(name):
+            return
+        k = places[name][-1]
+        if any(places[stop][-1] > k for stop in stops if places.get(stop)):
+            return
+        after = stack[k - 1][1:] if k else (PLAIN, -1)
+        if after != (zone, wrapper) or any(x[0] in BLOCKS for x in stack[k:]):  # an inline element doesn't end the line
+            flush()
+        for other, *_ in stack[k:]:
+            places[other].pop()
+        del stack[k:]
+        zone, wrapper = after
 
     while m := TOKEN.search(page, at):
         if m.start() > at:
@@ -234,6 +241,7 @@ def lines_of(page: str | None) -> list[Line]:
                 flush()
             if dropped is not None:
                 wrapper = wrappers.add(wrapper, dropped, zone)
+            places.setdefault(name, []).append(len(stack))
             stack.append((name, inner, wrapper))
             zone = inner
     held.append(page[at:])
@@ -353,17 +361,20 @@ def _shares(keys: list[int], sizes: list[int], other: list[int], others: list[in
     return shared, own, sum(others[k] for k in shared_lines(other, keys)) >= COPY_SHARE * sum(others)
 
 
-def template_of(keys: list[int], sizes: list[int], near: tuple | None, far: tuple | None) -> tuple[list[int], list[int]]:
-    """(shared, gone): lines shared with the nearest page, and those that come from the template; near and far are (keys, sizes)."""
+def template_of(keys: list[int], sizes: list[int], marked: bool, near: tuple | None, far: tuple | None) -> tuple[list[int], list[int]]:
+    """(shared, gone): lines shared with the nearest page, and those that come from the template; near and far are (keys, sizes).
+
+    On a marked page, those that may come from it.
+    """
     if near is None:
         return [], []
     shared, share, copy = _shares(keys, sizes, *near)
-    if not copy and share < EDITED_SHARE:
+    if not copy and share < EDITED_SHARE and (far is None or not marked):
         return shared, shared
     if far is None:
         return shared, []
     beyond, _, again = _shares(keys, sizes, *far)
-    if again:
+    if again and (copy or share >= EDITED_SHARE):
         return shared, []
     return shared, beyond if copy else sorted(set(shared) & set(beyond))
 
@@ -374,14 +385,14 @@ def main_text(numbers: list[int], texts: list[str], gone: list[int]) -> str:
     return "\n\n".join(t for k, t in zip(numbers, texts) if k not in dropped)
 
 
-LINES = row_type("keys array<long>, sizes array<long>")
+LINES = row_type("keys array<long>, sizes array<long>, marked boolean")
 
 
 @F.pandas_udf(LINES)
 def keys_of(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in pages:
         found = [lines_of(p) for p in batch]
-        yield pd.DataFrame({"keys": [line_keys(x) for x in found], "sizes": [line_sizes(x) for x in found]})
+        yield pd.DataFrame({"keys": [line_keys(x) for x in found], "sizes": [line_sizes(x) for x in found], "marked": [wanted_lines(x)[0] for x in found]})
 
 
 @F.pandas_udf(row_type("shared array<long>, gone array<long>"))
@@ -389,8 +400,8 @@ def template_in(pairs: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame
     for columns in pairs:
         rows = []
         for row in zip(*columns):
-            own, near, far = ([None if x is None else x.tolist() for x in row[k : k + 2]] for k in (0, 2, 4))
-            rows.append(template_of(*own, *(None if x[0] is None else tuple(x) for x in (near, far))))
+            own, near, far = ([None if x is None else x.tolist() for x in row[k : k + 2]] for k in (1, 3, 5))
+            rows.append(template_of(*own, row[0], *(None if x[0] is None else tuple(x) for x in (near, far))))
         yield pd.DataFrame({"shared": [r[0] for r in rows], "gone": [r[1] for r in rows]})
 
 
@@ -442,8 +453,26 @@ def template_lines(pages: DataFrame) -> DataFrame:
     paired = staged(beside.select(F.col("host").alias("_host"), F.col("path").alias("_path"), near.alias("near"), far["lines"].alias("far")))
     met = slim.join(paired, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
     sides = [F.col(f"{side}.{part}") for side in ("lines", "near.lines", "far") for part in ("keys", "sizes")]
-    found = met.select("page_id", "_h", template_in(*sides).alias("_t"), F.col("near.path").alias("neighbour"))
-    return found.select("page_id", "_h", "_t.shared", "_t.gone", "neighbour")
+    found = met.select("page_id", "_h", "host", "lines", template_in("lines.marked", *sides).alias("_t"), F.col("near.path").alias("neighbour"))
+    at_gone = F.transform("_t.gone", lambda k: F.get("lines.keys", k.cast("int")))
+    found = staged(found.select("page_id", "_h", "host", "lines.marked", "_t.shared", "_t.gone", at_gone.alias("gone_keys"), "neighbour"))
+    proven = template_keys(slim, found).select(F.col("host").alias("_host"), "proven")
+    pairs = F.arrays_zip(F.col("gone").alias("gone"), F.col("gone_keys").alias("key"))
+    sure = F.transform(F.filter(pairs, lambda p: F.array_contains(F.coalesce("proven", F.array().cast("array<long>")), p["key"])), lambda p: p["gone"])
+    out = found.join(proven, F.col("host") == F.col("_host"), "left")
+    return out.select("page_id", "_h", "shared", F.when(F.col("marked"), sure).otherwise(F.col("gone")).alias("gone"), "neighbour")
+
+
+def template_keys(slim: DataFrame, found: DataFrame) -> DataFrame:
+    """(host, proven): of the lines that may go from marked articles, those on at least half of the host's different pages; few for each host."""
+    asked = staged(found.filter("marked").select("host", F.explode("gone_keys").alias("key")).distinct())
+    own = F.col("lines.keys")
+    content = slim.select("host", F.xxhash64(own).alias("content"), own.alias("keys"))
+    totals = content.join(asked, "host", "left_semi").groupBy("host").agg(F.count_distinct("content").alias("total"))
+    rows = content.select("host", "content", F.explode(F.array_distinct("keys")).alias("key")).join(asked, ["host", "key"], "left_semi")
+    counts = rows.groupBy("host", "key").agg(F.count_distinct("content").alias("n"))
+    enough = counts.join(totals, "host").filter((F.col("n") >= PROVEN) & (2 * F.col("n") >= F.col("total")))
+    return staged(enough.groupBy("host").agg(F.collect_list("key").alias("proven")))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -216,6 +217,26 @@ def test_differencing_of_marked_pages(spark):
     assert got[31] == H.candidates(rows[-2][2])[2][2:]  # a template longer than the text
 
 
+def test_marked_pages_lose_template_lines_alone(spark):
+    """Pages of one host share sentences with both neighbours, some of them often; planted lines are on at least half of the pages."""
+    common, planted = [sentence(9) for _ in range(3)], "Read more stories of this kind"
+    rows, want = [], {}
+    for k in range(30):
+        body = [sentence(20), common[k // 10], sentence(15)]  # ten pages in a row have one sentence in common
+        lines = [planted, *body] if k % 5 else body
+        rows.append((k, f"http://a.org/n/{k:02}", f"<body><nav>Menu</nav><article>{''.join(f'<p>{x}</p>' for x in lines)}</article></body>"))
+        want[k] = body
+    got = {r.page_id: r.text.split("\n\n") for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    alone = {k for k in range(1, 29) if {k - 1, k + 1} & {0, 5, 10, 15, 20, 25} and k % 5}  # a neighbour lacks the planted line
+    assert all(got[k] == ([planted, *want[k]] if k in alone else want[k]) for k in range(30))
+
+
+@pytest.mark.parametrize("page", ["<div>" * 60_000 + "x", "<b>" * 40_000 + "</i>" * 40_000 + "x", "<ul><p><li>" + "<div>" * 60_000 + "x", "<ul><li>" * 40_000 + "x", "<font><p>" * 40_000 + "</font>" * 40_000 + "x"])
+def test_deep_pages_take_little_time(page):
+    start = time.perf_counter()
+    assert H.candidates(page)[2] == ["x"] and time.perf_counter() - start < 10
+
+
 def test_wrappers_keep_their_article():
     text = lambda page: H.candidates(page)[2]
     side = '<div class="sidebar"><p>Side</p></div>'
