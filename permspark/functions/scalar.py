@@ -113,7 +113,7 @@ def non_missing(array) -> Column:
 
 
 def hash_hex(seed: int, *keys) -> Column:
-    """Seeded 128-bit hash of a key as 32 hex digits: the library's only source of randomness."""
+    """Seeded 128-bit hash of a key as 32 hex digits: the library's only source of randomness. Missing parts are left out."""
     parts = [F.lit(str(seed))] + [as_col(k).cast("string") for k in keys]
     return F.md5(F.concat_ws(":", *parts))
 
@@ -132,16 +132,15 @@ def power_of_ten_text(c) -> Column:
     return F.concat(F.lit("10^"), F.log10(as_col(c)).cast("bigint").cast("string"))
 
 
+def number_text(c, digits: int) -> Column:
+    """Significant digits as plain text: '20', '0.23'; no exponent, twelve decimals at most."""
+    return F.regexp_replace(signif(c, digits).cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
+
+
 def packed_interval(med, low, high, digits: int = 2) -> Column:
     """'m (lo - hi)' with significant-digit rounding."""
-    return F.concat(
-        signif(med, digits).cast("string"),
-        F.lit(" ("),
-        signif(low, digits).cast("string"),
-        F.lit(" - "),
-        signif(high, digits).cast("string"),
-        F.lit(")"),
-    )
+    parts = [number_text(med, digits), F.lit(" ("), number_text(low, digits), F.lit(" - "), number_text(high, digits), F.lit(")")]
+    return F.concat(*parts)
 
 
 def unpack_interval(c) -> Column:

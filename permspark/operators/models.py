@@ -68,9 +68,9 @@ def mtry_grid(n_features: int, classify: bool, factor: float = 1.25, steps: int
 def repeated_cv(
     df: DataFrame, cols, label: str, key, classify: bool, mtry: Sequence[int], folds: int = 5, repeats: int = 10, **kw
 ) -> DataFrame:
-    """Mean cross-validated metric per subset size: (mtry, metric, error)."""
+    """Mean cross-validated metric per subset size: (mtry, metric, error); the same however the rows are partitioned."""
     spark = df.sparkSession
-    data = assembled(df, cols).persist()
+    data = assembled(dealt(df, cols, label), cols).persist()
     try:
         totals = {m: 0.0 for m in mtry}
         for repeat in range(repeats):
@@ -163,6 +163,11 @@ def class_boundaries(value, low_max: Column, mid_max: Column) -> Column:
     return F.when(value < low_max, F.lit(1)).when(value < mid_max, F.lit(2)).otherwise(F.lit(3))
 
 
+def outer_classes(value, low_max: Column, high_min: Column) -> Column:
+    """Regression output to three classes by the inner ends of the outer classes; where they overlap the lower class wins."""
+    return F.when(value < low_max, F.lit(1)).when(value > high_min, F.lit(3)).otherwise(F.lit(2))
+
+
 # --- quantile forest --------------------------------------------------------------------------------
 
 

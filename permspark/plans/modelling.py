@@ -48,6 +48,15 @@ def regression_classes(df: DataFrame, predicted: str, boundaries_from: DataFrame
     return df.withColumn("predicted_bin", M.class_boundaries(F.col(predicted), top(1), top(2)))
 
 
+def regression_classes_by_ends(df: DataFrame, predicted: str, boundaries_from: DataFrame, observed: str, observed_bin: str) -> DataFrame:
+    """Three classes from a regression: class 1 below the largest observation of bin 1, class 3 above the smallest of bin 3."""
+    ends = boundaries_from.agg(
+        F.max(F.when(F.col(observed_bin) == 1, F.col(observed))).alias("__low"), F.min(F.when(F.col(observed_bin) == 3, F.col(observed))).alias("__high")
+    )
+    low, high = ends.select("__low").scalar(), ends.select("__high").scalar()
+    return df.withColumn("predicted_bin", M.outer_classes(F.col(predicted), low, high))
+
+
 def structure_means(df: DataFrame, structure: str, value: str, extra: dict[str, str] | None = None) -> DataFrame:
     """Mean and sd of log10 values per structure, with means of further columns {column: name}."""
     known = df.where(F.col(structure).isNotNull() & (F.col(value) > 0))
@@ -91,10 +100,12 @@ def training_sets(
 def scheme_table(
     train: DataFrame, test: DataFrame, cols, value: str, key: str, bins=(2, 3, 4, 5), chosen: int = 3, **forest
 ) -> DataFrame:
-    """Accuracy, kappa and bin intervals for every number of bins, and for a regression cut into classes.
+    """Accuracy, kappa and bin intervals for every number of bins, and for a regression cut into three classes by the training values.
 
-    Rows are metrics, columns are schemes.
+    Rows are metrics, columns are schemes. `chosen` names the scheme with which the regression is compared; it has three bins.
     """
+    if chosen != 3 or chosen not in bins:
+        raise ValueError("a regression is cut into three classes: chosen must be 3, and one of the schemes")
     spark = train.sparkSession
     both = train.withColumn("__t", F.lit(0)).unionByName(test.withColumn("__t", F.lit(1))).withColumn("__lv", log10(value))
     # The classes are a property of all measurements, so cut points come from train and test together.
@@ -119,9 +130,8 @@ def scheme_table(
         model = M.fit_forest(tr, cols, "__lv", False, **forest)
         scored = M.score_complete(model, te, cols, key).join(te.select(key, f"bin{chosen}"), key)
         scored = scored.withColumn("__p", F.pow(F.lit(10.0), "prediction"))
-        classes = regression_classes(scored, "__p", tr, value, f"bin{chosen}") if chosen == 3 else scored
-        if chosen == 3:
-            rows += _metric_rows("continuous", classes, "predicted_bin", f"bin{chosen}")
+        classes = regression_classes_by_ends(scored, "__p", tr, value, f"bin{chosen}")
+        rows += _metric_rows("continuous", classes, "predicted_bin", f"bin{chosen}")
     finally:
         both.unpersist()
     long = spark.createDataFrame(rows, "scheme string, metric string, value string")
