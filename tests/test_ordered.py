@@ -124,6 +124,35 @@ def test_medians_of_several_columns(values):
     assert got["c"].isna().all()
 
 
+@pytest.mark.parametrize("bracketed", [ordered.BRACKETED, 300, 5])
+def test_sketched_quantiles_are_exact(spark, bracketed):
+    """Groups far larger than a sketch, with many ties, few values, and outliers; with more than one round of brackets."""
+    rng = np.random.default_rng(4)
+    n = 120_000
+    g = np.where(rng.random(n) < 0.6, "hot", np.where(rng.random(n) < 0.5, "ties", "some"))
+    v = np.where(g == "hot", rng.lognormal(0, 3, n), np.where(g == "ties", rng.integers(0, 5, n), rng.normal(size=n)))
+    v[7] = -1e300
+    pdf = pd.DataFrame({"g": g, "v": v})
+    probs = {"a": 0.0, "b": 0.025, "c": 0.5, "d": 0.95, "e": 1.0}
+    df = spark.createDataFrame(pdf).repartition(16)
+    got = ordered.quantiles(df, ["g"], "v", probs, bracketed=bracketed).toPandas().set_index("g")
+    for key, part in pdf.groupby("g"):
+        np.testing.assert_allclose(got.loc[key, list(probs)].to_numpy(float), np.quantile(part.v, list(probs.values())), rtol=1e-12)
+        assert got.loc[key, "n_total"] == len(part)
+    whole = ordered.quantiles(df, [], "v", probs, bracketed=bracketed).toPandas()
+    np.testing.assert_allclose(whole[list(probs)].to_numpy(float)[0], np.quantile(pdf.v, list(probs.values())), rtol=1e-12)
+
+
+def test_a_wrong_bracket_is_noticed(spark, monkeypatch):
+    """Brackets that are trusted too far: the counts show it, and ranges give the answer."""
+    monkeypatch.setattr(ordered, "RANK_ERROR", -0.05)
+    monkeypatch.setattr(ordered, "SMALL", 10)
+    df = spark.range(5000).select((F.col("id") % 2).alias("g"), (F.col("id") * 37 % 5000).cast("double").alias("v"))
+    got = {r.g: r.m for r in ordered.quantiles(df, ["g"], "v", {"m": 0.3}).collect()}
+    pdf = df.toPandas()
+    assert got == {k: pytest.approx(np.quantile(x.v, 0.3)) for k, x in pdf.groupby("g")}
+
+
 def test_no_range_is_deep(spark):
     """Far outliers, one hot key and one hot first value fill ranges of the usual depth."""
     n, ranges = 60_000, 30
