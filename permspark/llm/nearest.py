@@ -14,8 +14,8 @@ precision; those of the best candidates are summed anew in the order of the comp
 wherever they meet. Candidates of all tables are merged for the final ranks.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an id. Vectors of different
-numbers of components never meet. A repeated id is listed once, with its best score; as a query it stands for its least vector, and no row with the
-query's id is among its neighbours. An empty table gives an empty result; other columns are ignored.
+numbers of components never meet. Repeated rows count once. An id with several vectors is listed for each of them; as a query it stands for the least
+of them, and no row with the query's id is among its neighbours. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,13 +34,13 @@ from permspark.sources.writers import staged
 
 NEIGHBOURS, EVERY = 20, 20
 #: Tables, width of a cell (of projections with variance one), and vectors that a bucket is to hold on average.
-TABLES, WIDTH, BUCKET = 4, 3.0, 200
+TABLES, WIDTH, BUCKET = 2, 3.0, 1500
 #: Probability with which a neighbour is to be found, and the quantile of the sample's last neighbours that it holds for.
 SUCCESS, LIKE = 0.97, 0.25
 #: Queries (those with the smallest hashes) whose neighbours are measured to fit the search.
 SAMPLE = 128
 #: Vectors of a block; queries and products that are looked at together; candidates that a task gathers before it reduces them.
-BLOCK, QUERIES, AT_ONCE, GATHERED = 1000, 200, 4_000_000, 300_000
+BLOCK, QUERIES, AT_ONCE, GATHERED = 4000, 200, 4_000_000, 300_000
 SEED = 13
 
 
@@ -164,30 +164,57 @@ def best_of(queries: np.ndarray, vectors: np.ndarray, most: int) -> tuple[np.nda
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-FOUND = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+BEST = pa.struct([("by", pa.float64()), ("vec_id", pa.int64()), ("key", pa.int64())])
+FOUND = "query long, best array<struct<by: double, vec_id: long, key: long>>"
 
 
 def reduced(found: list[tuple[np.ndarray, ...]], most: int) -> tuple[np.ndarray, ...]:
-    """The `most` best (query, id, score) of each query, each id once."""
-    query, ids, score = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((-score, ids, query))
-    query, ids, score = query[order], ids[order], score[order]
-    once = np.concatenate(([True], (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])))
-    query, ids, score = query[once], ids[once], score[once]
-    order = np.lexsort((ids, -score, query))
-    query, ids, score = query[order], ids[order], score[order]
-    start = np.concatenate(([0], np.flatnonzero(np.diff(query)) + 1))
+    """The `most` best (query, -score, id, key of the vector) of each query, each once."""
+    columns = [np.concatenate(x) for x in zip(*found)]
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0))) if len(order) else np.empty(0, dtype=bool)
+    columns = [c[new] for c in columns]
+    query = columns[0]
+    start = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1]))) if len(query) else np.empty(0, dtype=np.int64)
     rank = np.arange(len(query)) - np.repeat(start, np.diff(np.concatenate((start, [len(query)]))))
-    return query[rank < most], ids[rank < most], score[rank < most]
+    return tuple(c[rank < most] for c in columns)
+
+
+def record(found: list[tuple[np.ndarray, ...]], most: int) -> pa.RecordBatch:
+    """A row for each query with the list of its best."""
+    query, *columns = reduced(found, most)
+    start = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1])))
+    best = pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(BEST))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate((start, [len(query)])).astype(np.int32)), best)
+    return pa.RecordBatch.from_arrays([pa.array(query[start]), lists], names=["query", "best"])
+
+
+def merged_rows(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One list for each query from rows (query, best) sorted by query; a query may span batches."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists = batch.column(1)
+        found = np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)), *(c.to_numpy() for c in lists.flatten().flatten())
+        found = reduced([found] if held is None else [held, found], most)
+        last = found[0] == found[0][-1]
+        if not last.all():
+            yield record([tuple(c[~last] for c in found)], most)
+        held = tuple(c[last] for c in found)
+    if held is not None:
+        yield record([held], most)
+
+
+def merged(found: DataFrame, most: int) -> DataFrame:
+    """The `most` best of each query, from the lists of several tasks; each task that a query visits has one or few."""
+    return found.repartition("query").sortWithinPartitions("query").mapInArrow(partial(merged_rows, most), FOUND)
 
 
 def ranked_rows(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Best candidates of each query in each block, from rows (cell, i, j, kind, key, ids, vec) of meet()."""
     held, vectors, found, size = [], None, [], 0
-
-    def record(parts) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in reduced(parts, most)], schema=FOUND)
-
     for new, kind, rows in runs(batches):
         if new:
             held, vectors = [], None
@@ -198,19 +225,21 @@ def ranked_rows(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             continue
         if vectors is None:
             vectors = np.concatenate([matrix(h.column(6)) for h in held])
+            keys = np.concatenate([h.column(4).to_numpy() for h in held])
             ids = pa.concat_arrays([h.column(5) for h in held])
             copies = ids.value_lengths().to_numpy().astype(np.int64)
             flat, first = ids.flatten().to_numpy(), np.cumsum(copies) - copies
         q, v, score = best_of(matrix(rows.column(6)), vectors, most)
         n = copies[v]
         each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        found.append(reduced([(np.repeat(rows.column(4).to_numpy()[q], n), flat[np.repeat(first[v], n) + each], np.repeat(score, n))], most))
+        met = rows.column(4).to_numpy()[q], -score, flat[np.repeat(first[v], n) + each], keys[v]
+        found.append(reduced([tuple(c if len(c) == len(each) else np.repeat(c, n) for c in met)] if len(each) > len(v) else [met], most))
         size += len(found[-1][0])
         if size > GATHERED:
-            yield record(found)
+            yield record(found, most)
             found, size = [], 0
     if found:
-        yield record(found)
+        yield record(found, most)
 
 
 def last_scores(sample: np.ndarray, most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,10 +250,10 @@ def last_scores(sample: np.ndarray, most: int, batches: Iterator[pa.RecordBatch]
             continue
         q, v, score = best_of(sample, matrix(rows.column(2)), most)
         n = rows.column(1).value_lengths().to_numpy().astype(np.int64)[v]
-        found = [reduced([*found, (np.repeat(q, n), seen + np.arange(n.sum()), np.repeat(score, n))], most)]
+        found = [reduced([*found, (np.repeat(q, n), -np.repeat(score, n), seen + np.arange(n.sum()), np.repeat(v, n))], most)]
         seen += int(n.sum())
     if found:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in found[0]], schema=FOUND)
+        yield record(found, most)
 
 
 def smallest_ids(rows: DataFrame, most: int) -> DataFrame:
@@ -258,31 +287,29 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, success
     """(query_id, rank, vec_id, score): the `k` best vectors found for each query, a row whose id `every` divides."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("vec")))
-    queries = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec"))
-    points = staged(smallest_ids(rows, k + 1).select(F.element_at("ids", 1).alias("key"), "ids", "vec").mapInArrow(as_bytes, BYTES))
+    queries = staged(rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec"), F.count_distinct("vec").alias("own")))
+    most = k + (queries.agg(F.max("own")).first()[0] or 0)  # a query's own rows may be among its best
+    points = staged(smallest_ids(rows, most).select(F.xxhash64("vec").alias("key"), "ids", "vec").mapInArrow(as_bytes, BYTES))
     named = staged(queries.groupBy("vec").agg(F.min("id").alias("key")))
     members = staged(queries.join(named.withColumnRenamed("vec", "_vec"), F.col("vec") == F.col("_vec")).select("id", "key"))
     search = staged(named.select("key", F.array("key").alias("ids"), "vec").mapInArrow(as_bytes, BYTES))
 
     kinds = points.groupBy("dim", "band").agg(F.count("*").alias("n"), F.max("size").alias("size")).collect()
     sizes = {(r.dim, r.band): 2.0**r.size for r in kinds}
-    reach = fitted(points, search, sizes, k)
-    directions = max(math.ceil(math.log2(max(sum(r.n for r in kinds), 1) / BUCKET)), 1)
+    reach = fitted(points, search, sizes, k + 1)
+    directions = max(round(math.log2(max(sum(r.n for r in kinds), 1) / BUCKET)), 1)
     mass = 1 - (1 - success) ** (1 / TABLES)
     left = points.mapInArrow(partial(indexed, sizes, directions), HASHED)
     right = search.mapInArrow(partial(asked, reach, directions, mass), HASHED)
     met = meet(left, right, ["key", "vec"], block)
-    found = met.mapInArrow(partial(ranked_rows, k + 1), "query long, vec_id long, score double")
-    found = found.groupBy("query", "vec_id").agg(F.max("score").alias("score"))
-    order = F.struct((-F.col("score")).alias("by"), "vec_id", "score")
-    lists = staged(found.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k + 1).alias("best")))
+    lists = staged(merged(met.mapInArrow(partial(ranked_rows, most), FOUND), most))
     met = members.join(lists, F.col("key") == F.col("query"))
     own = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("id")), 1, k)
     out = met.select(F.col("id").alias("query_id"), F.posexplode(own).alias("pos", "b"))
-    return out.select("query_id", (F.col("pos") + 1).alias("rank"), "b.vec_id", "b.score")
+    return out.select("query_id", (F.col("pos") + 1).alias("rank"), "b.vec_id", (-F.col("b.by")).alias("score"))
 
 
-def fitted(points: DataFrame, search: DataFrame, sizes: dict, k: int) -> dict[tuple[int, int], float]:
+def fitted(points: DataFrame, search: DataFrame, sizes: dict, most: int) -> dict[tuple[int, int], float]:
     """For each number of components and band, the scaled inner product of the last neighbour, from a sample of queries and all vectors."""
     reach = {}
     for dim in {d for d, _ in sizes}:
@@ -290,8 +317,7 @@ def fitted(points: DataFrame, search: DataFrame, sizes: dict, k: int) -> dict[tu
         if not chosen:
             continue
         sample = unit(np.stack([np.frombuffer(r.vec, dtype=np.float64) for r in chosen]))
-        scores = points.mapInArrow(partial(last_scores, sample, k + 1), "query long, vec_id long, score double")
-        best = scores.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(-F.col("score"))), 1, k + 1).alias("best"))
-        last = -np.array([r.best[-1] for r in best.collect()])
+        best = merged(points.mapInArrow(partial(last_scores, sample, most), FOUND), most).select(F.element_at("best.by", -1).alias("last"))
+        last = -np.array([r["last"] for r in best.collect()])
         reach |= {(d, band): float(np.clip(np.quantile(last, LIKE) / size, 0.0, 0.999)) for (d, band), size in sizes.items() if d == dim}
     return reach

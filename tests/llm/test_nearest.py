@@ -23,14 +23,14 @@ def brute(rows, k=20, every=20):
             queries[i] = min(queries.get(i, v), v)
     out = {}
     for i, v in queries.items():
-        best = {}
-        for j, u in good:
+        best = set()
+        for j, u in {(j, tuple(u)) for j, u in good}:
             if j != i and len(u) == len(v):
                 score = 0.0
                 for a, b in zip(v, u):
                     score += a * b
-                best[j] = max(best.get(j, score), score)
-        out[i] = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+                best.add((-score, j, u))
+        out[i] = [(j, -s) for s, j, _ in sorted(best)[:k]]
     return {i: x for i, x in out.items() if x}
 
 
@@ -43,7 +43,7 @@ def lists(df):
 
 
 def recall(got, want):
-    return sum(len({v for v, _ in got.get(q, [])} & {v for v, _ in best}) for q, best in want.items()) / max(sum(map(len, want.values())), 1)
+    return sum(len(set(got.get(q, [])) & set(best)) for q, best in want.items()) / max(sum(map(len, want.values())), 1)
 
 
 def awkward():
