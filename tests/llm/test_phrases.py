@@ -42,21 +42,28 @@ def test_collocations_equal_brute_force(spark, least, top):
     assert phrase_rows(found) == brute.collocations(docs, least, top)
 
 
-def test_phrases_of_a_chunk_in_small_blocks_and_with_colliding_fingerprints(monkeypatch):
+def test_phrases_of_a_chunk_in_small_blocks(monkeypatch):
     monkeypatch.setattr(C, "BLOCK", 64)
     body = C.pieces(b"A b, a B a  b c\td. " * 30 + b"x" * 500 + b" a b")
-    words = C.Words(body)
+    words, hashes = C.Words(body), {}
     for m in (1, 2, 3):
         at = words.phrases(m)
-        prints = words.prints(at, m, 5)
         texts = [body[words.starts[k] : words.ends[k + m - 1]] for k in at]
-        assert len(set(prints.tolist())) == len(set(texts)) and all(b"\n" not in t for t in texts)
-        first = dict(zip(prints.tolist()[::-1], at.tolist()[::-1]))
-        whole, _ = C.settled(words, body, np.array(sorted(first.values())), m, lambda w, at, m: w.prints(at, m, 5))
-        assert whole == {t: texts.count(t) for t in set(texts)}
-        # all phrases share one fingerprint: the texts decide
-        forced, _ = C.settled(words, body, at[:1], m, lambda w, at, m: np.zeros(len(at), dtype=np.uint64))
-        assert forced == whole
+        assert all(b"\n" not in t and t.count(b" ") == m - 1 for t in texts)
+        for text, *pair in zip(texts, *words.named(at, m, "en", 64)):
+            assert hashes.setdefault(text, pair) == pair
+            for row, (modulus, base), salt in zip(pair, C.BASES, (C.xxhash.xxh64_intdigest(b"en", m), 0)):
+                whole = sum((x + 1) * pow(base, k, modulus) for k, x in enumerate(text)) % modulus ^ salt
+                assert whole % 2**64 == int(row) % 2**64 if modulus == 1 << 64 else whole & C.CHECK == row
+    assert len({tuple(map(int, h)) for h in hashes.values()}) == len(hashes)
+    runs = C.longer_runs(words, body, at := words.phrases(1), np.array([body[a:b] != b"d" for a, b in zip(words.starts, words.ends)]), 1)
+    assert runs == C.pieces(b"A b, a B a  b c\n" * 30 + b"x" * 500 + b" a b")
+
+
+def test_colliding_fingerprints_are_told_apart_by_text(spark):
+    """A fingerprint of 5 bits is shared by many phrases."""
+    docs = phrase_docs(n=80)
+    assert phrase_rows(C.collocations(phrase_table(spark, docs), 12, 50, bits=5)) == brute.collocations(docs, 12, 50)
 
 
 def test_collocations_of_a_long_text_and_of_nothing(spark):
