@@ -8,7 +8,7 @@ from permspark.catalog.base import q6, query, r6, table
 from permspark.functions import scalar as S
 from permspark.operators import cleaning as C
 from permspark.operators.grouping import any_present, complete_rows
-from permspark.sources import names, readers, writers
+from permspark.sources import names, readers, records, writers
 
 URL = "https://example.org/chemical/details/"
 JUNK = "|c:10\t"
@@ -157,6 +157,89 @@ def io_roundtrip(spark, sf) -> DataFrame:
     return out
 
 
+@query(
+    "csv_multiline",
+    """SELECT doc_id, source, md5(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS digest, length(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS n FROM documents""",
+)
+def csv_multiline(spark, sf) -> DataFrame:
+    """Texts with line ends, quotes and commas, written as quoted CSV and read back in splits."""
+    path = f"{writers.scratch_dir(spark)}/csv"
+    writers.write_quoted(table(spark, sf, "documents").select("doc_id", "text", "source"), path)
+    back = records.read_quoted(spark, path, "doc_id long, text string, source string")
+    text = F.coalesce("text", F.lit(""))
+    return back.select("doc_id", "source", F.md5(text).alias("digest"), F.length(text).cast("long").alias("n"))
+
+
+@query(
+    "csv_captioned",
+    f"""SELECT n_name, count(*) AS n, {q6('sum(s_acctbal)', 'balance')} FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name""",
+)
+def csv_captioned(spark, sf) -> DataFrame:
+    """A caption of two lines, a header, and data, in one of several files."""
+    path, names = f"{writers.scratch_dir(spark)}/csv", ["Supplier", "Nation (name)", "Balance, in units"]
+    rows = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = rows.select(F.concat_ws("\n", F.lit("no."), F.col("s_suppkey").cast("string")).alias(names[0]), F.col("n_name").alias(names[1]), F.col("s_acctbal").cast("string").alias(names[2]))
+    caption = "Suppliers, with\ntheir balances"
+    head = spark.createDataFrame([(caption, None, None), tuple(names)], rows.schema)
+    writers.write_quoted(head.unionAll(rows), path)
+    back = readers.read_captioned(spark, path, names, caption=caption)
+    return back.groupBy(F.col(names[1]).alias("n_name")).agg(F.count("*").alias("n"), r6(F.sum(S.number_or_null(f"`{names[2]}`"))).alias("balance"))
+
+
+@query(
+    "csv_inferred",
+    f"""SELECT s.n_name, 'bigint,string,double,boolean,date,string,double' AS types, count(*) AS n, {q6('sum(c_acctbal)', 'balance')}, count_if(c_custkey % 2 = 0)::BIGINT AS n_even,
+      sum(c_custkey)::BIGINT AS keys, max(DATE '2020-01-01' + (c_custkey % 300)::INTEGER)::VARCHAR AS last FROM customer JOIN nation s ON c_nationkey = n_nationkey GROUP BY 1""",
+)
+def csv_inferred(spark, sf) -> DataFrame:
+    """Types of a file without a schema, from all rows: one text among numbers, one fraction among whole numbers."""
+    path = f"{writers.scratch_dir(spark)}/csv"
+    key = F.col("c_custkey")
+    rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        key.alias("id"), F.col("n_name").alias("nation"), F.col("c_acctbal").alias("balance"), F.when(key % 2 == 0, "TRUE").otherwise("FALSE").alias("even"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (key % 300).cast("int")).alias("day"), F.when(key == 77, "seven").otherwise(key.cast("string")).alias("mixed"),
+        F.when(key == 78, F.lit("0.5")).when(key % 3 == 0, F.lit("NA")).otherwise(key.cast("string")).alias("late"),
+    )
+    writers.write_csv(rows, path)
+    back = records.read_inferred(spark, path)
+    kinds = ",".join(t for _, t in back.dtypes)
+    return back.groupBy(F.col("nation").alias("n_name"), F.lit(kinds).alias("types")).agg(
+        F.count("*").alias("n"), r6(F.sum("balance")).alias("balance"), F.count_if("even").alias("n_even"), F.sum("id").alias("keys"), F.max("day").cast("string").alias("last")
+    )
+
+
+@query(
+    "readers_roundtrip",
+    f"""WITH t AS (SELECT p_partkey AS id, p_size::DOUBLE AS size, p_retailprice AS price, p_partkey % 3 AS k FROM part)
+    SELECT 'whitespace' AS source, count(*) AS n, {q6('sum(size)', 'total')} FROM t UNION ALL SELECT 'pairs', count(*), {q6('sum(id::DOUBLE)', 'total')} FROM t
+    UNION ALL SELECT 'sheet' || k, count(*), {q6('sum(price)', 'total')} FROM t GROUP BY k UNION ALL SELECT 'numbered', count(*), {q6('sum(price - size)', 'total')} FROM t""",
+)
+def readers_roundtrip(spark, sf) -> DataFrame:
+    """Blank-separated, headerless, appended and position-named files, each written from a table and read back."""
+    root = writers.scratch_dir(spark)
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
+    head = spark.createDataFrame([("KEY   size",)], "value string")
+    head.unionAll(part.select(F.concat_ws("  ", F.lit(" P"), F.col("id").cast("string"), F.col("size").cast("string")).alias("value"))).write.text(f"{root}/blank")
+    writers.write_tsv(part.select(F.concat(F.lit("C(=O)"), F.col("size").cast("string")), "id"), f"{root}/pairs")
+    for k in range(3):
+        writers.write_csv(part.where(F.col("id") % 3 == k), f"{root}/sheet{k}")
+    writers.write_quoted(part.select("id", F.col("price").alias("F%"), F.concat(F.col("size").cast("string"), F.lit("\n")).alias("note")), f"{root}/numbered", header=True)
+    blank = readers.read_whitespace(spark, f"{root}/blank", ["KEY", "id", "size"])
+    sheets = readers.read_sheets(spark, {f"sheet{k}": f"{root}/sheet{k}" for k in range(3)}, "id long, size int, price double")
+    numbered = readers.read_numbered(spark, f"{root}/numbered", ["id", "F%", "F%"])
+    size = S.number_or_null(F.trim(F.regexp_replace(F.col("`F%...3`"), "\n", "")))
+
+    def total(df, x, *source):
+        return df.groupBy(*source).agg(F.count("*").alias("n"), r6(F.sum(x)).alias("total"))
+
+    return (
+        total(blank.where("KEY = 'P'"), S.number_or_null("size"), F.lit("whitespace").alias("source"))
+        .unionAll(total(readers.read_pairs(spark, f"{root}/pairs"), S.number_or_null("id"), F.lit("pairs").alias("source")))
+        .unionAll(total(sheets, F.col("price"), F.col("sheet").alias("source")))
+        .unionAll(total(numbered, S.number_or_null("`F%...2`") - size, F.lit("numbered").alias("source")))
+    )
+
+
 @query(
     "conditional_update",
     """WITH t AS (SELECT l_suppkey, CASE WHEN l_linenumber = 1 THEN '' ELSE l_linestatus END AS note, l_quantity AS q FROM lineitem),

@@ -1,4 +1,4 @@
-"""Delimited sources. Schemas are always given: nothing is inferred on the way in."""
+"""Delimited sources with given schemas; `records` reads quoted line ends and infers types."""
 
 from __future__ import annotations
 
@@ -6,11 +6,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from permspark.sources.names import positional_names
+from permspark.sources.records import read_quoted
+
 
 def read_delimited(
     spark: SparkSession, path, schema: str, sep: str = ",", header: bool = True, multiline: bool = False, check_header: bool = False
 ) -> DataFrame:
-    """Columns are named by position; check_header makes reading fail if a header has other names. One task reads a multiline file."""
+    """Columns are named by position; check_header makes reading fail if a header has other names. One task reads a multiline file; `read_quoted` has many."""
     return (
         spark.read.schema(schema)
         .option("header", header)
@@ -41,26 +44,27 @@ def read_whitespace(spark: SparkSession, path, names: list[str]) -> DataFrame:
 
 
 def read_positional(spark: SparkSession, path, names: list[str], is_data: Column) -> DataFrame:
-    """Files with a caption, a banner or a late header: name columns by position, keep data rows.
+    """Files with a caption, a banner or a late header: name columns by position, keep the records for which `is_data` holds."""
+    return read_quoted(spark, path, ", ".join(f"`{n}` string" for n in names)).where(is_data)
 
-    `is_data` decides per record. Records may hold line ends, so one task reads each file: large inputs must come in many files.
-    """
-    schema = ", ".join(f"`{n}` string" for n in names)
-    return read_delimited(spark, path, schema, header=False, multiline=True).where(is_data)
+
+def read_numbered(spark: SparkSession, path, headers: list[str], skip: int = 1, sep: str = ",") -> DataFrame:
+    """Files whose header names repeat: text columns by position, repeated names with their number, `skip` leading records left out."""
+    return read_quoted(spark, path, ", ".join(f"`{n}` string" for n in positional_names(headers)), skip=skip, sep=sep)
 
 
 def read_captioned(spark: SparkSession, path, names: list[str], caption: str | None = None) -> DataFrame:
-    """First record a caption, second record the header; all other records are data.
+    """First record a caption, second record the header; all other records are data. Large files are read by many tasks.
 
-    Give the caption's text where data records may have only their first field filled: without it, the caption is known by that.
+    With the caption's text, only that caption and records equal to the names are left out, wherever a file begins.
     """
-    if caption is not None:
-        filled = ~F.col(f"`{names[0]}`").eqNullSafe(caption)
-        header = F.col(f"`{names[0]}`").eqNullSafe(names[0]) & F.col(f"`{names[-1]}`").eqNullSafe(names[-1])
-        return read_positional(spark, path, names, filled & ~header)
-    filled = reduce(lambda a, b: a | b, [F.col(f"`{n}`").isNotNull() for n in names[1:]])
-    header = F.col(f"`{names[0]}`").eqNullSafe(names[0]) & F.col(f"`{names[-1]}`").eqNullSafe(names[-1])
-    return read_positional(spark, path, names, filled & ~header)
+    schema = ", ".join(f"`{n}` string" for n in names)
+    if caption is None:
+        return read_quoted(spark, path, schema, skip=2)
+    named = F.lit(True)
+    for n in names:
+        named = named & F.col(f"`{n}`").eqNullSafe(n)
+    return read_quoted(spark, path, schema).where(~named & ~F.col(f"`{names[0]}`").eqNullSafe(caption))
 
 
 def read_sheets(spark: SparkSession, paths: dict[str, str], schema: str, tag: str = "sheet") -> DataFrame:

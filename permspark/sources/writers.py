@@ -56,6 +56,12 @@ def write_csv(df: DataFrame, path: str, cols: list[str] | None = None, header: b
     )
 
 
+def write_quoted(df: DataFrame, path: str, header: bool = False) -> None:
+    """CSV with every field in quotes, so that fields may hold line ends, separators and blanks at their ends."""
+    options = {"quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "nullValue": "", "emptyValue": ""}
+    df.write.mode("overwrite").options(**options).option("header", header).csv(path)
+
+
 def write_tsv(df: DataFrame, path: str, cols: list[str] | None = None, header: bool = False) -> None:
     write_csv(df, path, cols, header=header, sep="\t")
 
