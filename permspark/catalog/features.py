@@ -118,6 +118,35 @@ def univariate_filter(spark, sf) -> DataFrame:
     return spark.createDataFrame([(c, c in kept) for c in COLS], "column string, kept boolean")
 
 
+def _newton_sql(steps: int) -> str:
+    """Newton's method for all columns at once, step by step."""
+    parts = [
+        f"long AS (SELECT (label % 2)::DOUBLE AS y, i - 1 AS i, embedding[i]::DOUBLE + CASE WHEN i <= 8 THEN (label % 2) * 0.02 * i ELSE 0 END AS x FROM embeddings, range(1, {DIM + 1}) t(i))",
+        "sc AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s, count(*) AS n FROM long GROUP BY 1)", "std AS (SELECT long.i, y, (x - m) / s AS x FROM long JOIN sc USING (i))",
+        "b0 AS (SELECT i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS v FROM sc)",
+    ]
+    for k in range(steps):
+        parts.append(f"p{k} AS (SELECT std.i, y, x, a, b, 1 / (1 + exp(-(a + b * x))) AS p FROM std JOIN b{k} USING (i))")
+        parts.append(
+            f"h{k} AS (SELECT i, any_value(a) AS a, any_value(b) AS b, sum(y - p) AS g0, sum((y - p) * x) AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01, sum(p * (1 - p) * x * x) AS h11 FROM p{k} GROUP BY 1)"
+        )
+        parts.append(f"b{k + 1} AS (SELECT i, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a, b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b, h00 / (h00 * h11 - h01 * h01) AS v FROM h{k})")
+    return ", ".join(parts)
+
+
+@query(
+    "logistic_screen",
+    f"""WITH {_newton_sql(8)} SELECT 'd' || i AS "column", n, {q6('a - b * m / s', 'intercept')}, {q6('b / s', 'slope')}, {q6('sqrt(v) / s', 'se')}, {q6('b / sqrt(v)', 'z')},
+      abs(b / sqrt(v)) > 1.6448536269514722 AS kept, FALSE AS separated FROM b8 JOIN sc USING (i)""",
+)
+def logistic_screen(spark, sf) -> DataFrame:
+    """A logistic model of the class on each column alone; kept at p < 0.1."""
+    df = descriptors(spark, sf).withColumn("y", (F.col("label") % 2).cast("double"))
+    df = df.withColumns({f"d{i}": F.col(f"d{i}") + F.col("y") * (0.02 * (i + 1)) for i in range(8)})
+    out = FE.univariate_logistic(df, COLS, "y").withColumn("kept", F.col("p_value") < 0.1).drop("p_value")
+    return rounded(out, ["intercept", "slope", "se", "z"])
+
+
 @query(
     "applicability_domain",
     f"""WITH {LONG_SQL}, m AS (SELECT i, avg(x) AS mu, stddev_samp(x) / 2.2::DOUBLE AS sd FROM long WHERE label < 5 GROUP BY 1),

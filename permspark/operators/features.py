@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from permspark.functions.distributions import normal_two_sided
 from permspark.functions.scalar import cut_index, ratio
 from permspark.operators.grouping import column_statistics, keep_first
 from permspark.operators.ordered import quantiles
@@ -143,6 +144,60 @@ def significant_columns(df: DataFrame, cols, label: str, p: float = 0.1, categor
     return [cols[i] for i in model.selectedFeatures]
 
 
+#: Newton steps at most, and the change of the coefficients at which a model is settled.
+NEWTON, SETTLED = 30, 1e-10
+
+
+def univariate_logistic(df: DataFrame, cols, label: str) -> DataFrame:
+    """(column, n, intercept, slope, se, z, p_value, separated): a logistic model of a 0/1 label on each column alone.
+
+    Columns become rows, so that one aggregate a Newton step moves all models on: five sums per column, and the few coefficients come back
+    as a small table. Columns are standardised on the way. A column whose classes don't overlap is `separated`: its slope has no finite
+    estimate, and it counts as significant (p = 0). A constant column, or one that meets one class only, has no model (NULL).
+    """
+    cols, spark = list(cols), df.sparkSession
+    cells = F.array(*[F.struct(F.lit(i).alias("__i"), F.col(c).cast("double").alias("__x")) for i, c in enumerate(cols)])
+    rows = df.select(F.col(label).cast("double").alias("__y"), F.inline(cells)).where("__x IS NOT NULL AND NOT isnan(__x) AND __y IS NOT NULL")
+    ends = [f(F.when(F.col("__y") == y, F.col("__x"))).alias(f"{n}{y}") for y in (0, 1) for n, f in (("lo", F.min), ("hi", F.max))]
+    shape = rows.groupBy("__i").agg(F.count("*").alias("n"), F.avg("__x").alias("mean"), F.stddev_pop("__x").alias("sd"), *ends).collect()
+    split = {r["__i"] for r in shape if r.sd and None not in (r.lo0, r.lo1) and (r.hi0 <= r.lo1 or r.hi1 <= r.lo0)}
+    open_ = {r["__i"]: (0.0, 0.0) for r in shape if r.sd and None not in (r.lo0, r.lo1) and r["__i"] not in split}
+    scale, fitted = {r["__i"]: (r.mean, r.sd) for r in shape}, {}
+    for _ in range(NEWTON):
+        if not open_:
+            break
+        state = spark.createDataFrame([(i, a, b, *scale[i]) for i, (a, b) in open_.items()], "__j int, __a double, __b double, __m double, __s double")
+        met = rows.join(F.broadcast(state), F.col("__i") == F.col("__j"))  # a row for each column
+        x = (F.col("__x") - F.col("__m")) / F.col("__s")
+        met = met.select("__i", "__y", x.alias("x"), (F.lit(1.0) / (1 + F.exp(-(F.col("__a") + F.col("__b") * x)))).alias("p"))
+        w, e = F.col("p") * (1 - F.col("p")), F.col("__y") - F.col("p")
+        sums = met.groupBy("__i").agg(
+            F.sum(e).alias("g0"), F.sum(e * F.col("x")).alias("g1"), F.sum(w).alias("h00"), F.sum(w * F.col("x")).alias("h01"), F.sum(w * F.col("x") * F.col("x")).alias("h11")
+        )
+        for r in sums.collect():  # a row for each column
+            i, det = r["__i"], r.h00 * r.h11 - r.h01**2
+            a, b = open_[i]
+            da, db = (r.h11 * r.g0 - r.h01 * r.g1) / det, (r.h00 * r.g1 - r.h01 * r.g0) / det
+            open_[i] = (a + da, b + db)
+            if max(abs(da), abs(db)) < SETTLED:
+                fitted[i] = (*open_.pop(i), (r.h00 / det) ** 0.5)
+    out = []
+    for r in sorted(shape, key=lambda r: r["__i"]):
+        i, (mean, sd) = r["__i"], scale[r["__i"]]
+        a, b, se = fitted.get(i, (None, None, None))
+        model = (a - b * mean / sd, b / sd, se / sd, b / se) if se else (None, None, None, None)
+        out.append((cols[i], r.n, *model, i in split))
+    table = spark.createDataFrame(out, "column string, n long, intercept double, slope double, se double, z double, separated boolean")
+    p = F.when(F.col("separated"), F.lit(0.0)).otherwise(normal_two_sided(F.col("z")))
+    return table.withColumn("p_value", p)
+
+
+def logistic_screen(df: DataFrame, cols, label: str, p: float = 0.1) -> list[str]:
+    """Columns related to a 0/1 label at p, each by a logistic model of its own."""
+    kept = {r["column"] for r in univariate_logistic(df, cols, label).where(F.col("p_value") < p).collect()}
+    return [c for c in cols if c in kept]
+
+
 # --- binning ---------------------------------------------------------------------------------------
 
 

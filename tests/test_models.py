@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -142,3 +144,26 @@ def test_guarded_scoring_query_uses_every_descriptor(spark, monkeypatch):
     monkeypatch.setattr(M, "score_complete", lambda model, df, cols, *a: used.append(cols) or score(model, df, cols, *a))
     out = Q.score_with_guard(spark, "/root/testdata/sf0.001")
     assert used == [Q.COLS, Q.COLS] and out.filter("scored <> (vec_id % 9 <> 0)").count() == 0
+
+
+def test_univariate_logistic_equals_plain_newton(spark):
+    rng = np.random.default_rng(2)
+    n = 300
+    y = (rng.random(n) < 0.4).astype(float)
+    pdf = pd.DataFrame({"y": y, "strong": rng.normal(size=n) + y, "none": 1e3 + rng.normal(size=n), "split": y * 2 + rng.random(n), "touch": np.where(y > 0, 1 + rng.random(n), rng.random(n).clip(0, 1)), "same": 5.0})
+    pdf["holes"] = pdf.strong.where(pdf.index % 3 > 0)
+    cols = ["strong", "none", "split", "touch", "same", "holes", "empty"]
+    df = spark.createDataFrame(pdf).withColumn("empty", F.lit(None).cast("double"))
+    got = {r["column"]: r for r in FE.univariate_logistic(df, cols, "y").collect()}
+    for c in ("strong", "none", "holes"):
+        known = pdf.dropna(subset=[c])
+        x, b = np.column_stack([np.ones(len(known)), known[c] - 1e3 * (c == "none")]), np.zeros(2)
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-x @ b))
+            h = (x.T * (p * (1 - p))) @ x
+            b = b + np.linalg.solve(h, x.T @ (known.y - p))
+        assert got[c].slope == pytest.approx(b[1]) and got[c].se == pytest.approx(np.linalg.inv(h)[1, 1] ** 0.5) and got[c].n == len(known)
+        assert got[c].p_value == pytest.approx(math.erfc(abs(b[1]) / got[c].se / 2**0.5))
+    assert all(got[c].separated and got[c].p_value == 0 and got[c].slope is None for c in ("split", "touch"))
+    assert got["same"].p_value is None and "empty" not in got
+    assert FE.logistic_screen(df, cols, "y", 1e-4) == ["strong", "split", "touch", "holes"]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from permspark.functions import chemistry as ch
-from permspark.functions import distributions as D
+from tests import plain_t as D
 from permspark.functions import scalar as S
 
 
@@ -128,3 +128,22 @@ def test_t_distribution():
     h = t / n
     area = sum(c * (1 + ((i + 0.5) * h) ** 2 / df) ** (-(df + 1) / 2) for i in range(n)) * h
     assert D.t_two_sided(t, df) == pytest.approx(1 - 2 * area, abs=1e-9)
+
+
+def test_tails_and_quantiles_equal_plain_versions(spark):
+    from permspark.functions import distributions as X
+
+    cases = [(t, float(df)) for t in (0.0, 1e-8, -0.3, 1.0, 2.5, 7.0, 40.0) for df in (1, 2, 3, 7, 31, 200, 598, 3999, 4001, 50_000)]
+    got = spark.createDataFrame([*cases, (None, 3.0), (1.0, 0.0)], "t double, df double").select("t", "df", X.t_p_value("t", "df").alias("p")).collect()
+    for r in got:
+        assert r.p is None if r.t is None or r.df == 0 else r.p == pytest.approx(D.t_two_sided(r.t, r.df), rel=1e-10)
+    cases = [(a, float(df)) for a in (0.4, 0.1, 0.025, 1e-6) for df in (1, 2, 5, 30, 3000, 5000)]
+    got = spark.createDataFrame([*cases, (0.6, 3.0)], "a double, df double").select("a", "df", X.t_upper_quantile("a", "df").alias("t")).collect()
+    for r in got:
+        assert r.t is None if r.a > 0.5 else r.t == pytest.approx(D.t_quantile(r.a, r.df), rel=1e-9)
+    z = spark.createDataFrame([(x,) for x in (0.0, -0.5, 1.9, 2.82, 2.83, 6.0, 37.0)], "z double").select("z", X.normal_two_sided(F.col("z")).alias("p"))
+    assert all(r.p == pytest.approx(math.erfc(abs(r.z) / 2**0.5), rel=1e-12) for r in z.collect())
+    f = [(x, a, b) for x in (0.2, 1.0, 3.0, 20.0) for a, b in ((1.0, 10.0), (1.0, 598.0), (2.0, 7.0), (2.0, 400.0))]
+    for r in spark.createDataFrame(f, "f double, a double, b double").select("*", X.f_p_value("f", "a", "b").alias("p")).collect():
+        want = D.t_two_sided(math.sqrt(r.f), r.b) if r.a == 1 else (1 + 2 * r.f / r.b) ** (-r.b / 2)  # a closed form for two degrees
+        assert r.p == pytest.approx(want, rel=1e-10)

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from permspark.functions import distributions as D
+from tests import plain_t as D
 from permspark.operators import stats as T
 from permspark.plans import evaluate as E
 
