@@ -1,11 +1,11 @@
 """Benchmark decontamination with spaced seeds, in DataFrame functions only.
 
 Rule: a document leaks an item if WINDOW consecutive words of the item stand in the document with at most SUBSTITUTIONS of them
-replaced. Items of LEAST to WINDOW - 1 words must stand there unchanged; shorter items are not searched. Words are runs of letters
-and digits, lower-cased.
+replaced. Shorter items are searched as a whole: with at most one word replaced from TOLERANT words on, else unchanged. Words are runs of letters
+and digits, lower-cased. Of items below TOLERANT words a document may hold the words by chance, so `without_leaks` leaves them out.
 
 Method: each mask keeps some positions and ignores the others. The masks are chosen such that, wherever SUBSTITUTIONS words of
-a window are replaced, one mask in one place meets kept words only (a test tries all cases); so hashes of kept words, joined between
+a window are replaced, one mask in one place meets kept words only (a test tries all cases); a short item has masks of its own length, each of which ignores every third word. So hashes of kept words, joined between
 windows and documents, find every overlap. Each hit is verified word by word in the same pass over the documents: nothing but verified
 overlaps is shuffled. The hashes of at most BLOCK windows are broadcast; a larger benchmark is searched block by block.
 
@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 WINDOW = 13
 SUBSTITUTIONS = 2
-LEAST = 8
+#: Words from which a short item may have one replaced.
+TOLERANT = 5
 #: Positions that each mask keeps.
 MASKS = [(0, 1, 2, 4, 5, 8), (0, 1, 5, 6, 7, 8), (0, 2, 4, 5, 6, 8)]
 SPAN = max(map(max, MASKS)) + 1
@@ -34,16 +35,24 @@ def words_of(text: Column) -> Column:
     return F.split(F.btrim(folded), " ")
 
 
-def item_windows(items: DataFrame) -> DataFrame:
+def allowed(n: int) -> int:
+    """Words of a window of n words that may be replaced."""
+    return SUBSTITUTIONS if n == WINDOW else int(n >= TOLERANT)
+
+
+def item_windows(items: DataFrame, least: int = 1) -> DataFrame:
     """(item_id, n, window): each distinct window of an item, n words long."""
     w = items.select("item_id", words_of(F.col("text")).alias("words")).withColumn("n", F.least(F.size("words"), F.lit(WINDOW)))
-    w = w.filter(F.col("n") >= LEAST).withColumn("at", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1)))
+    w = w.filter((F.col("n") >= least) & (F.get("words", F.lit(0)) != "")).withColumn("at", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1)))
     return w.select("item_id", "n", F.slice("words", F.col("at"), F.col("n")).alias("window")).distinct()
 
 
 def patterns(short: list[int]) -> list[tuple[int, tuple[int, ...]]]:
-    """(window length, kept positions): the masks, and one without gaps for each length of short items."""
-    return [(WINDOW, m) for m in MASKS] + [(n, tuple(range(n))) for n in short]
+    """(window length, kept positions): the masks, and for each length of short items three, or one without gaps if no word may be replaced."""
+    out = [(WINDOW, m) for m in MASKS]
+    for n in short:
+        out += [(n, tuple(p for p in range(n) if p % 3 != r)) for r in range(3)] if allowed(n) else [(n, tuple(range(n)))]
+    return out
 
 
 def seed(number: int, words: Column, first: Column, kept: tuple[int, ...]) -> Column:
@@ -55,19 +64,22 @@ def window_seeds(windows: DataFrame, chosen: list[tuple[int, tuple[int, ...]]])
     each = [
         F.when(F.col("n") == n, F.struct(seed(k, F.col("window"), F.lit(at), kept).alias("seed"), F.lit(at).alias("at")))
         for k, (n, kept) in enumerate(chosen)
-        for at in range(n - max(kept))
+        for at in (range(n - max(kept)) if n == WINDOW else (0,))
     ]
     found = windows.select("window_id", F.explode(F.array_compact(F.array(*each))).alias("s"))
     return found.select("s.seed", "s.at", "window_id").distinct()
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, keys: list[str] | None = None, block: int = BLOCK) -> DataFrame:
-    """(keys, item_id, n_places, first_word, last_word): the document's words, from 0, at which an overlap with the item starts."""
+def find_leaks(docs: DataFrame, items: DataFrame, keys: list[str] | None = None, block: int = BLOCK, least: int = 1) -> DataFrame:
+    """(keys, item_id, n_places, first_word, last_word): the document's words, from 0, at which an overlap with the item starts.
+
+    Items of fewer than `least` words are left out.
+    """
     keys = keys or ["doc_id"]
     named = [f"_k{i}" for i in range(len(keys))]
-    of_items = item_windows(items).withColumn("window_id", F.md5(F.array_join("window", " ")))
+    of_items = item_windows(items, least).withColumn("window_id", F.md5(F.array_join("window", " ")))
     windows = of_items.select("window_id", "n", "window").distinct()
-    sizes = {r["n"]: r["c"] for r in windows.groupBy("n").agg(F.count("*").alias("c")).collect()}  # at most WINDOW - LEAST + 1 rows
+    sizes = {r["n"]: r["c"] for r in windows.groupBy("n").agg(F.count("*").alias("c")).collect()}  # at most WINDOW rows
     chosen = patterns(sorted(n for n in sizes if n < WINDOW))
     blocks = max(1, -(-sum(sizes.values()) // block))
 
@@ -83,8 +95,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, keys: list[str] | None = None,
         hits = hits.filter((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.size("words")))
         same = F.zip_with(F.slice("words", F.col("start") + 1, F.col("n")), "window", lambda a, b: (a == b).cast("int"))
         equal = F.aggregate(same, F.lit(0), lambda a, b: a + b)
-        allowed = F.when(F.col("n") == WINDOW, F.lit(SUBSTITUTIONS)).otherwise(F.lit(0))
-        return hits.filter(equal >= F.col("n") - allowed).select(*named, "window_id", "start")
+        spare = F.when(F.col("n") == WINDOW, F.lit(SUBSTITUTIONS)).when(F.col("n") >= TOLERANT, F.lit(1)).otherwise(F.lit(0))
+        return hits.filter(equal >= F.col("n") - spare).select(*named, "window_id", "start")
 
     parts = [windows.filter(F.pmod(F.xxhash64("window_id"), F.lit(blocks)) == b) if blocks > 1 else windows for b in range(blocks)]
     overlaps = reduce(DataFrame.unionAll, map(search, parts)).distinct()
@@ -95,9 +107,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, keys: list[str] | None = None,
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that leak no item, with their own columns. Rows are told apart by id and text, so null ids are safe."""
+    """The documents that leak no item of TOLERANT words or more, with their own columns. Rows are told apart by id and text, so null ids are safe."""
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     named = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), "doc_id", "text", key.alias("_h"))
-    leaky = find_leaks(named.select("doc_id", "text", "_h"), items, ["doc_id", "_h"]).select(F.col("doc_id").alias("_d"), F.col("_h").alias("_g"))
+    leaky = find_leaks(named.select("doc_id", "text", "_h"), items, ["doc_id", "_h"], least=TOLERANT).select(F.col("doc_id").alias("_d"), F.col("_h").alias("_g"))
     kept = named.join(leaky.distinct(), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left_anti")
     return kept.select("_row.*")

@@ -77,21 +77,23 @@ def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Words of a text and their positions, as in the operator.
 _WORDS = r"string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')"
 
-#: The rule by another way: 13 words with at most 2 replaced hold 4 equal words in a row, so overlaps are found by those and counted.
+#: The rule by another way: 13 words with at most 2 replaced hold 4 equal words in a row, shorter items with one replaced an equal half, so overlaps
+#: are found by those and counted.
 OP1_SQL = f"""
 WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 cut AS (SELECT item_id, least(len(w), 13) AS n, list_slice(w, a, a + least(len(w), 13) - 1) AS v
-        FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS a FROM items WHERE len(w) >= 8)),
+        FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS a FROM items WHERE w[1] <> '')),
 windows AS (SELECT DISTINCT item_id, n, v FROM cut),
-keys AS (SELECT v, n, o, v[o] || ' ' || v[o + 1] || ' ' || v[o + 2] || ' ' || v[o + 3] AS k
-         FROM (SELECT v, n, unnest(range(1, n - 2)) AS o FROM (SELECT DISTINCT v, n FROM windows))),
+parts AS (SELECT DISTINCT v, n, unnest(CASE WHEN n = 13 THEN [{{'o': o, 'l': 4}} FOR o IN range(1, 11)] WHEN n < 5 THEN [{{'o': 1, 'l': n}}]
+            ELSE [{{'o': 1, 'l': n // 2}}, {{'o': n // 2 + 1, 'l': n - n // 2}}] END) AS p FROM windows),
+keys AS (SELECT v, n, p.o AS o, p.l AS l, array_to_string(list_slice(v, p.o, p.o + p.l - 1), ' ') AS k FROM parts),
 docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-places AS (SELECT doc_id, w, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] AS k
-           FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS p FROM docs WHERE len(w) >= 8)),
+places AS (SELECT doc_id, w, l, p, array_to_string(list_slice(w, p, p + l - 1), ' ') AS k
+           FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS p FROM docs, (SELECT DISTINCT l FROM keys) WHERE len(w) >= l)),
 hits AS (SELECT DISTINCT doc_id, p - o AS start, v, n, list_slice(w, p - o + 1, p - o + n) AS part
-         FROM places JOIN keys USING (k) WHERE p - o >= 0 AND p - o + n <= len(w)),
+         FROM places JOIN keys USING (k, l) WHERE p - o >= 0 AND p - o + n <= len(w)),
 good AS (SELECT doc_id, start, v FROM hits
-         WHERE list_sum([CASE WHEN part[i] = v[i] THEN 1 ELSE 0 END FOR i IN range(1, n + 1)]) >= n - CASE WHEN n = 13 THEN 2 ELSE 0 END)
+         WHERE list_sum([CASE WHEN part[i] = v[i] THEN 1 ELSE 0 END FOR i IN range(1, n + 1)]) >= n - CASE WHEN n = 13 THEN 2 WHEN n >= 5 THEN 1 ELSE 0 END)
 SELECT doc_id, item_id, count(DISTINCT start) AS n_places, min(start)::INTEGER AS first_word, max(start)::INTEGER AS last_word
 FROM good JOIN windows USING (v) GROUP BY ALL
 """

@@ -17,21 +17,24 @@ def words(text):
     return WORD.findall(text or "")
 
 
-def leaks(docs, items, window=13, subs=2, least=8):
+def leaks(docs, items, window=13, subs=2, tolerant=5, least=1):
     """{(doc_id, item_id): sorted starts} by trying every alignment."""
     cut = lambda t: tuple(w for w in re.sub(r"[\W_]+", " ", (t or "").lower()).split(" ") if w)
-    fours = cache(lambda w: {w[k : k + 4] for k in range(len(w) - 3)})
     out = defaultdict(set)
     for d, text in docs:
         w = cut(text)
+        known = set(w)
         for i, item in items:
             v = cut(item)
             n = min(window, len(v))
-            if len(v) < least or not fours(w) & fours(v):  # an overlap has four equal words in a row
+            spare = subs if n == window else int(n >= tolerant)
+            if n < least:
                 continue
             for a in range(len(v) - n + 1):
+                if sum(x not in known for x in v[a : a + n]) > spare:
+                    continue
                 for p in range(len(w) - n + 1):
-                    if sum(x != y for x, y in zip(v[a : a + n], w[p : p + n])) <= (subs if n == window else 0):
+                    if sum(x != y for x, y in zip(v[a : a + n], w[p : p + n])) <= spare:
                         out[d, i].add(p)
     return {k: sorted(v) for k, v in out.items()}
 

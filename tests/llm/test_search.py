@@ -6,11 +6,13 @@ import itertools
 import random
 import time
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from permspark.llm import components, decontaminate as D, html_text as H, ordered, simhash as S
+from permspark.llm import components, decontaminate as D, html_text as H, ordered, queries, simhash as S
 from tests.llm import brute
 
 random.seed(5)
@@ -30,8 +32,15 @@ def test_masks_meet_every_substitution():
         assert any(not p & set(gone) for p in places)
 
 
+@pytest.mark.parametrize("n", range(1, D.WINDOW))
+def test_masks_of_short_items_meet_every_substitution(n):
+    masks = [set(kept) for size, kept in D.patterns([n]) if size == n]
+    assert all(any(not m & set(gone) for m in masks) for gone in itertools.combinations(range(n), D.allowed(n)))
+    assert D.allowed(n) == (n >= 5) and min(map(len, masks)) >= min(n, 3)
+
+
 def leak_tables(spark):
-    items = [(k, sentence(n)) for k, n in enumerate([13, 14, 30, 8, 10, 12, 7, 45])] + [(20, None), (21, ""), (None, sentence(20)), (7, sentence(15))]
+    items = [(k, sentence(n)) for k, n in enumerate([13, 14, 30, 8, 10, 12, 7, 45, 9, 11, 6, 5, 4, 3, 2, 1])] + [(20, None), (21, ""), (None, sentence(20)), (7, sentence(15))]
     docs = [(k, sentence(60)) for k in range(30)]
     for k, (_, text) in enumerate(items):
         w = (text or "").split()
@@ -47,6 +56,15 @@ def leak_tables(spark):
     return docs, items, a, b
 
 
+def test_sql_of_leaks_equals_brute_force(spark):
+    docs, items, _, _ = leak_tables(spark)
+    con = duckdb.connect()
+    for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        con.register(name, pd.DataFrame(rows, columns=[key, "text"]).astype({key: "Int64"}))
+    got = {(d, i): (n, a, b) for d, i, n, a, b in con.execute(f"SELECT doc_id, item_id, n_places, first_word, last_word FROM ({queries.OP1_SQL})").fetchall()}
+    assert got == {k: (len(v), v[0], v[-1]) for k, v in brute.leaks(docs, items).items()}
+
+
 @pytest.mark.parametrize("block", [D.BLOCK, 40])
 def test_leaks_equal_brute_force(spark, block):
     docs, items, a, b = leak_tables(spark)
@@ -56,7 +74,7 @@ def test_leaks_equal_brute_force(spark, block):
 
 def test_without_leaks_keeps_clean_rows(spark):
     docs, items, a, b = leak_tables(spark)
-    bad = {d for d, _ in brute.leaks(docs, items)}
+    bad = {d for d, _ in brute.leaks(docs, items, least=D.TOLERANT)}
     kept = D.without_leaks(a, b)
     assert kept.columns == a.columns
     assert sorted((r.doc_id for r in kept.collect() if r.doc_id is not None)) == sorted(d for d, _ in docs if d is not None and d not in bad)
