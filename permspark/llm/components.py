@@ -18,7 +18,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     lesser neighbours and the node itself are linked to the smallest of them.
     """
     sides = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = sides.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
+    # stored, so that adaptive execution can split the edges of a hub
+    least = staged(sides.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")))
     met = sides.join(least, F.col("u") == F.col("n"))
     if large:
         moved = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -212,7 +212,7 @@ def cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(prints: DataFrame, cell: int = CELL) -> DataFrame:
     """Links (a, b) that connect what is near, from distinct fingerprints (fp)."""
     cells = prints.select("fp", F.explode(cells_of("fp")).alias("cell"))
-    counts = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("cell", "_cell")
+    counts = staged(cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("cell", "_cell"))
     met = cells.join(counts, F.col("cell") == F.col("_cell"))
     blocks = F.ceil(F.col("n") / cell).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
@@ -228,7 +228,8 @@ def near_duplicates(docs: DataFrame, cell: int = CELL) -> DataFrame:
     least = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(least.select("fp"), cell))
     roots = staged(found.join(least, found.node == least.fp).select("root", "node", "least"))
-    named = roots.join(roots.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
+    groups = staged(roots.groupBy("root").agg(F.min("least").alias("component")))
+    named = roots.join(groups, "root").select("node", "component")
     rep = least.join(named, least.fp == named.node, "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "least").alias("component_id"))
     return prints.join(rep, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
