@@ -37,7 +37,7 @@ LONGEST = 5
 LEAST = 100
 TOP = 2000
 #: Bytes of a chunk, and of all chunks a task fills at a time.
-CHUNK, HELD = 3 << 20, 24 << 20
+CHUNK, HELD = 5 << 19, 20 << 20
 #: Bytes whose prefix polynomials are held at a time.
 BLOCK = 1 << 17
 #: Modulus and base of the polynomials: odd and below the prime, so that powers can be divided by; bits of the check that are kept.
@@ -192,7 +192,9 @@ def print_rows(lengths: tuple, bits: int, batches: Iterator[pa.RecordBatch]) ->
             # with short fingerprints, as in tests, one chunk may hold two phrases of one fingerprint
             total = n * checks[first] if bits == 64 else np.bincount(np.searchsorted(found, prints), checks, len(found)).astype(np.int64)
             pointer = (np.int64(chunk) << WORD_BITS | at[first]) ^ (found & np.int64(2**63 - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(found), m, dtype=np.int32), found, n, total, pointer)], schema=ROWS)
+            columns = np.full(len(found), m, dtype=np.int32), found, n, total, pointer
+            for k in range(0, len(found), BLOCK):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + BLOCK]) for c in columns], schema=ROWS)
 
 
 LOOKED_UP = pa.schema([("lang", pa.string()), ("m", pa.int32()), ("phrase", pa.string()), ("f", pa.int64()), ("fp", pa.int64()), ("whole", pa.bool_())])
