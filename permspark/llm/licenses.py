@@ -1,8 +1,10 @@
 """License scan: fixed phrases, and short notices found in spite of a few wrong characters.
 
 A notice with at most k errors, cut into k + 1 pieces, holds one piece unchanged. One pass of an automaton finds the pieces of all
-notices; around each hit the regex library matches the whole notice with bounded errors and reports its span and errors. Of
-overlapping matches the one with the fewest errors per character stays. Texts are scanned whole, each by itself: no shuffle.
+notices. Around each hit, a window that has too few letter groups in common with the notice to hold it with k errors is dropped; in the others
+the regex library matches the whole notice with bounded errors, few first, and reports its span and errors. A match begins and ends where words do,
+and words that name a license or its version must stand unchanged. Of overlapping matches the longest notice stays, an error counting against it
+like ERRORS_PER characters. Texts are scanned whole, each by itself: no shuffle.
 
 A null text counts as empty: no words, no labels, score 0. Repeated rows are scanned alike. Other columns pass through; those named
 like a result are replaced by it. An empty table gives an empty result.
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,27 +28,44 @@ from permspark.llm.text import row_type, utf8
 #: Phrases and their labels.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
-#: Notices in lower-case words, with their labels. One error is allowed for every ERRORS_PER characters.
+#: Names of licenses in lower-case words, with their labels.
+NAMES = [
+    ("mit", "mit"), ("apache", "apache"), ("apache 2 0", "apache"), ("bsd", "bsd"), ("bsd 2 clause", "bsd"), ("bsd 3 clause", "bsd"), ("new bsd", "bsd"), ("isc", "isc"),
+    ("zlib", "zlib"), ("boost software", "bsl"), ("artistic", "artistic"), ("eclipse public", "epl"), ("epl", "epl"), ("mozilla public", "mpl"), ("mpl", "mpl"),
+    ("gnu general public", "gpl"), ("gpl", "gpl"), ("gnu lesser general public", "lgpl"), ("lgpl", "lgpl"), ("gnu affero general public", "agpl"), ("agpl", "agpl"),
+    ("sil open font", "ofl"), ("microsoft public", "ms-pl"), ("european union public", "eupl"), ("postgresql", "postgresql"), ("python software foundation", "psf"),
+    ("common development and distribution", "cddl"), ("academic free", "afl"), ("open database", "odbl"), ("creative commons attribution", "cc-by"),
+    ("creative commons attribution sharealike", "cc-by-sa"), ("creative commons attribution share alike", "cc-by-sa"), ("creative commons attribution noncommercial", "cc-by-nc"),
+]
+#: Sentences around a name; versions and kinds of the short Creative Commons notices.
+SENTENCES = ("licensed under the {} license", "released under the {} license", "distributed under the {} license", "subject to the terms of the {} license")
+COMMONS, VERSIONS = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"), ("2 0", "2 5", "3 0", "4 0")
+#: Other notices, with their labels. One error is allowed for every ERRORS_PER characters.
 NOTICES = [
+    *[(sentence.format(name), label) for name, label in NAMES for sentence in SENTENCES],
+    *[(f"{before}cc {kind} {version}", f"cc-{kind.replace(' ', '-')}") for before in ("", "licensed under ") for kind in COMMONS for version in VERSIONS],
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
-    ("released under the mit license", "mit"),
-    ("licensed under the mit license", "mit"),
     ("licensed under the apache license version 2 0", "apache"),
     ("licensed under the gnu general public license version 2", "gpl"),
     ("licensed under the gnu general public license version 3", "gpl"),
     ("redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
     ("redistribute it and or modify it under the terms of the gnu lesser general public license", "lgpl"),
+    ("redistribute it and or modify it under the terms of the gnu affero general public license", "agpl"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("licensed under cc by 4 0", "cc-by"),
-    ("licensed under cc by sa 4 0", "cc-by-sa"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("licensed under cc by nd 4 0", "cc-by-nd"),
-    ("subject to the terms of the mozilla public license", "mpl"),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license", "epl"),
     ("permission to use copy modify and or distribute this software for any purpose", "isc"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("to the extent possible under law the author has dedicated all copyright", "cc0"),
+    ("cc0 1 0 universal", "cc0"),
+    ("distributed under the boost software license version 1 0", "bsl"),
     ("all rights reserved", "reserved"),
 ]
 ERRORS_PER = 12
+#: Words that must stand unchanged: those of names and versions.
+NAMING = {w for name, _ in NAMES for w in name.split()} - {"and"} | set("cc cc0 by sa nc nd reserved 0 1 2 3 5".split())
+#: Letters of the groups that a window must share with a notice.
+GROUP = 4
 
 #: Byte table: A-Z to a-z, ASCII characters outside words to a space, all others as they are.
 FOLD = bytes(
@@ -65,9 +85,32 @@ def pieces(notice: str) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def pattern(notice: str, errors: int) -> str:
+    """The notice between word ends, with errors between the naming words; their sum is checked by the caller."""
+    parts, loose = [], []
+
+    def close():
+        if loose:
+            parts.append(f"(?:{regex.escape(' '.join(loose))}){{e<={errors}}}")
+            loose.clear()
+
+    for word in notice.split(" "):
+        if word in NAMING:
+            close()
+            parts.append(regex.escape(word))
+        else:
+            loose.append(word)
+    close()
+    return f"(?b)(?<![^ ])(?:{' '.join(parts)})(?![^ ])"
+
+
+def groups_of(text: str) -> Counter:
+    return Counter(text[k : k + GROUP] for k in range(len(text) - GROUP + 1))
+
+
 @lru_cache(maxsize=4)
 def matchers(notices: tuple[tuple[str, str], ...]):
-    """Automaton over all pieces, and for each notice its pattern."""
+    """Automaton over all pieces; for each notice its letter groups and its patterns, few errors first."""
     seeds: dict[str, list[tuple[int, int]]] = {}
     for k, (notice, _) in enumerate(notices):
         for offset, piece in pieces(notice):
@@ -76,25 +119,48 @@ def matchers(notices: tuple[tuple[str, str], ...]):
     for piece, where in seeds.items():
         automaton.add_word(piece, (len(piece), where))
     automaton.make_automaton()
-    patterns = [regex.compile(f"(?b)(?:{regex.escape(n)}){{e<={errors_allowed(n)}}}") for n, _ in notices]
-    return automaton, patterns
+    return automaton, [groups_of(n) for n, _ in notices], {}
+
+
+def compiled(cache: dict, notice: str, k: int, errors: int):
+    if (k, errors) not in cache:
+        cache[k, errors] = regex.compile(pattern(notice, errors))
+    return cache[k, errors]
+
+
+def match_in(folded: str, start: int, k: int, notice: str, groups: Counter, cache: dict) -> tuple[int, int, int, int] | None:
+    """(start, end, notice, errors) of a notice in the window around a place, if it is there."""
+    end, most = start + len(notice), errors_allowed(notice)
+    if start >= 0 and folded.startswith(notice, start):
+        return (start, end, k, 0) if folded[end : end + 1] in ("", " ") and (start == 0 or folded[start - 1] == " ") else None
+    low, high = max(0, start - most), max(0, end + most)
+    window = folded[low:high]
+    if not all(w in window for w in notice.split(" ") if w in NAMING):
+        return None
+    near = groups_of(window)
+    # an error spoils GROUP letter groups at most
+    if sum(min(n, near[g]) for g, n in groups.items() if g in near) < len(notice) - GROUP + 1 - GROUP * most:
+        return None
+    tried = 1
+    while True:
+        m = compiled(cache, notice, k, tried).search(folded, low, min(high, len(folded)))
+        if m and sum(m.fuzzy_counts) <= most:
+            return m.start(), m.end(), k, sum(m.fuzzy_counts)
+        if tried == most:
+            return None
+        tried = min(2 * tried, most)
 
 
 def fuzzy_spans(folded: str, notices=tuple(NOTICES)) -> list[tuple[int, int, int, int]]:
     """(start, end, notice, errors) in the folded text, in order, not overlapping."""
-    automaton, patterns = matchers(notices)
+    automaton, groups, cache = matchers(notices)
     windows = set()
     for last, (size, where) in automaton.iter(folded):
         for k, offset in where:
             windows.add((k, last + 1 - size - offset))
-    found = set()
-    for k, start in windows:
-        slack = errors_allowed(notices[k][0])
-        m = patterns[k].search(folded, max(0, start - slack), max(0, start + len(notices[k][0]) + slack))
-        if m:
-            found.add((m.start(), m.end(), k, sum(m.fuzzy_counts)))
+    found = {match_in(folded, start, k, notices[k][0], groups[k], cache) for k, start in windows} - {None}
     out: list[tuple[int, int, int, int]] = []  # in order and not overlapping, so only the neighbours matter
-    for span in sorted(found, key=lambda x: (x[3] / len(notices[x[2]][0]), x[3], x[0], x[1], x[2])):
+    for span in sorted(found, key=lambda x: (ERRORS_PER * x[3] - len(notices[x[2]][0]), *x)):
         at = bisect_left(out, span)
         if (at == 0 or out[at - 1][1] <= span[0]) and (at == len(out) or span[1] <= out[at][0]):
             insort(out, span)
