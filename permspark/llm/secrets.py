@@ -36,9 +36,9 @@ ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 
-_VALUE = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.=-]{4,})"""
-WEAK_ID = re.compile(r"(?ai)(?<![a-z0-9])(access_?key_?id|client_?id|user_?name|user_?id|user|login|account_?id|account)" + _VALUE)
-WEAK_SECRET = re.compile(r"(?ai)(?<![a-z0-9])(passphrase|pass|pwd|private_?key|access_?key|auth_?key|auth|credential)" + _VALUE)
+_LABELLED = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.=-]%s)"""
+WEAK_ID = re.compile(r"(?ai)(?<![a-z0-9])(access_?key_?id|client_?id|user_?name|user_?id|user|login|account_?id|account)" + _LABELLED % "+")
+WEAK_SECRET = re.compile(r"(?ai)(?<![a-z0-9])(passphrase|pass|pwd|private_?key|access_?key|auth_?key|auth|credential)" + _LABELLED % "{4,}")
 BARE_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}")
 ENDPOINT = re.compile(
     r"""(?ai)(?<![a-z0-9])(?:[a-z][a-z0-9+.-]{1,20}://[^\s"'<>]{3,}|(?:host|server|endpoint|database_?url|database)["']?\x20*[:=]\x20*["']?[a-z0-9][a-z0-9.:/_-]{3,}"""
@@ -47,11 +47,13 @@ ENDPOINT = re.compile(
 BREAK = re.compile(r"\n[ \t\r]*(?=\n)")
 
 BASE = ["assign", "access", "hex"]
-KINDS = [*BASE, "weak_id", "weak_secret", "endpoint"]
+#: A labelled secret of letters alone may be a word of the sentence: it is reported, as weak_secret, beside an account or access identifier only.
+KINDS = [*BASE, "weak_id", "weak_secret", "endpoint", "plain_secret"]
 #: For each weak kind, the kinds of which one must be near.
 NEEDS = {
-    "weak_id": ["assign", "hex", "weak_secret"],
+    "weak_id": ["assign", "hex", "weak_secret", "plain_secret"],
     "weak_secret": ["access", "weak_id", "endpoint"],
+    "plain_secret": ["access", "weak_id"],
     "endpoint": ["assign", "access", "hex", "weak_secret"],
 }
 
@@ -96,7 +98,7 @@ def weak_spans(text: str, strong: list[Span]) -> list[Span]:
     found: list[Span] = []
     if "=" in text or ":" in text:
         found += [("weak_id", m.start(), m.end()) for m in WEAK_ID.finditer(text)]
-        found += [("weak_secret", m.start(), m.end()) for m in WEAK_SECRET.finditer(text)]
+        found += [("plain_secret" if m[2].isalpha() else "weak_secret", m.start(), m.end()) for m in WEAK_SECRET.finditer(text)]
         found += [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
     if not strong and not found:
         return []  # a bare secret needs another part
@@ -130,7 +132,7 @@ def linked(text: str, strong: list[Span], weak: list[Span], reach: int | None =
             at = bisect_left(starts[other], high)
             # parts of a kind don't overlap: among those that begin before the end, the last one reaches farthest
             if at and parts[other][at - 1][1] > low:
-                out.append((kind, s, e))
+                out.append(("weak_secret" if kind == "plain_secret" else kind, s, e))
                 break
     return out
 
