@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from permspark.catalog.base import q6, query, r6, rounded, table
 from permspark.catalog.basics import sql_signif
 from permspark.functions import scalar as S
+from permspark.operators import resampling as RS
 from permspark.operators import stats as T
 from permspark.operators.grouping import contingency
 from permspark.plans import evaluate as E
@@ -357,3 +358,23 @@ def bootstrap_poisson(spark, sf) -> DataFrame:
     keys = ["evaluation", "subset"]
     out = T.bootstrap_poisson(_pairs(spark, sf), keys, "c_custkey", "obs", "pred", _REPS, _SEED, tasks)
     return rounded(out, _STATS_OUT)
+
+
+@query("bootstrap_split")
+def bootstrap_split(spark, sf) -> DataFrame:
+    """10 000 replicates with exact counts; draws are split over ranges of rows, so only partial sums are shuffled."""
+    return RS.bootstrap_split(_pairs(spark, sf), ["evaluation", "subset"], "c_custkey", "obs", "pred")
+
+
+@query("bootstrap_report")
+def bootstrap_report(spark, sf) -> DataFrame:
+    """The evaluation table as published: two significant digits, the interval as text, errors of all, low and high values."""
+    return RS.evaluation_report(bootstrap_split(spark, sf), "evaluation", "subset")
+
+
+@query(
+    "rmse_digits",
+    f"WITH {XY_SQL} SELECT l_suppkey, {q6(sql_signif('sqrt(avg((x - y) * (x - y)))', 3), 'rmse3')} FROM xy GROUP BY 1",
+)
+def rmse_digits(spark, sf) -> DataFrame:
+    return rounded(xy(spark, sf).groupBy("l_suppkey").agg(T.rmse("x", "y", 3).alias("rmse3")), ["rmse3"])

@@ -113,8 +113,8 @@ def non_missing(array) -> Column:
 
 
 def hash_hex(seed: int, *keys) -> Column:
-    """Seeded 128-bit hash of a key as 32 hex digits: the library's only source of randomness. Missing parts are left out."""
-    parts = [F.lit(str(seed))] + [as_col(k).cast("string") for k in keys]
+    """Seeded 128-bit hash of a key as 32 hex digits: the library's only source of randomness. A missing part is marked, so that its place tells."""
+    parts = [F.lit(str(seed))] + [F.coalesce(as_col(k).cast("string"), F.lit("\0")) for k in keys]
     return F.md5(F.concat_ws(":", *parts))
 
 

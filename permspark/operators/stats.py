@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
 from permspark.functions.distributions import t_p_value, t_upper_quantile
-from permspark.functions.scalar import hash_hex, hash_int, ratio
+from permspark.functions.scalar import hash_hex, hash_int, ratio, signif
 from permspark.operators.grouping import attach, contingency
 from permspark.operators.ordered import sequence_index
 
@@ -100,9 +100,11 @@ def agreement_subtotals(df: DataFrame, predicted: str, observed: str, keys: list
     return agreement_columns(named)
 
 
-def rmse(observed: str, predicted: str) -> Column:
+def rmse(observed: str, predicted: str, digits: int | None = None) -> Column:
+    """Root mean squared difference, with `digits` significant digits if they are given."""
     gap = F.col(observed) - F.col(predicted)
-    return F.sqrt(F.avg(gap * gap))
+    out = F.sqrt(F.avg(gap * gap))
+    return out if digits is None else signif(out, digits)
 
 
 def prediction_interval(df: DataFrame, x: str, y: str, confidence: float = 0.95, points: int = 1000) -> DataFrame:
