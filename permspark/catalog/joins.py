@@ -347,6 +347,23 @@ def interval_join(spark, sf) -> DataFrame:
     return met.groupBy("region").agg(F.count("*").alias("n"), F.count("bin").alias("n_met"), F.sum("bin").alias("bin_sum"))
 
 
+@query(
+    "overlap_join",
+    f"""WITH bins AS (SELECT p_partkey AS bin, p_retailprice - 0.02 * p_size AS lo, p_retailprice + 0.01 * p_size AS hi FROM part),
+    v AS (SELECT l_suppkey, l_extendedprice / l_quantity AS v FROM lineitem)
+    SELECT l_suppkey, count(bin) AS n, count_if(bin IS NULL)::BIGINT AS n_none, sum(bin)::BIGINT AS bins, {q6('max(v - lo)', 'deepest')} FROM v LEFT JOIN bins ON v > lo AND v <= hi GROUP BY 1""",
+)
+def overlap_join(spark, sf) -> DataFrame:
+    """Unit prices against price bands of all parts, which overlap and nest."""
+    price, size = F.col("p_retailprice"), F.col("p_size")
+    bins = table(spark, sf, "part").select(F.col("p_partkey").alias("bin"), (price - size * 0.02).alias("lo"), (price + size * 0.01).alias("hi"))
+    df = _li(spark, sf, "l_suppkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("v"))
+    met = J.overlap_join(df, "v", bins, "lo", "hi")
+    return met.groupBy("l_suppkey").agg(
+        F.count("bin").alias("n"), F.count_if(F.col("bin").isNull()).alias("n_none"), F.sum("bin").alias("bins"), r6(F.max(F.col("v") - F.col("lo"))).alias("deepest")
+    )
+
+
 @query(
     "set_lookup",
     """WITH s AS (SELECT n_regionkey AS idx, n_nationkey FROM nation WHERE n_regionkey < 4)

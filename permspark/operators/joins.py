@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from permspark.operators.grouping import concat_values, keep_first
-from permspark.operators.ordered import join_keys, ranked_values, sequence_index, spread
+from permspark.operators.ordered import join_keys, ranked_values, sequence_index
 from permspark.sources.writers import staged
 
 
@@ -24,7 +24,7 @@ def lookup(base: DataFrame, dim: DataFrame, on: list[str], match_missing: bool =
 
 def lookup_one(base: DataFrame, dim: DataFrame, on: list[str], order_cols) -> DataFrame:
     """Lookup against the first row per key, so that base never fans out."""
-    return base.join(spread(keep_first(dim, on, order_cols), on), on, "left")
+    return base.join(staged(keep_first(dim, on, order_cols)), on, "left")
 
 
 def star(base: DataFrame, facts: list[DataFrame], on: list[str]) -> DataFrame:
@@ -44,7 +44,7 @@ def prefer(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
 def update_from(base: DataFrame, table: DataFrame, key: str, col: str, order_cols) -> DataFrame:
     """Overwrite `col` on matched rows only."""
     new = keep_first(table.select(key, col, *[c for c in order_cols if c not in (key, col)]), [key], order_cols)
-    new = spread(new.select(key, F.col(col).alias("__new")), [key])
+    new = staged(new.select(key, F.col(col).alias("__new")))
     return base.join(new, key, "left").withColumn(col, F.coalesce("__new", col)).drop("__new")
 
 
@@ -95,8 +95,8 @@ def resolve_ids(
     by_id has (id_col, target), by_name has (name_col, target); both are reduced to the smallest
     target per key first.
     """
-    ids = spread(by_id.groupBy(id_col).agg(F.min(target).alias("__by_id")), [id_col])
-    names = spread(by_name.groupBy(name_col).agg(F.min(target).alias("__by_name")), [name_col])
+    ids = staged(by_id.groupBy(id_col).agg(F.min(target).alias("__by_id")))
+    names = staged(by_name.groupBy(name_col).agg(F.min(target).alias("__by_name")))
     joined = base.join(ids, id_col, "left").join(names, name_col, "left")
     return joined.withColumns(
         {
@@ -122,13 +122,59 @@ def interval_join(df: DataFrame, value: str, bins: DataFrame, lo: str, hi: str,
     place = ranked_values(both, [], "__v", F.col("__w"), ranges).select("__v", F.col("n_before").alias("__i"))
     numbered = sequence_index(whole, [lo], out="__i", ranges=ranges).drop("n_total")
     found = place.join(numbered, "__i").where(F.col("__v") <= F.col(hi)).drop("__i")
-    return df.withColumn("__v", F.col(value).cast("double")).join(spread(found, ["__v"]), "__v", "left").drop("__v")
+    return df.withColumn("__v", F.col(value).cast("double")).join(staged(found), "__v", "left").drop("__v")
+
+
+def _dyadic(first: Column, last: Column, levels: int) -> Column:
+    """Cells (level, cell) of a binary tree over whole numbers that make up first..last: two for each level at most.
+
+    Cell c of level l holds the numbers from c * 2**l on, 2**l of them.
+    """
+    start = F.struct(first.cast("bigint").alias("a"), (last + 1).cast("bigint").alias("b"), F.array().cast("array<struct<level:int,cell:bigint>>").alias("cells"))
+
+    def step(s, level):
+        open_, a, b = s["a"] < s["b"], s["a"], s["b"]
+        left, right = open_ & (a % 2 == 1), open_ & (b % 2 == 1)
+        right = right & (F.when(left, a + 1).otherwise(a) < b)
+        cells = F.concat(
+            s["cells"], F.when(left, F.array(F.struct(level.alias("level"), a.alias("cell")))).otherwise(F.array().cast("array<struct<level:int,cell:bigint>>")),
+            F.when(right, F.array(F.struct(level.alias("level"), (b - 1).alias("cell")))).otherwise(F.array().cast("array<struct<level:int,cell:bigint>>")),
+        )
+        up = F.floor((F.when(left, a + 1).otherwise(a)) / 2).cast("bigint"), F.floor(F.when(right, b - 1).otherwise(b) / 2).cast("bigint")
+        return F.struct(up[0].alias("a"), up[1].alias("b"), cells.alias("cells"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step, lambda s: s["cells"])
+
+
+def overlap_join(df: DataFrame, value: str, bins: DataFrame, lo: str, hi: str, ranges: int | None = None) -> DataFrame:
+    """Attach every bin with lo < value <= hi from a table of bins that may overlap and nest; rows without a bin keep one row of NULLs.
+
+    Edges are numbered, so a bin is a run of whole numbers and a value one of them. A run is cut into dyadic cells, about two for each level of a
+    binary tree; a number lies in one cell of each level. So numbers and bins meet in equi-joins on cells, and only pairs that belong together
+    are made. A bin with a missing edge, or without room between its edges, holds nothing.
+    """
+    bins = staged(bins.select(F.struct(*bins.columns).alias("__bin"), F.col(lo).cast("double").alias("__lo"), F.col(hi).cast("double").alias("__hi")))
+    whole = bins.where("__lo < __hi")
+    edges = staged(whole.select(F.col("__lo").alias("__v")).union(whole.select("__hi")).distinct())
+    values = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("__v")).distinct()
+    both = edges.withColumn("__w", F.lit(1)).unionByName(values.withColumn("__w", F.lit(0)))
+    place = staged(ranked_values(both, [], "__v", F.col("__w"), ranges).select("__v", F.col("n_before").alias("__i")))
+    levels = max(edges.count().bit_length(), 1)
+    first = place.select(F.col("__v").alias("__lo"), (F.col("__i") + 1).alias("__first"))
+    last = place.select(F.col("__v").alias("__hi"), F.col("__i").alias("__last"))
+    runs = whole.join(first, "__lo").join(last, "__hi").select("__bin", F.inline(_dyadic(F.col("__first"), F.col("__last"), levels)))
+    met = place.join(values, "__v", "left_semi").select("__i").distinct()
+    above = met.select("__i", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    above = above.withColumn("cell", F.expr("shiftright(__i, level)"))
+    pairs = staged(above.join(runs, ["level", "cell"]).select("__i", "__bin"))
+    numbered = df.withColumn("__v", F.col(value).cast("double")).join(place, "__v", "left").drop("__v")
+    return numbered.join(pairs, "__i", "left").drop("__i").select(*df.columns, "__bin.*")
 
 
 def set_lookup(df: DataFrame, value: str, sets: DataFrame, members: str, index: str) -> DataFrame:
     """Attach the index of the set (an array column) that contains the value."""
     flat = sets.select(F.explode(members).alias(value), index).groupBy(value).agg(F.min(index).alias(index))
-    return df.join(spread(flat, [value]), value, "left")
+    return df.join(staged(flat), value, "left")
 
 
 def map_values(df: DataFrame, col: str, table: dict[str, tuple], names: list[str], how: str = "inner") -> DataFrame:

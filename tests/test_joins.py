@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +33,20 @@ def test_interval_joins_agree(spark):
     assert want == sorted([(v, next((i for i, a, b in known if v is not None and a < v <= b), None)) for v in vals], key=str)
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 60])
+def test_overlapping_bins_equal_brute_force(spark, n):
+    r = random.Random(n)
+    bins = [(i, float(a := r.randint(0, 40)), float(a + r.choice([-1, 0, 1, 2, 30]))) for i in range(n)] + [(900, None, 1.0), (901, 1.0, None), (902, -100.0, 100.0)]
+    vals = [None, -200.0, *[k / 2 for k in range(-2, 150)], 7.0, 7.0]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(vals)], "id int, v double")
+    got = rows(J.overlap_join(df, "v", spark.createDataFrame(bins, "bin int, lo double, hi double"), "lo", "hi").select("id", "bin"))
+    want = []
+    for k, v in enumerate(vals):
+        inside = [i for i, a, b in bins if None not in (v, a, b) and a < v <= b]
+        want += [(k, i) for i in inside or [None]]
+    assert got == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("n", [3, 1500])
 def test_bins_with_a_missing_edge_hold_nothing(spark, n):
     bins = [(i, float(i), i + 1.0) for i in range(n)] + [(9001, None, 0.0), (9002, 5000.0, None), (9003, None, None)]
