@@ -157,6 +157,19 @@ def io_roundtrip(spark, sf) -> DataFrame:
     return out
 
 
+@query(
+    "parameter_defaults",
+    f"""SELECT l_suppkey, {q6('sum(coalesce(CASE WHEN l_linenumber < 3 THEN l_tax END, 0.05))', 'tax')}, count_if(coalesce(CASE WHEN l_linestatus = 'F' THEN l_shipmode END, 'none') = 'none')::BIGINT AS n_none
+      FROM (SELECT *, CASE WHEN l_returnflag = 'A' THEN 'rail' END AS l_shipmode FROM lineitem) GROUP BY 1""",
+)
+def parameter_defaults(spark, sf) -> DataFrame:
+    """Missing parameters take their defaults."""
+    li = table(spark, sf, "lineitem")
+    tax = S.default_to(F.when(F.col("l_linenumber") < 3, F.col("l_tax")), 0.05)
+    mode = S.default_to(F.when((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "A"), F.lit("rail")), "none")
+    return li.groupBy("l_suppkey").agg(r6(F.sum(tax)).alias("tax"), F.count_if(mode == "none").alias("n_none"))
+
+
 @query(
     "csv_multiline",
     """SELECT doc_id, source, md5(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS digest, length(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS n FROM documents""",

@@ -185,13 +185,13 @@ def strata_sample(spark, sf) -> DataFrame:
 @query(
     "reserve_sample",
     """SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
-    ORDER BY md5('5302019:' || c_custkey), c_custkey LIMIT 50""",
+    ORDER BY md5('20417:' || c_custkey), c_custkey LIMIT 50""",
 )
 def reserve_sample(spark, sf) -> DataFrame:
     """Fifty ids that satisfy the exclusions, in hash order."""
     c = table(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey")
     used = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
-    return P.reserve_sample(c.join(used, "c_custkey", "left_anti"), "c_custkey", 50, 5302019)
+    return P.reserve_sample(c.join(used, "c_custkey", "left_anti"), "c_custkey", 50, 20417)
 
 
 # --- all three training tables in one go ----------------------------------------------------------------
@@ -219,7 +219,7 @@ _SETS_SQL = f"""WITH lit0 AS (SELECT l_partkey AS structure, l_extendedprice / 9
   own1 AS (SELECT structure, avg(log10(v)) AS m, avg(e) AS eff, 'own' AS src FROM own0 GROUP BY 1),
   base AS (SELECT p_partkey AS structure FROM part WHERE p_size = 7),
   val AS (SELECT structure FROM lit1 WHERE structure NOT IN (SELECT structure FROM own0) AND structure NOT IN (SELECT structure FROM base)
-    ORDER BY md5('5302019:' || structure), structure LIMIT 50),
+    ORDER BY md5('20417:' || structure), structure LIMIT 50),
   reserve AS (SELECT * FROM base UNION ALL SELECT * FROM val),
   lit2 AS (SELECT structure, m, NULL::DOUBLE AS eff, 'literature' AS src FROM lit1),
   comb AS (SELECT structure, m, eff, src FROM own1 UNION ALL SELECT structure, m, 0.00001::DOUBLE, src FROM lit2 WHERE structure NOT IN (SELECT structure FROM own1)),

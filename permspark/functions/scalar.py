@@ -80,6 +80,7 @@ def blank_to_null(c) -> Column:
 
 
 def default_to(c, default) -> Column:
+    """A parameter, or its default where it is missing."""
     return F.coalesce(as_col(c), F.lit(default))
 
 

@@ -65,6 +65,7 @@ UNIT_TEXT_EXACT = {
     "10^-5cm/min": "(10^-5)/60cm/s",
     "10e-6cm/s": "10^-6cm/s",
 }
+#: Parts of the names of permeability endpoints.
 ENDPOINT_FRAGMENTS = ("app", "perm", "pc", "caco", "pm")
 
 

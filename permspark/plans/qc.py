@@ -163,9 +163,3 @@ def batch_controls(df: DataFrame, batch: str, value: str, high_control: Column,
     )
     rest = df.where(~control).select(batch, value)
     return join_keys(controls, quantiles(rest, [batch], value, {"p05": 0.05, "p95": 0.95}).drop("n_total"), [batch], "left")
-
-
-def control_table(df: DataFrame, batch: str, value: str, control: Column) -> DataFrame:
-    """Percentiles of the non-control rows for every batch, also those that have none."""
-    q = quantiles(df.where(~control), [batch], value, {"p05": 0.05, "p95": 0.95})
-    return keep_groups(q.drop("n_total"), df, [batch])
