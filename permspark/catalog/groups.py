@@ -19,6 +19,18 @@ def _li(spark, sf, *cols) -> DataFrame:
     return table(spark, sf, "lineitem").select(*cols)
 
 
+@query(
+    "sketched_counts",
+    """WITH m AS (SELECT l_returnflag, l_partkey, max((l_quantity > 30)::INT) AS a, max((l_discount < 0.03)::INT) AS b FROM lineitem GROUP BY ALL)
+    SELECT l_returnflag, sum(a)::BIGINT AS large, sum(b)::BIGINT AS full_price, sum(a * b)::BIGINT AS large_and_full_price, sum(greatest(a, b))::BIGINT AS large_or_full_price,
+      0.0::DOUBLE AS large_error, 0.0::DOUBLE AS full_price_error, 0.0::DOUBLE AS large_and_full_price_error, 0.0::DOUBLE AS large_or_full_price_error FROM m GROUP BY 1""",
+)
+def sketched_counts(spark, sf) -> DataFrame:
+    """Distinct parts per condition, for both and for either, from sketches large enough to be exact here."""
+    tests = {"large": F.col("l_quantity") > 30, "full_price": F.col("l_discount") < 0.03}
+    return G.sketched_counts(table(spark, sf, "lineitem"), "l_partkey", tests, ["l_returnflag"], [("large", "full_price")])
+
+
 @query(
     "geo_mean",
     f"""WITH t AS (SELECT s_nationkey, CASE WHEN s_acctbal > 0 THEN log10(s_acctbal) END AS lv, s_acctbal AS v FROM supplier

@@ -7,6 +7,7 @@ split when one key is hot, while a window would buffer the whole group in one ta
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -93,6 +94,25 @@ def distinct_counts(df: DataFrame, member: str, tests: dict[str, Column], keys=(
     return members.groupBy(*keys).agg(*[count_if(F.col(n) == 1).alias(n) for n in tests])
 
 
+def sketched_counts(
+    df: DataFrame, member: str, tests: dict[str, Column], keys=(), together: Sequence[tuple[str, str]] = (), size: int = 16
+) -> DataFrame:
+    """Distinct members for each condition, and for pairs of conditions both and either, from mergeable theta sketches.
+
+    No member is shuffled, only sketches of 2**size entries at most. Counts up to that are exact; above, `<name>_error` bounds the relative
+    error of a count in 95 % of cases, for a pair relative to the members that meet either condition. Pairs give `<a>_and_<b>` and `<a>_or_<b>`.
+    """
+    sketches = df.groupBy(*keys).agg(*[F.theta_sketch_agg(F.when(t, F.col(member)), F.lit(size)).alias(f"__{n}") for n, t in tests.items()])
+    parts = {n: F.col(f"__{n}") for n in tests}
+    for a, b in together:
+        parts[f"{a}_and_{b}"] = F.theta_intersection(f"__{a}", f"__{b}")
+        parts[f"{a}_or_{b}"] = F.theta_union(f"__{a}", f"__{b}", F.lit(size))
+    counts = {n: F.theta_sketch_estimate(s) for n, s in parts.items()}
+    whole = {n: counts[n.replace("_and_", "_or_")] if "_and_" in n else c for n, c in counts.items()}
+    errors = [F.when(whole[n] < 2**size, F.lit(0.0)).otherwise(F.lit(2 * 2 ** (-size / 2))).alias(f"{n}_error") for n in counts]
+    return sketches.select(*keys, *[c.alias(n) for n, c in counts.items()], *errors)
+
+
 # --- group filters -----------------------------------------------------------------------------
 
 

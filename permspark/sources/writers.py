@@ -8,17 +8,34 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below the shared checkpoint folder the cluster names.
+#: Temporary folders of local sessions without a checkpoint folder, by application.
+_LOCAL: dict[str, str] = {}
+
 
-    Only a local master without that setting falls back to a temporary folder.
+def _stage_root(spark: SparkSession) -> str:
+    """The application's folder below the shared checkpoint folder the cluster names.
+
+    Only a local master without that setting falls back to a temporary folder, one for each application.
     """
+    app = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="permspark-")
-    return f"{root.rstrip('/')}/permspark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+        root = _LOCAL.setdefault(app, "") or tempfile.mkdtemp(prefix="permspark-")
+        _LOCAL[app] = root
+    return f"{root.rstrip('/')}/permspark/{app}"
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A fresh folder below the application's."""
+    return f"{_stage_root(spark)}/{uuid.uuid4().hex}"
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Deletes the application's stage tables and files; frames that read them can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_stage_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def save_stage(df: DataFrame, root: str, name: str) -> DataFrame:
@@ -33,7 +50,7 @@ def staged(df: DataFrame) -> DataFrame:
 
     Downstream plans then start from a pruned columnar scan instead of repeating the work, and a lost
     executor re-reads files instead of recomputing the lineage. Tables live below the application's id
-    in the shared checkpoint folder, so they can be dropped together when it ends.
+    in the shared checkpoint folder, so they can be dropped together (`drop_stages`) when their results are no longer read.
     """
     return save_stage(df, scratch_dir(df.sparkSession), "stage")
 

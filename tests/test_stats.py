@@ -162,3 +162,19 @@ def test_route_adjusts_oral_only(spark):
     df = spark.createDataFrame([("Oral", 10.0), ("IV", 10.0)], "route string, auc double")
     out = E.route_adjusted(df, ["route"], "route", "Oral", "auc", {"m": F.lit(0.5)}).collect()
     assert {(r["route"], r["predicted"]) for r in out} == {("Oral", 5.0), ("IV", 10.0)}
+
+
+def test_sketched_counts_keep_their_bound(spark):
+    from permspark.operators import grouping as G
+
+    df = spark.range(60_000).select((F.col("id") % 2).alias("g"), (F.col("id") % 25_000).alias("m"), F.col("id").alias("x"))
+    tests = {"low": F.col("x") < 30_000, "third": F.col("m") % 3 == 0}
+    for size, exact in ((16, True), (10, False)):
+        for r in G.sketched_counts(df, "m", tests, ["g"], [("low", "third")], size).collect():
+            members = [m for m in range(25_000) if m % 2 == r.g]
+            want = {"low": len(members), "third": sum(m % 3 == 0 for m in members), "low_and_third": sum(m % 3 == 0 for m in members), "low_or_third": len(members)}
+            for name, n in want.items():
+                either = want["low_or_third"] if "_and_" in name else n
+                assert r[name] == n and r[f"{name}_error"] == 0 if exact else abs(r[name] - n) <= 2 * r[f"{name}_error"] * either
+    none = G.sketched_counts(df, "m", {"none": F.col("x") < 0}, ["g"]).collect()
+    assert [r.none for r in none] == [0, 0]
