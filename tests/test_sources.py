@@ -93,14 +93,10 @@ def test_overlay(spark):
     assert {tuple(r) for r in readers.overlay(base, over, "k", ["v"], overwrite=True).collect()} == {(1, 9.0), (2, 8.0)}
 
 
-def test_stages_are_dropped_together(spark, tmp_path):
-    old = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        one, two = writers.staged(spark.range(5)), writers.staged(spark.range(7))
-        assert one.count() + two.count() == 12 and len(list(tmp_path.glob("permspark/*/*"))) == 2
-        writers.drop_stages(spark)
-        assert not list(tmp_path.glob("permspark/*")) and writers.staged(spark.range(3)).count() == 3
-        writers.drop_stages(spark)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", old)
+def test_stages_are_dropped_together(spark, tmp_path, monkeypatch):
+    assert spark.sparkContext.applicationId in writers.scratch_dir(spark)
+    monkeypatch.setattr(writers, "_stage_root", lambda session: f"{tmp_path}/permspark/app")
+    one, two = writers.staged(spark.range(5)), writers.staged(spark.range(7))
+    assert one.count() + two.count() == 12 and len(list(tmp_path.glob("permspark/*/*"))) == 2
+    writers.drop_stages(spark)
+    assert not list(tmp_path.glob("permspark/*")) and writers.staged(spark.range(3)).count() == 3
