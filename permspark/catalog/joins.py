@@ -179,6 +179,60 @@ def star_assemble(spark, sf) -> DataFrame:
     return J.star(base, [f1, f2, f3], ["k"])
 
 
+_TRIPLE = ["l_partkey", "l_suppkey", "l_returnflag"]
+_FIVE = {
+    "n_first": ("l_linenumber = 1", "count(*)"), "n_late": ("l_linenumber > 4", "count(*)"), "top": ("l_quantity > 25", "max(l_extendedprice)"),
+    "low": ("l_discount < 0.05", "min(l_extendedprice)"), "tax": ("l_linestatus = 'F'", "max(l_tax)"),
+}
+
+
+@query(
+    "star_five",
+    f"""WITH base AS (SELECT DISTINCT l_partkey, l_suppkey, l_returnflag FROM lineitem),
+    {', '.join(f"f_{n} AS (SELECT l_partkey, l_suppkey, l_returnflag, {a} AS {n} FROM lineitem WHERE {c} GROUP BY 1, 2, 3)" for n, (c, a) in _FIVE.items())}
+    SELECT * FROM base {' '.join(f"LEFT JOIN f_{n} USING (l_partkey, l_suppkey, l_returnflag)" for n in _FIVE)}""",
+)
+def star_five(spark, sf) -> DataFrame:
+    """Five facts on three keys."""
+    li = table(spark, sf, "lineitem")
+    facts = [staged(li.where(c).groupBy(*_TRIPLE).agg(F.expr(a).alias(n))) for n, (c, a) in _FIVE.items()]
+    return J.star(li.select(*_TRIPLE).distinct(), facts, _TRIPLE)
+
+
+@query(
+    "outer_chain",
+    f"""WITH {', '.join(f"t{i} AS (SELECT l_suppkey AS k, l_returnflag AS flag, count(*) AS n{i}, min(l_shipno) AS name{i} FROM (SELECT *, l_orderkey % 1000 AS l_shipno FROM lineitem) WHERE (l_suppkey + {i}) % 4 > 0 AND l_linenumber = {i + 1} GROUP BY 1, 2)" for i in range(5))}
+    SELECT k, flag, n0, n1, n2, n3, n4, coalesce(name0, name1, name2, name3, name4) AS name FROM t0 {' '.join(f"FULL JOIN t{i} USING (k, flag)" for i in range(1, 5))}""",
+)
+def outer_chain(spark, sf) -> DataFrame:
+    """Five tables in a chain of full outer joins; a column they share is resolved to the first that has it."""
+    li = table(spark, sf, "lineitem").withColumn("ship", F.col("l_orderkey") % 1000)
+    parts = [
+        li.where(((F.col("l_suppkey") + i) % 4 > 0) & (F.col("l_linenumber") == i + 1))
+        .groupBy(F.col("l_suppkey").alias("k"), F.col("l_returnflag").alias("flag"))
+        .agg(F.count("*").alias(f"n{i}"), F.min("ship").alias(f"name{i}"))
+        for i in range(5)
+    ]
+    out = J.full_outer_chain(parts, ["k", "flag"])
+    for i in range(1, 5):
+        out = J.prefer(out, {"name0": f"name{i}"})
+    return out.withColumnRenamed("name0", "name")
+
+
+@query(
+    "published_fallback",
+    f"""WITH t AS (SELECT l_suppkey, CASE l_linenumber WHEN 1 THEN '' WHEN 2 THEN NULL ELSE 'cm/s' END AS u, l_quantity AS v, l_tax AS pv, l_linestatus AS pu FROM lineitem)
+    SELECT l_suppkey, CASE WHEN u = '' THEN pu ELSE u END AS unit, count(*) AS n, {q6("sum(CASE WHEN u = '' THEN pv ELSE v END)", 'total')} FROM t GROUP BY 1, 2""",
+)
+def published_fallback(spark, sf) -> DataFrame:
+    """Blank standard units take the published value and unit."""
+    line = F.col("l_linenumber")
+    unit = F.when(line == 1, "").when(line > 2, "cm/s").alias("unit")
+    li = table(spark, sf, "lineitem").select("l_suppkey", unit, F.col("l_quantity").alias("v"), F.col("l_tax").alias("pv"), F.col("l_linestatus").alias("pu"))
+    out = H.published_fallback(li, "unit", "v", "pu", "pv")
+    return out.groupBy("l_suppkey", "unit").agg(F.count("*").alias("n"), r6(F.sum("v")).alias("total"))
+
+
 @query(
     "full_outer_coalesce",
     f"""WITH a AS (SELECT c_nationkey AS k, avg(c_acctbal / 999.9991) AS x, min(c_name) AS name FROM customer WHERE c_nationkey < 15 GROUP BY 1),

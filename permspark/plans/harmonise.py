@@ -104,6 +104,12 @@ def is_permeability(endpoint) -> Column:
     return reduce(lambda a, b: a | b, [name.contains(f) for f in ENDPOINT_FRAGMENTS])
 
 
+def published_fallback(df: DataFrame, unit: str, value: str, published_unit: str, published_value: str) -> DataFrame:
+    """Value and unit as published where the standard unit is blank; a missing unit is not blank."""
+    blank = F.coalesce(F.trim(F.col(unit)) == "", F.lit(False))
+    return df.withColumns({value: F.when(blank, F.col(published_value)).otherwise(F.col(value)), unit: F.when(blank, F.col(published_unit)).otherwise(F.col(unit))})
+
+
 def literature_filter(
     df: DataFrame, endpoint: str, unit: str, value: str, relation: str, source: str, more_than: int = 10, max_log10: float = 4.0
 ) -> DataFrame:
