@@ -227,6 +227,8 @@ def bootstrap_draws(
 
     Row i of a group makes draw i of every replicate, so the draws are generated in parallel; they
     meet the drawn rows in an equi-join on (group, position), whose keys are evenly spread by hashing.
+    The hint says that the rows are the small side: Spark takes the draws for no larger than the table
+    they are exploded from and would broadcast them.
     """
     rows = sequence_index(df, [id_col], keys=keys, out="__pos").withColumnRenamed("n_total", "__n")
     source = rows.select(*keys, "__pos", "__n")
@@ -235,7 +237,7 @@ def bootstrap_draws(
     blocks = source.select("*", rep_blocks(reps).alias("__blk")).withColumn("__h", hash_hex(seed, *keys, "__blk", "__pos"))
     spun = blocks.select(*keys, "__n", block_numbers("__blk", "__h", "__x")).where(F.col("rep") <= reps)
     draws = spun.select(*keys, "rep", (hash_int("__x") % F.col("__n") + 1).alias("__pos"))
-    return draws.join(rows.drop("__n"), [*keys, "__pos"]).drop("__pos")
+    return draws.join(rows.drop("__n").hint("shuffle_hash"), [*keys, "__pos"]).drop("__pos")
 
 
 def replicate_statistics(draws: DataFrame, keys: list[str], observed: str, predicted: str) -> DataFrame:

@@ -132,6 +132,15 @@ def test_bootstrap_draws_are_complete_and_fair(xy):
     assert len(hits) == sum(sizes.values()) and 40 < hits.mean() < 60 and 4 < hits.std() < 11
 
 
+def test_bootstrap_draws_are_not_broadcast(spark):
+    # a small table: its size is what Spark takes for the size of the draws
+    df = spark.range(40).select("id", (F.col("id") % 2).alias("g"))
+    draws = T.bootstrap_draws(df, ["g"], "id", 100, 7, partitions=2)
+    assert draws.count() == 4000
+    plan = draws._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [g#" in plan and ", __pos#" in plan.split("ShuffledHashJoin [g#")[1].split("]")[0]
+
+
 @pytest.mark.parametrize("fn", [T.bootstrap, T.bootstrap_poisson])
 def test_bootstrap_brackets_the_sample(xy, fn):
     pdf, df = xy
