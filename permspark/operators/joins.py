@@ -152,6 +152,8 @@ def overlap_join(df: DataFrame, value: str, bins: DataFrame, lo: str, hi: str, r
     Edges are numbered, so a bin is a run of whole numbers and a value one of them. A run is cut into dyadic cells, about two for each level of a
     binary tree; a number lies in one cell of each level. So numbers and bins meet in equi-joins on cells, and only pairs that belong together
     are made. A bin with a missing edge, or without room between its edges, holds nothing.
+
+    Cells and pairs are many more than the sizes of their tables tell, so the hints keep Spark from broadcasting them.
     """
     bins = staged(bins.select(F.struct(*bins.columns).alias("__bin"), F.col(lo).cast("double").alias("__lo"), F.col(hi).cast("double").alias("__hi")))
     whole = bins.where("__lo < __hi")
@@ -166,9 +168,9 @@ def overlap_join(df: DataFrame, value: str, bins: DataFrame, lo: str, hi: str, r
     met = place.join(values, "__v", "left_semi").select("__i").distinct()
     above = met.select("__i", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
     above = above.withColumn("cell", F.expr("shiftright(__i, level)"))
-    pairs = staged(above.join(runs, ["level", "cell"]).select("__i", "__bin"))
+    pairs = staged(above.hint("merge").join(runs, ["level", "cell"]).select("__i", "__bin"))
     numbered = df.withColumn("__v", F.col(value).cast("double")).join(place, "__v", "left").drop("__v")
-    return numbered.join(pairs, "__i", "left").drop("__i").select(*df.columns, "__bin.*")
+    return numbered.join(pairs.hint("merge"), "__i", "left").drop("__i").select(*df.columns, "__bin.*")
 
 
 def set_lookup(df: DataFrame, value: str, sets: DataFrame, members: str, index: str) -> DataFrame:

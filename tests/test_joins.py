@@ -47,6 +47,16 @@ def test_overlapping_bins_equal_brute_force(spark, n):
     assert got == sorted(want, key=str)
 
 
+def test_cells_and_pairs_are_not_broadcast(spark, monkeypatch):
+    stored, store = [], J.staged
+    monkeypatch.setattr(J, "staged", lambda df: stored.append(df) or store(df))
+    bins = spark.range(60).select(F.col("id").alias("bin"), (F.col("id") / 9).alias("lo"), (F.col("id") + 70.0).alias("hi"))
+    df = spark.range(100).select((F.col("id") + 0.5).alias("v"))
+    out = J.overlap_join(df, "v", bins, "lo", "hi")
+    cells, pairs = (x._jdf.queryExecution().executedPlan().toString() for x in (stored[-1], out))
+    assert "SortMergeJoin [level#" in cells and "SortMergeJoin [__i#" in pairs
+
+
 @pytest.mark.parametrize("n", [3, 1500])
 def test_bins_with_a_missing_edge_hold_nothing(spark, n):
     bins = [(i, float(i), i + 1.0) for i in range(n)] + [(9001, None, 0.0), (9002, 5000.0, None), (9003, None, None)]
