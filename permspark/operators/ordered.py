@@ -136,6 +136,18 @@ SMALL = int(2 / RANK_ERROR)
 GRID = 512
 #: Values of a group between the brackets of its quantiles that one task may put in order.
 BRACKETED = 1_000_000
+#: Groups of fewer values, in multiples of SMALL, are put in order without sketches. Buckets of groups that are counted to find the others.
+WHOLE, BUCKETS = 24, 1 << 20
+
+
+def _large_groups(rows: DataFrame, groups: list[str], least: int) -> DataFrame:
+    """Groups of `least` rows at least, stored. Only the groups of buckets with as many rows are counted one by one."""
+    dealt = rows.select(*groups, F.pmod(F.xxhash64(*groups), F.lit(BUCKETS)).alias("__bucket"))
+    full = staged(dealt.groupBy("__bucket").agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select("__bucket"))
+    if not full.head(1):
+        return full.select(*[F.lit(None).cast(dealt.schema[g].dataType).alias(g) for g in groups])
+    counts = dealt.join(full, "__bucket", "left_semi").groupBy(*groups).agg(F.count("*").alias("__n"))
+    return staged(counts.where(F.col("__n") >= least).select(*groups))
 
 
 def _brackets(rows: DataFrame, groups: list[str], probs: list[float]) -> DataFrame:
@@ -171,14 +183,43 @@ def _narrowed(rows: DataFrame, groups: list[str], probs: list[float], brackets:
     return staged(met.groupBy(*groups).agg(*aggs).select(*groups, "__n", *ends))
 
 
+def _bracketed(rows: DataFrame, groups: list[str], probs: dict[str, float], brackets: DataFrame, bracketed: int, interpolated) -> DataFrame:
+    """Quantiles `__q<i>` and `__n` of the groups that have brackets."""
+    inside = 2 * RANK_ERROR * (brackets.agg(F.max("__n")).first()[0] or 0)
+    while inside > bracketed:
+        brackets = _narrowed(rows, groups, list(probs.values()), brackets)
+        inside *= 2 * (RANK_ERROR + 1 / GRID)
+
+    # equal slots lie between the same ends of brackets; values outside of all brackets are counted only
+    over = [F.col("__v") >= F.col(f"__lo{i}") for i in range(len(probs))]
+    past = [F.col("__v") > F.col(f"__hi{i}") for i in range(len(probs))]
+    slot, kept = F.lit(0), F.lit(False)
+    for o, h in zip(over, past):
+        slot, kept = slot + o.cast("int") + h.cast("int"), kept | (o & ~h)
+    near = join_keys(rows, brackets, groups).select(*groups, "__n", slot.alias("__slot"), F.when(kept, F.col("__v")).alias("__v"))
+    near = near.groupBy(*groups, "__n", "__slot", "__v").agg(F.count("*").alias("__in"))
+    run = Window.partitionBy(*groups).orderBy("__slot", "__v").rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("__before", F.coalesce(F.sum("__in").over(run), F.lit(0)))
+    found = staged(interpolated(near))
+    missed = F.lit(False)
+    for i in range(len(probs)):
+        missed = missed | F.col(f"__q{i}").isNull()
+    if found.where(missed).head(1):
+        again = join_keys(rows, found.where(missed).select(*groups), groups)
+        again = quantiles_by_ranges(again, groups, "__v", {f"__q{i}": p for i, p in enumerate(probs.values())})
+        found = staged(found.where(~missed).unionByName(again.withColumnRenamed("n_total", "__n")))
+    return found
+
+
 def quantiles(
     df: DataFrame, keys, value: str, probs: dict[str, float], ranges: int | None = None, bracketed: int = BRACKETED
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group, as named columns plus n_total.
 
-    Mergeable sketches bracket every quantile; a second pass counts what lies below and keeps only the values inside the brackets, so
-    few values are shuffled and no table of all values is stored. The counts are exact, and show if a sketch was further off than it is
-    trusted to be; such groups, if any, go through ranges of all their values, which `ranges` asks for in any case.
+    Groups of some thousand values are put in order as they are, after one shuffle. Of larger ones, mergeable sketches bracket every
+    quantile; a second pass counts what lies below and keeps only the values inside the brackets, so few of their values are shuffled and no
+    table of all values is stored. The counts are exact, and show if a sketch was further off than it is trusted to be; such groups, if
+    any, go through ranges of all their values, which `ranges` asks for in any case.
 
     Groups whose values are all missing give no row; use `keep_groups` to add them back as NULL. NaN counts as missing.
     """
@@ -188,22 +229,6 @@ def quantiles(
     groups = [f"__g{i}" for i in range(max(len(keys), 1))]
     given = [F.col(k).alias(g) for k, g in zip(keys, groups)] or [F.lit(0).alias(groups[0])]
     rows = df.select(*given, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    brackets = _brackets(rows, groups, list(probs.values()))
-    inside = 2 * RANK_ERROR * (brackets.agg(F.max("__n")).first()[0] or 0)
-    while inside > bracketed:
-        brackets = _narrowed(rows, groups, list(probs.values()), brackets)
-        inside *= 2 * (RANK_ERROR + 1 / GRID)
-
-    # equal slots lie between the same ends of brackets; values outside of all brackets are counted only
-    over = [F.col("__v") >= F.col(f"__lo{i}") for i in range(len(names))]
-    past = [F.col("__v") > F.col(f"__hi{i}") for i in range(len(names))]
-    slot, kept = F.lit(0), F.lit(False)
-    for o, h in zip(over, past):
-        slot, kept = slot + o.cast("int") + h.cast("int"), kept | (o & ~h)
-    near = join_keys(rows, brackets, groups).select(*groups, "__n", slot.alias("__slot"), F.when(kept, F.col("__v")).alias("__v"))
-    near = near.groupBy(*groups, "__n", "__slot", "__v").agg(F.count("*").alias("__in"))
-    run = Window.partitionBy(*groups).orderBy("__slot", "__v").rowsBetween(Window.unboundedPreceding, -1)
-    near = near.withColumn("__before", F.coalesce(F.sum("__in").over(run), F.lit(0)))
 
     def position(p: float) -> Column:
         return (F.col("__n") - 1) * F.lit(float(p))
@@ -212,22 +237,26 @@ def quantiles(
         k = F.least(k, F.col("__n") - 1)
         return F.max(F.when((F.col("__before") <= k) & (k < F.col("__before") + F.col("__in")), F.col("__v")))
 
-    picks = []
-    for i, p in enumerate(probs.values()):
-        picks += [value_at(F.floor(position(p))).alias(f"__a{i}"), value_at(F.floor(position(p)) + 1).alias(f"__b{i}")]
-    found = near.groupBy(*groups, "__n").agg(*picks)
-    out = []
-    for i, (name, p) in enumerate(probs.items()):
-        lo, hi = F.col(f"__a{i}"), F.col(f"__b{i}")
-        out.append((lo + (hi - lo) * (position(p) - F.floor(position(p)))).alias(f"__q{i}"))
-    found = staged(found.select(*groups, *out, "__n"))
-    missed = F.lit(False)
-    for i in range(len(names)):
-        missed = missed | F.col(f"__q{i}").isNull()
-    if found.where(missed).head(1):
-        again = join_keys(rows, found.where(missed).select(*groups), groups)
-        again = quantiles_by_ranges(again, groups, "__v", {f"__q{i}": p for i, p in enumerate(probs.values())})
-        found = staged(found.where(~missed).unionByName(again.withColumnRenamed("n_total", "__n")))
+    def interpolated(near: DataFrame) -> DataFrame:
+        picks = []
+        for i, p in enumerate(probs.values()):
+            picks += [value_at(F.floor(position(p))).alias(f"__a{i}"), value_at(F.floor(position(p)) + 1).alias(f"__b{i}")]
+        found = near.groupBy(*groups, "__n").agg(*picks)
+        out = []
+        for i, p in enumerate(probs.values()):
+            lo, hi = F.col(f"__a{i}"), F.col(f"__b{i}")
+            out.append((lo + (hi - lo) * (position(p) - F.floor(position(p)))).alias(f"__q{i}"))
+        return found.select(*groups, *out, "__n")
+
+    large = _large_groups(rows, groups, WHOLE * SMALL)
+    some = bool(large.head(1))
+    few = join_keys(rows, large, groups, "left_anti") if some else rows
+    group = Window.partitionBy(*groups)
+    ordered = few.withColumn("__before", F.row_number().over(group.orderBy("__v")) - 1).withColumn("__n", F.count("*").over(group))
+    found = staged(interpolated(ordered.withColumn("__in", F.lit(1))))
+    if some:
+        brackets = _brackets(join_keys(rows, large, groups, "left_semi"), groups, list(probs.values()))
+        found = found.unionByName(_bracketed(rows, groups, probs, brackets, bracketed, interpolated))
     named = [F.col(g).alias(k) for k, g in zip(keys, groups)] + [F.col(f"__q{i}").alias(n) for i, n in enumerate(names)]
     return found.select(*named, F.col("__n").alias("n_total"))
 

@@ -143,6 +143,21 @@ def test_sketched_quantiles_are_exact(spark, bracketed):
     np.testing.assert_allclose(whole[list(probs)].to_numpy(float)[0], np.quantile(pdf.v, list(probs.values())), rtol=1e-12)
 
 
+def test_small_groups_need_no_sketch(spark, monkeypatch):
+    """Many small groups beside a large one: only the large one is sketched, and all are exact."""
+    sketched, brackets = [], ordered._brackets
+    monkeypatch.setattr(ordered, "_brackets", lambda rows, *a: sketched.append(rows) or brackets(rows, *a))
+    df = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id") % 3001).alias("g"), (F.col("id") * 37 % 9973).cast("double").alias("v"))
+    want = df.toPandas().groupby("g").v
+    for part, large in ((df, {-1}), (df.where("g >= 0"), set())):
+        sketched.clear()
+        got = part.transform(ordered.quantiles, ["g"], "v", {"a": 0.05, "m": 0.5}).toPandas().set_index("g")
+        assert {r.g for x in sketched for r in x.select(F.col("__g0").alias("g")).distinct().collect()} == large
+        assert len(got) == 3001 + len(large) and (got.n_total == want.count()[got.index]).all()
+        for name, p in (("a", 0.05), ("m", 0.5)):
+            np.testing.assert_allclose(got[name], want.quantile(p)[got.index], rtol=1e-12)
+
+
 def test_a_wrong_bracket_is_noticed(spark, monkeypatch):
     """Brackets that are trusted too far: the counts show it, and ranges give the answer."""
     monkeypatch.setattr(ordered, "RANK_ERROR", -0.05)
