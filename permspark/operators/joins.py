@@ -201,5 +201,6 @@ def restricted(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def row_by_number(df: DataFrame, numbered: DataFrame, number: str) -> DataFrame:
-    """Lookup by an explicit row number column."""
-    return df.join(numbered, number, "left")
+    """Lookup by an explicit row number column. Only the numbers in use are joined: if these are few, no hot number is shuffled."""
+    used = numbered.join(df.select(number).distinct(), number, "left_semi")
+    return df.join(staged(used), number, "left")

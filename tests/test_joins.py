@@ -79,6 +79,21 @@ def test_lookup_never_fans_out(spark):
     assert rows(J.lookup_one(base, dim, ["k"], ["o"]).select("k", "v")) == [(1, "a"), (2, None), (None, None)]
 
 
+def test_hot_row_numbers_are_not_shuffled(spark):
+    numbered = spark.range(1, 20_001).select(F.col("id").alias("k"), F.repeat(F.col("id").cast("string"), 20).alias("name"))
+    df = spark.range(3000).select(F.when(F.col("id") % 4 > 0, F.col("id") % 4 * 10_000).alias("k"), "id")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10k")
+    try:
+        out = J.row_by_number(df, numbered, "k")
+        got = out.groupBy("k", "name").count().collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert {(r["k"], r["name"], r["count"]) for r in got} == {(None, None, 750), (10_000, "10000" * 20, 750), (20_000, "20000" * 20, 750), (30_000, None, 750)}
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_missing_keys_match_on_request(spark):
     a = spark.createDataFrame([(None, 1), (5, 2)], "k int, x int")
     b = spark.createDataFrame([(None, "m")], "k int, y string")
