@@ -115,8 +115,12 @@ def non_missing(array) -> Column:
 
 def hash_hex(seed: int, *keys) -> Column:
     """Seeded 128-bit hash of a key as 32 hex digits: the library's only source of randomness. A missing part is marked, so that its place tells."""
-    parts = [F.lit(str(seed))] + [F.coalesce(as_col(k).cast("string"), F.lit("\0")) for k in keys]
-    return F.md5(F.concat_ws(":", *parts))
+    return F.md5(hash_text(F.lit(str(seed)), *keys))
+
+
+def hash_text(*parts) -> Column:
+    """The text that hash_hex hashes."""
+    return F.concat_ws(":", *[F.coalesce(as_col(k).cast("string"), F.lit("\0")) for k in parts])
 
 
 def hash_int(hex_col, start: int = 1, width: int = 8) -> Column:

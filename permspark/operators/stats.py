@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import DoubleType, IntegerType, NumericType, StructType
 
 from permspark.functions.distributions import t_p_value, t_upper_quantile
-from permspark.functions.scalar import hash_hex, hash_int, ratio, signif
+from permspark.functions.scalar import hash_hex, hash_int, hash_text, ratio, signif
 from permspark.operators.grouping import attach, contingency
 from permspark.operators.ordered import sequence_index
 
@@ -303,14 +309,59 @@ def poisson_weight(uniform: Column) -> Column:
     return out
 
 
+#: Draws whose weights a task holds at a time, and the sums it keeps of a group and replicate.
+HELD, SUMS = 1 << 22, ("n", "so", "sp", "soo", "spp", "sop", "see")
+
+
+def poisson_weights(heads: list[str], ids: list[str], reps: int) -> np.ndarray:
+    """poisson_weight of hash_hex(seed, *keys, block, id) for every row and replicate; heads are the texts before the block."""
+    blocks = [f":{b}:".encode() for b in range((reps + 3) // 4)]
+    digests = b"".join(md5(h + b + i).digest() for h, i in zip(map(str.encode, heads), map(str.encode, ids)) for b in blocks)
+    numbers = np.frombuffer(digests, dtype=">u4").reshape(len(heads), -1)[:, :reps]
+    return np.searchsorted(np.ceil(np.array(POISSON_CDF) * 2.0**32), numbers.astype(float), side="right").astype(float)
+
+
+def _weighted_sums(weights: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of each replicate; rows that it doesn't draw stay out, infinite ones, too."""
+    finite = np.isfinite(values).all(axis=1)
+    out = weights[finite].T @ values[finite]
+    for w, v in zip(weights[~finite], values[~finite]):
+        drawn = w > 0
+        out[drawn] += w[drawn, None] * v
+    return out
+
+
+def _poisson_sums(n_keys: int, reps: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(keys..., rep, sums) of the rows (keys..., head, id, o, p, e) of each batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = [batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for k in range(n_keys)]
+        _, first, group = np.unique(np.stack([*codes, np.zeros(batch.num_rows, int)], axis=1), axis=0, return_index=True, return_inverse=True)
+        group = group.reshape(-1)
+        heads, ids = (batch.column(n_keys + k).to_pylist() for k in range(2))
+        o, p, e = (batch.column(n_keys + 2 + k).to_numpy(zero_copy_only=False) for k in range(3))
+        values = np.stack([np.ones(len(o)), o, p, o * o, p * p, o * p, e], axis=1)
+        sums, step = np.zeros((len(first), reps, len(SUMS))), max(1, HELD // reps)
+        for low in range(0, batch.num_rows, step):
+            part = slice(low, low + step)
+            weights = poisson_weights(heads[part], ids[part], reps)
+            for g in np.unique(group[part]):
+                mine = group[part] == g
+                sums[g] += _weighted_sums(weights[mine], values[part][mine])
+        at = pa.array(np.repeat(first, reps))
+        columns = [*(batch.column(k).take(at) for k in range(n_keys)), pa.array(np.tile(np.arange(1, reps + 1, dtype=np.int32), len(first)))]
+        yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c) for c in sums.reshape(-1, len(SUMS)).T.copy())], names=[*batch.schema.names[:n_keys], "rep", *SUMS])
+
+
 def bootstrap_poisson(
     df: DataFrame, keys: list[str], id_col: str, observed: str, predicted: str, reps: int, seed: int = 1234,
     partitions: int | None = None,
 ) -> DataFrame:
     """Bootstrap for large groups: every row draws its own Poisson(1) multiplicity per replicate.
 
-    No join and no index; each task reduces its rows to one partial sum per (group, replicate). Sums
-    are taken around the group means to stay accurate. `partitions` as in bootstrap.
+    No join and no index, and no row is repeated for its replicates: a task weighs each batch of rows for all replicates at once and
+    reduces it to one partial sum per (group, replicate). Sums are taken around the group means to stay accurate. `partitions` as in bootstrap.
     """
     known = df.dropna(subset=[observed, predicted])
     centred = attach(known, keys, F.avg(observed).alias("__mo"), F.avg(predicted).alias("__mp"))
@@ -318,22 +369,13 @@ def bootstrap_poisson(
         centred = centred.repartition(partitions)
     o, p = F.col(observed) - F.col("__mo"), F.col(predicted) - F.col("__mp")
     gap = F.col(observed) - F.col(predicted)
-    blocks = centred.select(
-        *keys, o.alias("__o"), p.alias("__p"), (gap * gap).alias("__e"), id_col, rep_blocks(reps).alias("__blk")
-    ).withColumn("__h", hash_hex(seed, *keys, "__blk", id_col))
-    spun = blocks.select(*keys, "__o", "__p", "__e", block_numbers("__blk", "__h", "__x")).where(F.col("rep") <= reps)
-    spun = spun.withColumn("__u", hash_int("__x") / F.lit(float(2**32)))
-    drawn = spun.withColumn("w", poisson_weight(F.col("__u"))).where(F.col("w") > 0)
-    w, o, p = F.col("w"), F.col("__o"), F.col("__p")
-    sums = drawn.groupBy(*keys, "rep").agg(
-        F.sum(w).alias("n"),
-        F.sum(w * o).alias("so"),
-        F.sum(w * p).alias("sp"),
-        F.sum(w * o * o).alias("soo"),
-        F.sum(w * p * p).alias("spp"),
-        F.sum(w * o * p).alias("sop"),
-        F.sum(w * F.col("__e")).alias("see"),
-    )
+    numbers = [c.cast("double").alias(name) for c, name in ((o, "__o"), (p, "__p"), (gap * gap, "__e"))]
+    rows = centred.select(*keys, hash_text(F.lit(str(seed)), *keys).alias("__head"), hash_text(id_col).alias("__id"), *numbers)
+    schema = StructType([rows.schema[k] for k in keys]).add("rep", IntegerType())
+    for name in SUMS:
+        schema = schema.add(name, DoubleType())
+    drawn = rows.mapInArrow(partial(_poisson_sums, len(keys), reps), schema)
+    sums = drawn.groupBy(*keys, "rep").agg(F.sum("n").cast("bigint").alias("n"), *[F.sum(c).alias(c) for c in SUMS[1:]]).where("n > 0")
     n = F.col("n")
     cov = F.col("sop") - F.col("so") * F.col("sp") / n
     r2 = ratio(cov * cov, (F.col("soo") - F.col("so") ** 2 / n) * (F.col("spp") - F.col("sp") ** 2 / n))

@@ -151,6 +151,28 @@ def test_bootstrap_brackets_the_sample(xy, fn):
     assert r["rmse_median"] == pytest.approx(np.sqrt(((k.x - k.y) ** 2).mean()), rel=0.1)
 
 
+@pytest.mark.parametrize("held", [T.HELD, 50])
+def test_poisson_sums_equal_spark_expressions(spark, monkeypatch, held):
+    """Repeated and missing ids, missing keys, an infinite value; without a row for each row and replicate."""
+    monkeypatch.setattr(T, "HELD", held)
+    rows = [(("a", "b:", None, "b")[k % 4], None if k % 7 == 0 else k % 40, k % 3, float("inf") if k == 30 else k / 7, float(k * k % 11)) for k in range(90)]
+    df = spark.createDataFrame(rows, "g string, id long, h int, y double, x double")
+    batches = df.select("g", "h", T.hash_text(F.lit("5"), "g", "h"), T.hash_text("id"), "y", "x", (F.col("y") - F.col("x")) ** 2).toArrow().to_batches()
+    got = {}
+    for batch in T._poisson_sums(2, 10, batches):
+        for r in zip(*(c.to_pylist() for c in batch.columns)):
+            got[r[:3]] = np.add(got.get(r[:3], 0.0), r[3:])
+    each = df.select("*", T.rep_blocks(10).alias("b")).withColumn("hex", T.hash_hex(5, "g", "h", "b", "id"))
+    each = each.select("g", "h", "x", "y", T.block_numbers("b", "hex", "n")).where("rep <= 10").withColumn("w", T.poisson_weight(T.hash_int("n") / 2.0**32))
+    sums = [F.sum("w"), *[F.sum(F.when(F.col("w") > 0, F.col("w") * F.expr(c))) for c in ("y", "x", "y * y", "x * x", "x * y", "(y - x) * (y - x)")]]
+    want = {tuple(r[:3]): [v or 0.0 for v in r[3:]] for r in each.groupBy("g", "h", "rep").agg(*sums).collect()}
+    assert len(want) == 120 and got.keys() == want.keys()
+    for k, v in want.items():
+        np.testing.assert_allclose(got[k], v, rtol=1e-12, err_msg=str(k))
+    plan = T.bootstrap_poisson(df.where("y < 100"), ["g"], "id", "y", "x", 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+
+
 def test_poisson_weights_have_unit_mean(spark):
     df = spark.range(20000).select(T.poisson_weight((F.col("id") + 0.5) / 20000).alias("w"))
     r = df.agg(F.avg("w"), F.var_pop("w")).first()
