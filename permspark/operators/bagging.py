@@ -2,7 +2,8 @@
 
 Spark's own forests draw their bags unseen. Here every (tree, row) draws how often the row counts from a hash of the row's key, so a bag is a
 weight column. Trees are fitted one by one on those weights, several at a time, and rows that weigh nothing for a tree are its out-of-bag
-rows, on any cluster and for any order of the rows. Votes are counted row by row, without a shuffle.
+rows, on any cluster and for any order of the rows. Votes are counted row by row, without a shuffle. A row's weights are drawn once and
+stored beside its features: every pass of a fit, a vote or an exchange of values would draw them again.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def bag_weight(tree: int, key: Sequence[str], seed: int = SEED) -> Column:
 
 @dataclass
 class Bag:
-    """Trees with the rule of their bags. `rows` holds key, label and features, stored in memory in an order of its own."""
+    """Trees and their bags. `rows` holds key, label, features and `__bag`, the weights in all bags, stored in memory in an order of its own."""
 
     trees: list
     rows: DataFrame
@@ -56,8 +57,8 @@ class Bag:
             yield range(k, min(k + VOTERS, len(self.trees)))
 
     def predicted(self, df: DataFrame, numbers: Sequence[int], features: str = "features") -> DataFrame:
-        """Adds `__p<tree>` and `__w<tree>`, a tree's prediction and the row's weight in its bag."""
-        df = df.withColumns({f"__w{t}": bag_weight(t, self.key, self.seed) for t in numbers})
+        """Adds `__p<tree>` and `__w<tree>`, a tree's prediction and the row's weight in its bag, to rows with `__bag`."""
+        df = df.withColumns({f"__w{t}": F.get("__bag", F.lit(t)).cast("int") for t in numbers})
         for t in numbers:
             model = self.trees[t].copy()
             model.setFeaturesCol(features)
@@ -68,17 +69,26 @@ class Bag:
         return df
 
 
+def bag_rows(df: DataFrame, cols: Sequence[str], label: str, key: Sequence[str], trees: int, seed: int) -> DataFrame:
+    """The `rows` of a Bag."""
+    bags = F.array(*[bag_weight(t, key, seed).cast("tinyint") for t in range(trees)]).alias("__bag")
+    return assembled(dealt(df, cols, label), cols).select(*key, F.col(label).cast("double").alias(label), "features", bags).persist()
+
+
 def fit_bag(
     df: DataFrame, cols: Sequence[str], label: str, key: Sequence[str], classify: bool, trees: int = 500, depth: int = 10,
-    mtry: int | None = None, seed: int = SEED,
+    mtry: int | None = None, seed: int = SEED, like: Bag | None = None,
 ) -> Bag:
-    """Trees fitted on hash-drawn bags; rows need distinct keys, and no missing label or descriptor."""
+    """Trees fitted on hash-drawn bags; rows need distinct keys, and no missing label or descriptor.
+
+    `like` is an earlier result for the same rows, number of trees and seed: its rows and bags are shared.
+    """
     cols, key = list(cols), list(key)
-    rows = assembled(dealt(df, cols, label), cols).select(*key, F.col(label).cast("double").alias(label), "features").persist()
+    rows = bag_rows(df, cols, label, key, trees, seed) if like is None else like.rows
     classes = sorted(r[0] for r in rows.select(label).distinct().collect()) if classify else None
 
     def fit(t: int):
-        bag = rows.withColumn("__w", bag_weight(t, key, seed).cast("double")).where(F.col("__w") > 0)
+        bag = rows.withColumn("__w", F.get("__bag", F.lit(t)).cast("double")).where(F.col("__w") > 0)
         one = forest(label, classify, 1, depth, mtry, seed + t, bootstrap=False, subsamplingRate=1.0, weightCol="__w")
         return one.fit(bag)
 
@@ -107,7 +117,7 @@ def out_of_bag(bag: Bag) -> DataFrame:
             return sum((out[t] * worth(F.col(f"__p{t}")) for t in numbers), F.lit(0.0))
 
         more = F.array(*[F.get("__v", F.lit(k)) + gained(kind) for k, kind in enumerate(kinds)])
-        votes = staged(met.select(*bag.key, bag.label, "features", more.alias("__v"), (F.col("n_trees") + count).alias("n_trees")))
+        votes = staged(met.select(*bag.key, bag.label, "features", "__bag", more.alias("__v"), (F.col("n_trees") + count).alias("n_trees")))
     if bag.classes is None:
         vote = F.get("__v", F.lit(0)) / F.col("n_trees")
     else:
@@ -128,16 +138,17 @@ def search_mtry(
     """(mtry, error, step): subset sizes tried by out-of-bag error.
 
     From the usual start the size is divided, then multiplied, by `factor`, in either direction as long as the error falls by the
-    share `improve` with each step. step is the order of the trials.
+    share `improve` with each step. step is the order of the trials. All trials share the rows and their bags.
     """
     cols = list(cols)
+    bags: list[Bag] = []
     errors: dict[int, float] = {}
 
     def error(mtry: int) -> float:
         if mtry not in errors:
-            bag = fit_bag(df, cols, label, key, classify, mtry=mtry, **kw)
+            bag = fit_bag(df, cols, label, key, classify, mtry=mtry, like=bags[0] if bags else None, **kw)
+            bags.append(bag)
             errors[mtry] = out_of_bag_error(bag)
-            bag.done()
         return errors[mtry]
 
     start = max(1, math.isqrt(len(cols)) if classify else len(cols) // 3)
@@ -148,6 +159,7 @@ def search_mtry(
             if size in errors or last <= 0 or 1 - error(size) / last < improve:
                 break
             last = errors[size]
+    bags[0].done()
     rows = [(m, e, k) for k, (m, e) in enumerate(errors.items())]
     return df.sparkSession.createDataFrame(rows, "mtry int, error double, step int")
 
@@ -174,11 +186,11 @@ def permutation_importance(bag: Bag, seed: int = SEED) -> DataFrame:
     Mean and standard deviation over the trees, and the mean by its standard error. For a regression the loss is the growth of the mean
     squared error. One feature at a time takes the value of the row's donor, so every (row, feature) is voted on once.
     """
-    stored = staged(donors(bag.rows, bag.key, seed).select(*bag.key, bag.label, vector_to_array("features").alias("__x"), vector_to_array("__donor").alias("__d")))
+    stored = staged(donors(bag.rows, bag.key, seed).select(*bag.key, bag.label, "__bag", vector_to_array("features").alias("__x"), vector_to_array("__donor").alias("__d")))
     plain = stored.withColumn("__j", F.lit(-1)).withColumn("features", array_to_vector("__x"))
     each = stored.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(bag.cols) - 1))).alias("__j"))
     moved = F.transform("__x", lambda x, i: F.when(i == F.col("__j"), F.get("__d", i)).otherwise(x))
-    rows = plain.unionByName(each.withColumn("features", array_to_vector(moved))).select(*bag.key, bag.label, "__j", "features")
+    rows = plain.unionByName(each.withColumn("features", array_to_vector(moved))).select(*bag.key, bag.label, "__bag", "__j", "features")
     parts = []
     for numbers in bag.blocks():
         met = bag.predicted(rows, numbers)

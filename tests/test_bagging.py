@@ -104,3 +104,17 @@ def test_search_goes_on_while_the_error_falls(spark, rows, monkeypatch):
     tried = B.search_mtry(spark.createDataFrame(rows), [f"c{k}" for k in range(50)], "y", ["id"], True)
     assert [r.mtry for r in sorted(tried.collect(), key=lambda r: r.step)] == [7, 6, 8, 10, 12]
     assert B.best_mtry(tried) == 12
+
+
+def test_bags_are_drawn_once(spark, rows, monkeypatch):
+    """Fits, votes and exchanged values read the stored weights, and trials of a search share them."""
+    drawn, weight = [], B.bag_weight
+    monkeypatch.setattr(B, "bag_weight", lambda t, *a: drawn.append(t) or weight(t, *a))
+    df = spark.createDataFrame(rows)
+    bag = B.fit_bag(df, COLS, "y", ["id"], True, trees=3, depth=2)
+    again = B.fit_bag(df, COLS, "y", ["id"], True, trees=3, depth=2, mtry=2, like=bag)
+    assert again.rows is bag.rows and B.out_of_bag(again).count() == len(rows)
+    assert B.permutation_importance(bag).count() == len(COLS)
+    drawn.clear()
+    tried = B.search_mtry(df, COLS, "y", ["id"], True, trees=2, depth=2, factor=2.0, improve=-1.0)
+    assert tried.count() > 1 and drawn == [0, 1]
