@@ -33,7 +33,8 @@ VOTERS, FITTED_AT_ONCE = 25, 8
 def bag_weight(tree: int, key: Sequence[str], seed: int = SEED) -> Column:
     """How often a row counts in a tree's bag: 0, 1, 2, ... with Poisson probabilities."""
     draw = hash_int(hash_hex(seed, F.lit(tree), *key)) / F.lit(2.0**32)
-    return F.aggregate(F.array(*[F.lit(p) for p in POISSON]), F.lit(0), lambda n, p: n + F.when(draw >= p, 1).otherwise(0))
+    # the lambda goes over the draw alone: over the probabilities, each would draw again
+    return F.get(F.transform(F.array(draw), lambda u: sum(((u >= p).cast("int") for p in POISSON), F.lit(0))), F.lit(0))
 
 
 @dataclass
