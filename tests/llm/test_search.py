@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 import time
 
 import duckdb
@@ -72,6 +73,34 @@ def test_leaks_equal_brute_force(spark, block):
     assert got == {k: (len(v), v[0], v[-1]) for k, v in brute.leaks(docs, items).items()}
 
 
+@pytest.mark.parametrize("block", [D.BLOCK, 1])
+def test_hits_of_a_long_document_do_not_hold_it(spark, block):
+    """18 000 hits in 19 000 words; with all words beside each hit they would take some 8 GB at once."""
+    item = sentence(16)
+    text = " ".join([item] * 1200)
+    a = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    b = spark.createDataFrame([(2, item)], "item_id long, text string")
+    found = D.find_leaks(a, b, block=block)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Project \[_k0#\S+, words#\d+, pos#\d+, at#", plan)
+    (got,) = found.collect()
+    assert (got.n_places, got.first_word, got.last_word) == (1200 * 4, 0, 1199 * 16 + 3)
+
+
+def test_large_benchmarks_broadcast_only_a_bitmap(spark):
+    """Blocks of windows had two broadcasts and a scan of the documents each."""
+    docs, items, a, b = leak_tables(spark)
+    plan = D.find_leaks(a, b, block=20)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"BroadcastExchange", plan)) == 1
+    seeds = spark.range(5000).select(F.xxhash64("id").alias("seed"))
+    rows = D.bitmap(seeds, 13).collect()
+    assert sorted((r.row, len(r.bits)) for r in rows) == [(k, 2**D.ROW) for k in range(2**3)]
+    bits = [x for r in sorted(rows) for x in r.bits]
+    passed = lambda s: all(bits[(s % 2**64) >> 51] >> (s >> k & 63) & 1 for k in (0, 6, 12))
+    assert all(passed(r.seed) for r in seeds.collect())
+    assert sum(passed(r.s) for r in spark.range(5000, 25000).select(F.xxhash64("id").alias("s")).collect()) < 200
+
+
 def test_without_leaks_keeps_clean_rows(spark):
     docs, items, a, b = leak_tables(spark)
     bad = {d for d, _ in brute.leaks(docs, items, least=D.TOLERANT)}
